@@ -161,3 +161,45 @@ def mean_abs_contribution(contrib: DataFrame, slot_to_source: DataFrame | None =
         return per.orderBy(F.desc("mean_abs"), "slot")
     return per.join(slot_to_source, "slot", "left").groupBy("source_feature").agg(
         F.sum("mean_abs").alias("mean_abs")).orderBy(F.desc("mean_abs"), "source_feature")
+
+
+# ---------------------------------------------------------------- N5 additive model shape table
+
+def additive_global(pipeline_model, df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
+                    label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Shape and importance tables of a fitted ``glassbox_additive`` pipeline.
+
+    Returns (bins, importance): ``bins`` has feature, feature_type, bin, score
+    (the bin's coefficient centred by its weighted mean), n, pos, pos_rate;
+    ``importance`` is sum(n * |score|) / sum(n) per feature, descending.  Bin
+    counts come from one unpivot + grouped aggregation of the bin indices.
+    """
+    from pyspark.ml.feature import OneHotEncoderModel
+
+    pre, model = pipeline_model.stages[0], pipeline_model.stages[-1]
+    ohe = next(s for s in pre.stages if isinstance(s, OneHotEncoderModel))
+    sizes = [int(x) + 1 for x in ohe.categorySizes]  # dropLast=False, handleInvalid=keep: one extra slot
+    inputs = ohe.getInputCols()
+    coef = model.coefficients.toArray()
+    spark = df.sparkSession
+    names = list(num_cols) + list(cat_cols)
+    kinds = ["continuous"] * len(num_cols) + ["categorical"] * len(cat_cols)
+    rows, off = [], 0
+    for i, size in enumerate(sizes):
+        for b in range(size):
+            rows.append((names[i], kinds[i], b, float(coef[off + b]) if off + b < len(coef) else 0.0))
+        off += size
+    scores = spark.createDataFrame(rows, "feature string, feature_type string, bin int, raw_score double")
+    tr = pre.transform(df)
+    long = tr.select(c(label).cast("double").alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(names[i]).alias("feature"), c(inp).cast("int").alias("bin")) for i, inp in enumerate(inputs)
+    ])).alias("kv")).select("_y", "kv.*")
+    counts = long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+    j = scores.join(counts, ["feature", "bin"], "left").fillna(0, subset=["n", "pos"])
+    centre = j.groupBy("feature").agg((F.sum(c("n") * c("raw_score")) / F.sum("n")).alias("_m"))
+    bins = j.join(centre, "feature").select(
+        "feature", "feature_type", "bin", (c("raw_score") - c("_m")).alias("score"), c("n").cast("long").alias("n"),
+        "pos", F.when(c("n") > 0, c("pos") / c("n")).alias("pos_rate"))
+    imp = bins.groupBy("feature", "feature_type").agg(
+        (F.sum(c("n") * F.abs("score")) / F.sum("n")).alias("importance")).orderBy(F.desc("importance"), "feature")
+    return bins, imp

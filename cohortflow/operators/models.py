@@ -32,11 +32,13 @@ MODEL_KINDS = ("elasticnet", "boosted_trees", "glassbox_additive", "gam_spline")
 
 
 def elasticnet(C: float = 1.0, l1_ratio: float = 0.5, weight_sum: float = 1.0, weight_col: str | None = "weight",
-               max_iter: int = 200, features_col: str = "features", label_col: str = "label") -> LogisticRegression:
+               max_iter: int = 100, features_col: str = "features", label_col: str = "label",
+               tol: float = 1e-4) -> LogisticRegression:
+    """Each solver iteration is one distributed aggregation job; tol=1e-4 is sklearn's default tolerance."""
     kw = {"weightCol": weight_col} if weight_col else {}
     return LogisticRegression(featuresCol=features_col, labelCol=label_col, regParam=1.0 / (float(C) * weight_sum),
                               elasticNetParam=float(l1_ratio), standardization=False, maxIter=int(max_iter),
-                              tol=1e-7, **kw)
+                              tol=float(tol), **kw)
 
 
 def boosted_trees(n_estimators: int = 20, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 1.0,

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
         blocked = [x for x in feature_sets[fs] if x not in cols]
         cat, num = split_columns(df, cols)
         base = df.filter(c(y_prefix + outcome).isNotNull()).select(
-            c(id_col).alias("_id"), c(y_prefix + outcome).cast("double").alias("label"), *[c(n) for n in cols])
+            c(id_col).alias("_id"), c(y_prefix + outcome).cast("double").alias("label"), *[c(n) for n in cols]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         space = spaces.get(kind, {})
         params, _ = search(base, kind, space, cat, num, inner, n_iter, seed) if space else ({}, [])
         pm = fit_pipeline(base, kind, params, cat, num, seed)
@@ -61,6 +63,7 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
             "pos_rate double, columns_used array<string>, leakage_blocked array<string>, best_params string")
         meta.write.mode("overwrite").parquet(f"{out}/meta")
         metas.append(meta)
+        base.unpersist()
     res = metas[0]
     for m in metas[1:]:
         res = res.unionByName(m)

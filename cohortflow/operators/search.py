@@ -95,6 +95,22 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
     return df.join(F.broadcast(cls), df[label] == cls["_cls"], "inner").drop("_cls")
 
 
+ROWS_PER_FIT_PARTITION = 200_000
+
+
+def fit_partitions(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
+    """Size the partitions of a cached training table for iterative fits.
+
+    Every solver iteration is one job touching every partition, so the table
+    gets ceil(n / rows_per_partition) partitions, capped at the cluster's
+    default parallelism (one wave per iteration at any scale).  Only ever
+    reduces the count (``coalesce``: no shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    want = max(1, min(sc.defaultParallelism, -(-int(n_rows) // rows_per_partition)))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
+
+
 def _pre_key(kind: str, params: Mapping) -> str:
     return json.dumps({"max_bins": params.get("max_bins"), "n_knots": params.get("n_knots")}
                       if kind in ("glassbox_additive", "gam_spline") else {})
@@ -109,7 +125,8 @@ class FoldData:
 
 def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame, cat_cols, num_cols, min_freq):
     pre = preprocessor_for(kind, cat_cols, num_cols, params, min_freq).fit(train)
-    tv = pre.transform(train).select("_id", "label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    tv = pre.transform(train).select("_id", "label", "weight", "features")
+    tv = fit_partitions(tv, tv.count()).persist(StorageLevel.MEMORY_AND_DISK)
     vv = pre.transform(valid).select("_id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     return pre, tv, vv
 
@@ -127,7 +144,7 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
     recomputed per inner fold) and the raw feature columns.
     """
     cands = candidates_for(space, n_iter, seed)
-    folded = stratified_folds(train, "label", inner, seed, "_id", "_fin")
+    folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
     scores = {i: [] for i in range(len(cands))}
     by_pre: dict[str, list[int]] = {}
     for i, p in enumerate(cands):
@@ -151,25 +168,33 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
     means = [(cands[i], float(np.mean([s for s in scores[i] if s is not None])) if any(
         s is not None for s in scores[i]) else float("nan")) for i in range(len(cands))]
     best_i = max(range(len(cands)), key=lambda i: (np.nan_to_num(means[i][1], nan=-1.0), -i))
+    folded.unpersist()
     return cands[best_i], means
 
 
 def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols, seed: int = 42,
                  min_freq: float = 0.01) -> PipelineModel:
-    """Preprocessor + model refitted on all given rows (balanced weights on those rows)."""
-    tr = with_balanced_weight(train.drop("weight") if "weight" in train.columns else train)
+    """Preprocessor + model refitted on all given rows (balanced weights on those rows).
+
+    The weighted training table is persisted for the several fit jobs; this
+    also keeps query planning cheap when the input carries a long rule lineage.
+    """
+    tr = with_balanced_weight(train.drop("weight") if "weight" in train.columns else train) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     pre = preprocessor_for(kind, cat_cols, num_cols, params, min_freq).fit(tr)
-    vec = pre.transform(tr).persist(StorageLevel.MEMORY_AND_DISK)
-    n_w = float(vec.agg(F.sum("weight")).first()[0])
+    stats = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+    vec = fit_partitions(pre.transform(tr), stats["n"]).persist(StorageLevel.MEMORY_AND_DISK)
+    n_w = float(stats["w"])
     model = build_model(kind, params, n_w, seed).fit(vec)
     vec.unpersist()
+    tr.unpersist()
     return PipelineModel(stages=[pre, model])
 
 
 def oof_predict(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols, inner: int = 3, seed: int = 42,
                 min_freq: float = 0.01) -> DataFrame:
     """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator."""
-    folded = stratified_folds(train, "label", inner, seed, "_id", "_fin")
+    folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for f in range(1, inner + 1):
         pm = fit_pipeline(folded.filter(c("_fin") != f), kind, params, cat_cols, num_cols, seed, min_freq)

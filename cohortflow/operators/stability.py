@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 from .models import elasticnet
 from .prep import make_preprocessor, slot_table
-from .search import with_balanced_weight
+from .search import fit_partitions, with_balanced_weight
 
 MAX_POISSON = 12
 
@@ -88,10 +88,14 @@ def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Se
             pre, vec = shared
             vec = vec.withColumn("_bw_draw", wcol).filter(c("_bw_draw") > 0)
         vec = vec.withColumn("weight", c("_bw") * c("_bw_draw"))
-        n_w = float(vec.agg(F.sum("weight")).first()[0] or 0.0)
+        stats = vec.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+        n_w = float(stats["w"] or 0.0)
         if n_w <= 0:
             continue
+        vec = fit_partitions(vec.select("label", "weight", "features"), stats["n"]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         model = elasticnet(C, l1_ratio, n_w, "weight", max_iter).fit(vec)
+        vec.unpersist()
         coef = model.coefficients.toArray()
         slots = slot_table(pre, cat_cols, num_cols)
         best: dict[str, tuple[float, float]] = {}

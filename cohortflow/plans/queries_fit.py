@@ -1 +1,187 @@
-"""Registered queries for the iterative (model-fitting) operators: rows-only check."""
+"""Registered queries for the iterative (model-fitting) operators.
+
+These have no SQL twin (the driver records a rows-only check); their
+invariants are covered by tests.  They run on the whole cohort stand-in with
+small search grids so a query stays in seconds; the full grids are parameters.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.colref import c
+from ..operators import calibrate, explain, models, prep, scoring, search, stability
+from ..session import scratch_path
+from . import fixtures as fx
+from .queries_core import cohort_with_outcomes
+from .registry import register, round_doubles
+
+Y = "y_risk_cluster"
+NUM = ["tc", "ldl", "spend", "butter"]
+CAT = ["smoke", "urban", "segment", "ethnicity"]
+SEED = 42
+
+
+def _labelled(spark: SparkSession, sf_dir: str):
+    """The labelled modelling table, persisted: every fit query runs many jobs over it."""
+    df = cohort_with_outcomes(spark, sf_dir).filter(c(Y).isNotNull())
+    return df.select(c("row_id").alias("_id"), c(Y).cast("double").alias("label"), *[c(n) for n in NUM + CAT]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _split(spark: SparkSession, sf_dir: str):
+    """Outer fold 1 of a stratified 5-fold split: train on folds 2-5, test on fold 1."""
+    folded = search.stratified_folds(_labelled(spark, sf_dir), "label", 5, SEED, "_id", "_f")
+    return folded.filter(c("_f") != 1).drop("_f"), folded.filter(c("_f") == 1).drop("_f")
+
+
+def _fit_predict(kind: str, params: dict):
+    def q(spark: SparkSession, sf_dir: str):
+        train, test = _split(spark, sf_dir)
+        pm = search.fit_pipeline(train, kind, params, CAT, NUM, SEED)
+        out = models.predict_proba(pm, test)
+        return round_doubles(out.select(c("_id").alias("row_index"), c("label").alias("y_true"), "prob"))
+    return q
+
+
+register("elasticnet", "F1,F5")(_fit_predict("elasticnet", {"C": 1.0, "l1_ratio": 0.5}))
+register("boosted_trees", "F2,F5")(_fit_predict("boosted_trees", {"n_estimators": 20, "max_depth": 3,
+                                                                  "learning_rate": 0.1, "subsample": 0.85,
+                                                                  "colsample_bytree": 0.85}))
+register("glassbox_additive", "F3,F5")(_fit_predict("glassbox_additive", {"max_bins": 16, "C": 1.0}))
+register("gam_spline", "F4,F5")(_fit_predict("gam_spline", {"n_knots": 5}))
+
+
+def preprocessor_q(spark: SparkSession, sf_dir: str):
+    """E7: fitted preprocessor's slot table with the mean encoded value of each slot over all rows."""
+    df = _labelled(spark, sf_dir)
+    pm = prep.make_preprocessor(CAT, NUM).fit(df)
+    slots = spark.createDataFrame(prep.slot_table(pm, CAT, NUM), "slot int, feature string, source string, level string")
+    means = pm.transform(df).select(F.posexplode(vector_to_array("features")).alias("slot", "v")) \
+        .groupBy("slot").agg(F.avg("v").alias("mean_value"))
+    return round_doubles(slots.join(means, "slot", "left"))
+
+
+register("make_preprocessor", "E7")(preprocessor_q)
+
+EN_SPACE = {"C": [0.1, 1.0], "l1_ratio": [0.5]}
+
+
+def grid_search_q(spark: SparkSession, sf_dir: str):
+    train, _ = _split(spark, sf_dir)
+    best, scores = search.search(train, "elasticnet", EN_SPACE, CAT, NUM, inner=2, n_iter=50, seed=SEED)
+    return spark.createDataFrame([(str(p), float(s), str(p) == str(best)) for p, s in scores],
+                                 "params string, mean_auc double, best boolean")
+
+
+register("grid_search", "G2")(grid_search_q)
+
+
+def random_search_q(spark: SparkSession, sf_dir: str):
+    train, _ = _split(spark, sf_dir)
+    space = {"n_estimators": [10, 20], "max_depth": [2, 3], "learning_rate": [0.1], "subsample": [1.0],
+             "colsample_bytree": [1.0]}
+    best, scores = search.search(train, "boosted_trees", space, CAT, NUM, inner=2, n_iter=2, seed=SEED)
+    return spark.createDataFrame([(str(p), float(s), str(p) == str(best)) for p, s in scores],
+                                 "params string, mean_auc double, best boolean")
+
+
+register("random_search", "G3")(random_search_q)
+
+
+def oof_q(spark: SparkSession, sf_dir: str):
+    train, _ = _split(spark, sf_dir)
+    return round_doubles(search.oof_predict(train, "elasticnet", {"C": 1.0, "l1_ratio": 0.5}, CAT, NUM, inner=3,
+                                            seed=SEED))
+
+
+register("oof_predict", "G4")(oof_q)
+
+
+def nested_cv_q(spark: SparkSession, sf_dir: str):
+    df = cohort_with_outcomes(spark, sf_dir)
+    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=3, inner=2, seed=SEED)
+    return round_doubles(res.fold_metrics)
+
+
+register("nested_cv", "G5,I1")(nested_cv_q)
+
+
+def run_experiment_q(spark: SparkSession, sf_dir: str):
+    df = cohort_with_outcomes(spark, sf_dir)
+    m, _ = search.run_experiment(df, ["risk_cluster", "central_obesity"], {"LABS": ["tc", "ldl", "smoke"]},
+                                 {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}}, outer=2, inner=2, seed=SEED,
+                                 recalibration=None)
+    return round_doubles(m)
+
+
+register("run_experiment", "G6")(run_experiment_q)
+
+
+def fit_and_score_q(spark: SparkSession, sf_dir: str):
+    """G7 fit_picks then L1 score_models on the whole cohort (artifacts in the shared scratch folder)."""
+    df = cohort_with_outcomes(spark, sf_dir)
+    root = scratch_path(spark, "models")
+    scoring.fit_picks(df, [{"outcome": "risk_cluster", "featureset": "LABS", "model": "elasticnet"},
+                           {"outcome": "central_obesity", "featureset": "LABS", "model": "elasticnet"}],
+                      {"LABS": ["tc", "ldl", "spend", "smoke", "urban"]}, {}, root, inner=2, seed=SEED)
+    return round_doubles(scoring.score_models(fx.f_cohort(spark, sf_dir), root))
+
+
+register("fit_picks_score_models", "G7,L1")(fit_and_score_q)
+
+
+def platt_q(spark: SparkSession, sf_dir: str):
+    p = fx.f_preds(spark, sf_dir, ["hypertension"])
+    cal = calibrate.fit_platt(p, "y_true", "prob")
+    return round_doubles(cal.to_df(spark))
+
+
+register("fit_platt", "I1")(platt_q)
+
+
+def isotonic_q(spark: SparkSession, sf_dir: str):
+    p = fx.f_preds(spark, sf_dir, ["hypertension"])
+    iso = calibrate.fit_isotonic(p.filter(c("fold") != 1), "y_true", "prob")
+    out = iso.transform(p.filter(c("fold") == 1), "prob", "prob_isotonic")
+    return round_doubles(out.select("row_index", "y_true", "prob", "prob_isotonic"))
+
+
+register("isotonic_calibration", "I3,I4")(isotonic_q)
+
+
+def stability_selection_q(spark: SparkSession, sf_dir: str):
+    df = cohort_with_outcomes(spark, sf_dir)
+    draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=4, frac=0.7, seed=SEED,
+                                      preprocess="once")
+    return stability.stability_summary(draws)
+
+
+register("stability_selection", "J2,J4")(stability_selection_q)
+
+
+def tree_contributions_q(spark: SparkSession, sf_dir: str):
+    df = _labelled(spark, sf_dir)
+    pm = search.fit_pipeline(df, "boosted_trees", {"n_estimators": 10, "max_depth": 3}, CAT, NUM, SEED)
+    pre, gbt = pm.stages[0], pm.stages[1]
+    slots = prep.slot_table(pre, CAT, NUM)
+    vec = pre.transform(df)
+    contrib = explain.tree_contributions(gbt, vec, [s[1] for s in slots], scratch_path(spark, "gbt"), id_col="_id")
+    src = spark.createDataFrame([(s[1], s[2]) for s in slots], "slot string, source_feature string")
+    return round_doubles(explain.mean_abs_contribution(contrib, src))
+
+
+register("tree_contributions", "N4")(tree_contributions_q)
+
+
+def additive_global_q(spark: SparkSession, sf_dir: str):
+    df = _labelled(spark, sf_dir)
+    pm = search.fit_pipeline(df, "glassbox_additive", {"max_bins": 8, "C": 1.0}, CAT, NUM, SEED)
+    bins, imp = explain.additive_global(pm, df, CAT, NUM)
+    return round_doubles(imp)
+
+
+register("additive_global", "N5")(additive_global_q)
