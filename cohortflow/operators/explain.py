@@ -84,8 +84,10 @@ def _tree_tables(gbt_model, scratch: str):
     gbt_model.write().overwrite().save(scratch)
     nodes = spark.read.parquet(f"{scratch}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold").toPandas()
-    weights = spark.read.parquet(f"{scratch}/treesMetadata").select("treeID", "weights").toPandas()
+        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
+        "nodeData.split.numCategories").toPandas()
+    # persisted as (treeID, metadata json, weight) tuples
+    weights = spark.read.parquet(f"{scratch}/treesMetadata").selectExpr("_1 AS treeID", "_3 AS weights").toPandas()
     wmap = dict(zip(weights["treeID"], weights["weights"]))
     trees = []
     for tid, g in nodes.groupby("treeID"):
@@ -93,12 +95,20 @@ def _tree_tables(gbt_model, scratch: str):
         size = int(g["id"].max()) + 1
         arr = {k: np.full(size, -1, dtype=np.int64) for k in ("left", "right", "feat")}
         pred, thr = np.zeros(size), np.full(size, np.nan)
+        is_cat, cat_mask = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
         ids = g["id"].to_numpy()
         arr["left"][ids], arr["right"][ids] = g["leftChild"].to_numpy(), g["rightChild"].to_numpy()
         arr["feat"][ids] = g["featureIndex"].to_numpy()
         pred[ids] = g["prediction"].to_numpy()
-        thr[ids] = [v[0] if v is not None and len(v) else np.nan for v in g["leftCategoriesOrThreshold"]]
-        trees.append((float(wmap[tid]), arr["left"], arr["right"], arr["feat"], pred, thr))
+        for i, v, k in zip(ids, g["leftCategoriesOrThreshold"], g["numCategories"]):
+            if v is None or not len(v):
+                continue
+            if k is not None and k > 0:  # categorical split: the listed categories go left
+                is_cat[i] = True
+                cat_mask[i] = sum(1 << int(x) for x in v)
+            else:  # continuous split: x <= threshold goes left
+                thr[i] = v[0]
+        trees.append((float(wmap[tid]), arr["left"], arr["right"], arr["feat"], pred, thr, is_cat, cat_mask))
     return trees
 
 
@@ -107,14 +117,17 @@ def _attribute(X: np.ndarray, trees) -> tuple[np.ndarray, np.ndarray]:
     n, m = X.shape
     contrib, bias = np.zeros((n, m)), np.zeros(n)
     rows = np.arange(n)
-    for w, left, right, feat, pred, thr in trees:
+    for w, left, right, feat, pred, thr, is_cat, cat_mask in trees:
         node = np.zeros(n, dtype=np.int64)
         bias += w * pred[0]
         active = left[node] >= 0
         while active.any():
             r, nd = rows[active], node[active]
             f = feat[nd]
-            nxt = np.where(X[r, f] <= thr[nd], left[nd], right[nd])
+            x = X[r, f]
+            member = (np.right_shift(cat_mask[nd], np.clip(x, 0, 62).astype(np.int64)) & 1) == 1
+            go_left = np.where(is_cat[nd], member, x <= thr[nd])
+            nxt = np.where(go_left, left[nd], right[nd])
             np.add.at(contrib, (r, f), w * (pred[nxt] - pred[nd]))
             node[active] = nxt
             active = left[node] >= 0

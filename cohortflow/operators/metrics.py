@@ -36,22 +36,28 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: s
 
 def cumulative_below(counts: DataFrame, keys: Sequence[str], cols: Sequence[str], score: str = "score",
                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``{col}_below`` = sum of ``col`` over rows of the same keys with a strictly lower score.
+    """Add ``{col}_below`` = sum of ``col`` over rows of the same keys with a strictly lower score, and
+    ``{col}_total`` = sum over the whole key group.
 
-    ``counts`` must hold one row per (keys, score).
+    ``counts`` must hold one row per (keys, score).  Offsets and totals come
+    from the bucket table (keys x buckets rows), so ``counts`` is consumed
+    by the bucket aggregation and the in-bucket window only.
     """
     bucket = F.floor(c(score) * F.lit(float(n_buckets))).cast("long")
     with_b = counts.withColumn("_bucket", bucket)
     kcols = [c(k) for k in keys]
     totals = with_b.groupBy(*kcols, "_bucket").agg(*[F.sum(col).alias(f"_t_{col}") for col in cols])
     w_b = Window.partitionBy(*kcols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_k = Window.partitionBy(*kcols)
     offsets = totals.select(*kcols, "_bucket",
-                            *[F.coalesce(F.sum(f"_t_{col}").over(w_b), F.lit(0)).alias(f"_o_{col}") for col in cols])
+                            *[F.coalesce(F.sum(f"_t_{col}").over(w_b), F.lit(0)).alias(f"_o_{col}") for col in cols],
+                            *[F.sum(f"_t_{col}").over(w_k).alias(f"_T_{col}") for col in cols])
     w_in = Window.partitionBy(*kcols, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     inside = with_b.select("*", *[F.coalesce(F.sum(col).over(w_in), F.lit(0)).alias(f"_i_{col}") for col in cols])
     joined = inside.join(offsets, [*keys, "_bucket"], "inner")
     return joined.select(*[c(n) for n in counts.columns],
-                         *[(c(f"_o_{col}") + c(f"_i_{col}")).alias(f"{col}_below") for col in cols])
+                         *[(c(f"_o_{col}") + c(f"_i_{col}")).alias(f"{col}_below") for col in cols],
+                         *[c(f"_T_{col}").alias(f"{col}_total") for col in cols])
 
 
 def rank_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "prob",
@@ -63,9 +69,7 @@ def rank_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: s
     counts = score_counts(df, keys, y, score)
     cum = cumulative_below(counts, keys, ["pos", "neg"], n_buckets=n_buckets)
     kcols = [c(k) for k in keys]
-    # totals per key are small; join them back instead of a whole-group window
-    totals = counts.groupBy(*kcols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(totals, list(keys), "inner")
+    j = cum.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
     ap_term = F.when(c("pos") > 0, c("pos") * (c("P") - c("pos_below")) /
                      ((c("P") + c("N")) - (c("pos_below") + c("neg_below"))))
     out = j.groupBy(*kcols).agg(

@@ -85,6 +85,20 @@ def preprocessor_for(kind: str, cat_cols: Sequence[str], num_cols: Sequence[str]
     return make_preprocessor(cat_cols, num_cols, min_freq, scale_numeric=scale_numeric)
 
 
+def fit_features(kind: str, cat_cols: Sequence[str], num_cols: Sequence[str], df: DataFrame,
+                 params: Mapping | None = None, min_freq: float = 0.01, scale_numeric: bool = True):
+    """Fitted feature pipeline of a model family; the standard preprocessor is fitted in two scans."""
+    from .prep import fit_preprocessor
+
+    params = params or {}
+    if kind == "glassbox_additive":
+        return additive_preprocessor(cat_cols, num_cols, int(params.get("max_bins", 16)), min_freq).fit(df)
+    if kind == "gam_spline":
+        return fit_preprocessor(df, cat_cols, num_cols, min_freq, use_splines=True,
+                                n_knots=int(params.get("n_knots", 10)))
+    return fit_preprocessor(df, cat_cols, num_cols, min_freq, scale_numeric=scale_numeric)
+
+
 def additive_preprocessor(cat_cols: Sequence[str], num_cols: Sequence[str], max_bins: int = 16,
                           min_freq: float = 0.01, output_col: str = "features") -> Pipeline:
     """Per-feature step-function basis: quantile bins (NULL kept as its own bin) and categorical levels,

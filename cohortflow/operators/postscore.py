@@ -279,9 +279,9 @@ def greedy_prune_curve(preds: DataFrame, target_auc: float = 0.8, limit: int = 4
         .withColumn("k", F.row_number().over(Window.orderBy(*rank)))
     counts = score_counts(valid, ["_g"], "y", "score")
     cum = cumulative_below(counts, ["_g"], ["pos", "neg"], n_buckets=n_buckets)
-    tot = cum.groupBy("_g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                F.sum(c("pos") * (c("neg_below") + c("neg") * 0.5)).alias("U"))
-    cw = cand.join(cum.select("_g", "score", "pos", "neg", "pos_below", "neg_below"), ["_g", "score"], "inner") \
+    tot = cum.groupBy("_g").agg(F.sum(c("pos") * (c("neg_below") + c("neg") * 0.5)).alias("U"))
+    cw = cand.join(cum.select("_g", "score", "pos", "neg", "pos_below", "neg_below", c("pos_total").alias("P"),
+                              c("neg_total").alias("N")), ["_g", "score"], "inner") \
         .join(tot, "_g", "inner")
     # credit of a positive: negatives below (+ half the tied); of a negative: positives above (+ half the tied)
     cw = cw.withColumn("w", F.when(c("y") == 1.0, c("neg_below") + c("neg") * 0.5)

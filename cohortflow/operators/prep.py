@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
@@ -295,7 +297,7 @@ def make_preprocessor(cat_cols: Sequence[str], num_cols: Sequence[str], min_freq
                    RareCategoryGrouper(inputCols=cat_cols, minFreq=min_freq, otherLabel=other_label),
                    StringIndexer(inputCols=cat_cols, outputCols=idx, stringOrderType="alphabetAsc",
                                  handleInvalid="keep"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True, handleInvalid="keep")]
+                   OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True, handleInvalid="error")]
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=output_col, handleInvalid="keep"))
     return Pipeline(stages=stages)
 
@@ -347,3 +349,111 @@ def _all():
     from pyspark.sql import Window
 
     return Window.partitionBy()
+
+
+# ---------------------------------------------------------------- fused fit (two scans)
+
+def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], min_freq: float = 0.01,
+                     other_label: str = "Other", scale_numeric: bool = True, use_splines: bool = False,
+                     n_knots: int = 10, output_col: str = "features") -> PipelineModel:
+    """Fit the ``make_preprocessor`` pipeline with two aggregation jobs instead of one per stage.
+
+    * numeric job: exact median, count, mean, population variance, min, max per column; the
+      post-imputation mean/std follow from combining the observed moments with the imputed
+      median mass (parallel-variance formula), so no second pass over imputed data;
+    * categorical job: level counts per column (unpivot + group), of which only the levels the
+      model keeps are collected (frequency >= min_freq after imputation, or the mode): at most
+      1/min_freq + 2 rows per column.
+
+    Returns the same fitted stages as ``make_preprocessor(...).fit(df)``.
+    """
+    from pyspark.sql import Window
+
+    cat_cols, num_cols = list(cat_cols), list(num_cols)
+    stages = []
+    num_out = list(num_cols)
+    if num_cols:
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        for i, n in enumerate(num_cols):
+            x = _num(c(n))
+            aggs += [F.percentile(x, 0.5).alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"avg{i}"),
+                     F.var_pop(x).alias(f"var{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        row = df.agg(*aggs).first()
+        total = row["_n"]
+        med, scale, rng = {}, {}, {}
+        for i, n in enumerate(num_cols):
+            m, cnt, mu, var = row[f"med{i}"], row[f"cnt{i}"], row[f"avg{i}"], row[f"var{i}"]
+            med[n] = float(m) if m is not None else None
+            if m is None or not total:
+                scale[n] = (None, None)
+                rng[n] = (None, None)
+                continue
+            k = total - cnt
+            mean2 = (cnt * mu + k * m) / total
+            var2 = (cnt * (var + (mu - mean2) ** 2) + k * (m - mean2) ** 2) / total
+            scale[n] = (mean2, float(np.sqrt(max(var2, 0.0))))
+            rng[n] = (min(row[f"lo{i}"], m), max(row[f"hi{i}"], m))
+        stages.append(MedianImputerModel(inputCols=num_cols, state=json.dumps(med)))
+        if use_splines:
+            stages.append(SplineBasisModel(inputCols=num_cols, state=json.dumps(rng), nKnots=n_knots))
+            num_out = [f"{n}_sp{j}" for n in num_cols for j in range(n_knots + 1)]
+        elif scale_numeric:
+            stages.append(PopulationScalerModel(inputCols=num_cols, state=json.dumps(scale)))
+    ohe_out = []
+    if cat_cols:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))
+                                            for n in cat_cols])).alias("kv")).select("kv.*")
+        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        w_col = Window.partitionBy("column")
+        ranked = counts.select(
+            "*", F.sum("cnt").over(w_col).alias("total"),
+            F.count(F.when(c("value").isNotNull(), 1)).over(w_col).alias("n_levels"),
+            F.row_number().over(Window.partitionBy("column", c("value").isNull()).orderBy(F.desc("cnt"), "value"))
+            .alias("rn"))
+        # bounded collect: the modal level, the NULL row and levels that can pass the frequency test
+        rows = ranked.filter(c("value").isNull() | (c("rn") == 1) | (c("cnt") >= c("total") * min_freq)) \
+            .select("column", "value", "cnt", "total", "n_levels", "rn").collect()
+        by_col: dict[str, list] = {n: [] for n in cat_cols}
+        for r in rows:
+            by_col[r["column"]].append(r)
+        modes, keep, labels = {}, {}, []
+        for n in cat_cols:
+            rs = by_col[n]
+            total = rs[0]["total"] if rs else 0
+            n_null = sum(r["cnt"] for r in rs if r["value"] is None)
+            mode = next((r["value"] for r in rs if r["value"] is not None and r["rn"] == 1), None)
+            modes[n] = mode
+            levels = []
+            for r in rs:
+                if r["value"] is None:
+                    continue
+                cnt = r["cnt"] + (n_null if r["value"] == mode else 0)
+                if total and cnt / total >= min_freq:
+                    levels.append(r["value"])
+            keep_null = mode is None and total > 0 and n_null / total >= min_freq
+            keep[n] = {"levels": sorted(levels), "keep_null": keep_null}
+            n_levels = rs[0]["n_levels"] if rs else 0
+            seen = set(levels)
+            if n_levels > len(levels) or (mode is None and n_null and not keep_null):
+                seen.add(other_label)
+            labels.append(sorted(seen))
+        idx = [f"__idx_{i}" for i in range(len(cat_cols))]
+        ohe_out = [f"__ohe_{i}" for i in range(len(cat_cols))]
+        indexer = StringIndexerModel.from_arrays_of_labels(labels, inputCols=cat_cols, outputCols=idx,
+                                                           handleInvalid="keep")
+        stages += [ModeImputerModel(inputCols=cat_cols, state=json.dumps(modes)),
+                   RareCategoryGrouperModel(inputCols=cat_cols, state=json.dumps(keep), otherLabel=other_label),
+                   indexer, _onehot_model(df.sparkSession, indexer, cat_cols, labels, idx, ohe_out)]
+    stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=output_col, handleInvalid="keep"))
+    return PipelineModel(stages=stages)
+
+
+def _onehot_model(spark, indexer, cat_cols, labels, idx, outputs):
+    """Fitted OneHotEncoderModel for a fitted indexer: the category sizes come from the indexer's
+    output metadata, so fitting on a one-row frame is exactly the fit on the training data."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in cat_cols])
+    tiny = spark.createDataFrame([tuple(lv[0] if lv else None for lv in labels)], schema)
+    return OneHotEncoder(inputCols=list(idx), outputCols=list(outputs), dropLast=True,
+                         handleInvalid="error").fit(indexer.transform(tiny))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 from .calibrate import fit_isotonic, fit_platt
 from .metrics import METRIC_COLUMNS, fold_metrics, rank_metrics
-from .models import build_model, preprocessor_for, prob_of_one
+from .models import build_model, fit_features, prob_of_one
 
 # ---------------------------------------------------------------- G1 stratified folds
 
@@ -124,7 +124,7 @@ class FoldData:
 
 
 def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame, cat_cols, num_cols, min_freq):
-    pre = preprocessor_for(kind, cat_cols, num_cols, params, min_freq).fit(train)
+    pre = fit_features(kind, cat_cols, num_cols, train, params, min_freq)
     tv = pre.transform(train).select("_id", "label", "weight", "features")
     tv = fit_partitions(tv, tv.count()).persist(StorageLevel.MEMORY_AND_DISK)
     vv = pre.transform(valid).select("_id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -181,7 +181,7 @@ def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_col
     """
     tr = with_balanced_weight(train.drop("weight") if "weight" in train.columns else train) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    pre = preprocessor_for(kind, cat_cols, num_cols, params, min_freq).fit(tr)
+    pre = fit_features(kind, cat_cols, num_cols, tr, params, min_freq)
     stats = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
     vec = fit_partitions(pre.transform(tr), stats["n"]).persist(StorageLevel.MEMORY_AND_DISK)
     n_w = float(stats["w"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from .models import elasticnet
-from .prep import make_preprocessor, slot_table
+from .prep import fit_preprocessor, slot_table
 from .search import fit_partitions, with_balanced_weight
 
 MAX_POISSON = 12
@@ -75,14 +75,14 @@ def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Se
     base = with_balanced_weight(base).withColumnRenamed("weight", "_bw").persist(StorageLevel.MEMORY_AND_DISK)
     shared = None
     if preprocess == "once":
-        pre_once = make_preprocessor(cat_cols, num_cols, min_freq).fit(base)
+        pre_once = fit_preprocessor(base, cat_cols, num_cols, min_freq)
         shared = (pre_once, pre_once.transform(base).persist(StorageLevel.MEMORY_AND_DISK))
     rows = []
     for b in range(n_draws):
         wcol = draw_weight(b, frac, seed, id_col)
         if shared is None:
             drawn = base.withColumn("_bw_draw", wcol).filter(c("_bw_draw") > 0)
-            pre = make_preprocessor(cat_cols, num_cols, min_freq).fit(drawn)
+            pre = fit_preprocessor(drawn, cat_cols, num_cols, min_freq)
             vec = pre.transform(drawn)
         else:
             pre, vec = shared

@@ -538,7 +538,7 @@ def one_hot_q(spark: SparkSession, sf_dir: str):
     idx = StringIndexer(inputCols=["smoke", "sex"], outputCols=["i_smoke", "i_sex"], stringOrderType="alphabetAsc",
                         handleInvalid="keep").fit(df).transform(df)
     ohe = OneHotEncoder(inputCols=["i_smoke", "i_sex"], outputCols=["v_smoke", "v_sex"], dropLast=True,
-                        handleInvalid="keep").fit(idx).transform(idx)
+                        handleInvalid="error").fit(idx).transform(idx)
     active = [(F.array_position(vector_to_array(c(f"v_{n}")), 1.0) - 1).cast("long") for n in ("smoke", "sex")]
     return ohe.select("row_id", "smoke", active[0].alias("smoke_slot"), "sex", active[1].alias("sex_slot"))
 
