@@ -20,14 +20,17 @@ DIRECTION_DOWN = "risk↓"
 def univariate_log_odds(df: DataFrame, y: str, columns: Sequence[str], smoothing: float = 0.5) -> DataFrame:
     """(feature = 'col=level', coef) where coef is the smoothed log odds ratio of the outcome for the
     level against all other rows with a label.  One unpivot + one grouped aggregation."""
+    from pyspark.sql import Window
+
     lab = df.filter(c(y).isNotNull()).select(c(y).cast("double").alias("_y"), *[c(n) for n in columns])
-    tot = lab.agg(F.sum("_y").alias("P"), F.sum(1.0 - c("_y")).alias("N"))
     long = lab.select("_y", F.explode(F.array(*[F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("level"))
-                                               for n in columns])).alias("kv")).select("_y", "kv.*") \
-        .filter(c("level").isNotNull())
+                                               for n in columns])).alias("kv")).select("_y", "kv.*")
+    # the NULL level stays in the cell table so per-column totals are a window over cells (no join)
     cells = long.groupBy("col", "level").agg(F.sum("_y").alias("a"), F.sum(1.0 - c("_y")).alias("b"))
+    w = Window.partitionBy("col")
+    j = cells.select("*", F.sum("a").over(w).alias("P"), F.sum("b").over(w).alias("N")) \
+        .filter(c("level").isNotNull())
     s = F.lit(float(smoothing))
-    j = cells.join(F.broadcast(tot), how="inner")  # one-row totals
     coef = F.ln((c("a") + s) * (c("N") - c("b") + s) / ((c("b") + s) * (c("P") - c("a") + s)))
     return j.select(F.concat(c("col"), F.lit("="), c("level")).alias("feature"), coef.alias("coef"))
 

@@ -320,12 +320,17 @@ def slot_table(model: PipelineModel, cat_cols: Sequence[str], num_cols: Sequence
         else:
             slots.append((i, n, n, None))
             i += 1
-    indexer = next((s for s in model.stages if isinstance(s, StringIndexerModel)), None)
-    if indexer is not None:
-        for n, labels in zip(cat_cols, indexer.labelsArray):
-            for lv in labels:  # alphabetical; the extra "unknown" slot is the dropped one
-                slots.append((i, f"{n}={lv}", n, lv))
-                i += 1
+    by_col: dict[str, list[str]] = {}
+    for s in model.stages:
+        if isinstance(s, StringIndexerModel):
+            if s.isSet(s.inputCols):
+                by_col.update({n: list(lv) for n, lv in zip(s.getInputCols(), s.labelsArray)})
+            else:
+                by_col[s.getInputCol()] = list(s.labels)
+    for n in cat_cols:
+        for lv in by_col.get(n, []):  # alphabetical; the extra "unknown" slot is the dropped one
+            slots.append((i, f"{n}={lv}", n, lv))
+            i += 1
     return slots
 
 
@@ -439,21 +444,24 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
             labels.append(sorted(seen))
         idx = [f"__idx_{i}" for i in range(len(cat_cols))]
         ohe_out = [f"__ohe_{i}" for i in range(len(cat_cols))]
-        indexer = StringIndexerModel.from_arrays_of_labels(labels, inputCols=cat_cols, outputCols=idx,
-                                                           handleInvalid="keep")
+        # one indexer per column: label lists differ in length (a multi-column model pads them with NULLs)
+        indexers = [StringIndexerModel.from_labels(lv, inputCol=n, outputCol=o, handleInvalid="keep")
+                    for n, lv, o in zip(cat_cols, labels, idx)]
         stages += [ModeImputerModel(inputCols=cat_cols, state=json.dumps(modes)),
                    RareCategoryGrouperModel(inputCols=cat_cols, state=json.dumps(keep), otherLabel=other_label),
-                   indexer, _onehot_model(df.sparkSession, indexer, cat_cols, labels, idx, ohe_out)]
+                   *indexers, _onehot_model(df.sparkSession, indexers, cat_cols, labels, idx, ohe_out)]
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=output_col, handleInvalid="keep"))
     return PipelineModel(stages=stages)
 
 
-def _onehot_model(spark, indexer, cat_cols, labels, idx, outputs):
-    """Fitted OneHotEncoderModel for a fitted indexer: the category sizes come from the indexer's
+def _onehot_model(spark, indexers, cat_cols, labels, idx, outputs):
+    """Fitted OneHotEncoderModel for fitted indexers: the category sizes come from the indexers'
     output metadata, so fitting on a one-row frame is exactly the fit on the training data."""
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in cat_cols])
     tiny = spark.createDataFrame([tuple(lv[0] if lv else None for lv in labels)], schema)
+    for ix in indexers:
+        tiny = ix.transform(tiny)
     return OneHotEncoder(inputCols=list(idx), outputCols=list(outputs), dropLast=True,
-                         handleInvalid="error").fit(indexer.transform(tiny))
+                         handleInvalid="error").fit(tiny)

@@ -272,7 +272,7 @@ def read_cohort_csv(spark: SparkSession, sf_dir: str):
     """Spark writes the raw cohort view as CSV to the shared scratch folder, then reads it back."""
     path = scratch_path(spark, "cohort-csv")
     fx.f_orders(spark, sf_dir).write.option("header", "true").csv(path)
-    df = readers.read_cohort(spark, path, "csv")
+    df = readers.read_cohort(spark, path, "csv", exempt=["row_id"])
     return round_doubles(df)
 
 

@@ -639,8 +639,11 @@ def stability_summary_q(spark: SparkSession, sf_dir: str):
     """Per Poisson draw, a weighted standardized mean difference per feature stands in for the per-draw
     fit (selected if |smd| > 0.1, sign of smd); the summary is the J3 aggregation over the draws table."""
     df = cohort_with_outcomes(spark, sf_dir).filter(c("y_risk_cluster").isNotNull())
-    bw = stability.bootstrap_weights(df, n_draws=N_DRAWS, frac=0.7, seed=42)
-    j = bw.join(df.select("row_id", "y_risk_cluster", *SMD_FEATS), "row_id")
+    # draws are exploded onto the rows themselves (weights are a pure function of draw and id: no join)
+    j = df.select("row_id", "y_risk_cluster", *SMD_FEATS,
+                  F.explode(F.sequence(F.lit(0), F.lit(N_DRAWS - 1))).alias("draw"))
+    j = j.withColumn("w", stability.poisson_weight(stability.uniform_hash(42, c("draw"), c("row_id")), 0.7)) \
+        .filter(c("w") > 0)
     long = j.select("draw", "w", c("y_risk_cluster").alias("y"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), c(n).alias("x")) for n in SMD_FEATS])).alias("kv")) \
         .select("draw", "w", "y", "kv.*").filter(c("x").isNotNull())
