@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 from ..functions.exprs import clip_prob, logit
 
-DEFAULT_BUCKETS = 1024
+# Score buckets of the two-level running sums: only non-empty buckets exist, the bucket table is
+# keys x buckets rows, and a window inside one bucket sees ~distinct_scores / 65536 rows.
+DEFAULT_BUCKETS = 1 << 16
 METRIC_COLUMNS = ["roc_auc", "pr_auc", "brier", "accuracy", "f1", "calibration_intercept", "calibration_slope"]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from ..functions.exprs import error_expr, tier_expr
-from .metrics import cumulative_below, score_counts
+from .metrics import DEFAULT_BUCKETS, cumulative_below, score_counts
 
 JOINT_OUTCOMES = ("hypertension", "hyperglycemia", "dyslipidemia")
 
@@ -173,11 +173,14 @@ def high_confidence_rows(wide: DataFrame, context: DataFrame, outcomes: Sequence
 def error_group_numeric_profile(wide: DataFrame, context: DataFrame, columns: Sequence[str],
                                 outcomes: Sequence[str] = JOINT_OUTCOMES, prob_variant: str = "raw",
                                 fn_prob: float = 0.1, id_col: str = "row_index",
-                                context_id: str = "row_id") -> DataFrame:
+                                context_id: str = "row_id", approx: bool = False) -> DataFrame:
     """Per outcome, group (HC_FN / OTHER_POS / NEG) and numeric column: n, missing, mean, median, p10, p90.
 
     Text values are coerced with ``try_cast``.  Work is one unpivot and one
     grouped aggregation over all outcomes, groups and columns together.
+    Exact percentiles hold each group's distinct values in one task; the NEG
+    group can be most of the table, so ``approx=True`` (``percentile_approx``)
+    is the setting for very large cohorts.
     """
     groups = None
     for o in outcomes:
@@ -189,8 +192,9 @@ def error_group_numeric_profile(wide: DataFrame, context: DataFrame, columns: Se
     j = groups.join(ctx, "_id", "inner")
     return j.groupBy("outcome", "group", "column").agg(
         F.count("v").alias("n"), F.sum(c("v").isNull().cast("long")).alias("missing"),
-        F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"),
-        F.percentile("v", 0.1).alias("p10"), F.percentile("v", 0.9).alias("p90"))
+        F.avg("v").alias("mean"),
+        *[(F.percentile_approx("v", q, 100000) if approx else F.percentile("v", q)).cast("double").alias(name)
+          for name, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))])
 
 
 def error_group_categorical_profile(wide: DataFrame, context: DataFrame, columns: Sequence[str],
@@ -257,7 +261,7 @@ def _candidate_corrections(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy_prune_curve(preds: DataFrame, target_auc: float = 0.8, limit: int = 400, id_col: str = "row_index",
-                       y: str = "y_true", score: str = "prob", n_buckets: int = 1024) -> DataFrame:
+                       y: str = "y_true", score: str = "prob", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Rows ranked by error (desc, id asc) and the AUROC left after dropping the first k.
 
     Returns the first k* rows, where k* is the first k with AUROC >= target

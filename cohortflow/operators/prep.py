@@ -360,7 +360,7 @@ def _all():
 
 def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], min_freq: float = 0.01,
                      other_label: str = "Other", scale_numeric: bool = True, use_splines: bool = False,
-                     n_knots: int = 10, output_col: str = "features") -> PipelineModel:
+                     n_knots: int = 10, output_col: str = "features", approx: bool = False) -> PipelineModel:
     """Fit the ``make_preprocessor`` pipeline with two aggregation jobs instead of one per stage.
 
     * numeric job: exact median, count, mean, population variance, min, max per column; the
@@ -381,7 +381,8 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
         aggs = [F.count(F.lit(1)).alias("_n")]
         for i, n in enumerate(num_cols):
             x = _num(c(n))
-            aggs += [F.percentile(x, 0.5).alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"avg{i}"),
+            med_expr = F.percentile_approx(x, 0.5, 100000) if approx else F.percentile(x, 0.5)
+            aggs += [med_expr.alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"avg{i}"),
                      F.var_pop(x).alias(f"var{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
         total = row["_n"]

@@ -34,7 +34,7 @@ from .models import build_model, fit_features, prob_of_one
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "row_id",
-                     fold_col: str = "fold", prefix_hex: int = 3) -> DataFrame:
+                     fold_col: str = "fold", prefix_hex: int = 4) -> DataFrame:
     """Assign fold 1..k so that per-class counts differ by at most one across folds.
 
     Order within a class is md5(seed|id) (ties by id), equal in Spark and
@@ -95,7 +95,7 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
     return df.join(F.broadcast(cls), df[label] == cls["_cls"], "inner").drop("_cls")
 
 
-ROWS_PER_FIT_PARTITION = 200_000
+ROWS_PER_FIT_PARTITION = 50_000
 
 
 def fit_partitions(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:

@@ -52,7 +52,21 @@ def bootstrap_weights(df: DataFrame, n_draws: int = 200, frac: float = 0.7, seed
     """(draw, id, w) for every draw and row with w > 0 (one explode; no row copies beyond the weight)."""
     draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
     d = df.select(c(id_col).alias(id_col), draws)
-    return d.withColumn("w", poisson_weight(uniform_hash(seed, c("draw"), c(id_col)), frac)).filter(c("w") > 0)
+    return with_poisson_weight(d, seed, frac, id_col).filter(drawn(frac)).drop("_u")
+
+
+def drawn(frac: float) -> Column:
+    """w > 0, stated on the hash column: u >= P(X = 0).  (A filter on ``w`` itself would be pushed
+    below the projection with the hash inlined once per inverse-CDF threshold.)"""
+    return c("_u") >= F.lit(poisson_thresholds(frac)[0])
+
+
+def with_poisson_weight(df: DataFrame, seed: int, frac: float, id_col: str, draw_col: str = "draw",
+                        out: str = "w") -> DataFrame:
+    """Add the Poisson(frac) weight of (draw, id).  The hash is a column of its own so the inverse-CDF
+    comparisons reuse it (a non-cheap expression referenced many times is not inlined back)."""
+    return df.withColumn("_u", uniform_hash(seed, c(draw_col), c(id_col))) \
+        .withColumn(out, poisson_weight(c("_u"), frac))
 
 
 def draw_weight(draw: int, frac: float, seed: int, id_col: str) -> Column:
@@ -79,14 +93,15 @@ def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Se
         shared = (pre_once, pre_once.transform(base).persist(StorageLevel.MEMORY_AND_DISK))
     rows = []
     for b in range(n_draws):
-        wcol = draw_weight(b, frac, seed, id_col)
         if shared is None:
-            drawn = base.withColumn("_bw_draw", wcol).filter(c("_bw_draw") > 0)
-            pre = fit_preprocessor(drawn, cat_cols, num_cols, min_freq)
-            vec = pre.transform(drawn)
+            sub = with_poisson_weight(base.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_bw_draw") \
+                .filter(drawn(frac))
+            pre = fit_preprocessor(sub, cat_cols, num_cols, min_freq)
+            vec = pre.transform(sub)
         else:
             pre, vec = shared
-            vec = vec.withColumn("_bw_draw", wcol).filter(c("_bw_draw") > 0)
+            vec = with_poisson_weight(vec.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_bw_draw") \
+                .filter(drawn(frac))
         vec = vec.withColumn("weight", c("_bw") * c("_bw_draw"))
         stats = vec.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
         n_w = float(stats["w"] or 0.0)

@@ -58,7 +58,7 @@ register("gam_spline", "F4,F5")(_fit_predict("gam_spline", {"n_knots": 5}))
 def preprocessor_q(spark: SparkSession, sf_dir: str):
     """E7: fitted preprocessor's slot table with the mean encoded value of each slot over all rows."""
     df = _labelled(spark, sf_dir)
-    pm = prep.make_preprocessor(CAT, NUM).fit(df)
+    pm = prep.fit_preprocessor(df, CAT, NUM)  # the make_preprocessor pipeline, fitted in two scans
     slots = spark.createDataFrame(prep.slot_table(pm, CAT, NUM), "slot int, feature string, source string, level string")
     means = pm.transform(df).select(F.posexplode(vector_to_array("features")).alias("slot", "v")) \
         .groupBy("slot").agg(F.avg("v").alias("mean_value"))

@@ -642,8 +642,7 @@ def stability_summary_q(spark: SparkSession, sf_dir: str):
     # draws are exploded onto the rows themselves (weights are a pure function of draw and id: no join)
     j = df.select("row_id", "y_risk_cluster", *SMD_FEATS,
                   F.explode(F.sequence(F.lit(0), F.lit(N_DRAWS - 1))).alias("draw"))
-    j = j.withColumn("w", stability.poisson_weight(stability.uniform_hash(42, c("draw"), c("row_id")), 0.7)) \
-        .filter(c("w") > 0)
+    j = stability.with_poisson_weight(j, 42, 0.7, "row_id").filter(stability.drawn(0.7))
     long = j.select("draw", "w", c("y_risk_cluster").alias("y"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), c(n).alias("x")) for n in SMD_FEATS])).alias("kv")) \
         .select("draw", "w", "y", "kv.*").filter(c("x").isNotNull())
