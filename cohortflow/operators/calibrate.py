@@ -108,7 +108,9 @@ def binned_calibration(preds: DataFrame, keys: Sequence[str] = (), y: str = "y_t
         .withColumn("bin_hi", F.element_at("_edges", c("bin") + 1))
     out = binned.groupBy(*[c(k) for k in gkeys], "bin", "bin_lo", "bin_hi").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.avg("_y").alias("pos_rate"),
-        F.avg("_p").alias("prob_mean"), F.percentile("_p", 0.5).alias("prob_median"))
+        F.avg("_p").alias("prob_mean"),
+        (F.percentile_approx("_p", 0.5, accuracy).cast("double") if approx else F.percentile("_p", 0.5))
+        .alias("prob_median"))
     return out if keys else out.drop("_g")
 
 
