@@ -116,13 +116,6 @@ def _pre_key(kind: str, params: Mapping) -> str:
                       if kind in ("glassbox_additive", "gam_spline") else {})
 
 
-@dataclass
-class FoldData:
-    train: DataFrame
-    valid: DataFrame
-    n_train: float
-
-
 def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame, cat_cols, num_cols, min_freq):
     pre = fit_features(kind, cat_cols, num_cols, train, params, min_freq)
     tv = pre.transform(train).select("_id", "label", "weight", "features")
@@ -131,11 +124,6 @@ def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame,
     return pre, tv, vv
 
 
-def _auc(pred: DataFrame) -> float | None:
-    r = rank_metrics(pred.withColumn("_k", F.lit(0)), ["_k"], "label", "prob").first()
-    return None if r is None else r["roc_auc"]
-
-
 def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols, num_cols, inner: int = 3,
            n_iter: int = 50, seed: int = 42, min_freq: float = 0.01, parallelism: int = 4):
     """Mean inner-fold AUROC of every candidate; returns (best params, [(params, mean auc)]).
@@ -156,13 +144,19 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
             _, tv, vv = _fit_vectors(kind, cands[idxs[0]], tr, va, cat_cols, num_cols, min_freq)
             n_w = float(tv.agg(F.sum("weight")).first()[0])
 
-            def run(i, tv=tv, vv=vv, n_w=n_w):
-                m = build_model(kind, cands[i], n_w, seed).fit(tv)
-                return i, _auc(m.transform(vv).withColumn("prob", prob_of_one(c("probability"))))
+            def run(i, tv=tv, n_w=n_w):
+                return i, build_model(kind, cands[i], n_w, seed).fit(tv)
 
             with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-                for i, auc in ex.map(run, idxs):
-                    scores[i].append(auc)
+                fitted = list(ex.map(run, idxs))
+            # all candidates of this fold are scored in one grouped AUROC job (one row per candidate back)
+            preds = None
+            for i, m in fitted:
+                p = m.transform(vv).select(F.lit(i).alias("_cand"), "label",
+                                           prob_of_one(c("probability")).alias("prob"))
+                preds = p if preds is None else preds.unionByName(p)
+            for r in rank_metrics(preds, ["_cand"], "label", "prob").collect():
+                scores[r["_cand"]].append(r["roc_auc"])
             tv.unpersist()
             vv.unpersist()
     means = [(cands[i], float(np.mean([s for s in scores[i] if s is not None])) if any(
