@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 from ..operators import calibrate, explain, models, prep, scoring, search, stability
 from ..session import scratch_path
+from ..functions.rules import build_outcomes
 from . import fixtures as fx
-from .queries_core import cohort_with_outcomes
 from .registry import register, round_doubles
 
 Y = "y_risk_cluster"
@@ -25,9 +25,15 @@ CAT = ["smoke", "urban", "segment", "ethnicity"]
 SEED = 42
 
 
+def _cohort(spark: SparkSession, sf_dir: str):
+    """The cohort with outcomes, checkpointed once to the shared checkpoint folder: the model queries
+    filter on outcomes and run many jobs, so the rules are evaluated once and the lineage is cut."""
+    return build_outcomes(fx.f_cohort(spark, sf_dir), fx.OUTCOMES_SPEC, checkpoint=True)
+
+
 def _labelled(spark: SparkSession, sf_dir: str):
     """The labelled modelling table, persisted: every fit query runs many jobs over it."""
-    df = cohort_with_outcomes(spark, sf_dir).filter(c(Y).isNotNull())
+    df = _cohort(spark, sf_dir).filter(c(Y).isNotNull())
     return df.select(c("row_id").alias("_id"), c(Y).cast("double").alias("label"), *[c(n) for n in NUM + CAT]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -102,7 +108,7 @@ register("oof_predict", "G4")(oof_q)
 
 
 def nested_cv_q(spark: SparkSession, sf_dir: str):
-    df = cohort_with_outcomes(spark, sf_dir)
+    df = _cohort(spark, sf_dir)
     res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=3, inner=2, seed=SEED)
     return round_doubles(res.fold_metrics)
 
@@ -111,7 +117,7 @@ register("nested_cv", "G5,I1")(nested_cv_q)
 
 
 def run_experiment_q(spark: SparkSession, sf_dir: str):
-    df = cohort_with_outcomes(spark, sf_dir)
+    df = _cohort(spark, sf_dir)
     m, _ = search.run_experiment(df, ["risk_cluster", "central_obesity"], {"LABS": ["tc", "ldl", "smoke"]},
                                  {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}}, outer=2, inner=2, seed=SEED,
                                  recalibration=None)
@@ -123,7 +129,7 @@ register("run_experiment", "G6")(run_experiment_q)
 
 def fit_and_score_q(spark: SparkSession, sf_dir: str):
     """G7 fit_picks then L1 score_models on the whole cohort (artifacts in the shared scratch folder)."""
-    df = cohort_with_outcomes(spark, sf_dir)
+    df = _cohort(spark, sf_dir)
     root = scratch_path(spark, "models")
     scoring.fit_picks(df, [{"outcome": "risk_cluster", "featureset": "LABS", "model": "elasticnet"},
                            {"outcome": "central_obesity", "featureset": "LABS", "model": "elasticnet"}],
@@ -154,7 +160,7 @@ register("isotonic_calibration", "I3,I4")(isotonic_q)
 
 
 def stability_selection_q(spark: SparkSession, sf_dir: str):
-    df = cohort_with_outcomes(spark, sf_dir)
+    df = _cohort(spark, sf_dir)
     draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=4, frac=0.7, seed=SEED,
                                       preprocess="once")
     return stability.stability_summary(draws)
