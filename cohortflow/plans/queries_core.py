@@ -97,6 +97,12 @@ def cohort_with_outcomes(spark: SparkSession, sf_dir: str):
     return build_outcomes(df, fx.OUTCOMES_SPEC)
 
 
+def labelled_cohort(spark: SparkSession, sf_dir: str):
+    """The same table checkpointed once: for queries that filter on outcome columns, so the filter reads
+    materialized labels instead of re-evaluating rule trees Catalyst would inline into the scan."""
+    return build_outcomes(fx.f_cohort(spark, sf_dir), fx.OUTCOMES_SPEC, checkpoint=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str):
     """F_orders -> sentinels -> risk_cluster (count_positive of four rules) -> outcome rate per cell."""
     df = cohort_with_outcomes(spark, sf_dir)
@@ -383,7 +389,7 @@ UNION ALL SELECT 'segment', 'categorical', count(segment) FROM F_cohort""")(feat
 
 
 def label_rows_q(spark: SparkSession, sf_dir: str):
-    df = cohort_with_outcomes(spark, sf_dir)
+    df = labelled_cohort(spark, sf_dir)
     return schema.label_rows(df, "y_risk_cluster").select("row_id", "y_risk_cluster")
 
 

@@ -15,7 +15,7 @@ from ..sources import readers
 from . import fixtures as fx
 from . import sql_fixtures as sq
 from . import sql_metrics as sm
-from .queries_core import cohort_with_outcomes
+from .queries_core import labelled_cohort
 from .registry import register, round_doubles
 
 K4 = ["outcome", "featureset", "model", "fold"]
@@ -440,7 +440,7 @@ LABEL_MAP = {"smoke": "Smoking", "sex": "Sex", "urban": "Residence"}
 
 
 def _coefs(spark: SparkSession, sf_dir: str):
-    return explain.univariate_log_odds(cohort_with_outcomes(spark, sf_dir), "y_risk_cluster", COEF_COLS)
+    return explain.univariate_log_odds(labelled_cohort(spark, sf_dir), "y_risk_cluster", COEF_COLS)
 
 
 _COEF_SQL = sq.with_(sq.F_OUTCOMES) + ", lab AS (SELECT * FROM F_outcomes WHERE y_risk_cluster IS NOT NULL), " \
@@ -594,7 +594,7 @@ register("spline_basis", "E6", _spline_sql())(spline_q)
 
 
 def class_weight_q(spark: SparkSession, sf_dir: str):
-    return round_doubles(prep.class_weight_table(cohort_with_outcomes(spark, sf_dir), "y_risk_cluster"))
+    return round_doubles(prep.class_weight_table(labelled_cohort(spark, sf_dir), "y_risk_cluster"))
 
 
 register("balanced_class_weight", "E8", sq.with_(sq.F_OUTCOMES) + """
@@ -606,7 +606,7 @@ SELECT y_risk_cluster, count(*) AS n_c, round((SELECT count(*) FROM F_outcomes W
 # ------------------------------------------------------------------ G1 folds, J1/J3 bootstrap
 
 def folds_q(spark: SparkSession, sf_dir: str):
-    df = cohort_with_outcomes(spark, sf_dir).filter(c("y_risk_cluster").isNotNull()).select("row_id", "y_risk_cluster")
+    df = labelled_cohort(spark, sf_dir).filter(c("y_risk_cluster").isNotNull()).select("row_id", "y_risk_cluster")
     return stratified_folds(df, "y_risk_cluster", k=5, seed=42, id_col="row_id")
 
 
@@ -638,7 +638,7 @@ register("bootstrap_weights", "J1", _BOOT + "SELECT draw::INTEGER AS draw, row_i
 def stability_summary_q(spark: SparkSession, sf_dir: str):
     """Per Poisson draw, a weighted standardized mean difference per feature stands in for the per-draw
     fit (selected if |smd| > 0.1, sign of smd); the summary is the J3 aggregation over the draws table."""
-    df = cohort_with_outcomes(spark, sf_dir).filter(c("y_risk_cluster").isNotNull())
+    df = labelled_cohort(spark, sf_dir).filter(c("y_risk_cluster").isNotNull())
     # draws are exploded onto the rows themselves (weights are a pure function of draw and id: no join)
     j = df.select("row_id", "y_risk_cluster", *SMD_FEATS,
                   F.explode(F.sequence(F.lit(0), F.lit(N_DRAWS - 1))).alias("draw"))
