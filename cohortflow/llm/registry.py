@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import table
+from .decontam import contaminated
+from .langid import identify, in_fold
 from .linededup import duplicate_spans
 from .mixing import mix_sources
 
@@ -17,6 +19,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, held_out=in_fold(F.col("doc_id"), 3, 1))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed span: doc_id, start and end (code points of the original text), kept_doc_id."""
     from ._tables import row_key
@@ -28,9 +36,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.col("s.n_words").alias("n_words"), F.col("s.n_units").alias("n_units"), F.col("s.kept_doc_id").alias("kept_doc_id"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_language_id": op5_language_id,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
