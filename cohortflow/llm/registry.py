@@ -13,6 +13,8 @@ from .langid import identify, in_fold
 from .linededup import duplicate_spans
 from .mixing import mix_sources
 from .ngramjoin import near_duplicates
+from .quality import quality_rules
+from .tokencounts import token_counts
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, held_out=in_fold(F.col("doc_id"), 3, 1))
@@ -42,6 +51,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.col("s.n_words").alias("n_words"), F.col("s.n_units").alias("n_units"), F.col("s.kept_doc_id").alias("kept_doc_id"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item found in it."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
@@ -50,8 +63,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
