@@ -9,14 +9,36 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 from .decontam import contaminated
+from .hostrep import host_and_path, judge_urls
+from .hostrep import oracle_sql as host_sql
 from .langid import identify, in_fold
 from .linededup import duplicate_spans
+from .lmscore import score_texts
 from .mixing import mix_sources
 from .ngramjoin import near_duplicates
 from .quality import quality_rules
 from .tokencounts import token_counts
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page url; a page's outcome is its document's label (good: of quality 1 and not toxic).
+
+    The document's number is the first run of digits in the url's path.
+    """
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(host_and_path(F.col("url"))[1], "([0-9]{1,18})", 1)
+    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    outcomes = numbered.join(labels, "doc_id").select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    out = judge_urls(pages, outcomes)
+    return out.withColumns({c: F.round(c, 6) for c in ("good_rate", "upper")})
+
+
+OP1_OUTCOMES = """
+  select url, (quality = 1 and toxic = 0) as good from (
+    select url, try_cast(nullif(regexp_extract(regexp_extract(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end,
+      '^[^/?#]*([^?#]*)', 1), '([0-9]{1,18})', 1), '') as bigint) as doc_id from pages) p join labels l on p.doc_id = l.doc_id"""
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -40,6 +62,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), held_out=in_fold(F.col("doc_id"), 7, 2))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed span: doc_id, start and end (code points of the original text), kept_doc_id."""
     from ._tables import row_key
@@ -61,13 +87,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": host_sql(OP1_OUTCOMES),
+}
