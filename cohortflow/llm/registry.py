@@ -17,6 +17,7 @@ from .lmscore import score_texts
 from .mixing import mix_sources
 from .ngramjoin import near_duplicates
 from .quality import quality_rules
+from .sitetree import extract_main_text
 from .tokencounts import token_counts
 
 
@@ -66,6 +67,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out=in_fold(F.col("doc_id"), 7, 2))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed span: doc_id, start and end (code points of the original text), kept_doc_id."""
     from ._tables import row_key
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op7_html_text": op7_html_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
