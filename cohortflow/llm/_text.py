@@ -18,7 +18,8 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
+SLICE = 2 << 20  # bytes of text that the vectorised helpers work on at a time (one row may be larger)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -62,7 +63,7 @@ def column_buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offs[0]: offs[-1]], offs - offs[0]
 
 
-def row_slices(offs: np.ndarray, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes each (one row may be larger), covering all rows."""
     lo, n = 0, len(offs) - 1
     while lo < n:
@@ -72,7 +73,7 @@ def row_slices(offs: np.ndarray, limit: int = 8 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
-def text_slices(batches, text: str = "text", limit: int = 8 << 20):
+def text_slices(batches, text: str = "text", limit: int = SLICE):
     """For every slice of rows of every batch: (the rows as a RecordBatch, bytes, offsets)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -108,7 +109,7 @@ def spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = _WS) -> tuple[np
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans are sorted and do not overlap.  Works in pieces of about 2 MB."""
+    """64-bit hash of each byte span; spans are sorted and do not overlap.  Works in pieces of about 1 MB."""
     out = np.empty(len(starts), dtype=U64)
     lo = 0
     while lo < len(starts):

@@ -116,11 +116,13 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_rank"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     units = materialize(src.mapInArrow(_units, _UNIT_SCHEMA), "dedup-units")
-    common = units.groupBy("digest").count().filter("count > 1").select("digest")
+    common = materialize(units.groupBy("digest").count().filter("count > 1").select("digest"), "dedup-common")
     repeated = materialize(units.join(common, "digest"), "dedup-repeats")
     place = F.struct(F.col("doc_rank").isNull().alias("no_id"), "doc_rank", "row_key", "unit")
     first = repeated.groupBy("digest").agg(F.min(place).alias("a"))
-    first = first.select("digest", F.col("a.row_key").alias("first_key"), F.col("a.unit").alias("first_unit"), F.col("a.doc_rank").alias("first_doc"))
+    # written, so that the join below has exchanges of its own, which Spark may split where a digest is frequent
+    first = materialize(first.select("digest", F.col("a.row_key").alias("first_key"), F.col("a.unit").alias("first_unit"),
+                                     F.col("a.doc_rank").alias("first_doc")), "dedup-first")
     again = (repeated.join(first, "digest").filter("row_key <> first_key or unit <> first_unit")
              .select("row_key", "unit", "first_doc"))
     per_text = again.groupBy("row_key").agg(F.collect_set(F.struct("unit", "first_doc")).alias("repeats"))
