@@ -11,15 +11,17 @@ picks its own ``l`` of 1..``MAX_MATCH`` with the least estimated cost: posting
 entries read, plus verifications, of which there can be ``1 / l`` as many.  A pair
 needs as many shared prefix shingles as the smaller ``l`` of the two.
 
-A parity bitmap of each set bounds the symmetric difference from below, exactly,
-so pairs that cannot meet the threshold are dropped inside the join.
+Two exact bounds drop candidates before their texts are read.  A parity bitmap of
+each set bounds the symmetric difference from below.  And of two prefixes, the one that ends
+earlier in the order must be found in the other: each of its shingles that is
+not there is missing from the other's whole set.
 
 Groups of near copies are linked without forming all their pairs: first each
-posting meets a few random neighbours in its list (linear in the postings), links are
-verified on the texts and merged into components, and this is repeated for pairs
-in different components.  Only then are the remaining lists joined in full, for
-pairs that still lie in different components.  Every pair at or above the
-threshold is so either verified or already connected: components are exact.
+posting meets a few neighbours in its list, in two random orders of the nodes (linear
+in the postings); pairs that are neighbours in many lists are verified on the texts
+and merged into components.  Then the lists are joined in full, for pairs that
+still lie in different components.  Every pair at or above the threshold is so
+either verified or already connected: components are exact.
 
 Defined results: null, empty and blank texts have no shingle and are linked with
 nothing; texts of fewer than ``SHINGLE`` words have their whole sequence as one;
@@ -42,9 +44,10 @@ from ._tables import discard, materialize, row_key
 SHINGLE, PERCENT, MAX_MATCH = 4, 85, 4
 SKETCH_BITS = 18
 VERIFY_COST = 20.0  # of one candidate, in posting entries
-MAPS = 8  # longs of the parity bitmap
+MAPS = 4  # longs of the parity bitmap
 LIST_ROWS = 8192  # postings of one shingle sorted in one task; longer lists are salted
-NEIGHBOURS, ROUNDS = 3, 3
+NEIGHBOURS, ORDERS = 3, 2
+LIKELY = 0.25  # of the shorter prefix: lists in which neighbours must meet to be verified early
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarray]:
@@ -86,33 +89,39 @@ def choose_matches(cost: np.ndarray, n: int, percent: int, most: int = MAX_MATCH
     return best + 1, lengths[best]
 
 
+_ROW = ("row_key bigint, n bigint, node bigint, matches int, used int, last_freq bigint, last_hash bigint, "
+        "prefix array<bigint>, parts array<int>, map array<bigint>")
+
+
 def _features(shared, size: int, percent: int):
-    map_type = pa.list_(pa.int64())
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    none = (0, 0, 0, 0, 0, 0, [], None, [])
+
+    def features(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple:
+        if len(s) == 0:
+            return none
+        node = t.mix(t.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
+        freq = sketch[_bucket(s)]
+        order = np.lexsort((s, freq))
+        others = np.maximum(freq[order] - noise, 0.0)
+        matches, used = choose_matches(others, len(s), percent)
+        kept = order[:used]
+        parts = (1 + others[:used] // LIST_ROWS).astype(np.int32)
+        bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+        # the last prefix shingle's place in the order; the flipped sign bit makes signed order that of the hashes
+        last = t.signed(s[kept[-1:]] ^ np.uint64(1 << 63))[0]
+        return (len(s), int(t.signed(node)[0]), matches, used, int(freq[kept[-1]]), int(last), t.signed(s[kept]),
+                parts if parts.max() > 1 else None, np.packbits(bits.astype(np.uint8)).view(np.int64))
 
     def run(batches):
         sketch = shared.value
         noise = sketch.sum() / len(sketch)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), longs, ints, longs]
         for rows, data, offs in t.text_slices(batches):
-            node, n, match, prefix, parts, maps = [], [], [], [], [], []
-            for s in shingle_sets(data, offs, size):
-                n.append(len(s))
-                if len(s) == 0:
-                    node.append(0), match.append(0), prefix.append([]), parts.append([]), maps.append([])
-                    continue
-                node.append(int(t.signed(t.mix(t.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))))[0]))
-                freq = sketch[_bucket(s)]
-                order = np.lexsort((s, freq))
-                others = np.maximum(freq[order] - noise, 0.0)
-                m, length = choose_matches(others, len(s), percent)
-                match.append(m)
-                prefix.append(t.signed(s[order[:length]]))
-                parts.append((1 + others[:length] // LIST_ROWS).astype(np.int32))
-                bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
-                maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            cols = list(zip(*(features(s, sketch, noise) for s in shingle_sets(data, offs, size)), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(n, type=pa.int64()), pa.array(node, type=pa.int64()), pa.array(match, type=pa.int32()),
-                 pa.array(prefix, type=map_type), pa.array(parts, type=pa.list_(pa.int32())), pa.array(maps, type=map_type)],
-                names=["doc_id", "row_key", "n", "node", "matches", "prefix", "parts", "map"])
+                [rows.column(0), rows.column(1), *(pa.array(x, type=k) for x, k in zip(cols, types, strict=True))],
+                names=["doc_id", *(x.split()[0] for x in _ROW.split(", "))])
     return run
 
 
@@ -153,43 +162,60 @@ class _Join:
         sketch[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
         shared = self.spark.sparkContext.broadcast(sketch)
         kind = dict(self.src.dtypes)["doc_id"]
-        self.rows = materialize(self.src.mapInArrow(_features(shared, size, percent), (
-            f"doc_id {kind}, row_key bigint, n bigint, node bigint, matches int, prefix array<bigint>, parts array<int>, map array<bigint>")), "join-rows")
+        self.rows = materialize(self.src.mapInArrow(_features(shared, size, percent), f"doc_id {kind}, {_ROW}"), "join-rows")
         self.some = self.rows.filter("n > 0")
-        self.nodes = materialize(self.some.select("node", "n", "matches", "map", "row_key").dropDuplicates(["node"]), "join-nodes")
+        self.nodes = materialize(self.some.select("node", "n", "matches", "used", "last_freq", "last_hash", "map", "row_key").dropDuplicates(["node"]), "join-nodes")
 
     def postings(self) -> DataFrame:
-        """(token, salt, parts, node) of prefix shingles that more than one node may hold."""
+        """(token, salt, node) of prefix shingles that more than one node may hold; salt -1 in lists of one part."""
         one = self.some.select("node", "prefix", "parts").dropDuplicates(["node"])
-        flat = one.select("node", F.explode(F.arrays_zip("prefix", "parts")).alias("p"))
-        flat = flat.select("node", F.col("p.prefix").alias("token"), F.col("p.parts").alias("parts"), F.pmod(F.xxhash64("node"), F.col("p.parts")).cast("int").alias("salt"))
+        flat = one.select("node", F.posexplode("prefix").alias("k", "token"), "parts")
+        part = F.get("parts", F.col("k"))
+        flat = flat.select("token", F.when(part > 1, F.pmod(F.xxhash64("node"), part)).otherwise(-1).cast("int").alias("salt"), "node")
         w = W.partitionBy("token", "salt").orderBy("node")
         flat = flat.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)})
-        return flat.filter("parts > 1 or before is not null or after is not null").select("token", "salt", "parts", "node")
-
-    def neighbours(self, posts: DataFrame, seed: int) -> DataFrame:
-        """Pairs of each posting with a few others of its list, in a random order; salted lists are chained by their first."""
-        me = F.struct("node", "component", "n", "map")
-        posts = posts.select("token", "salt", "parts", me.alias("x"), F.xxhash64("node", "token", F.lit(seed)).alias("at"))
-        w = W.partitionBy("token", "salt").orderBy("at")
-        near = posts.withColumns({f"y{k}": F.lag("x", k).over(w) for k in range(1, NEIGHBOURS + 1)})
-        pairs = near.select("x", F.explode(F.array(*[f"y{k}" for k in range(1, NEIGHBOURS + 1)])).alias("y"))
-        heads = posts.filter("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("at", "x")).alias("h"))
-        heads = heads.select("token", F.col("h.x").alias("x"), F.lag("h.x").over(W.partitionBy("token").orderBy("h.at")).alias("y")).select("x", "y")
-        pairs = pairs.unionAll(heads).filter("y is not null and x.component <> y.component")
-        pairs = pairs.filter(_close(lambda c: F.col("x")[c], lambda c: F.col("y")[c], self.percent))
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        return flat.filter("salt >= 0 or before is not null or after is not null").select("token", "salt", "node")
+
+    def with_nodes(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) with both nodes' features as structs x and y."""
+        x = self.nodes.select(F.col("node").alias("a"), F.struct("n", "matches", "used", "last_freq", "last_hash", "map").alias("x"))
+        return pairs.join(x, "a").join(x.withColumnsRenamed({"a": "b", "x": "y"}), "b")
+
+    def neighbours(self, posts: DataFrame) -> DataFrame:
+        """Pairs that are neighbours in many lists, in one of a few random orders of the nodes.
+
+        All lists are sorted alike, so near copies stand side by side in most of the lists they share.  Salted
+        parts of a list are chained by their first postings.
+        """
+        pairs = None
+        for seed in range(ORDERS):
+            at = posts.withColumn("at", F.xxhash64("node", F.lit(seed)))
+            w = W.partitionBy("token", "salt").orderBy("at", "node")
+            near = at.withColumns({f"y{k}": F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1)})
+            near = near.select(F.col("node").alias("x"), F.explode(F.array(*[f"y{k}" for k in range(1, NEIGHBOURS + 1)])).alias("y")).filter("y is not null")
+            heads = at.filter("salt >= 0").groupBy("token", "salt").agg(F.min(F.struct("at", "node")).alias("h"))
+            heads = heads.select(F.col("h.node").alias("x"), F.lag("h.node").over(W.partitionBy("token").orderBy("h")).alias("y")).filter("y is not null")
+            both = near.unionAll(heads).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(seed).alias("order"))
+            pairs = both if pairs is None else pairs.unionAll(both)
+        met = pairs.groupBy("a", "b", "order").count().groupBy("a", "b").agg(F.max("count").alias("met"))
+        likely = self.with_nodes(met).filter(F.col("met") >= LIKELY * F.least("x.used", "y.used"))
+        return likely.filter(_close(lambda c: F.col("x")[c], lambda c: F.col("y")[c], self.percent)).select("a", "b")
 
     def remaining(self, posts: DataFrame) -> DataFrame:
         """All pairs across components that share enough prefix shingles."""
         mixed = posts.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("token")
-        posts = posts.join(mixed, "token").select("token", "node", "component", "n", "matches", "map")
+        features = self.nodes.select("node", "n", "map")
+        posts = posts.join(mixed, "token").select("token", "node", "component").join(features, "node")
         x, y = posts.alias("x"), posts.alias("y")
         on = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
         pairs = x.join(y, on & _close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), self.percent))
-        return (pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-                .agg(F.count("*").alias("shared"), F.min(F.least("x.matches", "y.matches")).alias("least"))
-                .filter("shared >= least").select("a", "b"))
+        pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"))
+        pairs = self.with_nodes(pairs).filter(F.col("shared") >= F.least("x.matches", "y.matches"))
+        # of the prefix that ends first, what the other lacks is missing from its whole set
+        need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(self.percent) / F.lit(100 + self.percent))
+        x_first = F.struct("x.last_freq", "x.last_hash") <= F.struct("y.last_freq", "y.last_hash")
+        lacks = F.when(x_first, F.col("x.used") - F.col("x.n")).otherwise(F.col("y.used") - F.col("y.n")) - F.col("shared")
+        return pairs.filter(lacks + need <= 0).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole texts meet the threshold."""
@@ -208,22 +234,27 @@ class _Join:
             return posts.withColumn("component", F.col("node"))
         return posts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def labels(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """((node, component) of linked nodes or None, links)."""
-        posts = materialize(self.postings().join(self.nodes.select("node", "n", "matches", "map"), "node"), "join-postings")
-        links, labels = None, None
-        for seed in range(ROUNDS):
-            found = self.verified(self.neighbours(self.with_components(posts, labels), seed))
-            if found.isEmpty():
-                break
-            links = found if links is None else links.unionAll(found)
-            labels = materialize(connected_components(links), "join-labels")
-        found = self.verified(self.remaining(self.with_components(posts, labels)))
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = materialize(connected_components(links), "join-labels")
-        discard(posts)
-        return labels, links
+    def labels(self) -> DataFrame | None:
+        """(node, component) of linked nodes, or None without a link."""
+        posts = materialize(self.postings(), "join-postings")
+        labels = None
+        early = self.verified(self.neighbours(posts))
+        if not early.isEmpty():
+            labels = materialize(connected_components(early), "join-labels")
+        late = self.verified(self.remaining(self.with_components(posts, labels)))
+        discard(posts, early)
+        if late.isEmpty():
+            return labels
+        if labels is None:
+            return materialize(connected_components(late), "join-labels")
+        # the late links join components: their components, then each node's
+        own = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        links = late.join(own, "a", "left").join(own.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+        merged = connected_components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        merged = materialize(merged.withColumnsRenamed({"node": "old", "component": "new"}), "join-merged")
+        known = labels.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        fresh = merged.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        return materialize(known.unionAll(fresh), "join-labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -232,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``first`` marks the rows (alike in id and text, so one but for repeats) that rank first in their component.
     """
     j = _Join(docs, doc_id, text, size, percent)
-    labels, _ = j.labels()
+    labels = j.labels()
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     per_node = j.some.groupBy("node").agg(F.min(place).alias("place"))
     per_node = j.with_components(per_node, labels)
