@@ -264,7 +264,7 @@ def _collect_counts(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]
 def _scorer(shared):
     def run(batches):
         m: Model = shared.value
-        for rows, data, offs in t.text_slices(batches, limit=2 << 20):
+        for rows, data, offs in t.text_slices(batches, limit=512 << 10):
             n, xent = m.cross_entropies(data, offs)
             best = xent.argmin(axis=1)
             score = m.posterior(n, xent)[np.arange(len(best)), best]
@@ -282,7 +282,7 @@ def _scorer(shared):
 def _calibration(shared):
     def run(batches):
         m: Model = shared.value
-        for rows, data, offs in t.text_slices(batches, limit=2 << 20):
+        for rows, data, offs in t.text_slices(batches, limit=512 << 10):
             n, xent = m.cross_entropies(data, offs)
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("lang")), pa.array(n), pa.array(list(xent), type=pa.list_(pa.float64()))], names=["lang", "n", "xent"])
     return run
