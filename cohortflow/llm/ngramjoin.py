@@ -17,9 +17,10 @@ earlier in the order must be found in the other: each of its shingles that is
 not there is missing from the other's whole set.
 
 Groups of near copies are linked without forming all their pairs: first each
-posting meets a few neighbours in its list, in two random orders of the nodes (linear
-in the postings); pairs that are neighbours in many lists are verified on the texts
-and merged into components.  Then the lists are joined in full, for pairs that
+posting meets its list's centre, the node with the fewest shingles of its own (an
+original among its edited copies), and a few neighbours in a random order of the
+nodes, which is linear in the postings; pairs that meet in many lists are verified on
+the texts and merged into components.  Then the lists are joined in full, for pairs that
 still lie in different components.  Every pair at or above the threshold is so
 either verified or already connected: components are exact.
 
@@ -46,8 +47,8 @@ SKETCH_BITS = 18
 VERIFY_COST = 20.0  # of one candidate, in posting entries
 MAPS = 4  # longs of the parity bitmap
 LIST_ROWS = 8192  # postings of one shingle sorted in one task; longer lists are salted
-NEIGHBOURS, ORDERS = 3, 2
-LIKELY = 0.25  # of the shorter prefix: lists in which neighbours must meet to be verified early
+NEIGHBOURS = 3
+LIKELY = 0.25  # of the shorter prefix: lists in which two nodes must meet to be verified early
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarray]:
@@ -181,25 +182,26 @@ class _Join:
         x = self.nodes.select(F.col("node").alias("a"), F.struct("n", "matches", "used", "last_freq", "last_hash", "map").alias("x"))
         return pairs.join(x, "a").join(x.withColumnsRenamed({"a": "b", "x": "y"}), "b")
 
-    def neighbours(self, posts: DataFrame) -> DataFrame:
-        """Pairs that are neighbours in many lists, in one of a few random orders of the nodes.
+    def likely(self, posts: DataFrame) -> DataFrame:
+        """Pairs that meet in many lists: a node with the lists' centres, and neighbours in one random order of the nodes.
 
         All lists are sorted alike, so near copies stand side by side in most of the lists they share.  Salted
-        parts of a list are chained by their first postings.
+        parts of a list are chained by their first postings; centres are minima, so lists of any length have one.
         """
-        pairs = None
-        for seed in range(ORDERS):
-            at = posts.withColumn("at", F.xxhash64("node", F.lit(seed)))
-            w = W.partitionBy("token", "salt").orderBy("at", "node")
-            near = at.withColumns({f"y{k}": F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1)})
-            near = near.select(F.col("node").alias("x"), F.explode(F.array(*[f"y{k}" for k in range(1, NEIGHBOURS + 1)])).alias("y")).filter("y is not null")
-            heads = at.filter("salt >= 0").groupBy("token", "salt").agg(F.min(F.struct("at", "node")).alias("h"))
-            heads = heads.select(F.col("h.node").alias("x"), F.lag("h.node").over(W.partitionBy("token").orderBy("h")).alias("y")).filter("y is not null")
-            both = near.unionAll(heads).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(seed).alias("order"))
-            pairs = both if pairs is None else pairs.unionAll(both)
-        met = pairs.groupBy("a", "b", "order").count().groupBy("a", "b").agg(F.max("count").alias("met"))
-        likely = self.with_nodes(met).filter(F.col("met") >= LIKELY * F.least("x.used", "y.used"))
-        return likely.filter(_close(lambda c: F.col("x")[c], lambda c: F.col("y")[c], self.percent)).select("a", "b")
+        shared = posts.groupBy("node").agg(F.count("*").alias("shared"))
+        alone = self.nodes.select("node", "used").join(shared, "node").select("node", (F.col("used") - F.col("shared")).alias("alone"))
+        at = posts.join(alone, "node").withColumn("at", F.xxhash64("node"))
+        centres = at.groupBy("token").agg(F.min(F.struct("alone", "at", "node")).alias("c")).select("token", F.col("c.node").alias("y"))
+        met = posts.join(centres, "token").select(F.col("node").alias("x"), "y").filter("x <> y")
+        w = W.partitionBy("token", "salt").orderBy("at", "node")
+        near = at.withColumns({f"y{k}": F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1)})
+        near = near.select(F.col("node").alias("x"), F.explode(F.array(*[f"y{k}" for k in range(1, NEIGHBOURS + 1)])).alias("y")).filter("y is not null")
+        heads = at.filter("salt >= 0").groupBy("token", "salt").agg(F.min(F.struct("at", "node")).alias("h"))
+        heads = heads.select("token", F.col("h.node").alias("x"), F.lag("h.node").over(W.partitionBy("token").orderBy("h")).alias("y")).select("x", "y").filter("y is not null")
+        pairs = met.withColumn("way", F.lit(0)).unionAll(near.unionAll(heads).withColumn("way", F.lit(1)))
+        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "way").count().groupBy("a", "b").agg(F.max("count").alias("met"))
+        often = self.with_nodes(pairs).filter(F.col("met") >= LIKELY * F.least("x.used", "y.used"))
+        return often.filter(_close(lambda c: F.col("x")[c], lambda c: F.col("y")[c], self.percent)).select("a", "b")
 
     def remaining(self, posts: DataFrame) -> DataFrame:
         """All pairs across components that share enough prefix shingles."""
@@ -238,7 +240,7 @@ class _Join:
         """(node, component) of linked nodes, or None without a link."""
         posts = materialize(self.postings(), "join-postings")
         labels = None
-        early = self.verified(self.neighbours(posts))
+        early = self.verified(self.likely(posts))
         if not early.isEmpty():
             labels = materialize(connected_components(early), "join-labels")
         late = self.verified(self.remaining(self.with_components(posts, labels)))
