@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from ..functions.exprs import apply_platt_expr, logit
+from ..session import scratch_path
+from .quantiles import exact_quantiles
 
 PLATT_C = 1e6
 
@@ -73,17 +75,65 @@ class IsotonicCalibrator:
 
 
 def fit_isotonic(df: DataFrame, y: str = "y_true", prob: str = "prob") -> IsotonicCalibrator:
-    """Monotone (increasing) step fit; ties pooled; constant outside the fitted range."""
-    data = df.filter(c(y).isNotNull() & c(prob).isNotNull()).select(
-        c(y).cast("double").alias("label"), c(prob).cast("double").alias("p"))
-    model = IsotonicRegression(featuresCol="p", labelCol="label", isotonic=True).fit(data)
+    """Monotone (increasing) step fit; ties pooled; constant outside the fitted range.
+
+    Rows of equal score are one weighted point before the fit (pooling them is the fit's own
+    first step), so what is merged at the end has one row per distinct score.
+    """
+    data = df.filter(c(y).isNotNull() & c(prob).isNotNull()).groupBy(c(prob).cast("double").alias("p")).agg(
+        F.avg(c(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+    model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w", isotonic=True).fit(data)
     return IsotonicCalibrator(model)
 
 
+@dataclass
+class NoCalibrator:
+    """Leaves the calibrated probability null."""
+
+    method: str = "none"
+
+    def transform(self, df: DataFrame, prob_col: str = "prob", out_col: str = "prob_calibrated") -> DataFrame:
+        return df.withColumn(out_col, F.lit(None).cast("double"))
+
+
+def calibrates(name: str | None) -> bool:
+    """Whether a recalibration of this name changes anything; unknown names raise."""
+    known = {None: False, "none": False, "intercept_slope": True, "isotonic": True}
+    if name not in known:
+        raise ValueError(f"unknown recalibration {name!r}: none, intercept_slope and isotonic are there")
+    return known[name]
+
+
+def fit_calibrator(name: str | None, df: DataFrame | None, y: str = "y_true", prob: str = "prob"):
+    """The calibrator of that name, fitted on out-of-fold predictions."""
+    if not calibrates(name):
+        return NoCalibrator()
+    return fit_platt(df, y, prob) if name == "intercept_slope" else fit_isotonic(df, y, prob)
+
+
+def save_calibrator(cal, spark, path: str) -> None:
+    """``path``/table has the method and the Platt line; an isotonic model lies beside it."""
+    platt = isinstance(cal, PlattCalibrator)
+    row = (cal.method, float(cal.intercept) if platt else None, float(cal.slope) if platt else None)
+    spark.createDataFrame([row], "method string, intercept double, slope double").write.mode("overwrite").parquet(f"{path}/table")
+    if isinstance(cal, IsotonicCalibrator):
+        cal.model.write().overwrite().save(f"{path}/isotonic")
+
+
+def load_calibrator(spark, path: str):
+    row = spark.read.parquet(f"{path}/table").first()
+    if row["method"] == "isotonic":
+        return IsotonicCalibrator(IsotonicRegressionModel.load(f"{path}/isotonic"))
+    return PlattCalibrator(row["intercept"], row["slope"]) if row["method"] == "intercept_slope" else NoCalibrator()
+
+
 def _quantile_edges(valid: DataFrame, keys: Sequence[str], bins: int, approx: bool, accuracy: int) -> DataFrame:
     qs = [i / bins for i in range(bins + 1)]
-    pct = F.percentile_approx("_p", qs, accuracy) if approx else F.percentile("_p", qs)
-    return valid.groupBy(*[c(k) for k in keys]).agg(F.array_distinct(pct).alias("_edges"))
+    if approx:
+        table = valid.groupBy(*[c(k) for k in keys]).agg(F.percentile_approx("_p", qs, accuracy).alias("quantiles"))
+    else:
+        table = exact_quantiles(valid, keys, "_p", qs)
+    return table.select(*[c(k) for k in keys], F.array_distinct("quantiles").alias("_edges"))
 
 
 def binned_calibration(preds: DataFrame, keys: Sequence[str] = (), y: str = "y_true", prob: str = "prob",
@@ -100,17 +150,24 @@ def binned_calibration(preds: DataFrame, keys: Sequence[str] = (), y: str = "y_t
     valid = preds.filter(c(y).isNotNull() & c(prob).isNotNull()).select(
         *([c(k) for k in keys] or [F.lit(0).alias("_g")]),
         c(y).cast("double").alias("_y"), c(prob).cast("double").alias("_p"))
+    # a narrow written table: the passes for edges, bins and medians read it, not the source again
+    path = scratch_path(preds.sparkSession, "calibration-rows")
+    valid.write.parquet(path)
+    valid = preds.sparkSession.read.parquet(path)
     edges = _quantile_edges(valid, gkeys, bins, approx, accuracy)
     # one edge array per key group (keys x (bins+1) doubles); AQE plans the join from its runtime size
     joined = valid.join(edges, gkeys, "inner")
+    # a group whose scores are all equal has one edge and one bin, from that score to itself
     binned = joined.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < c("_p"))))) \
-        .withColumn("bin_lo", F.element_at("_edges", c("bin"))) \
-        .withColumn("bin_hi", F.element_at("_edges", c("bin") + 1))
-    out = binned.groupBy(*[c(k) for k in gkeys], "bin", "bin_lo", "bin_hi").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.avg("_y").alias("pos_rate"),
-        F.avg("_p").alias("prob_mean"),
-        (F.percentile_approx("_p", 0.5, accuracy).cast("double") if approx else F.percentile("_p", 0.5))
-        .alias("prob_median"))
+        .withColumn("bin_lo", F.get("_edges", c("bin") - 1)) \
+        .withColumn("bin_hi", F.coalesce(F.get("_edges", c("bin")), c("bin_lo")))
+    cell = [*gkeys, "bin", "bin_lo", "bin_hi"]
+    out = binned.groupBy(*[c(k) for k in cell]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.avg("_y").alias("pos_rate"), F.avg("_p").alias("prob_mean"),
+        *([F.percentile_approx("_p", 0.5, accuracy).cast("double").alias("prob_median")] if approx else []))
+    if not approx:
+        medians = exact_quantiles(binned, [*gkeys, "bin"], "_p", [0.5])
+        out = out.join(medians.select(*[c(k) for k in gkeys], "bin", F.get("quantiles", F.lit(0)).alias("prob_median")), [*gkeys, "bin"])
     return out if keys else out.drop("_g")
 
 

@@ -52,8 +52,7 @@ def apply_label_map(coefs: DataFrame, label_map: Mapping[str, str] | DataFrame |
         m = label_map.select(c(a).alias("_src"), c(b).alias("_lab"))
     else:
         m = coefs.sparkSession.createDataFrame(list(label_map.items()), "_src string, _lab string")
-    # the label map is a per-feature dictionary (bounded by the number of features)
-    j = out.join(F.broadcast(m), out["source_feature"] == m["_src"], "left")
+    j = out.join(m, out["source_feature"] == m["_src"], "left")
     level = F.when(F.instr(c(feature_col), "=") > 0,
                    F.substr(c(feature_col), F.instr(c(feature_col), "=") + 1))
     src_label = F.coalesce(c("_lab"), c("source_feature"))
@@ -77,6 +76,21 @@ def grouped_importance(table: DataFrame, value: str = "abs_coef", out: str = "su
     return table.groupBy(*[c(k) for k in keys]).agg(F.sum(value).alias(out)).orderBy(F.desc(out), *keys)
 
 
+def fitted_coefficients(pipeline_model, cat_cols: Sequence[str], num_cols: Sequence[str], drop_first: bool = False) -> DataFrame:
+    """(feature, coef) of a fitted preprocessor and logistic model: input of ``coefficient_table``.
+
+    Features are named ``col`` and ``col=level`` (one row per vector slot: model metadata, not data).
+    """
+    from pyspark.sql import SparkSession
+
+    from .prep import slot_table
+
+    pre, model = pipeline_model.stages[0], pipeline_model.stages[-1]
+    coef = model.coefficients.toArray()
+    rows = [(name, float(coef[i])) for i, name, _source, _level in slot_table(pre, cat_cols, num_cols, drop_first)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, coef double")
+
+
 # ---------------------------------------------------------------- N4 tree path contributions
 
 def _tree_tables(gbt_model, scratch: str):
@@ -98,7 +112,8 @@ def _tree_tables(gbt_model, scratch: str):
         size = int(g["id"].max()) + 1
         arr = {k: np.full(size, -1, dtype=np.int64) for k in ("left", "right", "feat")}
         pred, thr = np.zeros(size), np.full(size, np.nan)
-        is_cat, cat_mask = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
+        is_cat = np.zeros(size, dtype=bool)
+        goes_left = np.zeros((size, max([1, *(int(k) for k in g["numCategories"] if k is not None and k > 0)])), dtype=bool)
         ids = g["id"].to_numpy()
         arr["left"][ids], arr["right"][ids] = g["leftChild"].to_numpy(), g["rightChild"].to_numpy()
         arr["feat"][ids] = g["featureIndex"].to_numpy()
@@ -108,10 +123,10 @@ def _tree_tables(gbt_model, scratch: str):
                 continue
             if k is not None and k > 0:  # categorical split: the listed categories go left
                 is_cat[i] = True
-                cat_mask[i] = sum(1 << int(x) for x in v)
+                goes_left[i, [int(x) for x in v]] = True
             else:  # continuous split: x <= threshold goes left
                 thr[i] = v[0]
-        trees.append((float(wmap[tid]), arr["left"], arr["right"], arr["feat"], pred, thr, is_cat, cat_mask))
+        trees.append((float(wmap[tid]), arr["left"], arr["right"], arr["feat"], pred, thr, is_cat, goes_left))
     return trees
 
 
@@ -120,7 +135,7 @@ def _attribute(X: np.ndarray, trees) -> tuple[np.ndarray, np.ndarray]:
     n, m = X.shape
     contrib, bias = np.zeros((n, m)), np.zeros(n)
     rows = np.arange(n)
-    for w, left, right, feat, pred, thr, is_cat, cat_mask in trees:
+    for w, left, right, feat, pred, thr, is_cat, goes_left in trees:
         node = np.zeros(n, dtype=np.int64)
         bias += w * pred[0]
         active = left[node] >= 0
@@ -128,7 +143,8 @@ def _attribute(X: np.ndarray, trees) -> tuple[np.ndarray, np.ndarray]:
             r, nd = rows[active], node[active]
             f = feat[nd]
             x = X[r, f]
-            member = (np.right_shift(cat_mask[nd], np.clip(x, 0, 62).astype(np.int64)) & 1) == 1
+            code = np.where(is_cat[nd] & (x >= 0) & (x < goes_left.shape[1]), x, 0).astype(np.int64)
+            member = goes_left[nd, code] & (x >= 0) & (x < goes_left.shape[1])  # a category the split does not know goes right
             go_left = np.where(is_cat[nd], member, x <= thr[nd])
             nxt = np.where(go_left, left[nd], right[nd])
             np.add.at(contrib, (r, f), w * (pred[nxt] - pred[nd]))
@@ -166,10 +182,33 @@ def tree_contributions(gbt_model, vec_df: DataFrame, slot_names: Sequence[str],
                 out.insert(0, "_id", np.repeat(pdf["_id"].to_numpy(), len(names)))
             yield out
 
-    schema = ("_id long, " if id_col else "") + "slot string, contribution double"
+    schema = (f"_id {dict(arr.dtypes)['_id']}, " if id_col else "") + "slot string, contribution double"
     return arr.mapInPandas(run, schema)
 
 
+def mean_abs_tree_contribution(gbt_model, vec_df: DataFrame, slots: Sequence[tuple[str, str]], scratch: str,
+                               features_col: str = "features") -> DataFrame:
+    """(source_feature, mean_abs) over all rows; ``slots`` are (slot name, source column) in vector order.
+
+    Each Arrow batch leaves Python as one partial sum per slot, never as rows x slots.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    trees = _tree_tables(gbt_model, scratch)
+    names = [s for s, _ in slots]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                contrib, _ = _attribute(np.vstack(pdf["_x"].to_numpy()), trees)
+                yield pd.DataFrame({"slot": names, "total": np.abs(contrib).sum(axis=0)[: len(names)], "n": len(pdf)})
+
+    sums = vec_df.select(vector_to_array(c(features_col)).alias("_x")).mapInPandas(run, "slot string, total double, n bigint")
+    per = sums.groupBy("slot").agg((F.sum("total") / F.sum("n")).alias("mean_abs"))
+    source = vec_df.sparkSession.createDataFrame(list(slots), "slot string, source_feature string")
+    return per.join(source, "slot").groupBy("source_feature").agg(F.sum("mean_abs").alias("mean_abs")).orderBy(F.desc("mean_abs"), "source_feature")
+
+
 def mean_abs_contribution(contrib: DataFrame, slot_to_source: DataFrame | None = None) -> DataFrame:
     """Mean |contribution| per slot (bias excluded), descending; grouped by source column when a slot table is given."""
     per = contrib.filter(c("slot") != "bias").groupBy("slot").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
@@ -192,7 +231,7 @@ def additive_global(pipeline_model, df: DataFrame, cat_cols: Sequence[str], num_
     """
     from pyspark.ml.feature import OneHotEncoderModel
 
-    pre, model = pipeline_model.stages[0], pipeline_model.stages[-1]
+    pre, model = pipeline_model.stages[0], pipeline_model.stages[-1]  # pair terms, if any, come after the main slots
     ohe = next(s for s in pre.stages if isinstance(s, OneHotEncoderModel))
     sizes = [int(x) + 1 for x in ohe.categorySizes]  # dropLast=False, handleInvalid=keep: one extra slot
     inputs = ohe.getInputCols()
@@ -219,3 +258,23 @@ def additive_global(pipeline_model, df: DataFrame, cat_cols: Sequence[str], num_
     imp = bins.groupBy("feature", "feature_type").agg(
         (F.sum(c("n") * F.abs("score")) / F.sum("n")).alias("importance")).orderBy(F.desc("importance"), "feature")
     return bins, imp
+
+
+def explain_additive(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], label: str = "label", max_bins: int = 128,
+                     min_freq: float = 0.01, C: float = 1.0, numeric_ratio: float = 0.8, min_unique: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Shape and importance tables of an additive model prepared for explanation.
+
+    Unlike in training nothing is imputed: text columns that are mostly numbers are read as
+    numbers, missing numbers keep a bin of their own and missing text is the level ``Missing``.
+    """
+    from pyspark.ml import PipelineModel
+
+    from ..sources.schema import coerce_mostly_numeric
+    from .models import build_model, fit_additive
+
+    names = [*num_cols, *cat_cols]
+    ready, continuous, categorical = coerce_mostly_numeric(df.select(c(label).cast("double").alias("label"), *[c(n) for n in names]), names, numeric_ratio, min_unique)
+    pre = fit_additive(ready, categorical, continuous, max_bins, min_freq, missing="keep")
+    vec = pre.transform(ready).select("label", "features")
+    model = build_model("glassbox_additive", {"C": C}, float(vec.count()), weight_col=None).fit(vec)
+    return additive_global(PipelineModel(stages=[pre, model]), ready, categorical, continuous)

@@ -6,10 +6,10 @@ Every metric runs as one grouped job over arbitrary key columns (e.g.
 Rank metrics (AUROC, average precision) need, for each distinct score, the
 number of negatives/positives with a lower score.  A global ``orderBy``
 window would put a whole key group into one task, so cumulative counts are
-computed in two levels: rows are pre-aggregated to distinct scores, scores are
-cut into fixed-width buckets, bucket totals (small: keys x buckets) get a
+computed in two levels: rows are pre-aggregated to distinct scores, each group's
+scores are cut at their own quantiles, bucket totals (small: keys x buckets) get a
 running sum as offsets, and the exact running sum inside each bucket is a
-window partitioned by (keys, bucket).  Exact, and parallel across buckets.
+window partitioned by (keys, bucket).  Exact, and parallel however the scores crowd.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from ..functions.exprs import clip_prob, logit
+from ..session import scratch_path
+from .quantiles import bucket_edges, bucket_of
 
-# Score buckets of the two-level running sums: only non-empty buckets exist, the bucket table is
-# keys x buckets rows, and a window inside one bucket sees ~distinct_scores / 65536 rows.
-DEFAULT_BUCKETS = 1 << 16
 METRIC_COLUMNS = ["roc_auc", "pr_auc", "brier", "accuracy", "f1", "calibration_intercept", "calibration_slope"]
 
 
@@ -36,17 +35,19 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: s
             .agg(F.sum((yy == 1.0).cast("long")).alias("pos"), F.sum((yy != 1.0).cast("long")).alias("neg")))
 
 
-def cumulative_below(counts: DataFrame, keys: Sequence[str], cols: Sequence[str], score: str = "score",
-                     n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def cumulative_below(counts: DataFrame, keys: Sequence[str], cols: Sequence[str], score: str = "score") -> DataFrame:
     """Add ``{col}_below`` = sum of ``col`` over rows of the same keys with a strictly lower score, and
     ``{col}_total`` = sum over the whole key group.
 
-    ``counts`` must hold one row per (keys, score).  Offsets and totals come
-    from the bucket table (keys x buckets rows), so ``counts`` is consumed
-    by the bucket aggregation and the in-bucket window only.
+    ``counts`` must hold one row per (keys, score).  Bucket boundaries are quantiles of each group's
+    distinct scores, so a crowd of scores near 0 spreads over as many buckets as any other.
+    Offsets and totals come from the bucket table (keys x buckets rows).
     """
-    bucket = F.floor(c(score) * F.lit(float(n_buckets))).cast("long")
-    with_b = counts.withColumn("_bucket", bucket)
+    keys = list(keys)
+    if not keys:
+        return cumulative_below(counts.withColumn("_all", F.lit(0)), ["_all"], cols, score).drop("_all")
+    edges = bucket_edges(counts, keys, score)
+    with_b = counts.join(edges, keys).withColumn("_bucket", bucket_of(c(score), c("_edges"))).drop("_edges")
     kcols = [c(k) for k in keys]
     totals = with_b.groupBy(*kcols, "_bucket").agg(*[F.sum(col).alias(f"_t_{col}") for col in cols])
     w_b = Window.partitionBy(*kcols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,14 +63,16 @@ def cumulative_below(counts: DataFrame, keys: Sequence[str], cols: Sequence[str]
                          *[c(f"_T_{col}").alias(f"{col}_total") for col in cols])
 
 
-def rank_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "prob",
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def rank_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: str = "prob") -> DataFrame:
     """(keys, roc_auc, pr_auc): tie-aware AUROC (mid-rank) and step-wise average precision.
 
     NULL when a key group has only one class.
     """
-    counts = score_counts(df, keys, y, score)
-    cum = cumulative_below(counts, keys, ["pos", "neg"], n_buckets=n_buckets)
+    return _rank_from_counts(score_counts(df, keys, y, score), keys)
+
+
+def _rank_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    cum = cumulative_below(counts, keys, ["pos", "neg"])
     kcols = [c(k) for k in keys]
     j = cum.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
     ap_term = F.when(c("pos") > 0, c("pos") * (c("P") - c("pos_below")) /
@@ -107,16 +110,49 @@ def point_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score:
                       "calibration_intercept", "calibration_slope")
 
 
+def _from_counts(counts: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """The point metrics from (keys, score, pos, neg): sums over distinct scores."""
+    p, lg = c("score"), logit(c("score"))
+    m = c("pos") + c("neg")
+    hit = (p >= threshold)
+    s = counts.groupBy(*[c(k) for k in keys]).agg(
+        F.sum(m).alias("n"), F.sum("pos").alias("sy"), F.sum(c("pos") * (p - 1) * (p - 1) + c("neg") * p * p).alias("se"),
+        F.sum(F.when(hit, c("pos")).otherwise(c("neg"))).alias("ok"),
+        F.sum(F.when(hit, c("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, c("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(c("pos"))).alias("fn"),
+        F.sum(m * lg).alias("sx"), F.sum(m * lg * lg).alias("sxx"), F.sum(c("pos") * lg).alias("sxy"))
+    n = c("n").cast("double")
+    slope = F.try_divide(n * c("sxy") - c("sx") * c("sy"), n * c("sxx") - c("sx") * c("sx"))
+    half = c("tp") + (c("fp") + c("fn")) * 0.5
+    return s.select(*[c(k) for k in keys], (c("se") / n).alias("brier"), (c("ok") / n).alias("accuracy"),
+                    F.when(half > 0, c("tp") / half).otherwise(F.lit(0.0)).alias("f1"),
+                    ((c("sy") - slope * c("sx")) / n).alias("calibration_intercept"), slope.alias("calibration_slope"))
+
+
 def fold_metrics(preds: DataFrame, keys: Sequence[str] = ("outcome", "featureset", "model", "fold"),
                  y: str = "y_true", score: str = "prob", suffix: str = "") -> DataFrame:
-    """The seven fold metrics of the reference per key group (one grouped job each for rank and point parts)."""
+    """The seven fold metrics per key group.
+
+    Predictions are read once: counts per (keys, distinct score) are written to the shared folder, and
+    the rank and point parts are both taken from there.
+    """
     keys = list(keys)
-    r = rank_metrics(preds, keys, y, score)
-    p = point_metrics(preds, keys, y, score)
-    out = p.join(r, keys, "left")
+    path = scratch_path(preds.sparkSession, "score-counts")
+    score_counts(preds, keys, y, score).write.parquet(path)
+    counts = preds.sparkSession.read.parquet(path)
+    out = _from_counts(counts, keys).join(_rank_from_counts(counts, keys), keys, "left")
     return out.select(*[c(k) for k in keys], *[c(m).alias(m + suffix) for m in METRIC_COLUMNS])
 
 
+def fold_metrics_both(preds: DataFrame, keys: Sequence[str] = ("outcome", "featureset", "model", "fold"), y: str = "y_true") -> DataFrame:
+    """Fold metrics of ``prob`` and, suffixed ``_calibrated``, of ``prob_calibrated``: both variants in one pass."""
+    keys = list(keys)
+    both = F.array(*[F.struct(F.lit(v).alias("variant"), c(n).cast("double").alias("_score")) for v, n in (("raw", "prob"), ("calibrated", "prob_calibrated"))])
+    long = fold_metrics(preds.select(*[c(k) for k in keys], c(y), F.inline(both)), [*keys, "variant"], y, "_score")
+    wide = [F.max(F.when(c("variant") == v, c(m))).alias(m + s) for v, s in (("raw", ""), ("calibrated", "_calibrated")) for m in METRIC_COLUMNS]
+    return long.groupBy(*[c(k) for k in keys]).agg(*wide)
+
+
 def classification_summary(preds: DataFrame, keys: Sequence[str] = ("outcome", "featureset", "model"),
                            y: str = "y_true", score: str = "prob") -> DataFrame:
     """Pooled OOF summary per model: n, pos, pos_rate, roc_auc, pr_auc, brier on clipped probabilities."""

@@ -17,53 +17,77 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from ..functions.exprs import error_expr, tier_expr
-from .metrics import DEFAULT_BUCKETS, cumulative_below, score_counts
+from .metrics import cumulative_below, score_counts
+from .quantiles import exact_quantiles
 
 JOINT_OUTCOMES = ("hypertension", "hyperglycemia", "dyslipidemia")
 
 
-def _prob_col(outcome: str, variant: str) -> str:
-    return f"{outcome}_prob_calibrated" if variant == "calibrated" else f"{outcome}_prob"
+VARIANT_COLUMNS = {"raw": "prob", "calibrated": "prob_calibrated"}
+
+
+def score_column(outcome: str, variant: str, tag: str | None = None) -> str:
+    """Where a wide table keeps an outcome's score: ``{outcome}_prob...`` of predictions, ``{tag}__{outcome}__prob...`` of scores."""
+    name = VARIANT_COLUMNS["calibrated" if variant == "calibrated" else "raw"]
+    return f"{outcome}_{name}" if tag is None else f"{tag}__{outcome}__{name}"
 
 
 # ---------------------------------------------------------------- scores / tiers
 
 def scores_wide(scores: DataFrame, id_col: str = "row_index", seq: str | None = None,
-                pcols: Sequence[str] = ("prob", "prob_calibrated")) -> DataFrame:
+                pcols: Sequence[str] = ("prob", "prob_calibrated"),
+                models: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """One row per id with columns ``{tag}__{outcome}__{pcol}``.
 
     When several models share a key, the first non-null value in ``seq``
     order wins (``min_by`` on an explicit sequence; ``first`` would be
     nondeterministic).  Keys whose values are all NULL are skipped.  The pivot
     value list is computed up front (a tiny distinct over model keys) so the
-    pivot itself is a single shuffle on the id.
+    pivot itself is a single shuffle on the id.  ``models``, the (tag, outcome)
+    pairs that are there (``list_models`` knows them), saves that pass; columns then exist
+    for all of them.
     """
     order = c(seq) if seq else F.lit(0)
     long = scores.select(c(id_col).alias(id_col), order.alias("_seq"), F.explode(F.array(*[
         F.struct(F.concat_ws("__", c("tag"), c("outcome"), F.lit(p)).alias("_key"), c(p).cast("double").alias("_v"))
         for p in pcols])).alias("kv")).select(id_col, "_seq", "kv._key", "kv._v")
-    present = long.filter(c("_v").isNotNull()).select("_key").distinct()
-    keys = sorted(r["_key"] for r in present.collect())  # bounded by the number of saved models
+    if models is not None:
+        keys = sorted(f"{tag}__{outcome}__{p}" for tag, outcome in set(models) for p in pcols)
+    else:
+        present = long.filter(c("_v").isNotNull()).select("_key").distinct()
+        keys = sorted(r["_key"] for r in present.collect())  # bounded by the number of saved models
     valued = long.filter(c("_v").isNotNull())
     return valued.groupBy(id_col).pivot("_key", keys).agg(F.min_by("_v", "_seq"))
 
 
 def assign_tier(df: DataFrame, prob_variant: str = "raw", outcomes: Sequence[str] = JOINT_OUTCOMES,
                 htn_hi: float = 0.8, hyper_hi: float = 0.7, lip_hi: float = 0.7, any_mid: float = 0.6,
-                out_col: str = "tier") -> DataFrame:
-    h, g, l = (c(_prob_col(o, prob_variant)).cast("double") for o in outcomes)
+                out_col: str = "tier", tag: str | None = None) -> DataFrame:
+    """Joint-risk tier from three scores; ``tag`` reads the columns of ``scores_wide``."""
+    h, g, l = (c(score_column(o, prob_variant, tag)).cast("double") for o in outcomes)
     return df.withColumn(out_col, tier_expr(h, g, l, htn_hi, hyper_hi, lip_hi, any_mid))
 
 
+def assign_tiers(wide: DataFrame, outcomes: Sequence[str] = JOINT_OUTCOMES, **thresholds) -> DataFrame:
+    """``scores_wide`` output with a column ``{tag}__tier__{variant}`` for every tag and variant whose three scores are there."""
+    present = set(wide.columns)
+    tags = sorted({n.split("__", 1)[0] for n in wide.columns if n.count("__") >= 2})
+    out = wide
+    for tag in tags:
+        for variant in VARIANT_COLUMNS:
+            if all(score_column(o, variant, tag) in present for o in outcomes):
+                out = assign_tier(out, variant, outcomes, out_col=f"{tag}__tier__{variant}", tag=tag, **thresholds)
+    return out
+
+
 def joint_risk_ladder(wide: DataFrame, prob_variant: str = "raw", outcomes: Sequence[str] = JOINT_OUTCOMES,
                       id_col: str = "row_index", **thresholds) -> DataFrame:
     """id, tier, three probabilities, three labels, variant; required columns asserted."""
-    need = [id_col] + [_prob_col(o, prob_variant) for o in outcomes] + [f"{o}_y_true" for o in outcomes]
-    missing = [n for n in need if n not in wide.columns]
-    if missing:
-        raise ValueError(f"Wide table missing columns: {sorted(missing)}")
+    wanted = {id_col, *(score_column(o, prob_variant) for o in outcomes), *(f"{o}_y_true" for o in outcomes)}
+    if absent := wanted.difference(wide.columns):
+        raise ValueError(f"a risk ladder of {', '.join(outcomes)} also needs: {', '.join(sorted(absent))}")
     t = assign_tier(wide, prob_variant, outcomes, **thresholds)
-    return t.select(c(id_col), "tier", *[c(_prob_col(o, prob_variant)) for o in outcomes],
+    return t.select(c(id_col), "tier", *[c(score_column(o, prob_variant)) for o in outcomes],
                     *[c(f"{o}_y_true") for o in outcomes], F.lit(prob_variant).alias("prob_variant"))
 
 
@@ -74,7 +98,7 @@ def tier_summary(ladder: DataFrame, prob_variant: str = "raw", outcomes: Sequenc
         y = c(f"{o}_y_true").cast("double")
         aggs += [F.sum((y == 1.0).cast("long")).alias(f"{o}_pos"),
                  F.avg(F.coalesce((y == 1.0).cast("double"), F.lit(0.0))).alias(f"{o}_pos_rate"),
-                 F.avg(c(_prob_col(o, prob_variant)).cast("double")).alias(f"{o}_prob_mean")]
+                 F.avg(c(score_column(o, prob_variant)).cast("double")).alias(f"{o}_prob_mean")]
     return ladder.groupBy("tier").agg(*aggs).withColumn("prob_variant", F.lit(prob_variant)).orderBy(F.desc("tier"))
 
 
@@ -115,14 +139,17 @@ def high_error_rows(long: DataFrame, error_thr: float = 0.9, id_col: str = "row_
         .orderBy("outcome", F.desc("error"), id_col)
 
 
-def predictions_wide(long: DataFrame, prob_variant: str = "raw", id_col: str = "row_index") -> DataFrame:
+def predictions_wide(long: DataFrame, prob_variant: str = "raw", id_col: str = "row_index",
+                     outcomes: Sequence[str] | None = None) -> DataFrame:
     """One row per id, per outcome ``{o}_fold, {o}_y_true, {o}_prob, {o}_prob_calibrated``.
 
     Equivalent to chained full outer joins across outcomes, done as one pivot
     (one shuffle on the id).  Duplicate (id, outcome) rows: the lowest fold's
-    fold/label, mean probabilities.  Only for two or more outcomes.
+    fold/label, mean probabilities.  Only for two or more outcomes; naming them saves a pass.
     """
-    outcomes = sorted(r["outcome"] for r in long.select("outcome").distinct().collect())  # outcome names only
+    if outcomes is None:
+        outcomes = [r["outcome"] for r in long.select("outcome").distinct().collect()]  # outcome names only
+    outcomes = sorted(outcomes)
     if len(outcomes) < 2:
         raise ValueError("predictions_wide needs at least two outcomes")
     has_cal = "prob_calibrated" in long.columns
@@ -141,13 +168,10 @@ def predictions_wide(long: DataFrame, prob_variant: str = "raw", id_col: str = "
 
 # ---------------------------------------------------------------- high-confidence error profiles
 
-def _groups(wide: DataFrame, outcome: str, prob_variant: str, fn_prob: float, id_col: str) -> DataFrame:
+def _group(outcome: str, prob_variant: str, fn_prob: float) -> Column:
     y = c(f"{outcome}_y_true").cast("double")
-    p = c(_prob_col(outcome, prob_variant)).cast("double")
-    hc_fn = (y == 1.0) & (p <= fn_prob)
-    grp = (F.when(hc_fn, F.lit("HC_FN")).when(y == 1.0, F.lit("OTHER_POS")).when(y == 0.0, F.lit("NEG")))
-    return wide.select(c(id_col).alias("_id"), F.lit(outcome).alias("outcome"), grp.alias("group")) \
-        .filter(c("group").isNotNull())
+    p = c(score_column(outcome, prob_variant)).cast("double")
+    return F.when((y == 1.0) & (p <= fn_prob), "HC_FN").when(y == 1.0, "OTHER_POS").when(y == 0.0, "NEG")
 
 
 def high_confidence_rows(wide: DataFrame, context: DataFrame, outcomes: Sequence[str] = JOINT_OUTCOMES,
@@ -158,7 +182,7 @@ def high_confidence_rows(wide: DataFrame, context: DataFrame, outcomes: Sequence
     parts = []
     for o in outcomes:
         y = c(f"{o}_y_true").cast("double")
-        p = c(_prob_col(o, prob_variant)).cast("double")
+        p = c(score_column(o, prob_variant)).cast("double")
         tag = F.when((y == 1.0) & (p <= fn_prob), F.lit("HC_FN")).when((y == 0.0) & (p >= fp_prob), F.lit("HC_FP"))
         parts.append(wide.select(F.lit(o).alias("outcome"), tag.alias("tag"), c(id_col).alias(id_col),
                                  y.alias("y_true"), p.alias("prob")).filter(c("tag").isNotNull()))
@@ -176,25 +200,27 @@ def error_group_numeric_profile(wide: DataFrame, context: DataFrame, columns: Se
                                 context_id: str = "row_id", approx: bool = False) -> DataFrame:
     """Per outcome, group (HC_FN / OTHER_POS / NEG) and numeric column: n, missing, mean, median, p10, p90.
 
-    Text values are coerced with ``try_cast``.  Work is one unpivot and one
-    grouped aggregation over all outcomes, groups and columns together.
-    Exact percentiles hold each group's distinct values in one task; the NEG
-    group can be most of the table, so ``approx=True`` (``percentile_approx``)
-    is the setting for very large cohorts.
+    Text values are coerced with ``try_cast``.  Rows meet their context once, by id; groups, columns
+    and values are unfolded after that join.
     """
-    groups = None
-    for o in outcomes:
-        g = _groups(wide, o, prob_variant, fn_prob, id_col)
-        groups = g if groups is None else groups.unionByName(g)
-    ctx = context.select(c(context_id).alias("_id"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.nanvl(c(n).try_cast("double"), F.lit(None).cast("double")).alias("v"))
-        for n in columns])).alias("kv")).select("_id", "kv.column", "kv.v")
-    j = groups.join(ctx, "_id", "inner")
-    return j.groupBy("outcome", "group", "column").agg(
-        F.count("v").alias("n"), F.sum(c("v").isNull().cast("long")).alias("missing"),
-        F.avg("v").alias("mean"),
-        *[(F.percentile_approx("v", q, 100000) if approx else F.percentile("v", q)).cast("double").alias(name)
-          for name, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))])
+    cells = [F.struct(F.lit(n).alias("column"), F.nanvl(c(n).try_cast("double"), F.lit(None).cast("double")).alias("v")) for n in columns]
+    j = _members(wide, context, columns, outcomes, prob_variant, fn_prob, id_col, context_id).select("outcome", "group", F.inline(F.array(*cells)))
+    keys = ["outcome", "group", "column"]
+    qs = [("median", 0.5), ("p10", 0.1), ("p90", 0.9)]
+    stats = j.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.count_if(c("v").isNull()).alias("missing"), F.avg("v").alias("mean"),
+        *([F.percentile_approx("v", [q for _, q in qs], 100000).alias("quantiles")] if approx else []))
+    if not approx:
+        stats = stats.join(exact_quantiles(j, keys, "v", [q for _, q in qs]), keys, "left")
+    return stats.select(*keys, "n", "missing", "mean", *[F.get("quantiles", F.lit(i)).cast("double").alias(name) for i, (name, _) in enumerate(qs)])
+
+
+def _members(wide, context, columns, outcomes, prob_variant, fn_prob, id_col, context_id) -> DataFrame:
+    """(outcome, group, context columns): one row per row and outcome that has a group, after one join on the id."""
+    ctx = context.select(c(context_id).alias("_cid"), *[c(n) for n in dict.fromkeys(columns)])
+    both = wide.join(ctx, c(id_col) == c("_cid"), "inner")
+    tags = F.array(*[F.struct(F.lit(o).alias("outcome"), _group(o, prob_variant, fn_prob).alias("group")) for o in outcomes])
+    return both.select(*[c(n) for n in dict.fromkeys(columns)], F.inline(tags)).filter(c("group").isNotNull())
 
 
 def error_group_categorical_profile(wide: DataFrame, context: DataFrame, columns: Sequence[str],
@@ -202,19 +228,12 @@ def error_group_categorical_profile(wide: DataFrame, context: DataFrame, columns
                                     fn_prob: float = 0.1, id_col: str = "row_index",
                                     context_id: str = "row_id") -> DataFrame:
     """Per outcome, group, column and level (NULL kept): n and pct of the group's rows."""
-    groups = None
-    for o in outcomes:
-        g = _groups(wide, o, prob_variant, fn_prob, id_col)
-        groups = g if groups is None else groups.unionByName(g)
-    ctx = context.select(c(context_id).alias("_id"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value")) for n in columns])).alias("kv")) \
-        .select("_id", "kv.column", "kv.value")
-    j = groups.join(ctx, "_id", "inner")
+    cells = [F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value")) for n in columns]
+    j = _members(wide, context, columns, outcomes, prob_variant, fn_prob, id_col, context_id).select("outcome", "group", F.inline(F.array(*cells)))
     counts = j.groupBy("outcome", "group", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = groups.join(context.select(c(context_id).alias("_id")), "_id", "inner") \
-        .groupBy("outcome", "group").agg(F.count(F.lit(1)).alias("_size"))
-    return counts.join(sizes, ["outcome", "group"], "inner") \
-        .select("outcome", "group", "column", "value", "n", (c("n") / c("_size")).alias("pct"))
+    # every row of a group has one value per column, so a column's counts add up to the group's size
+    size = F.sum("n").over(Window.partitionBy("outcome", "group", "column"))
+    return counts.select("outcome", "group", "column", "value", "n", (c("n") / size).alias("pct"))
 
 
 # ---------------------------------------------------------------- review / pruning candidates
@@ -261,7 +280,7 @@ def _candidate_corrections(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy_prune_curve(preds: DataFrame, target_auc: float = 0.8, limit: int = 400, id_col: str = "row_index",
-                       y: str = "y_true", score: str = "prob", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                       y: str = "y_true", score: str = "prob") -> DataFrame:
     """Rows ranked by error (desc, id asc) and the AUROC left after dropping the first k.
 
     Returns the first k* rows, where k* is the first k with AUROC >= target
@@ -282,17 +301,18 @@ def greedy_prune_curve(preds: DataFrame, target_auc: float = 0.8, limit: int = 4
     cand = valid.withColumn("error", error_expr(c("y"), c("score"))).orderBy(*rank).limit(limit) \
         .withColumn("k", F.row_number().over(Window.orderBy(*rank)))
     counts = score_counts(valid, ["_g"], "y", "score")
-    cum = cumulative_below(counts, ["_g"], ["pos", "neg"], n_buckets=n_buckets)
+    cum = cumulative_below(counts, ["_g"], ["pos", "neg"])
     tot = cum.groupBy("_g").agg(F.sum(c("pos") * (c("neg_below") + c("neg") * 0.5)).alias("U"))
-    cw = cand.join(cum.select("_g", "score", "pos", "neg", "pos_below", "neg_below", c("pos_total").alias("P"),
-                              c("neg_total").alias("N")), ["_g", "score"], "inner") \
-        .join(tot, "_g", "inner")
+    u = tot.first()  # one number
+    cw = cand.join(cum.select("score", "pos", "neg", "pos_below", "neg_below", c("pos_total").alias("P"),
+                              c("neg_total").alias("N")), "score", "inner") \
+        .withColumn("U", F.lit(float(u["U"]) if u and u["U"] is not None else 0.0))
     # credit of a positive: negatives below (+ half the tied); of a negative: positives above (+ half the tied)
     cw = cw.withColumn("w", F.when(c("y") == 1.0, c("neg_below") + c("neg") * 0.5)
                        .otherwise(c("P") - c("pos_below") - c("pos") * 0.5))
     corr = cw.select("_g", "k", "_id", "y", "score", "error", "w", "P", "N", "U").groupBy("_g").applyInPandas(
         _candidate_corrections,
-        "_g int, k int, _id long, y double, score double, error double, w double, P long, N long, U double, "
+        f"_g int, k int, _id {dict(valid.dtypes)['_id']}, y double, score double, error double, w double, P long, N long, U double, "
         "corr double")
     w_run = Window.partitionBy("_g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     curve = corr.select(
@@ -318,7 +338,7 @@ def per_class_tail_prune(preds: DataFrame, already_dropped: DataFrame | None = N
     if already_dropped is not None:
         df = df.join(already_dropped.select(c(id_col)), id_col, "left_anti")
     df = df.filter(c(y).isin(0.0, 1.0)).withColumn("error", error_expr(c(y), c(score)))
-    thr = df.groupBy(y).agg(F.percentile("error", q).alias("_thr"))
+    thr = exact_quantiles(df, [y], "error", [q]).select(c(y), F.get("quantiles", F.lit(0)).alias("_thr"))
     k = max(1, drop_per_iter // 2)
     w = Window.partitionBy(y).orderBy(F.desc("error"), c(id_col))
     return df.join(thr, y, "inner").filter(c("error") > c("_thr")) \

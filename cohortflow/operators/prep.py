@@ -20,15 +20,17 @@ from collections.abc import Sequence
 import numpy as np
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler, VectorSizeHint, VectorSlicer
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
+from .quantiles import column_modes, column_quantiles
 
 
 class _HasState(Params):
@@ -70,11 +72,8 @@ class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParam
 
     def _fit(self, df: DataFrame) -> MedianImputerModel:
         cols = self.getInputCols()
-        approx = self.getOrDefault(self.approx)
-        aggs = [(F.percentile_approx(_num(c(n)), 0.5, 100000) if approx else F.percentile(_num(c(n)), 0.5)).alias(f"m{i}")
-                for i, n in enumerate(cols)]
-        row = df.agg(*aggs).first() if cols else None
-        med = {n: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else None) for i, n in enumerate(cols)}
+        found = column_quantiles(df, {n: _num(c(n)) for n in cols}, [0.5], self.getOrDefault(self.approx))
+        med = {n: (None if q is None else float(q[0])) for n, q in found.items()}
         return MedianImputerModel(inputCols=cols, state=json.dumps(med))
 
 
@@ -102,9 +101,7 @@ class ModeImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsW
 
     def _fit(self, df: DataFrame) -> ModeImputerModel:
         cols = self.getInputCols()
-        row = df.agg(*[F.mode(c(n).cast("string"), deterministic=True).alias(f"m{i}")
-                       for i, n in enumerate(cols)]).first() if cols else None
-        return ModeImputerModel(inputCols=cols, state=json.dumps({n: row[f"m{i}"] for i, n in enumerate(cols)}))
+        return ModeImputerModel(inputCols=cols, state=json.dumps(column_modes(df, cols)))
 
 
 # ---------------------------------------------------------------- E3 rare category grouper
@@ -276,6 +273,7 @@ def make_preprocessor(cat_cols: Sequence[str], num_cols: Sequence[str], min_freq
                       n_knots: int = 10, drop_first: bool = False, output_col: str = "features") -> Pipeline:
     """Numeric (median impute -> scale | spline) + categorical (mode -> rare -> one-hot), numeric slots first.
 
+    ``drop_first`` leaves out each column's first level (alphabetical), which becomes the baseline.
     One-hot uses ``StringIndexer(alphabetAsc, handleInvalid=keep)`` + ``OneHotEncoder(dropLast=True)``:
     the kept "unknown" slot is exactly the dropped one, so unseen/NULL levels map to all zeros.
     """
@@ -298,10 +296,31 @@ def make_preprocessor(cat_cols: Sequence[str], num_cols: Sequence[str], min_freq
                    StringIndexer(inputCols=cat_cols, outputCols=idx, stringOrderType="alphabetAsc",
                                  handleInvalid="keep"),
                    OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True, handleInvalid="error")]
+        if drop_first:
+            stages.append(FirstSlotDropper(inputCols=ohe_out))
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=output_col, handleInvalid="keep"))
     return Pipeline(stages=stages)
 
 
+class FirstSlotDropper(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Drops the first slot of each one-hot block: the first level in alphabetical order becomes the baseline."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for n in self.getInputCols():
+            size = df.schema[n].metadata["ml_attr"]["num_attrs"]
+            if size > 1:
+                cut = VectorSlicer(inputCol=n, outputCol=f"{n}_rest", indices=list(range(1, size)))
+                df = cut.transform(df).drop(n).withColumnRenamed(f"{n}_rest", n)
+            else:  # a column with one level keeps a constant zero, as vectors need a slot
+                df = VectorSizeHint(inputCol=n, size=1).transform(df.withColumn(n, array_to_vector(F.array(F.lit(0.0)))))
+        return df
+
+
 def slot_table(model: PipelineModel, cat_cols: Sequence[str], num_cols: Sequence[str],
                drop_first: bool = False) -> list[tuple[int, str, str, str | None]]:
     """(slot, feature name, source column, level) for every vector slot of a fitted preprocessor.
@@ -328,7 +347,11 @@ def slot_table(model: PipelineModel, cat_cols: Sequence[str], num_cols: Sequence
             else:
                 by_col[s.getInputCol()] = list(s.labels)
     for n in cat_cols:
-        for lv in by_col.get(n, []):  # alphabetical; the extra "unknown" slot is the dropped one
+        levels = by_col.get(n, [])  # alphabetical; the extra "unknown" slot is the dropped one
+        if drop_first and len(levels) <= 1:
+            slots.append((i, f"{n}=", n, None))  # the constant slot of a column whose only level is the baseline
+            i += 1
+        for lv in levels[1:] if drop_first else levels:
             slots.append((i, f"{n}={lv}", n, lv))
             i += 1
     return slots
@@ -340,8 +363,8 @@ def balanced_class_weight(df: DataFrame, y: str, out_col: str = "weight") -> Dat
     """Add w_c = n / (n_classes * n_c).  The class table has one row per class (two here)."""
     counts = df.filter(c(y).isNotNull()).groupBy(c(y).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
     w = counts.select("_cls", (F.sum("_nc").over(_all()) / (F.count("_nc").over(_all()) * c("_nc"))).alias(out_col))
-    # the class table is bounded by the number of label values (binary outcomes: 2 rows)
-    return df.join(F.broadcast(w), df[y] == w["_cls"], "left").drop("_cls")
+    # two rows for a binary outcome; Spark broadcasts it by its size
+    return df.join(w, df[y] == w["_cls"], "left").drop("_cls")
 
 
 def class_weight_table(df: DataFrame, y: str) -> DataFrame:
@@ -360,10 +383,13 @@ def _all():
 
 def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], min_freq: float = 0.01,
                      other_label: str = "Other", scale_numeric: bool = True, use_splines: bool = False,
-                     n_knots: int = 10, output_col: str = "features", approx: bool = False) -> PipelineModel:
-    """Fit the ``make_preprocessor`` pipeline with two aggregation jobs instead of one per stage.
+                     n_knots: int = 10, output_col: str = "features", approx: bool = False, drop_first: bool = False,
+                     weight_col: str | None = None) -> PipelineModel:
+    """Fit the ``make_preprocessor`` pipeline with a few aggregation jobs instead of one per stage.
+
+    ``weight_col`` holds whole numbers: a row of weight 3 counts as three rows (bootstrap draws).
 
-    * numeric job: exact median, count, mean, population variance, min, max per column; the
+    * numeric jobs: exact median, count, mean, population variance, min, max per column; the
       post-imputation mean/std follow from combining the observed moments with the imputed
       median mass (parallel-variance formula), so no second pass over imputed data;
     * categorical job: level counts per column (unpivot + group), of which only the levels the
@@ -378,17 +404,23 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
     stages = []
     num_out = list(num_cols)
     if num_cols:
-        aggs = [F.count(F.lit(1)).alias("_n")]
+        w = F.lit(1.0) if weight_col is None else c(weight_col).cast("double")
+        copies = df if weight_col is None else df.withColumn("_copy", F.explode(F.sequence(F.lit(1), c(weight_col).cast("int"))))
+        medians = column_quantiles(copies, {n: _num(c(n)) for n in num_cols}, [0.5], approx)
+        middle = {n: (q[0] if q else 0.0) for n, q in medians.items()}
+        aggs = [F.sum(w).alias("_n")]
         for i, n in enumerate(num_cols):
             x = _num(c(n))
-            med_expr = F.percentile_approx(x, 0.5, 100000) if approx else F.percentile(x, 0.5)
-            aggs += [med_expr.alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"avg{i}"),
-                     F.var_pop(x).alias(f"var{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+            d = x - F.lit(float(middle[n]))  # moments around the median lose no digits
+            aggs += [F.sum(F.when(x.isNotNull(), w)).alias(f"cnt{i}"), F.sum(w * d).alias(f"s{i}"),
+                     F.sum(w * d * d).alias(f"ss{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
         total = row["_n"]
         med, scale, rng = {}, {}, {}
         for i, n in enumerate(num_cols):
-            m, cnt, mu, var = row[f"med{i}"], row[f"cnt{i}"], row[f"avg{i}"], row[f"var{i}"]
+            m, cnt = (medians[n][0] if medians[n] else None), row[f"cnt{i}"]
+            shift = row[f"s{i}"] / cnt if cnt else 0.0
+            mu, var = middle[n] + shift, max((row[f"ss{i}"] or 0.0) / cnt - shift * shift, 0.0) if cnt else 0.0
             med[n] = float(m) if m is not None else None
             if m is None or not total:
                 scale[n] = (None, None)
@@ -407,9 +439,10 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
             stages.append(PopulationScalerModel(inputCols=num_cols, state=json.dumps(scale)))
     ohe_out = []
     if cat_cols:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))
-                                            for n in cat_cols])).alias("kv")).select("kv.*")
-        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        times = F.lit(1).cast("long") if weight_col is None else c(weight_col).cast("long")
+        long = df.select(times.alias("times"), F.inline(F.array(*[F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))
+                                                                  for n in cat_cols])))
+        counts = long.groupBy("column", "value").agg(F.sum("times").alias("cnt"))
         w_col = Window.partitionBy("column")
         ranked = counts.select(
             "*", F.sum("cnt").over(w_col).alias("total"),
@@ -451,6 +484,8 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
         stages += [ModeImputerModel(inputCols=cat_cols, state=json.dumps(modes)),
                    RareCategoryGrouperModel(inputCols=cat_cols, state=json.dumps(keep), otherLabel=other_label),
                    *indexers, _onehot_model(df.sparkSession, indexers, cat_cols, labels, idx, ohe_out)]
+        if drop_first:
+            stages.append(FirstSlotDropper(inputCols=ohe_out))
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol=output_col, handleInvalid="keep"))
     return PipelineModel(stages=stages)
 

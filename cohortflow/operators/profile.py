@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.colref import c
+from ..session import scratch_path
 from ..sources.schema import is_numeric_type
+from .quantiles import exact_quantiles
 
 QUANTILES = [("p01", 0.01), ("p05", 0.05), ("p50", 0.5), ("p95", 0.95), ("p99", 0.99)]
 
@@ -90,16 +92,18 @@ def qc_numeric_ranges(df: DataFrame, columns: Sequence[str] | None = None, appro
         F.struct(F.lit(n).alias("column"), F.nanvl(c(n).cast("double"), F.lit(None).cast("double")).alias("v"))
         for n in cols])).alias("kv")).select("kv.*").filter(c("v").isNotNull())
     qs = [q for _, q in QUANTILES]
-    pct = (F.percentile_approx("v", qs, accuracy) if approx else F.percentile("v", qs)).alias("qs")
-    agg = long.groupBy("column").agg(F.min("v").alias("min"), pct, F.max("v").alias("max"))
-    return agg.select("column", F.col("min").cast("double").alias("min"),
-                      *[c("qs")[i].cast("double").alias(name) for i, (name, _) in enumerate(QUANTILES)],
-                      F.col("max").cast("double").alias("max"))
-
-
-def qc_duplicates(df: DataFrame) -> DataFrame:
-    """Rows beyond the first occurrence over all columns (NULLs compare equal)."""
-    grouped = df.groupBy(*[c(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    ends = long.groupBy("column").agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), *([F.percentile_approx("v", qs, accuracy).alias("quantiles")] if approx else []))
+    if not approx:
+        ends = ends.join(exact_quantiles(long, ["column"], "v", qs), "column")
+    return ends.select("column", F.col("min").cast("double").alias("min"),
+                       *[F.get("quantiles", F.lit(i)).cast("double").alias(name) for i, (name, _) in enumerate(QUANTILES)],
+                       F.col("max").cast("double").alias("max"))
+
+
+def qc_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows beyond the first occurrence over all (or the given) columns; NULLs compare equal."""
+    grouped = df.groupBy(*[c(n) for n in (df.columns if columns is None else columns)]).agg(F.count(F.lit(1)).alias("_n"))
     return grouped.agg(F.coalesce(F.sum(c("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -114,30 +118,24 @@ def _pairs(columns: Sequence[str], prefix: str) -> list[tuple[str, str, str]]:
 
 
 def label_consistency(df: DataFrame, prefix: str = "") -> DataFrame:
-    """Per base with both ``base__primary`` and ``base__secondary``: agreement counts on rows valid in both."""
-    rows = []
-    for base, p, s in _pairs(df.columns, prefix):
-        pi, si = c(p).cast("int"), c(s).cast("int")
-        valid = df.filter(c(p).isNotNull() & c(s).isNotNull())
-        agg = valid.agg(
-            F.count(F.lit(1)).alias("n_total"),
-            F.sum(pi).cast("long").alias("primary_pos"),
-            F.sum(si).cast("long").alias("secondary_pos"),
-            F.sum(((pi == 1) & (si == 1)).cast("long")).alias("both_pos"),
-            F.sum(((pi == 1) & (si == 0)).cast("long")).alias("primary_pos_secondary_neg"),
-            F.sum(((pi == 0) & (si == 1)).cast("long")).alias("secondary_pos_primary_neg"),
-        ).filter(c("n_total") > 0)
-        rows.append(agg.select(
-            F.lit(base).alias("outcome"), "n_total", "primary_pos", "secondary_pos", "both_pos",
-            "primary_pos_secondary_neg", "secondary_pos_primary_neg",
-            F.round(c("primary_pos_secondary_neg") / c("n_total"), 6).alias("primary_pos_secondary_neg_rate"),
-            F.round(c("secondary_pos_primary_neg") / c("n_total"), 6).alias("secondary_pos_primary_neg_rate")))
-    if not rows:
-        raise ValueError("no outcome has both __primary and __secondary definitions")
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Per base with both ``base__primary`` and ``base__secondary``: agreement counts on rows valid in both.
+
+    No outcome with both definitions gives an empty table.
+    """
+    pairs = _pairs(df.columns, prefix)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "outcome string, n_total bigint, primary_pos bigint, secondary_pos bigint, both_pos bigint, "
+                                               "primary_pos_secondary_neg bigint, secondary_pos_primary_neg bigint, "
+                                               "primary_pos_secondary_neg_rate double, secondary_pos_primary_neg_rate double")
+    # all outcomes in one pass: (outcome, primary, secondary) cells
+    cells = [F.struct(F.lit(base).alias("outcome"), c(p).cast("int").alias("p"), c(s).cast("int").alias("s")) for base, p, s in pairs]
+    both = df.select(F.inline(F.array(*cells))).filter("p is not null and s is not null")
+    return both.groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n_total"), F.sum("p").alias("primary_pos"), F.sum("s").alias("secondary_pos"),
+        F.count_if((c("p") == 1) & (c("s") == 1)).alias("both_pos"),
+        F.count_if((c("p") == 1) & (c("s") == 0)).alias("primary_pos_secondary_neg"),
+        F.count_if((c("p") == 0) & (c("s") == 1)).alias("secondary_pos_primary_neg")).withColumns(
+        {f"{n}_rate": F.round(c(n) / c("n_total"), 6) for n in ("primary_pos_secondary_neg", "secondary_pos_primary_neg")})
 
 
 def label_crosstab(df: DataFrame, base: str, prefix: str = "") -> DataFrame:
@@ -164,18 +162,13 @@ def bin_variable(col: Column, rule: Mapping) -> Column:
     if rule.get("type") != "numeric":
         return col.cast("string")
     edges = [float(b) for b in rule["bins"]]
-    labels = list(rule.get("labels")) if rule.get("labels") is not None else [str(i) for i in range(1, len(edges) + 1)]
-    n_bins = len(edges)
-    if len(labels) > n_bins:
-        labels = labels[:n_bins]
-    elif len(labels) < n_bins:
-        labels = labels + [f"bin{i}" for i in range(len(labels) + 1, n_bins + 1)]
+    given = rule.get("labels")
+    names = [str(i + 1) if given is None else str(given[i]) if i < len(given) else f"bin{i + 1}" for i in range(len(edges))]
     x = F.nanvl(col.cast("double"), F.lit(None).cast("double"))
-    expr = None
-    for edge, label in zip(edges, labels):
-        cond = x <= edge
-        expr = F.when(cond, F.lit(str(label))) if expr is None else expr.when(cond, F.lit(str(label)))
-    return expr.otherwise(F.lit(None).cast("string"))
+    out = F.lit(None).cast("string")
+    for edge, name in reversed(list(zip(edges, names, strict=True))):  # the lowest edge that holds the value decides
+        out = F.when(x <= edge, F.lit(name)).otherwise(out)
+    return out
 
 
 def _unbinned(col: Column, dtype: T.DataType) -> Column:
@@ -204,14 +197,11 @@ def orthogonal_table(df: DataFrame, outcome_col: str, variables: Sequence[str],
             F.count("_y").alias("n"), F.avg("_y").alias("rate"),
             *([F.avg(c(pred_col)).alias("pred")] if pred_col else []))
     if complete_grid:
-        # one row holding each variable's distinct levels (struct-wrapped so a NULL level is kept),
-        # exploded variable by variable into the full level grid
-        base = df.select(*keys)
-        sets = base.agg(*[F.collect_set(F.struct(c(v).alias("v"))).alias(f"_s{i}")
-                          for i, v in enumerate(variables)])
-        for i, v in enumerate(variables):
-            sets = sets.withColumn(f"_s{i}", F.explode(f"_s{i}")).withColumn(v, F.col(f"_s{i}").getField("v"))
-        levels = sets.select(*[c(v) for v in variables])
+        # the product of the observed levels is the result that was asked for
+        levels = None
+        for v, key in zip(variables, keys, strict=True):
+            own = df.select(key).distinct()
+            levels = own if levels is None else levels.join(own, F.lit(True))
         table = _grid_join(levels, table, variables).withColumn("n", F.coalesce(c("n"), F.lit(0)))
     return table.select(*[c(v) for v in variables], c("n").cast("long").alias("n"), "rate",
                         (c("n") < min_cell_n).alias("sparse"), *(["pred"] if pred_col else []))
@@ -236,6 +226,29 @@ def _grid_join(levels: DataFrame, table: DataFrame, variables: Sequence[str]) ->
 def orthogonal_tables(df: DataFrame, outcome_col: str, combos: Sequence[Mapping],
                       binning: Mapping[str, Mapping] | None = None, min_cell_n: int = 50,
                       pred_col: str | None = None, complete_grid: bool = False) -> dict[str, DataFrame]:
-    """One table per combo ({"name": ..., "variables": [...]})."""
-    return {combo["name"]: orthogonal_table(df, outcome_col, combo["variables"], binning, min_cell_n,
-                                            pred_col, complete_grid) for combo in combos}
+    """One table per combo ({"name": ..., "variables": [...]}).
+
+    The finest cells (all variables of all combos) are aggregated once; each
+    table sums its cells from there, so the input is read once however many
+    combos there are.
+    """
+    if complete_grid:
+        return {combo["name"]: orthogonal_table(df, outcome_col, combo["variables"], binning, min_cell_n, pred_col, True) for combo in combos}
+    binning = binning or {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = list(dict.fromkeys(v for combo in combos for v in combo["variables"]))
+    keys = [(bin_variable(c(v), binning[v]) if v in binning else _unbinned(c(v), types[v])).alias(v) for v in names]
+    y = F.nanvl(c(outcome_col).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*keys, y.alias("_y"), *([c(pred_col).alias("_p")] if pred_col else []))
+    sums = [F.count("_y").alias("_n"), F.sum("_y").alias("_pos")]
+    sums += [F.count("_p").alias("_np"), F.sum("_p").alias("_sp")] if pred_col else []
+    path = scratch_path(df.sparkSession, "cells")
+    rows.groupBy(*[c(v) for v in names]).agg(*sums).write.parquet(path)
+    cells = df.sparkSession.read.parquet(path)
+    out = {}
+    for combo in combos:
+        aggs = [F.sum("_n").alias("n"), F.try_divide(F.sum("_pos"), F.sum("_n")).alias("rate")]
+        aggs += [F.try_divide(F.sum("_sp"), F.sum("_np")).alias("pred")] if pred_col else []
+        table = cells.groupBy(*[c(v) for v in combo["variables"]]).agg(*aggs)
+        out[combo["name"]] = table.select(*[c(v) for v in combo["variables"]], "n", "rate", (c("n") < min_cell_n).alias("sparse"), *(["pred"] if pred_col else []))
+    return out

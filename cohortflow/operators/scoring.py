@@ -8,7 +8,6 @@ calibration expression, unioned into one long table; nothing is collected.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -17,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
-from ..functions.exprs import apply_platt_expr
 from ..sources.schema import drop_leakage, ensure_columns, outcome_base, split_columns
-from .calibrate import fit_platt
+from .calibrate import calibrates, fit_calibrator, load_calibrator, save_calibrator
 from .models import prob_of_one
 from .search import fit_pipeline, oof_predict, search
 
@@ -31,8 +29,10 @@ def _model_dir(root: str, tag: str, outcome: str, featureset: str, model: str) -
 def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str, Sequence[str]],
               spaces: Mapping[str, Mapping], models_root: str, tag: str = "final", inner: int = 3, n_iter: int = 50,
               seed: int = 42, id_col: str = "row_id", y_prefix: str = "y_",
-              leakage_block: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Per pick: inner-CV search on all labelled rows, refit, OOF Platt calibrator, persist artifacts.
+              leakage_block: Mapping[str, Sequence[str]] | None = None, recalibration: str | None = "intercept_slope") -> DataFrame:
+    """Per pick: inner-CV search on all labelled rows, refit, calibrator fitted on out-of-fold predictions, persist artifacts.
+
+    ``recalibration``: intercept_slope, isotonic or none; a pick's own ``recalibration`` entry comes first.
 
     Returns the metadata table (one row per pick).
     """
@@ -41,6 +41,8 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
     metas = []
     for pick in picks:
         outcome, fs, kind = pick["outcome"], pick["featureset"], pick["model"]
+        wanted = pick.get("recalibration", recalibration)
+        calibrates(wanted)  # an unknown name fails before any fit
         cols = drop_leakage(feature_sets[fs], leakage_block.get(outcome_base(outcome), []))
         blocked = [x for x in feature_sets[fs] if x not in cols]
         cat, num = split_columns(df, cols)
@@ -50,17 +52,18 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
         space = spaces.get(kind, {})
         params, _ = search(base, kind, space, cat, num, inner, n_iter, seed) if space else ({}, [])
         pm = fit_pipeline(base, kind, params, cat, num, seed)
-        cal = fit_platt(oof_predict(base, kind, params, cat, num, inner, seed), "label", "prob")
+        oof = oof_predict(base, kind, params, cat, num, inner, seed) if calibrates(wanted) else None
+        cal = fit_calibrator(wanted, oof, "label", "prob")
         out = _model_dir(models_root, tag, outcome, fs, kind)
         pm.write().overwrite().save(f"{out}/pipeline")
-        cal.to_df(spark).write.mode("overwrite").parquet(f"{out}/calibrator")
+        save_calibrator(cal, spark, f"{out}/calibrator")
         stats = base.agg(F.count(F.lit(1)).alias("n_train"), F.sum("label").alias("pos")).first()
         meta = spark.createDataFrame(
             [(tag, outcome, fs, kind, int(stats["n_train"]), float(stats["pos"] or 0.0),
               float((stats["pos"] or 0.0) / stats["n_train"]) if stats["n_train"] else None, cols, blocked,
-              str(params))],
+              str(params), cal.method)],
             "tag string, outcome string, featureset string, model string, n_train long, pos double, "
-            "pos_rate double, columns_used array<string>, leakage_blocked array<string>, best_params string")
+            "pos_rate double, columns_used array<string>, leakage_blocked array<string>, best_params string, recalibration string")
         meta.write.mode("overwrite").parquet(f"{out}/meta")
         metas.append(meta)
         base.unpersist()
@@ -71,19 +74,10 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
 
 
 def list_models(spark: SparkSession, models_root: str) -> list[tuple[str, str, str, str]]:
-    """(tag, outcome, featureset, model) of every saved model (directory walk: bounded by model count)."""
-    out = []
-    root = models_root.rstrip("/")
-    if root.startswith("file:") or "://" not in root:
-        local = root.replace("file:", "")
-        for dirpath, dirnames, _ in os.walk(local):
-            if "pipeline" in dirnames:
-                rel = os.path.relpath(dirpath, local).split(os.sep)
-                if len(rel) == 4:
-                    out.append(tuple(rel))
-        return sorted(out)
-    meta = spark.read.parquet(f"{root}/*/*/*/*/meta")
-    return sorted((r["tag"], r["outcome"], r["featureset"], r["model"]) for r in meta.collect())
+    """(tag, outcome, featureset, model) of every saved model, listed in the root's own file system (bounded by model count)."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{models_root.rstrip('/')}/*/*/*/*/pipeline")
+    found = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(pattern)
+    return sorted(tuple(str(x.getPath().toString()).split("/")[-5:-1]) for x in found or ())
 
 
 def score_models(df: DataFrame, models_root: str, id_col: str = "row_id",
@@ -95,14 +89,11 @@ def score_models(df: DataFrame, models_root: str, id_col: str = "row_id",
         path = _model_dir(models_root, tag, outcome, fs, kind)
         pm = PipelineModel.load(f"{path}/pipeline")
         meta = spark.read.parquet(f"{path}/meta").first()
-        cal = spark.read.parquet(f"{path}/calibrator").first()
+        cal = load_calibrator(spark, f"{path}/calibrator")
         needed = list(meta["columns_used"])
         x = ensure_columns(df, [id_col] + needed, types).withColumnRenamed(id_col, "_id")
         scored = pm.transform(x).select(c("_id").alias("row_index"), prob_of_one(c("probability")).alias("prob"))
-        if cal is not None:
-            scored = scored.withColumn("prob_calibrated", apply_platt_expr(c("prob"), cal["intercept"], cal["slope"]))
-        else:
-            scored = scored.withColumn("prob_calibrated", F.lit(None).cast("double"))
+        scored = cal.transform(scored, "prob", "prob_calibrated")
         parts.append(scored.select("row_index", F.lit(tag).alias("tag"), F.lit(outcome).alias("outcome"),
                                    F.lit(fs).alias("featureset"), F.lit(kind).alias("model"), "prob",
                                    "prob_calibrated"))

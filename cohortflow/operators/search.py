@@ -15,20 +15,23 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
-from .calibrate import fit_isotonic, fit_platt
-from .metrics import METRIC_COLUMNS, fold_metrics, rank_metrics
-from .models import build_model, fit_features, prob_of_one
+from ..session import scratch_path
+from .calibrate import calibrates, fit_calibrator
+from .metrics import METRIC_COLUMNS, fold_metrics_both, rank_metrics
+from .models import build_model, fit_features, is_balanced, prob_of_one
 
 # ---------------------------------------------------------------- G1 stratified folds
 
@@ -58,10 +61,7 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_c
 # ---------------------------------------------------------------- candidates (G2 / G3)
 
 def space_size(space: Mapping[str, Sequence]) -> int:
-    size = 1
-    for v in space.values():
-        size *= len(v) if isinstance(v, (list, tuple)) else 1
-    return size
+    return math.prod(len(v) if isinstance(v, (list, tuple)) else 1 for v in space.values())
 
 
 def grid_candidates(space: Mapping[str, Sequence]) -> list[dict]:
@@ -92,34 +92,25 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
     cls = df.groupBy(c(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_nc"))
     w_all = Window.partitionBy()
     cls = cls.select("_cls", (F.sum("_nc").over(w_all) / (F.count("_nc").over(w_all) * c("_nc"))).alias(out))
-    return df.join(F.broadcast(cls), df[label] == cls["_cls"], "inner").drop("_cls")
+    # two rows for a binary outcome; Spark broadcasts it by its size
+    return df.join(cls, df[label] == cls["_cls"], "inner").drop("_cls")
 
 
-ROWS_PER_FIT_PARTITION = 50_000
-
-
-def fit_partitions(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
-    """Size the partitions of a cached training table for iterative fits.
-
-    Every solver iteration is one job touching every partition, so the table
-    gets ceil(n / rows_per_partition) partitions, capped at the cluster's
-    default parallelism (one wave per iteration at any scale).  Only ever
-    reduces the count (``coalesce``: no shuffle).
-    """
-    sc = df.sparkSession.sparkContext
-    want = max(1, min(sc.defaultParallelism, -(-int(n_rows) // rows_per_partition)))
-    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
+def fit_partitions(df: DataFrame) -> DataFrame:
+    """Even partitions of a training table for iterative fits, sized in bytes by Spark (a rebalance):
+    as many as the data fills, so each stays within an executor's cache at any size."""
+    return df.hint("rebalance")
 
 
 def _pre_key(kind: str, params: Mapping) -> str:
-    return json.dumps({"max_bins": params.get("max_bins"), "n_knots": params.get("n_knots")}
+    return json.dumps({k: params.get(k) for k in ("max_bins", "n_knots", "interactions")}
                       if kind in ("glassbox_additive", "gam_spline") else {})
 
 
 def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame, cat_cols, num_cols, min_freq):
     pre = fit_features(kind, cat_cols, num_cols, train, params, min_freq)
     tv = pre.transform(train).select("_id", "label", "weight", "features")
-    tv = fit_partitions(tv, tv.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    tv = fit_partitions(tv).persist(StorageLevel.MEMORY_AND_DISK)
     vv = pre.transform(valid).select("_id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     return pre, tv, vv
 
@@ -142,10 +133,11 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
         va = folded.filter(c("_fin") == f)
         for _, idxs in by_pre.items():
             _, tv, vv = _fit_vectors(kind, cands[idxs[0]], tr, va, cat_cols, num_cols, min_freq)
-            n_w = float(tv.agg(F.sum("weight")).first()[0])
+            weight = "weight" if is_balanced(kind) else None
+            n_w = float(tv.count())  # balanced weights sum to the number of rows
 
-            def run(i, tv=tv, n_w=n_w):
-                return i, build_model(kind, cands[i], n_w, seed).fit(tv)
+            def run(i, tv=tv, n_w=n_w, weight=weight):
+                return i, build_model(kind, cands[i], n_w, seed, weight_col=weight).fit(tv)
 
             with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
                 fitted = list(ex.map(run, idxs))
@@ -176,10 +168,9 @@ def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_col
     tr = with_balanced_weight(train.drop("weight") if "weight" in train.columns else train) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     pre = fit_features(kind, cat_cols, num_cols, tr, params, min_freq)
-    stats = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
-    vec = fit_partitions(pre.transform(tr), stats["n"]).persist(StorageLevel.MEMORY_AND_DISK)
-    n_w = float(stats["w"])
-    model = build_model(kind, params, n_w, seed).fit(vec)
+    vec = fit_partitions(pre.transform(tr).select("label", "weight", "features")).persist(StorageLevel.MEMORY_AND_DISK)
+    # balanced weights sum to the number of rows
+    model = build_model(kind, params, float(vec.count()), seed, weight_col="weight" if is_balanced(kind) else None).fit(vec)
     vec.unpersist()
     tr.unpersist()
     return PipelineModel(stages=[pre, model])
@@ -187,17 +178,17 @@ def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_col
 
 def oof_predict(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols, inner: int = 3, seed: int = 42,
                 min_freq: float = 0.01) -> DataFrame:
-    """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator."""
+    """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator, written to the shared folder."""
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for f in range(1, inner + 1):
         pm = fit_pipeline(folded.filter(c("_fin") != f), kind, params, cat_cols, num_cols, seed, min_freq)
         parts.append(pm.transform(folded.filter(c("_fin") == f))
                      .select("_id", "label", prob_of_one(c("probability")).alias("prob")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    path = scratch_path(train.sparkSession, "oof")
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    folded.unpersist()
+    return train.sparkSession.read.parquet(path)
 
 
 @dataclass
@@ -213,14 +204,14 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
               parallelism: int = 4, checkpoint: bool = True) -> NestedResult:
     """Outer folds: search on train, score test, calibrate on train OOF, apply to test.
 
-    Predictions (fold, row_index, y_true, prob, prob_calibrated) are
-    checkpointed to the shared checkpoint folder, which cuts the lineage of the
-    per-fold models and lets later metric jobs survive executor loss.
+    Predictions (fold, row_index, y_true, prob, prob_calibrated) are written to
+    the shared checkpoint folder, which cuts the lineage of the per-fold models
+    and lets later metric jobs survive executor loss.
     """
+    calibrates(recalibration)  # an unknown name fails before any fit
     base = df.filter(c(y).isNotNull()).select(
         c(id_col).alias("_id"), c(y).cast("double").alias("label"), *[c(n) for n in list(cat_cols) + list(num_cols)])
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    folded = stratified_folds(base, "label", outer, seed, "_id", "_fout")
+    folded = stratified_folds(base, "label", outer, seed, "_id", "_fout").persist(StorageLevel.MEMORY_AND_DISK)
     preds, best = [], []
     for f in range(1, outer + 1):
         train = folded.filter(c("_fout") != f).drop("_fout")
@@ -230,26 +221,17 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
         best.append(params)
         pm = fit_pipeline(train, kind, params, cat_cols, num_cols, seed, min_freq)
         scored = pm.transform(test).select("_id", "label", prob_of_one(c("probability")).alias("prob"))
-        if recalibration in ("intercept_slope", "isotonic"):
-            oof = oof_predict(train, kind, params, cat_cols, num_cols, inner, seed, min_freq)
-            if recalibration == "intercept_slope":
-                cal = fit_platt(oof, "label", "prob")
-                scored = cal.transform(scored, "prob", "prob_calibrated")
-            else:
-                scored = fit_isotonic(oof, "label", "prob").transform(scored, "prob", "prob_calibrated")
-        else:
-            scored = scored.withColumn("prob_calibrated", F.lit(None).cast("double"))
+        oof = oof_predict(train, kind, params, cat_cols, num_cols, inner, seed, min_freq) if calibrates(recalibration) else None
+        scored = fit_calibrator(recalibration, oof, "label", "prob").transform(scored, "prob", "prob_calibrated")
         preds.append(scored.select(F.lit(f).alias("fold"), c("_id").alias("row_index"), c("label").alias("y_true"),
                                    "prob", "prob_calibrated"))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
+    out = reduce(DataFrame.unionByName, preds)
     if checkpoint:
-        out = out.checkpoint(eager=True)
-    base.unpersist()
-    fm = fold_metrics(out, ["fold"], "y_true", "prob").join(
-        fold_metrics(out.filter(c("prob_calibrated").isNotNull()), ["fold"], "y_true", "prob_calibrated",
-                     suffix="_calibrated"), "fold", "left")
+        path = scratch_path(df.sparkSession, "nested-predictions")
+        out.write.parquet(path)
+        out = df.sparkSession.read.parquet(path)
+        folded.unpersist()
+    fm = fold_metrics_both(out, ["fold"])
     return NestedResult(out, fm, best)
 
 

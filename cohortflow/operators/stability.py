@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
@@ -20,16 +21,22 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 from .models import elasticnet
 from .prep import fit_preprocessor, slot_table
-from .search import fit_partitions, with_balanced_weight
+from .search import fit_partitions
 
-MAX_POISSON = 12
+RESOLUTION = 2.0 ** -32  # of the uniform hash that draws are made from
 
 
-def poisson_thresholds(lam: float, kmax: int = MAX_POISSON) -> list[float]:
-    """Cumulative Poisson(lam) probabilities P(X <= k), k = 0..kmax-1 (inverse-CDF sampling)."""
-    out, acc = [], 0.0
-    for k in range(kmax):
-        acc += math.exp(-lam) * lam ** k / math.factorial(k)
+def poisson_thresholds(lam: float) -> list[float]:
+    """Cumulative Poisson(lam) probabilities P(X <= k), k = 0, 1, ... (inverse-CDF sampling).
+
+    They go on until the rest of the distribution lies below the hash's resolution, whatever ``lam``.
+    """
+    term = acc = math.exp(-lam)
+    out, k = [acc], 0
+    while 1.0 - acc > RESOLUTION and (k <= lam or term > 1e-18):
+        k += 1
+        term *= lam / k
+        acc += term
         out.append(acc)
     return out
 
@@ -75,52 +82,49 @@ def draw_weight(draw: int, frac: float, seed: int, id_col: str) -> Column:
 
 def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Sequence[str], num_cols: Sequence[str],
                     n_draws: int = 200, frac: float = 0.7, seed: int = 42, id_col: str = "row_id",
-                    min_freq: float = 0.01, l1_ratio: float = 0.5, C: float = 1.0, max_iter: int = 200,
-                    preprocess: str = "per_draw") -> DataFrame:
+                    min_freq: float = 0.01, l1_ratio: float = 0.5, C: float = 1.0, max_iter: int = 5000,
+                    preprocess: str = "per_draw", parallelism: int = 4) -> DataFrame:
     """Per draw: weighted balanced elastic net; per source feature the slot with the largest |coef|;
     selected if > 1e-6 and its sign.  Returns a (draw, feature, selected, sign) table.
 
-    ``preprocess="once"`` fits the preprocessor on all rows and caches the
-    vectors (faster; the default refits it per draw on the drawn rows).
+    Medians, levels and class weights are those of the drawn rows with repeats: a row drawn
+    three times counts three times.  ``preprocess="once"`` fits the preprocessor on all rows and
+    caches the vectors (faster; the default refits it per draw).  ``parallelism`` draws are
+    fitted at a time over one cached table.
     """
     spark = df.sparkSession
     base = df.filter(c(y).isNotNull()).select(c(id_col).alias(id_col), c(y).cast("double").alias("label"),
-                                              *[c(n) for n in features])
-    base = with_balanced_weight(base).withColumnRenamed("weight", "_bw").persist(StorageLevel.MEMORY_AND_DISK)
+                                              *[c(n) for n in features]).persist(StorageLevel.MEMORY_AND_DISK)
     shared = None
     if preprocess == "once":
         pre_once = fit_preprocessor(base, cat_cols, num_cols, min_freq)
         shared = (pre_once, pre_once.transform(base).persist(StorageLevel.MEMORY_AND_DISK))
-    rows = []
-    for b in range(n_draws):
-        if shared is None:
-            sub = with_poisson_weight(base.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_bw_draw") \
-                .filter(drawn(frac))
-            pre = fit_preprocessor(sub, cat_cols, num_cols, min_freq)
-            vec = pre.transform(sub)
-        else:
-            pre, vec = shared
-            vec = with_poisson_weight(vec.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_bw_draw") \
-                .filter(drawn(frac))
-        vec = vec.withColumn("weight", c("_bw") * c("_bw_draw"))
-        stats = vec.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
-        n_w = float(stats["w"] or 0.0)
-        if n_w <= 0:
-            continue
-        vec = fit_partitions(vec.select("label", "weight", "features"), stats["n"]) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        model = elasticnet(C, l1_ratio, n_w, "weight", max_iter).fit(vec)
+
+    def one(b: int) -> list[tuple]:
+        source = base if shared is None else shared[1]
+        sub = with_poisson_weight(source.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_times").filter(drawn(frac))
+        classes = {r["label"]: float(r["n"]) for r in sub.groupBy("label").agg(F.sum("_times").alias("n")).collect()}
+        if len(classes) < 2:
+            return []
+        size = sum(classes.values())
+        balance = F.lit(0.0)
+        for label, n in classes.items():
+            balance = F.when(c("label") == label, F.lit(size / (len(classes) * n))).otherwise(balance)
+        pre = fit_preprocessor(sub, cat_cols, num_cols, min_freq, weight_col="_times") if shared is None else shared[0]
+        vec = pre.transform(sub) if shared is None else sub
+        vec = fit_partitions(vec.select("label", (balance * c("_times")).alias("weight"), "features")).persist(StorageLevel.MEMORY_AND_DISK)
+        # balanced weights of the drawn rows sum to their number
+        coef = elasticnet(C, l1_ratio, size, "weight", max_iter).fit(vec).coefficients.toArray()
         vec.unpersist()
-        coef = model.coefficients.toArray()
-        slots = slot_table(pre, cat_cols, num_cols)
-        best: dict[str, tuple[float, float]] = {}
-        for i, _name, src, _lv in slots:
+        best: dict[str, float] = {}
+        for i, _name, src, _lv in slot_table(pre, cat_cols, num_cols):
             v = coef[i] if i < len(coef) else 0.0
-            if src not in best or abs(v) > abs(best[src][0]):
-                best[src] = (v, v)
-        for f in features:
-            v = best.get(f, (0.0, 0.0))[0]
-            rows.append((b, f, float(abs(v) > 1e-6), float(np.sign(v))))
+            if src not in best or abs(v) > abs(best[src]):
+                best[src] = v
+        return [(b, f, float(abs(best.get(f, 0.0)) > 1e-6), float(np.sign(best.get(f, 0.0)))) for f in features]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = [r for part in pool.map(one, range(n_draws)) for r in part]
     base.unpersist()
     if shared is not None:
         shared[1].unpersist()

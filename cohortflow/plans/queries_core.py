@@ -205,14 +205,19 @@ register("qc_numeric_ranges", "D3", "\nUNION ALL ".join(
 
 
 def qc_duplicates_q(spark: SparkSession, sf_dir: str):
-    df = fx.f_cohort(spark, sf_dir).drop("row_id", "spend", "segment", "ethnicity")
-    return profile.qc_duplicates(df)
+    """Over all columns (the key makes every row unique), and over the measurements."""
+    df = fx.f_cohort(spark, sf_dir)
+    some = ["sbp", "dbp", "glucose", "tg", "tc", "ldl", "hdl", "sex", "waist", "urban", "smoke", "butter"]
+    return profile.qc_duplicates(df).withColumn("columns", F.lit("all")).unionByName(
+        profile.qc_duplicates(df, some).withColumn("columns", F.lit("measurements")))
 
 
 register("qc_duplicates", "D4", sq.with_(sq.F_COHORT) + """
-SELECT COALESCE(sum(cnt - 1), 0)::BIGINT AS duplicate_rows FROM (
+SELECT COALESCE(sum(cnt - 1), 0)::BIGINT AS duplicate_rows, 'measurements' AS columns FROM (
   SELECT count(*) AS cnt FROM F_cohort
-  GROUP BY sbp, dbp, glucose, tg, tc, ldl, hdl, sex, waist, urban, smoke, butter)""")(qc_duplicates_q)
+  GROUP BY sbp, dbp, glucose, tg, tc, ldl, hdl, sex, waist, urban, smoke, butter)
+UNION ALL SELECT COALESCE(sum(cnt - 1), 0)::BIGINT, 'all' FROM (SELECT count(*) AS cnt FROM F_cohort GROUP BY ALL)""".replace(
+    "GROUP BY ALL", "GROUP BY row_id, " + ", ".join(n for n, _ in sq._COHORT_COLS)))(qc_duplicates_q)
 
 
 def label_consistency_q(spark: SparkSession, sf_dir: str):
@@ -259,13 +264,12 @@ register("null_sentinels", "A3", sq.with_(sq.F_COHORT) + f"SELECT {_cohort_selec
 
 
 def read_cohort_parquet(spark: SparkSession, sf_dir: str):
-    df = readers.read_cohort(spark, f"{sf_dir.rstrip('/')}/orders.parquet", "parquet")
+    df = readers.read_cohort(spark, f"{sf_dir.rstrip('/')}/orders.parquet", "parquet", id_cols=["o_orderkey", "o_custkey"])
     return round_doubles(df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 
 
 register("read_cohort_parquet", "A2", """
-SELECT CASE WHEN o_orderkey IN (999, -1) THEN NULL ELSE o_orderkey END AS o_orderkey,
-       CASE WHEN o_custkey IN (999, -1) THEN NULL ELSE o_custkey END AS o_custkey,
+SELECT o_orderkey, o_custkey,
        CASE WHEN o_orderstatus IN ('', 'NA', 'N/A', 'null', 'NULL', '999', '999.0', '-1', '-1.0') THEN NULL
             ELSE o_orderstatus END AS o_orderstatus,
        round(CASE WHEN o_totalprice IN (999, -1) THEN NULL ELSE o_totalprice END, 6) AS o_totalprice,
@@ -275,14 +279,28 @@ FROM orders""")(read_cohort_parquet)
 
 
 def read_cohort_csv(spark: SparkSession, sf_dir: str):
-    """Spark writes the raw cohort view as CSV to the shared scratch folder, then reads it back."""
-    path = scratch_path(spark, "cohort-csv")
-    fx.f_orders(spark, sf_dir).write.option("header", "true").csv(path)
-    df = readers.read_cohort(spark, path, "csv", exempt=["row_id"])
-    return round_doubles(df)
+    """Spark writes the raw cohort view as CSV to the shared scratch folder, then reads it back.
 
-
-register("read_cohort_csv", "A1", sq.with_(sq.F_COHORT) + f"SELECT {_cohort_select()} FROM F_cohort")(read_cohort_csv)
+    Beside the cohort's columns the file has what inference must not spoil: 19-digit numbers, numbers
+    beyond BIGINT, codes such as ``3d``, text ids, and whole numbers among NA tokens.
+    """
+    path = scratch_path(spark, "cohort-csv")
+    k = c("row_id")
+    raw = fx.f_orders(spark, sf_dir).withColumns({
+        "long_number": (F.lit(1234567890123456000) + k).cast("string"),
+        "wide_number": F.concat(F.lit("9"), F.lpad(k.cast("string"), 21, "0")),
+        "code": F.concat((k % 9).cast("string"), F.when(k % 2 == 0, "d").otherwise("f")),
+        "person": F.concat(F.lit("P"), k.cast("string")),
+        "visits": F.when(k % 3 == 0, "#N/A").when(k % 3 == 1, "nan").otherwise((k % 50).cast("string"))})
+    raw.write.option("header", "true").csv(path)
+    return round_doubles(readers.read_cohort(spark, path, "csv"))
+
+
+register("read_cohort_csv", "A1", sq.with_(sq.F_COHORT) + f"""
+SELECT {_cohort_select()}, 1234567890123456000 + row_id AS long_number, '9' || lpad(row_id::VARCHAR, 21, '0') AS wide_number,
+  (row_id % 9)::VARCHAR || CASE WHEN row_id % 2 = 0 THEN 'd' ELSE 'f' END AS code, 'P' || row_id AS person,
+  CASE WHEN row_id % 3 = 2 THEN row_id % 50 END::DOUBLE AS visits
+FROM F_cohort""")(read_cohort_csv)
 
 ORDERS_MAPPING = [{"from": "o_orderkey", "to": "order_id"}, {"from": "o_totalprice", "to": "price"},
                   {"from": "not_there", "to": "x"}, {"from": "o_orderstatus", "to": "o_orderstatus"}]
@@ -313,12 +331,17 @@ SELECT fold, row_index, y_true, round(prob, 6) AS prob, round(prob_calibrated, 6
 # ------------------------------------------------------------------ schema helpers (B1-B9)
 
 def normalize_col_q(spark: SparkSession, sf_dir: str):
+    """Headers made of the part types, with full-width punctuation, a superscript and dropped marks."""
     p = fx.read(spark, sf_dir, "part")
-    return p.select("p_partkey", "p_type", schema.normalize_col_expr(c("p_type")).alias("normalized"))
+    header = F.concat(F.lit(" "), c("p_type"), F.lit("（"), c("p_partkey").cast("string"), F.lit("）／²：、·Ａ，x, "))
+    return p.select("p_partkey", header.alias("header")).withColumn("normalized", schema.normalize_col_expr(c("header")))
 
 
 register("normalize_col", "B1", """
-SELECT p_partkey, p_type, lower(regexp_replace(trim(p_type), '\\s+', '', 'g')) AS normalized FROM part
+SELECT p_partkey, header, lower(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(header,
+  '（', '('), '）', ')'), '／', '/'), '－', '-'), '·', ''), '²', '2'), '、', ''), '，', ''), ',', ''), '：', ':'),
+  '\\s+', '', 'g')) AS normalized
+FROM (SELECT p_partkey, ' ' || p_type || '（' || p_partkey || '）／²：、·Ａ，x, ' AS header FROM part)
 """)(normalize_col_q)
 
 

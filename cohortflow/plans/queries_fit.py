@@ -1,15 +1,16 @@
 """Registered queries for the iterative (model-fitting) operators.
 
-These have no SQL twin (the driver records a rows-only check); their
-invariants are covered by tests.  They run on the whole cohort stand-in with
-small search grids so a query stays in seconds; the full grids are parameters.
+Iterative fits have no SQL twin (the driver records a rows-only check); their
+invariants are covered by tests.  They run on all labelled rows of the cohort
+stand-in with small candidate lists; the full grids are parameters.  Where a fit
+has a closed form on suitable columns (log odds of groups, group means), a query
+with a SQL twin checks it.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
@@ -17,6 +18,7 @@ from ..operators import calibrate, explain, models, prep, scoring, search, stabi
 from ..session import scratch_path
 from ..functions.rules import build_outcomes
 from . import fixtures as fx
+from . import sql_fixtures as sq
 from .registry import register, round_doubles
 
 Y = "y_risk_cluster"
@@ -32,10 +34,9 @@ def _cohort(spark: SparkSession, sf_dir: str):
 
 
 def _labelled(spark: SparkSession, sf_dir: str):
-    """The labelled modelling table, persisted: every fit query runs many jobs over it."""
+    """The labelled modelling table (read from the written cohort: nothing to release)."""
     df = _cohort(spark, sf_dir).filter(c(Y).isNotNull())
-    return df.select(c("row_id").alias("_id"), c(Y).cast("double").alias("label"), *[c(n) for n in NUM + CAT]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    return df.select(c("row_id").alias("_id"), c(Y).cast("double").alias("label"), *[c(n) for n in NUM + CAT])
 
 
 def _split(spark: SparkSession, sf_dir: str):
@@ -71,14 +72,104 @@ def preprocessor_q(spark: SparkSession, sf_dir: str):
     return round_doubles(slots.join(means, "slot", "left"))
 
 
-register("make_preprocessor", "E7")(preprocessor_q)
+def _preprocessor_sql() -> str:
+    """Slots in order: numbers (standardized, so their mean is 0), then the kept levels of each text column."""
+    parts = [f"SELECT {i} AS slot, '{n}' AS feature, '{n}' AS source, NULL AS level, 0.0::DOUBLE AS mean_value" for i, n in enumerate(NUM)]
+    ctes = []
+    for n in CAT:
+        ctes.append(f"""m_{n} AS (SELECT COALESCE({n}, (SELECT {n} FROM lab WHERE {n} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {n} LIMIT 1)) AS v FROM lab),
+f_{n} AS (SELECT v, count(*) AS k FROM m_{n} GROUP BY v),
+g_{n} AS (SELECT CASE WHEN k >= 0.01 * (SELECT count(*) FROM lab) THEN v ELSE 'Other' END AS level, sum(k) AS k FROM f_{n} GROUP BY 1),
+s_{n} AS (SELECT level, k / (SELECT count(*) FROM lab) AS mean_value, row_number() OVER (ORDER BY level) - 1 AS pos FROM g_{n})""")
+    before = str(len(NUM))
+    for n in CAT:
+        parts.append(f"SELECT ({before} + pos)::INTEGER, '{n}=' || level, '{n}', level, round(mean_value, 6) FROM s_{n}")
+        before += f" + (SELECT count(*) FROM s_{n})"
+    return (sq.with_(sq.F_OUTCOMES) + f", lab AS (SELECT * FROM F_outcomes WHERE {Y} IS NOT NULL),\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts))
+
+
+register("make_preprocessor", "E7", _preprocessor_sql())(preprocessor_q)
+
+
+# ------------------------------------------------------------------ fits with a closed form (F1, I1, I3, I4)
+
+def _by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("_id", "label", F.coalesce(c("urban"), F.lit("none")).alias("urban"))
+
+
+def group_log_odds_q(spark: SparkSession, sf_dir: str):
+    """F1 on one text column with a negligible penalty: each level's balanced probability is its share of
+    weighted positives.  N1's input comes with it: probability and coefficients are of one fitted model."""
+    df = _by_level(spark, sf_dir)
+    pm = search.fit_pipeline(df, "elasticnet", {"C": 1e8, "l1_ratio": 0.0, "tol": 1e-9}, ["urban"], [], SEED, min_freq=0.0)
+    scored = models.predict_proba(pm, df)
+    return scored.groupBy("urban").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.round(F.avg("prob"), 3).alias("prob"))
+
+
+register("group_log_odds", "F1,F5", sq.with_(sq.F_OUTCOMES) + f""", lab AS (SELECT COALESCE(urban, 'none') AS urban, {Y} AS y FROM F_outcomes WHERE {Y} IS NOT NULL),
+t AS (SELECT sum(y) AS p, sum(1 - y) AS q FROM lab)
+SELECT urban, count(*) AS n, sum(y) AS pos, round((sum(y) / p) / (sum(y) / p + sum(1 - y) / q), 3) AS prob
+FROM lab, t GROUP BY urban, p, q""")(group_log_odds_q)
+
+
+def fitted_coefficients_q(spark: SparkSession, sf_dir: str):
+    """Coefficient table of a fitted model: differences of two levels' coefficients are log odds ratios."""
+    df = _by_level(spark, sf_dir)
+    pm = search.fit_pipeline(df, "elasticnet", {"C": 1e8, "l1_ratio": 0.0, "tol": 1e-9}, ["urban"], [], SEED, min_freq=0.0)
+    table = explain.coefficient_table(explain.fitted_coefficients(pm, ["urban"], []), {"urban": "Area"})
+    base = table.agg(F.min_by("coef", "feature").alias("base"))
+    return table.join(base, F.lit(True)).select("feature", "source_label", "feature_label", (F.round(c("coef") - c("base"), 2) + 0.0).alias("log_odds_ratio"))
+
+
+register("fitted_coefficients", "N1", sq.with_(sq.F_OUTCOMES) + f""", lab AS (SELECT COALESCE(urban, 'none') AS urban, {Y} AS y FROM F_outcomes WHERE {Y} IS NOT NULL),
+g AS (SELECT urban, ln(sum(y) / sum(1 - y)) AS lo FROM lab GROUP BY urban)
+SELECT 'urban=' || urban AS feature, 'Area' AS source_label, 'Area=' || urban AS feature_label,
+  round(lo - (SELECT lo FROM g ORDER BY urban LIMIT 1), 2) + 0.0 AS log_odds_ratio FROM g""")(fitted_coefficients_q)
+
+
+def _two_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.f_preds(spark, sf_dir, ["hypertension"])
+    return p.select("row_index", "y_true", F.when(c("prob") < 0.5, 0.3).otherwise(0.6).alias("prob"))
+
+
+def platt_two_scores_q(spark: SparkSession, sf_dir: str):
+    """I1 on predictions of two scores: the fitted line goes through both groups' log odds."""
+    df = _two_scores(spark, sf_dir)
+    return calibrate.fit_platt(df, "y_true", "prob").transform(df).groupBy("prob").agg(F.round(F.avg("prob_calibrated"), 4).alias("prob_calibrated"))
+
+
+register("platt_two_scores", "I1,I2", sq.with_(sq.F_PREDS) + """
+SELECT CASE WHEN prob < 0.5 THEN 0.3 ELSE 0.6 END::DOUBLE AS prob, round(avg(y_true), 4) AS prob_calibrated
+FROM F_preds WHERE outcome = 'hypertension' GROUP BY 1""")(platt_two_scores_q)
+
+
+def isotonic_levels_q(spark: SparkSession, sf_dir: str):
+    """I3/I4 on four scores whose outcome rates rise already: the fit gives the group means."""
+    p = fx.f_preds(spark, sf_dir, ["hypertension"]).select("y_true", ((F.floor(c("prob") * 4) + 1) / 5).alias("prob"))
+    out = calibrate.fit_isotonic(p).transform(p, "prob", "prob_isotonic")
+    return round_doubles(out.groupBy("prob").agg(F.count("*").alias("n"), F.max("prob_isotonic").alias("prob_isotonic"), F.min("prob_isotonic").alias("least")))
+
+
+register("isotonic_levels", "I3,I4", sq.with_(sq.F_PREDS) + """
+SELECT round((floor(prob * 4) + 1) / 5, 6) AS prob, count(*) AS n, round(avg(y_true), 6) AS prob_isotonic, round(avg(y_true), 6) AS least
+FROM F_preds WHERE outcome = 'hypertension' GROUP BY 1""")(isotonic_levels_q)
+
+
+def additive_base_rate_q(spark: SparkSession, sf_dir: str):
+    """F3 is unweighted: over the rows it was fitted on, its mean probability is the outcome's rate."""
+    df = _labelled(spark, sf_dir)
+    pm = search.fit_pipeline(df, "glassbox_additive", {"max_bins": 16, "C": 1.0, "interactions": 2}, CAT, NUM, SEED)
+    return models.predict_proba(pm, df).agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.round(F.avg("prob"), 3).alias("mean_prob"))
+
+
+register("additive_base_rate", "F3,F5", sq.with_(sq.F_OUTCOMES) + f"""
+SELECT count(*) AS n, sum({Y}) AS pos, round(avg({Y}), 3) AS mean_prob FROM F_outcomes WHERE {Y} IS NOT NULL""")(additive_base_rate_q)
 
 EN_SPACE = {"C": [0.1, 1.0], "l1_ratio": [0.5]}
 
 
 def grid_search_q(spark: SparkSession, sf_dir: str):
-    train, _ = _split(spark, sf_dir)
-    best, scores = search.search(train, "elasticnet", EN_SPACE, CAT, NUM, inner=2, n_iter=50, seed=SEED)
+    best, scores = search.search(_labelled(spark, sf_dir), "elasticnet", EN_SPACE, CAT, NUM, inner=3, n_iter=50, seed=SEED)
     return spark.createDataFrame([(str(p), float(s), str(p) == str(best)) for p, s in scores],
                                  "params string, mean_auc double, best boolean")
 
@@ -87,10 +178,9 @@ register("grid_search", "G2")(grid_search_q)
 
 
 def random_search_q(spark: SparkSession, sf_dir: str):
-    train, _ = _split(spark, sf_dir)
     space = {"n_estimators": [10, 20], "max_depth": [2, 3], "learning_rate": [0.1], "subsample": [1.0],
              "colsample_bytree": [1.0]}
-    best, scores = search.search(train, "boosted_trees", space, CAT, NUM, inner=2, n_iter=2, seed=SEED)
+    best, scores = search.search(_labelled(spark, sf_dir), "boosted_trees", space, CAT, NUM, inner=3, n_iter=3, seed=SEED)
     return spark.createDataFrame([(str(p), float(s), str(p) == str(best)) for p, s in scores],
                                  "params string, mean_auc double, best boolean")
 
@@ -99,8 +189,7 @@ register("random_search", "G3")(random_search_q)
 
 
 def oof_q(spark: SparkSession, sf_dir: str):
-    train, _ = _split(spark, sf_dir)
-    return round_doubles(search.oof_predict(train, "elasticnet", {"C": 1.0, "l1_ratio": 0.5}, CAT, NUM, inner=3,
+    return round_doubles(search.oof_predict(_labelled(spark, sf_dir), "elasticnet", {"C": 1.0, "l1_ratio": 0.5}, CAT, NUM, inner=3,
                                             seed=SEED))
 
 
@@ -109,8 +198,10 @@ register("oof_predict", "G4")(oof_q)
 
 def nested_cv_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
-    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=3, inner=2, seed=SEED)
-    return round_doubles(res.fold_metrics)
+    """Fold metrics with the parameters that each fold's search chose."""
+    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=5, inner=3, seed=SEED)
+    chosen = spark.createDataFrame([(k + 1, str(p)) for k, p in enumerate(res.best_params)], "fold int, best_params string")
+    return round_doubles(res.fold_metrics.join(chosen, "fold"))
 
 
 register("nested_cv", "G5,I1")(nested_cv_q)
@@ -118,9 +209,8 @@ register("nested_cv", "G5,I1")(nested_cv_q)
 
 def run_experiment_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
-    m, _ = search.run_experiment(df, ["risk_cluster", "central_obesity"], {"LABS": ["tc", "ldl", "smoke"]},
-                                 {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}}, outer=2, inner=2, seed=SEED,
-                                 recalibration=None)
+    m, _ = search.run_experiment(df, ["risk_cluster"], {"LABS": ["tc", "ldl", "smoke"]},
+                                 {"elasticnet": EN_SPACE, "glassbox_additive": {"max_bins": [16]}}, outer=5, inner=3, seed=SEED)
     return round_doubles(m)
 
 
@@ -132,8 +222,9 @@ def fit_and_score_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
     root = scratch_path(spark, "models")
     scoring.fit_picks(df, [{"outcome": "risk_cluster", "featureset": "LABS", "model": "elasticnet"},
-                           {"outcome": "central_obesity", "featureset": "LABS", "model": "elasticnet"}],
-                      {"LABS": ["tc", "ldl", "spend", "smoke", "urban"]}, {}, root, inner=2, seed=SEED)
+                           {"outcome": "central_obesity", "featureset": "LABS", "model": "glassbox_additive", "recalibration": "isotonic"},
+                           {"outcome": "central_obesity", "featureset": "LABS", "model": "gam_spline", "recalibration": "none"}],
+                      {"LABS": ["tc", "ldl", "spend", "smoke", "urban"]}, {"elasticnet": EN_SPACE}, root, inner=3, seed=SEED)
     return round_doubles(scoring.score_models(fx.f_cohort(spark, sf_dir), root))
 
 
@@ -161,8 +252,7 @@ register("isotonic_calibration", "I3,I4")(isotonic_q)
 
 def stability_selection_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
-    draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=4, frac=0.7, seed=SEED,
-                                      preprocess="once")
+    draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=4, frac=0.7, seed=SEED)
     return stability.stability_summary(draws)
 
 
@@ -175,19 +265,17 @@ def tree_contributions_q(spark: SparkSession, sf_dir: str):
     pre, gbt = pm.stages[0], pm.stages[1]
     slots = prep.slot_table(pre, CAT, NUM)
     vec = pre.transform(df)
-    contrib = explain.tree_contributions(gbt, vec, [s[1] for s in slots], scratch_path(spark, "gbt"), id_col="_id")
-    src = spark.createDataFrame([(s[1], s[2]) for s in slots], "slot string, source_feature string")
-    return round_doubles(explain.mean_abs_contribution(contrib, src))
+    return round_doubles(explain.mean_abs_tree_contribution(gbt, vec, [(s[1], s[2]) for s in slots], scratch_path(spark, "gbt")))
 
 
 register("tree_contributions", "N4")(tree_contributions_q)
 
 
 def additive_global_q(spark: SparkSession, sf_dir: str):
+    """Shape table (one row per bin) with each feature's importance."""
     df = _labelled(spark, sf_dir)
-    pm = search.fit_pipeline(df, "glassbox_additive", {"max_bins": 8, "C": 1.0}, CAT, NUM, SEED)
-    bins, imp = explain.additive_global(pm, df, CAT, NUM)
-    return round_doubles(imp)
+    bins, imp = explain.explain_additive(df, CAT, NUM, max_bins=16)
+    return round_doubles(bins.join(imp.drop("feature_type"), "feature"))
 
 
 register("additive_global", "N5")(additive_global_q)

@@ -74,10 +74,7 @@ register("calibration_slope_intercept", "H5", sq.with_(sq.F_PREDS, sm.point_cte(
 
 
 def fold_metrics_table(spark: SparkSession, sf_dir: str, alt: bool = False):
-    p = _preds(spark, sf_dir, alt)
-    raw = metrics.fold_metrics(p, K4, "y_true", "prob")
-    cal = metrics.fold_metrics(p, K4, "y_true", "prob_calibrated", suffix="_calibrated")
-    return raw.join(cal, K4, "left")
+    return metrics.fold_metrics_both(_preds(spark, sf_dir, alt), K4)
 
 
 def fold_metrics_q(spark: SparkSession, sf_dir: str):
@@ -211,7 +208,7 @@ register("scores_wide", "L2", _scores_wide_sql())(scores_wide_q)
 
 
 def wide_preds(spark: SparkSession, sf_dir: str):
-    return postscore.predictions_wide(fx.f_preds(spark, sf_dir))
+    return postscore.predictions_wide(fx.f_preds(spark, sf_dir), outcomes=[o for o, _, _ in fx.PRED_OUTCOMES])
 
 
 def predictions_wide_q(spark: SparkSession, sf_dir: str):
@@ -236,6 +233,26 @@ register("predictions_wide", "M4", _WIDE + f"SELECT row_index, {_WIDE_ROUND}, pr
     predictions_wide_q)
 
 
+def score_tiers_q(spark: SparkSession, sf_dir: str):
+    """Scored models -> wide scores -> a tier column per tag and variant."""
+    wide = postscore.scores_wide(scores_long(spark, sf_dir), "row_index", "seq", models=[("cv", o) for o, _, _ in fx.PRED_OUTCOMES])
+    return round_doubles(postscore.assign_tiers(wide).select("row_index", "cv__tier__raw", "cv__tier__calibrated"))
+
+
+def _score_tier_sql() -> str:
+    def tier(suffix: str) -> str:
+        h, g, d = (f'cv__{o}__{suffix}' for o, _, _ in fx.PRED_OUTCOMES)
+        return (f"CASE WHEN {h} >= 0.8 AND {g} >= 0.7 THEN 'T3' WHEN {h} >= 0.8 OR {g} >= 0.7 OR {d} >= 0.7 THEN 'T2' "
+                f"WHEN {h} >= 0.6 OR {g} >= 0.6 OR {d} >= 0.6 THEN 'T1' ELSE 'T0' END")
+    best = ", ".join(f"arg_min({pc}, seq) FILTER (WHERE outcome = '{o}') AS cv__{o}__{pc}" for o, _, _ in fx.PRED_OUTCOMES for pc in ("prob", "prob_calibrated"))
+    return sq.with_(sq.F_PREDS_ALT) + f""", w AS (SELECT row_index, {best}
+  FROM (SELECT *, CASE WHEN model = 'elasticnet' THEN 0 ELSE 1 END AS seq FROM F_preds) GROUP BY row_index)
+SELECT row_index, {tier("prob")} AS cv__tier__raw, {tier("prob_calibrated")} AS cv__tier__calibrated FROM w"""
+
+
+register("score_tiers", "L2-L3", _score_tier_sql())(score_tiers_q)
+
+
 def ladder(spark: SparkSession, sf_dir: str):
     return postscore.joint_risk_ladder(wide_preds(spark, sf_dir))
 
@@ -614,7 +631,7 @@ register("stratified_folds", "G1", sq.with_(sq.F_OUTCOMES) + """
 SELECT row_id, y_risk_cluster, ((row_number() OVER (PARTITION BY y_risk_cluster ORDER BY md5('42|' || row_id), row_id)
   - 1) % 5 + 1)::INTEGER AS fold FROM F_outcomes WHERE y_risk_cluster IS NOT NULL""")(folds_q)
 
-N_DRAWS = 20
+N_DRAWS = 200
 SMD_FEATS = ["sbp", "glucose", "tg", "waist", "spend"]
 
 

@@ -7,7 +7,9 @@ the session does not name one, which is the local-test case.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,19 +51,35 @@ def tune_optimizer(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder that the session names.
+
+    A session that names none gets a folder of its own on a local master (tests and
+    single-machine runs).  On a cluster that is an error: executors would write to their own disks.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if sc_dir.isDefined():
-            current = sc_dir.get()
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = set_before.get() if set_before.isDefined() else None
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
+        _local_scratch.add(current)
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+_local_scratch: set[str] = set()
+
+
+@atexit.register
+def _remove_local_scratch() -> None:
+    """Folders made here for a local session go when its process ends."""
+    for path in _local_scratch:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark)

@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohortflow.operators import calibrate, metrics
+from cohortflow.operators.quantiles import bucket_edges, bucket_of, exact_quantiles
 
 
 def _auc_brute(y, p):
@@ -43,7 +46,7 @@ def table(spark):
 
 def test_auc_ap_match_brute_force(spark, table):
     rows, df = table
-    got = {r["g"]: r for r in metrics.rank_metrics(df, ["g"], n_buckets=7).collect()}
+    got = {r["g"]: r for r in metrics.rank_metrics(df, ["g"]).collect()}
     for g in range(3):
         y = np.array([r[1] for r in rows if r[0] == g])
         p = np.array([r[2] for r in rows if r[0] == g])
@@ -108,3 +111,40 @@ def test_isotonic_is_monotone(spark, table):
     out = iso.transform(df).orderBy("prob").select("prob_calibrated").collect()
     vals = [r[0] for r in out]
     assert all(a <= b + 1e-12 for a, b in zip(vals, vals[1:]))
+
+
+def test_rank_metrics_when_scores_crowd(spark):
+    """Scores of a rare outcome lie in one part in a million near 0: buckets follow the scores."""
+    rng = np.random.default_rng(5)
+    s = rng.random(4000) * 1e-7
+    y = (rng.random(4000) < 0.3 + 0.4 * s / 1e-7).astype(float)
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(y, s, strict=True)], "g string, y_true double, prob double")
+    counts = metrics.score_counts(df, ["g"])
+    edges = bucket_edges(counts, ["g"], "score")
+    per = counts.join(edges, "g").select(bucket_of(F.col("score"), F.col("_edges")).alias("b")).groupBy("b").count()
+    assert per.agg(F.max("count")).first()[0] <= 40
+    got = metrics.rank_metrics(df, ["g"]).first()["roc_auc"]
+    pos, neg = s[y == 1], s[y == 0]
+    want = (np.searchsorted(np.sort(neg), pos)).sum() / (len(pos) * len(neg))
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_constant_scores_do_not_break_the_report(spark):
+    rows = [("flat", float(i % 2), 0.3) for i in range(20)] + [("ok", float(i % 3 == 0), i / 40) for i in range(40)]
+    df = spark.createDataFrame(rows, "model string, y_true double, prob double")
+    out = calibrate.binned_calibration(df, ["model"]).toPandas()
+    flat = out[out.model == "flat"]
+    assert len(flat) == 1 and flat.n.iloc[0] == 20 and flat.bin_lo.iloc[0] == flat.bin_hi.iloc[0] == pytest.approx(0.3)
+    assert out[out.model == "ok"].n.sum() == 40
+
+
+def test_exact_quantiles_match_sorting(spark):
+    rng = np.random.default_rng(0)
+    parts = []
+    for k, n in enumerate([1, 2, 3, 10, 64, 1000]):
+        for kind, v in enumerate([rng.normal(size=n), rng.integers(0, 5, n).astype(float), np.exp(rng.normal(size=n) * 5)]):
+            parts += [(f"{k}-{kind}", float(x)) for x in v]
+    qs = [0, 0.01, 0.1, 0.25, 0.5, 0.9, 0.99, 1]
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(spark.createDataFrame(parts, "g string, v double"), ["g"], "v", qs).collect()}
+    for g, values in got.items():
+        assert np.allclose(values, np.quantile([x for k, x in parts if k == g], qs), rtol=1e-12)

@@ -48,7 +48,7 @@ def test_greedy_prune_curve_matches_brute_force(spark, target, limit):
     ids = np.arange(1000, 1000 + n)
     df = spark.createDataFrame([(int(i), float(a), float(b)) for i, a, b in zip(ids, y, p)],
                                "row_index long, y_true double, prob double")
-    got = postscore.greedy_prune_curve(df, target_auc=target, limit=limit, n_buckets=5).orderBy("k").collect()
+    got = postscore.greedy_prune_curve(df, target_auc=target, limit=limit).orderBy("k").collect()
     exp = _brute_greedy(list(ids), y, p, target, limit)
     assert [r["row_index"] for r in got] == [e[0] for e in exp]
     for r, e in zip(got, exp):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import explain, prep, search, stability
+from cohortflow.operators import explain, metrics, models, prep, search, stability
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,113 @@ def test_stability_summary_semantics(spark):
                                   "draw int, feature string, selected double, sign double")
     r = stability.stability_summary(draws).first()
     assert r["inclusion_freq"] == 0.75 and r["sign_consistency"] == 0.5
+
+
+def test_drop_first(spark, cohort):
+    for fitted in (prep.make_preprocessor(["cat"], ["x2"], drop_first=True).fit(cohort), prep.fit_preprocessor(cohort, ["cat"], ["x2"], drop_first=True)):
+        slots = prep.slot_table(fitted, ["cat"], ["x2"], drop_first=True)
+        assert [s[1] for s in slots] == ["x2", "cat=a", "cat=b", "cat=c"]
+        assert len(fitted.transform(cohort).select("features").first()[0]) == 4
+
+
+def test_fused_fit_with_repeat_weights(spark, cohort):
+    """A row of weight 3 counts as three rows in medians, moments and levels."""
+    w = cohort.withColumn("w", (F.col("row_id") % 4).cast("int"))
+    copies = w.filter("w > 0").withColumn("k", F.explode(F.expr("sequence(1, w)")))
+    a = prep.fit_preprocessor(w.filter("w > 0"), ["cat"], ["x1", "x2"], weight_col="w")
+    b = prep.fit_preprocessor(copies, ["cat"], ["x1", "x2"])
+    x, y = (p.transform(cohort).select("features").toPandas()["features"].map(lambda v: v.toArray()) for p in (a, b))
+    assert np.allclose(np.vstack(x), np.vstack(y), atol=1e-9)
+
+
+def _base(cohort):
+    return cohort.select(F.col("row_id").alias("_id"), F.col("y").alias("label"), "x1", "x2", "cat")
+
+
+def test_unweighted_families_keep_the_base_rate(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.random() < 0.08), float(rng.normal()), str(rng.choice(["a", "b"]))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "_id long, label double, x double, cat string")
+    rate = df.agg(F.avg("label")).first()[0]
+    for kind, params in (("glassbox_additive", {"max_bins": 8}), ("boosted_trees", {"n_estimators": 10})):
+        pm = search.fit_pipeline(df, kind, params, ["cat"], ["x"])
+        mean = pm.transform(df).select(models.prob_of_one(F.col("probability")).alias("p")).agg(F.avg("p")).first()[0]
+        assert mean == pytest.approx(rate, abs=0.03)
+    pm = search.fit_pipeline(df, "elasticnet", {"C": 1.0}, ["cat"], ["x"])
+    mean = pm.transform(df).select(models.prob_of_one(F.col("probability")).alias("p")).agg(F.avg("p")).first()[0]
+    assert mean == pytest.approx(0.5, abs=0.05)  # balanced classes
+
+
+def test_interactions_change_the_fit(spark):
+    """The label is the sign of a product: only a pair term can tell it."""
+    rng = np.random.default_rng(4)
+    a, b, noise = rng.normal(size=1200), rng.normal(size=1200), rng.normal(size=1200)
+    df = spark.createDataFrame([(i, float(a[i] * b[i] > 0), float(a[i]), float(b[i]), float(noise[i])) for i in range(1200)],
+                               "_id long, label double, a double, b double, noise double")
+    auc = {}
+    for k in (0, 1):
+        pm = search.fit_pipeline(df, "glassbox_additive", {"max_bins": 8, "interactions": k}, [], ["a", "b", "noise"])
+        p = pm.transform(df).select(F.lit(0).alias("g"), F.col("label").alias("y_true"), models.prob_of_one(F.col("probability")).alias("prob"))
+        auc[k] = metrics.rank_metrics(p, ["g"]).first()["roc_auc"]
+    assert auc[0] < 0.7 and auc[1] > 0.9
+
+
+def test_additive_levels_are_bounded(spark):
+    df = spark.createDataFrame([(i, float(i % 2), f"id{i}") for i in range(600)], "_id long, label double, who string")
+    pre = models.fit_additive(df, ["who"], [], min_freq=0.01)
+    assert len(pre.transform(df).select("features").first()[0]) <= 3
+
+
+def test_explanation_keeps_missing_as_a_level(spark, cohort):
+    bins, imp = explain.explain_additive(_base(cohort), ["cat"], ["x1", "x2"], max_bins=8)
+    assert {r["feature"] for r in imp.collect()} == {"cat", "x1", "x2"}
+    n = {r["feature"]: r["n"] for r in bins.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    assert set(n.values()) == {600}
+
+
+def test_logistic_fit_is_optimal(spark, cohort):
+    """at the fitted coefficients the penalized loss has a zero subgradient."""
+    base = search.with_balanced_weight(_base(cohort))
+    pre = prep.fit_preprocessor(base, ["cat"], ["x1", "x2"])
+    vec = pre.transform(base)
+    m = models.elasticnet(C=0.5, l1_ratio=0.5, weight_sum=600.0, tol=1e-9).fit(vec)
+    pdf = vec.select("features", "label", "weight").toPandas()
+    X, y, w = np.vstack([v.toArray() for v in pdf.features]), pdf.label.to_numpy(), pdf.weight.to_numpy()
+    beta = m.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(X @ beta + m.intercept)))
+    grad = X.T @ (w * (p - y)) / w.sum()
+    reg = 1.0 / (0.5 * 600.0)
+    for g, b in zip(grad, beta, strict=True):
+        if abs(b) > 1e-8:
+            assert g + reg * (0.5 * np.sign(b) + 0.5 * b) == pytest.approx(0, abs=2e-4)
+        else:
+            assert abs(g) <= reg * 0.5 + 2e-4
+    assert abs(np.sum(w * (p - y)) / w.sum()) < 2e-4
+
+
+def test_recalibration_persists_and_reloads(spark, cohort):
+    from cohortflow.operators import scoring
+    from cohortflow.session import scratch_path
+
+    df = cohort.withColumnRenamed("y", "y_out")
+    root = scratch_path(spark, "models")
+    picks = [{"outcome": "out", "featureset": "F", "model": "elasticnet", "recalibration": r} for r in ("none", "intercept_slope", "isotonic")]
+    for k, p in enumerate(picks):
+        scoring.fit_picks(df, [p], {"F": ["x1", "x2", "cat"]}, {}, root, tag=f"t{k}", inner=2)
+    assert [m[0] for m in scoring.list_models(spark, root)] == ["t0", "t1", "t2"]
+    out = scoring.score_models(df, root).toPandas()
+    assert out[out.tag == "t0"].prob_calibrated.isna().all()
+    assert not out[out.tag != "t0"].prob_calibrated.isna().any()
+    iso = out[out.tag == "t2"].sort_values("prob").prob_calibrated.to_numpy()
+    assert (np.diff(iso) >= -1e-12).all()
+    again = search.fit_pipeline(df.select(F.col("row_id").alias("_id"), F.col("y_out").alias("label"), "x1", "x2", "cat"), "elasticnet", {}, ["cat"], ["x1", "x2"])
+    mem = again.transform(df.withColumnRenamed("row_id", "_id")).select("_id", models.prob_of_one(F.col("probability")).alias("p")).toPandas().set_index("_id").p
+    saved = out[out.tag == "t1"].set_index("row_index").prob
+    assert np.allclose(saved.sort_index(), mem.sort_index(), atol=1e-6)
+    with pytest.raises(ValueError):
+        scoring.fit_picks(df, [{**picks[0], "recalibration": "magic"}], {"F": ["x1"]}, {}, root)
+
+
+def test_poisson_thresholds_cover_large_fractions():
+    t = stability.poisson_thresholds(30.0)
+    assert len(t) > 60 and 1 - t[-1] < 2 ** -31
