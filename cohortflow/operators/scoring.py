@@ -19,7 +19,7 @@ from ..functions.colref import c
 from ..sources.schema import drop_leakage, ensure_columns, outcome_base, split_columns
 from .calibrate import calibrates, fit_calibrator, load_calibrator, save_calibrator
 from .models import prob_of_one
-from .search import fit_pipeline, oof_predict, search
+from .search import choose, fit_pipeline, oof_predict
 
 
 def _model_dir(root: str, tag: str, outcome: str, featureset: str, model: str) -> str:
@@ -50,7 +50,7 @@ def fit_picks(df: DataFrame, picks: Sequence[Mapping], feature_sets: Mapping[str
             c(id_col).alias("_id"), c(y_prefix + outcome).cast("double").alias("label"), *[c(n) for n in cols]) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         space = spaces.get(kind, {})
-        params, _ = search(base, kind, space, cat, num, inner, n_iter, seed) if space else ({}, [])
+        params = choose(base, kind, space, cat, num, inner, n_iter, seed)
         pm = fit_pipeline(base, kind, params, cat, num, seed)
         oof = oof_predict(base, kind, params, cat, num, inner, seed) if calibrates(wanted) else None
         cal = fit_calibrator(wanted, oof, "label", "prob")

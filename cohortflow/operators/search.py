@@ -158,6 +158,13 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
     return cands[best_i], means
 
 
+def choose(train: DataFrame, kind: str, space: Mapping[str, Sequence], *args) -> dict:
+    """The best candidate of a space; a space of one needs no search."""
+    if space_size(space or {}) == 1:
+        return grid_candidates(space)[0] if space else {}
+    return search(train, kind, space, *args)[0]
+
+
 def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols, seed: int = 42,
                  min_freq: float = 0.01) -> PipelineModel:
     """Preprocessor + model refitted on all given rows (balanced weights on those rows).
@@ -216,8 +223,7 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     for f in range(1, outer + 1):
         train = folded.filter(c("_fout") != f).drop("_fout")
         test = folded.filter(c("_fout") == f).drop("_fout")
-        params, _ = search(train, kind, space, cat_cols, num_cols, inner, n_iter, seed, min_freq, parallelism) \
-            if space else ({}, [])
+        params = choose(train, kind, space, cat_cols, num_cols, inner, n_iter, seed, min_freq, parallelism)
         best.append(params)
         pm = fit_pipeline(train, kind, params, cat_cols, num_cols, seed, min_freq)
         scored = pm.transform(test).select("_id", "label", prob_of_one(c("probability")).alias("prob"))

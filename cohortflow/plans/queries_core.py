@@ -93,14 +93,11 @@ FROM F_outcomes""")(outcomes_table)
 # ------------------------------------------------------------------ flagship + profiling (D1-D9)
 
 def cohort_with_outcomes(spark: SparkSession, sf_dir: str):
-    df = fx.f_cohort(spark, sf_dir)
-    return build_outcomes(df, fx.OUTCOMES_SPEC)
+    """The labelled cohort, written once: its rules run in one pass, whatever is computed from it."""
+    return build_outcomes(fx.f_cohort(spark, sf_dir), fx.OUTCOMES_SPEC, checkpoint=True)
 
 
-def labelled_cohort(spark: SparkSession, sf_dir: str):
-    """The same table checkpointed once: for queries that filter on outcome columns, so the filter reads
-    materialized labels instead of re-evaluating rule trees Catalyst would inline into the scan."""
-    return build_outcomes(fx.f_cohort(spark, sf_dir), fx.OUTCOMES_SPEC, checkpoint=True)
+labelled_cohort = cohort_with_outcomes
 
 
 def flagship(spark: SparkSession, sf_dir: str):
