@@ -210,7 +210,8 @@ register("nested_cv", "G5,I1")(nested_cv_q)
 def run_experiment_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
     m, _ = search.run_experiment(df, ["risk_cluster"], {"LABS": ["tc", "ldl", "smoke"]},
-                                 {"elasticnet": EN_SPACE, "glassbox_additive": {"max_bins": [16]}}, outer=5, inner=3, seed=SEED)
+                                 {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}, "glassbox_additive": {"max_bins": [16]}},
+                                 outer=5, inner=3, seed=SEED)
     return round_doubles(m)
 
 
