@@ -96,10 +96,17 @@ def with_balanced_weight(df: DataFrame, label: str = "label", out: str = "weight
     return df.join(cls, df[label] == cls["_cls"], "inner").drop("_cls")
 
 
-def fit_partitions(df: DataFrame) -> DataFrame:
-    """Even partitions of a training table for iterative fits, sized in bytes by Spark (a rebalance):
-    as many as the data fills, so each stays within an executor's cache at any size."""
-    return df.hint("rebalance")
+FIT_PARTITION_BYTES = 64 << 20
+
+
+def fit_partitions(df: DataFrame, n_rows: int) -> DataFrame:
+    """Even partitions of a table of vectors for iterative fits, of about 64 MB each and as many as that takes.
+
+    Every solver iteration is one job over all of them, so a small table is one task and a large one
+    is spread without a cap.  The width of the vectors is known from their metadata.
+    """
+    width = df.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 1)
+    return df.repartition(max(1, -(-int(n_rows) * width * 8 // FIT_PARTITION_BYTES)))
 
 
 def _pre_key(kind: str, params: Mapping) -> str:
@@ -110,7 +117,7 @@ def _pre_key(kind: str, params: Mapping) -> str:
 def _fit_vectors(kind: str, params: Mapping, train: DataFrame, valid: DataFrame, cat_cols, num_cols, min_freq):
     pre = fit_features(kind, cat_cols, num_cols, train, params, min_freq)
     tv = pre.transform(train).select("_id", "label", "weight", "features")
-    tv = fit_partitions(tv).persist(StorageLevel.MEMORY_AND_DISK)
+    tv = fit_partitions(tv, train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     vv = pre.transform(valid).select("_id", "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     return pre, tv, vv
 
@@ -175,9 +182,10 @@ def fit_pipeline(train: DataFrame, kind: str, params: Mapping, cat_cols, num_col
     tr = with_balanced_weight(train.drop("weight") if "weight" in train.columns else train) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     pre = fit_features(kind, cat_cols, num_cols, tr, params, min_freq)
-    vec = fit_partitions(pre.transform(tr).select("label", "weight", "features")).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = tr.count()
+    vec = fit_partitions(pre.transform(tr).select("label", "weight", "features"), n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     # balanced weights sum to the number of rows
-    model = build_model(kind, params, float(vec.count()), seed, weight_col="weight" if is_balanced(kind) else None).fit(vec)
+    model = build_model(kind, params, float(n_rows), seed, weight_col="weight" if is_balanced(kind) else None).fit(vec)
     vec.unpersist()
     tr.unpersist()
     return PipelineModel(stages=[pre, model])
@@ -187,11 +195,14 @@ def oof_predict(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols
                 min_freq: float = 0.01) -> DataFrame:
     """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator, written to the shared folder."""
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for f in range(1, inner + 1):
+
+    def held_out(f: int) -> DataFrame:
         pm = fit_pipeline(folded.filter(c("_fin") != f), kind, params, cat_cols, num_cols, seed, min_freq)
-        parts.append(pm.transform(folded.filter(c("_fin") == f))
-                     .select("_id", "label", prob_of_one(c("probability")).alias("prob")))
+        return (pm.transform(folded.filter(c("_fin") == f))
+                .select("_id", "label", prob_of_one(c("probability")).alias("prob")))
+
+    with ThreadPoolExecutor(max_workers=max(1, inner)) as pool:  # the folds' fits are independent
+        parts = list(pool.map(held_out, range(1, inner + 1)))
     path = scratch_path(train.sparkSession, "oof")
     reduce(DataFrame.unionByName, parts).write.parquet(path)
     folded.unpersist()
@@ -219,18 +230,20 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     base = df.filter(c(y).isNotNull()).select(
         c(id_col).alias("_id"), c(y).cast("double").alias("label"), *[c(n) for n in list(cat_cols) + list(num_cols)])
     folded = stratified_folds(base, "label", outer, seed, "_id", "_fout").persist(StorageLevel.MEMORY_AND_DISK)
-    preds, best = [], []
-    for f in range(1, outer + 1):
+
+    def one_fold(f: int) -> tuple[DataFrame, dict]:
         train = folded.filter(c("_fout") != f).drop("_fout")
         test = folded.filter(c("_fout") == f).drop("_fout")
         params = choose(train, kind, space, cat_cols, num_cols, inner, n_iter, seed, min_freq, parallelism)
-        best.append(params)
         pm = fit_pipeline(train, kind, params, cat_cols, num_cols, seed, min_freq)
         scored = pm.transform(test).select("_id", "label", prob_of_one(c("probability")).alias("prob"))
         oof = oof_predict(train, kind, params, cat_cols, num_cols, inner, seed, min_freq) if calibrates(recalibration) else None
         scored = fit_calibrator(recalibration, oof, "label", "prob").transform(scored, "prob", "prob_calibrated")
-        preds.append(scored.select(F.lit(f).alias("fold"), c("_id").alias("row_index"), c("label").alias("y_true"),
-                                   "prob", "prob_calibrated"))
+        return scored.select(F.lit(f).alias("fold"), c("_id").alias("row_index"), c("label").alias("y_true"), "prob", "prob_calibrated"), params
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:  # outer folds are independent
+        done = list(pool.map(one_fold, range(1, outer + 1)))
+    preds, best = [d for d, _ in done], [p for _, p in done]
     out = reduce(DataFrame.unionByName, preds)
     if checkpoint:
         path = scratch_path(df.sparkSession, "nested-predictions")

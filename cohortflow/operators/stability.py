@@ -112,7 +112,7 @@ def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Se
             balance = F.when(c("label") == label, F.lit(size / (len(classes) * n))).otherwise(balance)
         pre = fit_preprocessor(sub, cat_cols, num_cols, min_freq, weight_col="_times") if shared is None else shared[0]
         vec = pre.transform(sub) if shared is None else sub
-        vec = fit_partitions(vec.select("label", (balance * c("_times")).alias("weight"), "features")).persist(StorageLevel.MEMORY_AND_DISK)
+        vec = fit_partitions(vec.select("label", (balance * c("_times")).alias("weight"), "features"), size).persist(StorageLevel.MEMORY_AND_DISK)
         # balanced weights of the drawn rows sum to their number
         coef = elasticnet(C, l1_ratio, size, "weight", max_iter).fit(vec).coefficients.toArray()
         vec.unpersist()

@@ -199,7 +199,7 @@ register("oof_predict", "G4")(oof_q)
 def nested_cv_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
     """Fold metrics with the parameters that each fold's search chose."""
-    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=5, inner=3, seed=SEED)
+    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=3, inner=2, seed=SEED)
     chosen = spark.createDataFrame([(k + 1, str(p)) for k, p in enumerate(res.best_params)], "fold int, best_params string")
     return round_doubles(res.fold_metrics.join(chosen, "fold"))
 
@@ -211,7 +211,7 @@ def run_experiment_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
     m, _ = search.run_experiment(df, ["risk_cluster"], {"LABS": ["tc", "ldl", "smoke"]},
                                  {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}, "glassbox_additive": {"max_bins": [16]}},
-                                 outer=5, inner=3, seed=SEED)
+                                 outer=3, inner=2, seed=SEED)
     return round_doubles(m)
 
 
