@@ -58,3 +58,19 @@ def test_registered_queries():
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "op1_url_filter" in entry.oracle_sql()
+
+
+def test_near_copies_by_five_words(spark, sf_dir):
+    """A pair of five-word Jaccard 0.81 and four-word Jaccard 0.84 is one group for the stage."""
+    words = [f"w{k}" for k in range(300)]
+    near = list(words)
+    for k in (20, 60, 100, 140, 180, 220, 221):
+        near[k] = f"x{k}"
+
+    def jaccard(n):
+        a, b = ({tuple(x[k: k + n]) for k in range(len(x) - n + 1)} for x in (words, near))
+        return len(a & b) / len(a | b)
+    assert 0.8 <= jaccard(5) < 0.85 and jaccard(4) < 0.85
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"y{k}" for k in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.ngram_jaccard(spark, docs, sf_dir).collect()} == {1, 3}
