@@ -14,7 +14,8 @@ cross-entropy above which a text is rejected, on the way from its own texts' mea
 to the mean of other languages' texts.
 
 Fitting reads a bounded sample of whole labelled texts (``budget`` bytes of text
-a language, ``total`` bytes in all, drawn by hash); every text is then scored in full.
+a language, ``total`` bytes in all, drawn by hash), and of each language at least its
+``LEAST_TEXTS`` first texts by hash, however long; every text is then scored in full.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 not accepted; so is everything when no labelled text was given.  Rows alike get
@@ -29,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -39,6 +41,7 @@ UND = "und"
 _POWERS = np.array([pow(0x9DDFEA08EB382D69, k, 1 << 64) for k in range(ORDER)], dtype=np.uint64)
 TOWARDS_FOREIGN = 0.7  # how far from the own mean to the foreign mean a text may lie
 EVIDENCE = 200  # characters that count as independent evidence in the score
+LEAST_TEXTS = 5  # with a letter, of each language in the sample
 
 
 @lru_cache(maxsize=1)
@@ -291,24 +294,44 @@ def _calibration(shared):
 def fit(train: DataFrame, budget: int = 4_000_000, total: int = 64_000_000) -> Model | None:
     """A model from ``train`` (text, lang, row_key): null languages are left out.
 
-    Nine in ten sampled texts are counted, the tenth calibrates.  The sample is
-    whole texts by hash, with ``budget`` bytes a language expected and ``total`` in all.
+    Nine in ten sampled texts are counted, the tenth calibrates; a language with no text
+    in the nine is counted on all its sampled texts and left out of the calibration.  The sample is
+    whole texts by hash, with ``budget`` bytes a language expected and ``total`` in all, and
+    the ``LEAST_TEXTS`` first by hash of every language.
     """
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["b"] for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect() if r["b"]}
+    found = {r["lang"]: r for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect() if r["b"]}
+    sizes = {lang: r["b"] for lang, r in found.items()}
     if not sizes:
         return None
-    each = min(budget, total // len(sizes))
+    each = min(budget, total / len(sizes))
     shares = F.create_map(*[F.lit(x) for lang, b in sizes.items() for x in (lang, min(1.0, each / b))])
     unit = F.pmod(F.xxhash64("row_key", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = train.filter(unit < shares[F.col("lang")]).withColumn("_fold", F.pmod(F.xxhash64("row_key", F.lit("fold")), F.lit(10)))
-    counts = _collect_counts(sample.filter("_fold <> 0")) or _collect_counts(sample)
+    drawn = unit < shares[F.col("lang")]
+    few = [lang for lang, r in found.items() if each < r["b"] and r["n"] * each < 10 * LEAST_TEXTS * r["b"]]
+    if few:
+        # the first texts by hash of languages of which the share may draw too few
+        rank = F.xxhash64("row_key", F.lit("least"))
+        some = train.filter(F.col("lang").isin(few) & F.col("text").rlike(r"\p{L}")).select("lang", rank.alias("rank")).distinct()
+        some = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("rank"))).filter(F.col("k") <= LEAST_TEXTS)
+        last = {r["lang"]: r["last"] for r in some.groupBy("lang").agg(F.max("rank").alias("last")).collect()}
+        if last:
+            bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+            drawn = drawn | F.coalesce((rank <= bound[F.col("lang")]) & F.col("text").rlike(r"\p{L}"), F.lit(False))
+    sample = train.filter(drawn).withColumn("_fold", F.pmod(F.xxhash64("row_key", F.lit("fold")), F.lit(10)))
+    counts = _collect_counts(sample.filter("_fold <> 0"))
+    unheard = sorted(sizes.keys() - counts.keys())
+    if unheard:
+        counts |= _collect_counts(sample.filter(F.col("lang").isin(unheard)))
     if not counts:
         return None
     m = build(counts)
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(m)
-    cal = sample.filter("_fold = 0").select("text", "lang").mapInArrow(_calibration(shared), "lang string, n bigint, xent array<double>").toArrow()
+    cal = sample.filter("_fold = 0")
+    if unheard:
+        cal = cal.filter(~F.col("lang").isin(unheard))
+    cal = cal.select("text", "lang").mapInArrow(_calibration(shared), "lang string, n bigint, xent array<double>").toArrow()
     index = {x: j for j, x in enumerate(m.langs)}
     rows = [(index[x], n, e) for x, n, e in zip(cal.column("lang").to_pylist(), cal.column("n").to_pylist(), cal.column("xent").to_pylist(), strict=True) if x in index]
     calibrate(m, np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm._tables import materialize, row_key, table
 from cohortflow.llm.decontam import drop_contaminated
-from cohortflow.llm.langid import identify, in_fold
+from cohortflow.llm.langid import identify
 from cohortflow.llm.linededup import drop_repeats
 from cohortflow.llm.mixing import mix_sources
 from cohortflow.llm.ngramjoin import drop_near_duplicates
@@ -22,7 +22,7 @@ from cohortflow.llm.ngramjoin import drop_near_duplicates
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the language models accept."""
-    out = identify(docs, held_out=in_fold(F.col("doc_id"), 3, 1))
+    out = identify(docs)
     keep = out.filter("accepted").select(F.col("row_key").alias("_keep")).distinct()
     return docs.join(keep, row_key(docs["doc_id"], docs["text"]) == F.col("_keep"), "left_semi").select(*docs.columns)
 

@@ -307,6 +307,33 @@ def test_op5_rejects_what_is_no_language(spark, sf_dir):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i, *_ in none)
 
 
+def test_op5_learns_languages_of_few_long_texts(spark):
+    """A language whose texts are all far above the budget is learned."""
+    rng = random.Random(2)
+
+    def text(alphabet, n):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(n))
+    rows = [(k, text("abcdefg", 40), "x", "s") for k in range(60)] + [(100 + k, text("nopqrst", 4000), "y", "s") for k in range(3)]
+    rows += [(200, text("nopqrst", 50), None, "s")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_frame(spark, rows), budget=50).collect()}
+    assert [got[i] for i in (100, 101, 102, 200)] == ["y"] * 4 and got[3] == "x"
+
+
+def test_op5_learns_languages_of_the_calibration_fold(spark):
+    """A language whose texts all fall into the fold that calibrates is learned."""
+    from cohortflow.llm._tables import row_key
+
+    rng = random.Random(5)
+
+    def text(alphabet, n):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(n))
+    some = docs_frame(spark, [(k, text("nopqrst", 40), "y", "s") for k in range(60)])
+    fold = F.pmod(F.xxhash64(row_key("doc_id", "text"), F.lit("fold")), F.lit(10))
+    rows = some.filter(fold == 0).limit(2).unionAll(docs_frame(spark, [(100 + k, text("abcdefg", 40), "x", "s") for k in range(60)]))
+    got = {(r["doc_id"] < 100, r["lang_pred"]) for r in langid.identify(rows).collect()}
+    assert got == {(True, "y"), (False, "x")}
+
+
 def test_op5_corners(spark, corners, nothing):
     assert langid.identify(corners).count() == 9
     assert langid.identify(nothing).count() == 0

@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus with planted cases, and its contract."""
 
 import random
+import zlib
 
 import corpus_pipeline as pipeline
 from cohortflow.llm._tables import materialize
@@ -74,3 +75,16 @@ def test_near_copies_by_five_words(spark, sf_dir):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"y{k}" for k in range(300)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in pipeline.ngram_jaccard(spark, docs, sf_dir).collect()} == {1, 3}
+
+
+def test_languages_labelled_in_one_third_only(spark, sf_dir):
+    """The stage learns from all labelled documents, also those that op5 holds out."""
+    rng = random.Random(6)
+
+    def text(alphabet):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(60))
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 == 1][:30]
+    rows = [(k, text("αβγδεζηθ"), "el") for k in ids] + [(1000 + k, text("abcdefgh"), "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in pipeline.language_id(spark, docs, sf_dir).collect()}
+    assert len(kept & set(ids)) >= 28
