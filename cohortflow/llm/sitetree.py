@@ -9,14 +9,16 @@ content and of its child layout over them.  A node's importance is
 
 (0 for a branch that reads the same on every page, 1 for one that differs on
 each).  Branches below ``least`` are removed from every page of the host, top down,
-unless they hold most of the page's main text (a host of copies keeps its texts).
-Nodes on fewer than ``min_pages`` pages are not judged.
+unless they hold most of the page's main text.  Pages of a host whose whole texts are
+alike count as one page, so what repeats only because the page does is no boilerplate
+(a host of copies keeps its texts).  Nodes on fewer than ``min_pages`` such pages are not
+judged, and nothing inside an ``article`` or ``main`` element is.
 
 Before that, elements whose tag, role or class says so are no main text: menus,
 page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments.  Their content often differs from page to page, so entropy alone
-would keep them.  If a page has an ``article`` or ``main`` element, its text is taken
-from there.
+would keep them.  If a page's ``article`` or ``main`` elements hold more than half of what
+is left, the text is taken from there alone.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by one newline in page order; nothing else is dropped.
@@ -166,9 +168,10 @@ def _clean(s: str) -> str:
 
 def blocks_of(page: Page, removed: frozenset[int] = frozenset(), protect: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
     """(text, lies in article or main) of the blocks, without branches out of the text or with a path in ``removed``."""
-    off = [False] * len(page.nodes)
+    gone = [False] * len(page.nodes)
     for k, node in enumerate(page.nodes):
-        off[k] = node.out or (k > 0 and off[node.parent]) or (node.path in removed and k not in protect)
+        gone[k] = not node.main and ((k > 0 and gone[node.parent]) or (node.path in removed and k not in protect))
+    off = [node.out or gone[k] for k, node in enumerate(page.nodes)]
     out, now, pieces, main = [], None, [], False
     for k, block, s in [*page.runs, (0, -1, "")]:
         if block != now:
@@ -201,19 +204,21 @@ def main_text(page: Page, removed: frozenset[int] = frozenset()) -> str:
         by_path: dict[int, int] = {}
         for k in held:
             by_path[page.nodes[k].path] = by_path.get(page.nodes[k].path, 0) + size[k]
-        protect = frozenset(k for k in held if 2 * by_path[page.nodes[k].path] > size[0] or page.nodes[k].tag in MAIN or page.nodes[k].tag in ("html", "body"))
+        protect = frozenset(k for k in held if 2 * by_path[page.nodes[k].path] > size[0] or page.nodes[k].tag in ("html", "body"))
     found = blocks_of(page, removed, protect)
     inside = [s for s, main in found if main]
-    if 4 * sum(map(len, inside)) >= sum(len(s) for s, _ in found):
+    if 2 * sum(map(len, inside)) > sum(len(s) for s, _ in found):
         return "\n".join(inside)
     return "\n".join(s for s, _ in found)
 
 
 def _style_nodes(batches):
-    """(host, path, content digest, layout digest) of every judged element path of every page."""
+    """(host, digest of the whole text, (path, content digest, layout digest) of every judged element path) of every page."""
+    names = ("path", "content", "layout")
+    kind = pa.list_(pa.struct([(x, pa.int64()) for x in names]))
     for rows, _, _ in t.text_slices(batches, "html"):
         hosts = rows.column(rows.schema.get_field_index("host")).to_pylist()
-        out = ([], [], [], [])
+        out = ([], [], [])
         for host, html in zip(hosts, rows.column(rows.schema.get_field_index("html")).to_pylist(), strict=True):
             page = parse(html or "")
             content: dict[int, list[str]] = {}
@@ -225,25 +230,29 @@ def _style_nodes(batches):
                         texts[k].append(s)
                         k = page.nodes[k].parent
             for k, node in enumerate(page.nodes):
-                if k and texts[k] and node.tag not in ("html", "body") and node.tag not in MAIN:
+                if k and texts[k] and not node.main and node.tag not in ("html", "body"):
                     content.setdefault(node.path, []).extend(texts[k])
                     layout.setdefault(node.path, []).extend(node.layout)
-            for path, pieces in content.items():
+            if content:
                 out[0].append(host)
-                out[1].append(path - (1 << 64) if path >= 1 << 63 else path)
-                out[2].append(xxhash.xxh64_intdigest(_clean(" ".join(pieces))) >> 1)
-                out[3].append(xxhash.xxh64_intdigest(repr(layout[path])) >> 1)
+                out[1].append(xxhash.xxh64_intdigest("\n".join(s for s, _ in blocks_of(page))) >> 1)
+                out[2].append(sorted((path - (1 << 64) if path >= 1 << 63 else path, xxhash.xxh64_intdigest(_clean(" ".join(pieces))) >> 1,
+                                      xxhash.xxh64_intdigest(repr(layout[path])) >> 1) for path, pieces in content.items()))
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], type=pa.string()), *(pa.array(x, type=pa.int64()) for x in out[1:])], names=["host", "path", "content", "layout"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], type=pa.string()), pa.array(out[1], type=pa.int64()),
+                                              pa.array([[dict(zip(names, x, strict=True)) for x in nodes] for nodes in out[2]], type=kind)], names=["host", "page", "nodes"])
 
 
 def low_branches(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, path, importance) of the nodes of each host's style tree whose importance is below ``least``.
 
-    Digests are counted per (host, node) with map-side partial counts, so a host
-    with a third of all pages reaches its reducers as counts.
+    Pages alike are merged and digests counted per (host, node) with map-side partial results,
+    so a host with a third of all pages reaches its reducers as distinct pages, then as counts.
     """
-    nodes = pages.select("host", "html").mapInArrow(_style_nodes, "host string, path bigint, content bigint, layout bigint")
+    found = pages.select("host", "html").mapInArrow(_style_nodes, "host string, page bigint, nodes array<struct<path: bigint, content: bigint, layout: bigint>>")
+    # of pages alike in text the least list of nodes, whatever the order of the rows
+    once = found.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    nodes = once.select("host", F.explode("nodes").alias("e")).select("host", "e.*")
     both = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("digest")),
                                                           F.struct(F.lit(1).alias("kind"), F.col("layout").alias("digest")))).alias("d"))
     n = both.groupBy("host", "path", "d.kind", "d.digest").agg(F.count("*").cast("double").alias("n"))

@@ -446,6 +446,26 @@ def test_op7_site_tree_removes_what_all_pages_share(spark):
     assert sitetree.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, low int")).count() == 0
 
 
+def test_op7_keeps_all_of_an_article(spark):
+    """Parts of an article that read alike on a host's pages stay, on hosts of copies too; a small article does not hide the rest."""
+    def page(k, rest=""):
+        return f"<body><div><h1>Head {k}</h1><h2>Sub {k}</h2><p>{f'story {k} goes on ' * 9}</p><ul><li>item {k}</ul></div>{rest}</body>"
+
+    def recipe(k):
+        return f"<body><div><span>Follow us</span></div><article><h2>Ingredients</h2><p>{f'take {k} eggs ' * 6}</p></article></body>"
+
+    def front(k):
+        return f"<body><article><p>Teaser {k} of ten words in all, just so</p></article><div><p>{f'body {k} text ' * 9}</p></div></body>"
+    rows = [(k, f"http://copies.org/{k}", page(0 if k < 9 else k)) for k in range(10)]
+    rows += [(100 + k, f"http://mixed.org/{k}", page(0 if k < 54 else k, "<div><span>Follow us</span></div>")) for k in range(60)]
+    rows += [(200 + k, f"http://recipes.org/{k}", recipe(k)) for k in range(20)] + [(300 + k, f"http://front.org/{k}", front(k)) for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Head 0\nSub 0\n" + "story 0 goes on " * 8 + "story 0 goes on\nitem 0"
+    assert out[3] == out[103] == whole and out[159] == whole.replace("0", "59")
+    assert out[207].split("\n")[0] == "Ingredients" and "Follow us" not in out[207]
+    assert out[301].startswith("Teaser 1 of") and "body 1 text" in out[301]
+
+
 # ------------------------------------------------------------------ 8
 
 def brute_units(text):
