@@ -1,20 +1,23 @@
 """Language-model scoring by deleted interpolation.
 
 Tokens are words (A-Z lower-cased) and one end per text.  A token's probability
-after a context mixes three maximum-likelihood estimates:
+after a context mixes the maximum-likelihood estimate of its bigram with a lower model:
 
-    p(w | h) = l2 * f(class(w) | class(h)) * f(w | class(w)) + l1 * f(w) + l0 / (V + 1)
+    p(w | h) = m * f(w | h) + (1 - m) * q(w | h)
+    q(w | h) = l2 * f(class(w) | class(h)) * f(w | class(w)) + l1 * f(w) + l0 / (V + 1)
 
-The ``VOCAB`` most frequent tokens are classes of their own, all rarer ones
-share a class (in which f(w | class) is their unigram share), so the bigram counts are
-a table of bounded size; unigram counts are exact for every token of the corpus.
+Bigram and unigram counts are exact for every pair and token of the corpus.  In q alone,
+the ``VOCAB`` most frequent tokens are classes of their own and all rarer ones share a
+class (in which f(w | class) is their unigram share): a table of bounded size.
 The weights belong to buckets of the context's frequency (powers of two), and
 expectation-maximisation learns them from counts held out of the estimates: a
-tenth of the training texts, by hash.  The final estimates use all training texts.
+tenth of the training texts, by hash; first those of q, then m.  The final estimates
+use all training texts.
 
-Unigram counts of rare tokens grow with the corpus, so no task holds them all:
-texts are dealt into blocks of about ``BLOCK_BYTES``; each block asks once for the
-counts of its distinct rare tokens, by a join on the token, and gets them back.
+Counts of rare tokens, and of pairs with one, grow with the corpus, so no task holds them
+all: texts are dealt into blocks of about ``BLOCK_BYTES``; each block asks once for the
+counts of its distinct rare tokens and pairs, by a join on their hash, and gets them back.
+The held-out texts find the estimates that m is learned from in the same way.
 
 Defined results: null and empty texts have one token, the end; without training
 texts all counts are 0 and every token has probability 1 / (V + 1) = 1; rows alike
@@ -36,9 +39,11 @@ from ._tables import materialize, row_key
 VOCAB = 2046  # classes of single tokens, besides the end and the class of rare tokens
 END, RARE, BEGIN = VOCAB, VOCAB + 1, VOCAB + 2  # class numbers; BEGIN is a context only
 CLASSES = VOCAB + 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BINS = 64  # of counts, powers of two
 FLUSH = 1 << 20
+NEVER = -1 << 20  # the ratio of a bigram without a count
+_BEGIN_HASH, _END_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
 def _rows_of(bounds: np.ndarray) -> np.ndarray:
@@ -52,20 +57,18 @@ def _sum_by_key(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return u, keep, held
 
 
-def _unigrams(batches):
-    """(key, keep, held) of the words, pre-aggregated in the task and given out whenever FLUSH keys have gathered."""
+def _counted(slices, keys_of):
+    """(key, keep, held) of the keys, pre-aggregated in the task and given out whenever FLUSH keys have gathered."""
     parts, size = [], 0
 
     def out():
         u, keep, held = _sum_by_key(parts)
         return pa.RecordBatch.from_arrays([pa.array(t.signed(u)), pa.array(keep), pa.array(held)], names=["key", "keep", "held"])
 
-    for rows, data, offs in t.text_slices(batches):
-        h, _, _, bounds = t.words(t.lower(data), offs)
-        fold = rows.column(rows.schema.get_field_index("held")).to_numpy(zero_copy_only=False).astype(bool)
-        held = np.repeat(fold, np.diff(bounds))
-        u, inv = np.unique(h, return_inverse=True)
-        n_held = np.bincount(inv, weights=held, minlength=len(u))
+    for fold, h, bounds in slices:
+        key, row = keys_of(h, bounds)
+        u, inv = np.unique(key, return_inverse=True)
+        n_held = np.bincount(inv, weights=fold[row], minlength=len(u))
         parts.append((u, np.bincount(inv, minlength=len(u)) - n_held, n_held))
         size += len(u)
         if size >= FLUSH:
@@ -75,6 +78,29 @@ def _unigrams(batches):
         yield out()
 
 
+def _folds_and_words(batches):
+    for rows, data, offs in t.text_slices(batches):
+        h, _, _, bounds = t.words(t.lower(data), offs)
+        yield rows.column(rows.schema.get_field_index("held")).to_numpy(zero_copy_only=False).astype(bool), h, bounds
+
+
+def _unigrams(batches):
+    """Counts of the words."""
+    yield from _counted(_folds_and_words(batches), lambda h, bounds: (h, _rows_of(bounds)))
+
+
+def _rare_pairs(shared):
+    """Counts of the pairs in which a word has no class of its own."""
+    def run(batches):
+        vocab, number = shared.value
+
+        def keys_of(h, bounds):
+            r = rare_transitions(h, bounds, classes(h, vocab, number))
+            return r.key, r.row
+        yield from _counted(_folds_and_words(batches), keys_of)
+    return run
+
+
 def classes(h: np.ndarray, vocab: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Class of each word hash (``vocab`` sorted, ``number`` its classes)."""
     if len(vocab) == 0:
@@ -94,6 +120,31 @@ def pair_codes(c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before * CLASSES + c, last * CLASSES + END
 
 
+@dataclass
+class Transitions:
+    """Pairs of neighbouring tokens in which a word has no class of its own: the words' pairs first, then those of ends."""
+
+    at: np.ndarray  # place of the second word among the words; number of words + row for an end
+    row: np.ndarray
+    before: np.ndarray  # place of the first word, or -1 at a beginning
+    context: np.ndarray  # class of the first
+    key: np.ndarray
+
+
+def rare_transitions(h: np.ndarray, bounds: np.ndarray, c: np.ndarray) -> Transitions:
+    inner, ends = pair_codes(c, bounds)
+    context = np.concatenate([inner, ends]) // CLASSES
+    last = np.where(bounds[:-1] < bounds[1:], bounds[1:] - 1, -1)
+    before = np.concatenate([np.arange(len(h)) - 1, last])
+    at = np.flatnonzero((context == RARE) | (np.concatenate([c, np.full(len(ends), END)]) == RARE))
+    row = np.concatenate([_rows_of(bounds), np.arange(len(ends))])[at]
+    context = context[at]
+    before = np.where(context == BEGIN, -1, before[at])
+    first = np.append(h, _BEGIN_HASH)[before]
+    second = np.concatenate([h, np.full(len(ends), _END_HASH)])[at]
+    return Transitions(at, row, before, context, t.mix(t.mix(first) * np.uint64(0xD1342543DE82EF95) + second))
+
+
 def _bigrams(shared):
     def run(batches):
         vocab, number = shared.value
@@ -170,21 +221,51 @@ def learn_weights(keep: np.ndarray, held: np.ndarray, rare_bins: list[tuple[floa
     return lam
 
 
+def ratios(f2: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The bigram estimate over that of the lower model, in eighths of a power of two."""
+    return np.where(f2 > 0, np.round(8 * np.log2(np.maximum(f2, 1e-300) / np.maximum(q, 1e-300))), NEVER).astype(np.int64)
+
+
+def pair_weights(bucket: np.ndarray, ratio: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weight of the exact bigram in each bucket, by expectation-maximisation on ``n`` held-out tokens of each ratio."""
+    if len(n) == 0 or n.sum() == 0:
+        return np.zeros(BINS)
+    r = np.where(ratio > NEVER, 2.0 ** (np.maximum(ratio, -8000) / 8), 0.0)
+
+    def fit(groups: np.ndarray) -> np.ndarray:
+        m = np.full(BINS, 0.5)
+        mass = np.bincount(groups, weights=n, minlength=BINS)
+        for _ in range(rounds):
+            g = m[groups] * r
+            m = np.where(mass > 0, (np.bincount(groups, weights=n * g / (g + 1 - m[groups]), minlength=BINS) + 1e-6) / (mass + 2e-6), m)
+        return m
+    out = np.where(np.bincount(bucket, weights=n, minlength=BINS) > 0, fit(bucket), fit(np.zeros(len(n), dtype=np.int64))[0])
+    out[0] = 0.0  # an unseen context has no bigram estimate
+    return out
+
+
 @dataclass
 class Model:
     vocab: np.ndarray  # sorted hashes of the tokens with a class of their own
     number: np.ndarray
     counts: np.ndarray  # of each class's token (END included; RARE unused)
-    logp: np.ndarray  # log10 p of a class's token after each context, float32
-    rare_a: np.ndarray  # p of a rare token with count c: rare_a[h] * c + rare_b[h]
+    context: np.ndarray  # count of each class as a context
+    logp: np.ndarray  # log10 q of a class's token after each context, float32; after ``with_pairs`` log10 p, but in the context RARE
+    rare_a: np.ndarray  # q of a rare token with count c: rare_a[h] * c + rare_b[h]
     rare_b: np.ndarray
+    lam: np.ndarray
     tokens: int
     types: int
+    weight: np.ndarray | None = None  # of the exact bigram, by bucket of its context's count
 
 
 def build_model(vocab: np.ndarray, number: np.ndarray, keep: np.ndarray, held: np.ndarray, rare_bins, types: int) -> Model:
-    lam = learn_weights(keep, held, rare_bins, types)
-    both = (keep + held).astype(np.float64)
+    """The lower model."""
+    return lower_model(vocab, number, keep + held, learn_weights(keep, held, rare_bins, types), types)
+
+
+def lower_model(vocab: np.ndarray, number: np.ndarray, pairs: np.ndarray, lam: np.ndarray, types: int) -> Model:
+    both = pairs.astype(np.float64)
     context, one, total = both.sum(axis=1), both.sum(axis=0), max(1.0, both.sum())
     l2, l1, l0 = lam[buckets(context)].T
     uniform = l0 / (types + 1)
@@ -192,22 +273,46 @@ def build_model(vocab: np.ndarray, number: np.ndarray, keep: np.ndarray, held: n
     p = l2[:, None] * f2 + (l1[:, None] / total) * one[None, :] + uniform[:, None]
     logp = np.log10(np.maximum(p, 1e-300)).astype(np.float32)
     rare_a = l2 * f2[:, RARE] / max(1.0, one[RARE]) + l1 / total
-    return Model(vocab, number, one.astype(np.int64), logp, rare_a, uniform, int(both.sum()), types)
+    return Model(vocab, number, one.astype(np.int64), context.astype(np.int64), logp, rare_a, uniform, lam, int(both.sum()), types)
 
 
-def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words."""
-    c = classes(h, m.vocab, m.number)
-    inner, ends = pair_codes(c, bounds)
+def with_pairs(m: Model, pairs: np.ndarray, weight: np.ndarray) -> None:
+    """Mix the exact bigrams of tokens with classes of their own into ``m``; those of rare words are looked up in scoring."""
+    m.weight = weight
+    own = np.arange(BEGIN + 1) != RARE
+    w = weight[buckets(m.context[own])][:, None]
+    p = w * (pairs[own] / np.maximum(m.context[own], 1)[:, None]) + (1 - w) * 10.0 ** m.logp[own].astype(np.float64)
+    m.logp[own] = np.log10(np.maximum(p, 1e-300)).astype(np.float32)
+
+
+def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if len(keys) == 0 or len(h) == 0:
+        return np.zeros(len(h), dtype=np.int64)
+    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[i] == h, counts[i], 0)
+
+
+def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    """Counts of all words; and of the transitions with a rare word: place, bucket of the context, f(w | h) and q(w | h)."""
     n = m.counts[c].copy()
-    lp = m.logp.ravel()[inner].astype(np.float64)
     rare = np.flatnonzero(c == RARE)
-    n[rare] = 0
-    if len(keys) and len(rare):
-        i = np.minimum(np.searchsorted(keys, h[rare]), len(keys) - 1)
-        n[rare] = np.where(keys[i] == h[rare], counts[i], 0)
-    context = inner[rare] // CLASSES
-    lp[rare] = np.log10(np.maximum(m.rare_a[context] * n[rare] + m.rare_b[context], 1e-300))
+    n[rare] = _look_up(h[rare], keys, counts)
+    r = rare_transitions(h, bounds, c)
+    is_end = r.at >= len(h)
+    # END stands for the words that are not there, where the transition is an end
+    word, n_word = (np.append(x, y)[np.where(is_end, len(h), r.at)] for x, y in ((c, END), (n, 0)))
+    n_context = np.where(r.context == RARE, np.append(n, 0)[r.before], m.context[r.context])
+    q = np.where(word == RARE, m.rare_a[r.context] * n_word + m.rare_b[r.context], 10.0 ** m.logp[r.context, word].astype(np.float64))
+    return n, r.at, buckets(n_context), _look_up(r.key, keys, counts) / np.maximum(n_context, 1), q
+
+
+def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs."""
+    c = classes(h, m.vocab, m.number)
+    n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts)
+    lp = m.logp.ravel()[np.concatenate(pair_codes(c, bounds))].astype(np.float64)
+    w = m.weight[bucket]
+    lp[at] = np.log10(np.maximum(w * f2 + (1 - w) * q, 1e-300))
     n_end = int(m.counts[END])
 
     def per_row(x):
@@ -217,30 +322,49 @@ def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, co
     floor = np.log10(m.tokens + (m.types + 1))
     base = per_row(np.log10(n + 1.0) - floor) + (np.log10(n_end + 1.0) - floor)
     known = np.rint(per_row(n > 0)).astype(np.int64) + (n_end > 0)
-    return np.diff(bounds) + 1, known, base, per_row(lp) + m.logp.ravel()[ends]
+    return np.diff(bounds) + 1, known, base, per_row(lp[: len(h)]) + lp[len(h):]
 
 
 def _wanted(shared):
-    """The distinct rare words of a block."""
+    """The distinct rare words, and pairs with one, of a block."""
     def run(table: pa.Table) -> pa.Table:
         m: Model = shared.value
         block = table.column("block")[0].as_py()
         found = [np.zeros(0, dtype=np.uint64)]
         for _, data, offs in t.text_slices(table.select(["text"]).combine_chunks().to_batches()):
-            h, _, _, _ = t.words(t.lower(data), offs)
-            u = np.unique(h)
-            found.append(u[classes(u, m.vocab, m.number) == RARE])
+            h, _, _, bounds = t.words(t.lower(data), offs)
+            c = classes(h, m.vocab, m.number)
+            found += [np.unique(h[c == RARE]), np.unique(rare_transitions(h, bounds, c).key)]
         u = np.unique(np.concatenate(found))
         return pa.table({"block": pa.array(np.full(len(u), block, dtype=np.int32)), "key": pa.array(t.signed(u))})
     return run
 
 
+def _sorted_counts(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = known.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], known.column("n").to_numpy()[order]
+
+
+def _cells(shared):
+    """Held-out transitions with a rare word: tokens by bucket of the context and ratio of the estimates."""
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = shared.value
+        keys, counts = _sorted_counts(known)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for _, data, offs in t.text_slices(docs.select(["text"]).combine_chunks().to_batches()):
+            h, _, _, bounds = t.words(t.lower(data), offs)
+            _, _, bucket, f2, q = rare_estimates(m, h, bounds, classes(h, m.vocab, m.number), keys, counts)
+            found.append(np.stack([bucket, ratios(f2, q)], axis=1))
+        cell, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.table({"bucket": cell[:, 0], "ratio": cell[:, 1], "n": n.astype(np.int64)})
+    return run
+
+
 def _scores(shared):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = shared.value
-        keys = known.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], known.column("n").to_numpy()[order]
+        keys, counts = _sorted_counts(known)
         got = []
         for rows, data, offs in t.text_slices(docs.combine_chunks().to_batches()):
             h, _, _, bounds = t.words(t.lower(data), offs)
@@ -252,7 +376,7 @@ def _scores(shared):
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``train`` (text, held: in the tenth that the weights are learned from) and all counts (key, n)."""
+    """The model of ``train`` (row_key, text, held: in the tenth that the weights are learned from) and all counts (key, n)."""
     spark = train.sparkSession
     counts = materialize(train.mapInArrow(_unigrams, "key bigint, keep bigint, held bigint").groupBy("key").agg(F.sum("keep").alias("keep"), F.sum("held").alias("held")), "lm-counts")
     n = F.col("keep") + F.col("held")
@@ -272,7 +396,30 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     bins = [((r["weighted"] / r["tokens"]) if r["tokens"] else 0.0, float(r["tokens"])) for r in found]
     types = sum(r["types"] for r in found) + len(top) + int((keep + held).sum() > 0)
     shape = (BEGIN + 1, CLASSES)
-    return build_model(vocab, number, keep.reshape(shape), held.reshape(shape), bins, types), counts.select("key", n.alias("n"))
+    keep, held = keep.reshape(shape), held.reshape(shape)
+    m = build_model(vocab, number, keep, held, bins, types)
+    counts = counts.unionAll(materialize(train.mapInArrow(_rare_pairs(shared), "key bigint, keep bigint, held bigint").groupBy("key").agg(
+        F.sum("keep").alias("keep"), F.sum("held").alias("held")), "lm-pairs"))
+    early = lower_model(vocab, number, keep, m.lam, types)
+    own = held.copy()
+    own[RARE], own[:, RARE] = 0, 0
+    h, w = np.nonzero(own)
+    cells = [(buckets(early.context[h]), ratios(keep[h, w] / np.maximum(early.context[h], 1), 10.0 ** early.logp[h, w].astype(np.float64)), own[h, w])]
+    early = spark.sparkContext.broadcast(early)
+    blocks, known = in_blocks(train.filter("held"), counts.filter("keep > 0").select("key", F.col("keep").alias("n")), early)
+    rest = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cells(early), "bucket bigint, ratio bigint, n bigint")
+    rest = rest.groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).toArrow()
+    cells.append(tuple(rest.column(x).to_numpy() for x in ("bucket", "ratio", "n")))
+    with_pairs(m, keep + held, pair_weights(*(np.concatenate(x) for x in zip(*cells, strict=True))))
+    return m, counts.select("key", n.alias("n"))
+
+
+def in_blocks(rows: DataFrame, counts: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (row_key, text, ...) dealt into blocks, and the counts (block, key, n) that each block needs."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    blocks = rows.withColumn("block", F.pmod("row_key", F.lit(1 + size // BLOCK_BYTES)).cast("int")).drop("row_key")
+    wanted = blocks.select("block", "text").groupBy("block").applyInArrow(_wanted(shared), "block int, key bigint")
+    return blocks, wanted.join(counts, "key").select("block", "key", "n")
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,13 +429,10 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, doc_id: str = "
     """
     held = (F.lit(False) if held_out is None else held_out).alias("held_out")
     src = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held)
-    train = src.filter(~F.col("held_out")).select("text", (F.pmod(F.xxhash64("row_key", F.lit("lm")), F.lit(10)) == 0).alias("held"))
+    train = src.filter(~F.col("held_out")).select("row_key", "text", (F.pmod(F.xxhash64("row_key", F.lit("lm")), F.lit(10)) == 0).alias("held"))
     model, counts = fit(train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = src.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = src.select(F.pmod("row_key", F.lit(1 + size // BLOCK_BYTES)).cast("int").alias("block"), "doc_id", "held_out", "text")
-    wanted = blocks.groupBy("block").applyInArrow(_wanted(shared), "block int, key bigint")
-    known = wanted.join(counts, "key").select("block", "key", "n")
+    blocks, known = in_blocks(src, counts, shared)
     kind = dict(src.dtypes)["doc_id"]
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _scores(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -397,6 +397,55 @@ def test_op6_weights_follow_the_data():
     assert lmscore.learn_weights(noise, other, [], 40)[int(lmscore.buckets(np.array([80]))[0]), 0] < 0.6
 
 
+def test_op6_bigrams_of_rare_words_are_exact(spark):
+    """Two words outside the classes that always stand together are a likely pair; others as frequent are not."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(lmscore.VOCAB + 50)]
+    rows = [(k, " ".join(rng.sample(common, len(common))), "en", "s") for k in range(40)]
+    rows += [(100 + k, " ".join([rng.choice(common), "new", "zealand", rng.choice(common), rng.choice(common), "old", rng.choice(common)]), "en", "s") for k in range(20)]
+    rows += [(900, "new zealand", "en", "s"), (901, "old zealand", "en", "s")]
+    out = {r["doc_id"]: r for r in lmscore.score_texts(docs_frame(spark, rows), held_out=F.col("doc_id") >= 900).collect()}
+    assert out[900]["base_score"] == pytest.approx(out[901]["base_score"])
+    assert out[900]["score"] > out[901]["score"] + 1
+
+
+def test_op6_pairs_keep_a_distribution():
+    """With exact pairs, p adds up to 1 after a rare word and after a common one."""
+    size, rare = 10, [50, 51, 52]
+    table = np.zeros((lmscore.BEGIN + 1, lmscore.CLASSES), dtype=np.int64)
+    table[:size, :size] = np.random.default_rng(3).integers(0, 5, (size, size))
+    after = {(50, 1): 3, (50, 51): 2, (2, 50): 5, (51, 50): 1, (51, None): 1, (2, 52): 2, (52, 3): 2}
+    for (h, w), n in after.items():
+        table[h if h < size else lmscore.RARE, lmscore.END if w is None else w if w < size else lmscore.RARE] += n
+    count = {r: sum(n for (h, _), n in after.items() if h == r) for r in rare}
+    # each word follows something as often as it is a context
+    count = {50: 5, 51: 2, 52: 2}
+    table[lmscore.BEGIN, lmscore.RARE] += sum(count.values()) - table[:, lmscore.RARE].sum()
+    words = np.arange(size, dtype=np.uint64)
+    m = lmscore.lower_model(words, np.arange(size), table, np.tile([0.5, 0.3, 0.2], (lmscore.BINS, 1)), size + len(rare) + 1)
+    lmscore.with_pairs(m, table, np.where(np.arange(lmscore.BINS) > 0, 0.6, 0.0))
+
+    def key(h, w):
+        row = np.array([h, w] if w is not None else [h], dtype=np.uint64)
+        r = lmscore.rare_transitions(row, np.array([0, len(row)]), lmscore.classes(row, m.vocab, m.number))
+        return r.key[r.at == (1 if w is not None else 1)][0]
+    found = sorted([(np.uint64(r), n) for r, n in count.items()] + [(key(h, w), n) for (h, w), n in after.items()])
+    keys, counts = np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found])
+
+    def p(h, w):
+        row = np.array([h, w] if w is not None else [h], dtype=np.uint64)
+        bounds, c = np.array([0, len(row)]), lmscore.classes(row, m.vocab, m.number)
+        _, at, bucket, f2, q = lmscore.rare_estimates(m, row, bounds, c, keys, counts)
+        if 1 in at:
+            k = list(at).index(1)
+            return m.weight[bucket[k]] * f2[k] + (1 - m.weight[bucket[k]]) * q[k]
+        return 10.0 ** m.logp[c[0], lmscore.END if w is None else c[1]].astype(float)
+    for h in (50, 2):
+        total = sum(p(h, w) for w in [*range(size), *rare, None]) + p(h, 99)
+        assert total == pytest.approx(1.0, abs=1e-4)
+    assert p(50, 1) > 0.36 > p(50, 2)
+
+
 def test_op6_corners(spark, corners, nothing):
     out = lmscore.score_texts(corners).toPandas()
     assert len(out) == 9 and (out.n_tokens == 1).sum() == 4 and out.score.notna().all()
