@@ -17,6 +17,7 @@ from .lmscore import score_texts
 from .mixing import mix_sources
 from .ngramjoin import near_duplicates
 from .quality import quality_rules
+from .secretscan import digest, scan_secrets
 from .sitetree import extract_main_text
 from .tokencounts import token_counts
 
@@ -91,6 +92,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
