@@ -67,7 +67,8 @@ END = len(_CLASSES)  # the symbol of a string's end
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind's place in ``KINDS``, end, value) of the base kinds, in code points, by start and kind."""
-    out = [(m.start(), 0, m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
+    assigns = ASSIGN.finditer(text) if ":" in text or "=" in text else ()  # no match lacks both
+    out = [(m.start(), 0, m.end(), m.group(2)) for m in assigns if len(m.group(2)) >= LEAST["assign"]]
     out += [(m.start(), 1, m.end(), m.group()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     out += [(m.start(), 2, m.end(), m.group()) for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: s[:2])
