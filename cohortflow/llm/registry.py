@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import table
+from .alignment import align_tokenizers
 from .decontam import contaminated
 from .hostrep import host_and_path, judge_urls
 from .hostrep import oracle_sql as host_sql
@@ -96,6 +97,12 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
     "op11_secret_scan": op11_secret_scan,
+    "op12_align_tokenizers": op12_align_tokenizers,
 }
 
 ORACLE_SQL: dict[str, str] = {
