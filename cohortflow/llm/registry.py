@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 from .alignment import align_tokenizers
+from .convrepair import repair_damaged
 from .decontam import contaminated
 from .hostrep import host_and_path, judge_urls
 from .hostrep import oracle_sql as host_sql
@@ -103,6 +104,10 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_secret_scan": op11_secret_scan,
     "op12_align_tokenizers": op12_align_tokenizers,
+    "op13_repair_conversations": op13_repair_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
