@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from ._tables import discard, materialize
-from .tokencounts import byte_alphabet
+from .tokencounts import PIECES, PrefixCounter, byte_alphabet
 
-BLOCK = 4 << 20  # bytes of text
+BLOCK = 4 << 20  # bytes of text whose pairs are counted together
+SLICE = 1 << 20  # bytes of text that are aligned at a time
 ENCODED = 1 << 18  # bytes of text that are encoded at a time
 PAIRS = 1 << 22  # links that are written out at a time
 WIDE = 1024  # links of a group from which its ids are counted first
@@ -48,15 +49,19 @@ SPACE = "▁"  # how a piece vocabulary writes a space
 
 
 class Encoder:
-    """A tokenizer file (.json or .model): ids of texts, and the bytes of each id."""
+    """A tokenizer file (.json or .model): ids of texts, and the bytes of each id.
+
+    A plain byte-level vocabulary whose ids follow its merges' order is run by the faster of the two
+    libraries that know such vocabularies; ids that no merging reaches are left out, so both give the same.
+    """
 
     def __init__(self, path: str):
-        self.pieces = path.endswith(".model")
-        if self.pieces:
+        if path.endswith(".model"):
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             entries = [self._piece(self.model.id_to_piece(k), self.model.is_byte(k)) for k in range(self.model.get_piece_size())]
+            self.encode_all = lambda texts: self.model.encode(texts, num_threads=1)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task is one thread
             from tokenizers import Tokenizer
@@ -66,6 +71,8 @@ class Encoder:
             back = byte_alphabet()
             names = {i: s for s, i in self.model.get_vocab(with_added_tokens=True).items()}
             entries = [bytes(back[ch] for ch in names.get(k, "") if ch in back) for k in range(max(names, default=-1) + 1)]
+            ranked = self._ranked(path)
+            self.encode_all = ranked or (lambda texts: [e.ids for e in self.model.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)])
         self.bytes = pa.array(entries, pa.large_binary())
         self.length = np.array([len(e) for e in entries], dtype=np.int64)
         self.size = len(entries)
@@ -74,13 +81,24 @@ class Encoder:
     def _piece(piece: str, one_byte: bool) -> bytes:
         return bytes([int(piece[3:5], 16)]) if one_byte else piece.replace(SPACE, " ").encode()
 
+    @staticmethod
+    def _ranked(path: str):
+        """Encoding by ranks; None where the file is no such vocabulary."""
+        try:
+            plain = PrefixCounter(path)
+        except ValueError:
+            return None
+        order = [plain.vocab[a + b] for (a, b), _ in sorted(plain.rank.items(), key=lambda x: x[1]) if a + b in plain.vocab]
+        if order != sorted(order) or any(bytes([k]) not in plain.vocab for k in range(256)):
+            return None
+        import tiktoken
+
+        model = tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=plain.vocab, special_tokens={})
+        return lambda texts: [model.encode_ordinary(" " + x) for x in texts]
+
     def encode(self, texts: list[str]) -> pa.Array:
         """A list of ids for each text."""
-        if self.pieces:
-            ids = self.model.encode(texts, num_threads=1)
-        else:
-            ids = [e.ids for e in self.model.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
-        return pa.array(ids, pa.large_list(pa.int32()))
+        return pa.array(self.encode_all(texts), pa.large_list(pa.int32()))
 
 
 @lru_cache(maxsize=4)
@@ -223,9 +241,12 @@ def _encode(path_a: str, path_b: str, with_groups: bool, block_bytes: int):
     def run(batches):
         a_enc, b_enc = encoder(path_a), encoder(path_b)
         names = id_names(a_enc.size, b_enc.size)
-        block = TaskContext.get().partitionId() << 32
-        for rows, data, offs in t.text_slices(batches, limit=block_bytes):
+        block, filled = TaskContext.get().partitionId() << 32, 0
+        for rows, data, offs in t.text_slices(batches, limit=min(SLICE, block_bytes)):
             n = rows.num_rows
+            if filled and filled + len(data) > block_bytes:
+                block, filled = block + 1, 0
+            filled += len(data)
             texts = rows.column(1).to_pylist()
             a, b = Side(a_enc, texts, offs), Side(b_enc, texts, offs)
             ok = _given_back(a, b, data.tobytes(), offs)
@@ -245,7 +266,6 @@ def _encode(path_a: str, path_b: str, with_groups: bool, block_bytes: int):
                 columns, labels = [*columns, pa.array([g.decode() for g in groups])], [*labels, "groups"]
             else:
                 columns, labels = [*columns, pa.array(np.full(n, block)), *lists], [*labels, "block", "codes", "times"]
-                block += 1
             yield pa.RecordBatch.from_arrays(columns, names=labels)
     return run
 
