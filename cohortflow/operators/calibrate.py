@@ -111,6 +111,49 @@ def fit_calibrator(name: str | None, df: DataFrame | None, y: str = "y_true", pr
     return fit_platt(df, y, prob) if name == "intercept_slope" else fit_isotonic(df, y, prob)
 
 
+def fit_calibrators(name: str | None, df: DataFrame, key: str, values: Sequence, y: str = "y_true", prob: str = "prob") -> dict:
+    """The calibrator of each value of ``key``; Platt lines are fitted together."""
+    if not calibrates(name):
+        return {v: NoCalibrator() for v in values}
+    return fit_platts(df, key, values, y, prob) if name == "intercept_slope" else {v: fit_isotonic(df.filter(c(key) == F.lit(v)), y, prob) for v in values}
+
+
+def fit_platts(df: DataFrame, key: str, values: Sequence, y: str = "y_true", prob: str = "prob", C: float = PLATT_C, tol: float = 1e-9, max_steps: int = 50) -> dict:
+    """``fit_platt`` for every value of ``key`` at once: each Newton step of all lines is one grouped job."""
+    rows = df.filter(c(y).isNotNull() & c(prob).isNotNull()).select(c(key).alias("k"), c(y).cast("double").alias("y"), logit(c(prob).cast("double")).alias("z"))
+    line, before, step = ({v: (0.0, 0.0) for v in values} for _ in range(3))
+    value, done = dict.fromkeys(values, float("inf")), set()
+    for _ in range(max_steps):
+        todo = [v for v in values if v not in done]
+        if not todo:
+            break
+        pick = lambda at: F.coalesce(*[F.when(c("k") == F.lit(v), F.lit(line[v][at])) for v in todo])
+        m = pick(0) + pick(1) * c("z")
+        p = 1.0 / (1.0 + F.exp(-m))
+        h = p * (1.0 - p)
+        # log(1 + exp(m)) without overflow
+        loss = F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))) - c("y") * m
+        sums = rows.filter(c("k").isin(todo)).groupBy("k").agg(*[F.sum(x).alias(n) for n, x in {
+            "f": loss, "g0": p - c("y"), "g1": (p - c("y")) * c("z"), "h00": h, "h01": h * c("z"), "h11": h * c("z") * c("z")}.items()]).collect()
+        found = {r["k"]: r for r in sums}
+        for v in todo:
+            if v not in found:
+                raise ValueError("no rows to fit a calibrator")
+            r, (a, b) = found[v], line[v]
+            now = r["f"] + b * b / (2 * C)
+            if now > value[v] + 1e-10 * abs(now):  # a step too long is halved
+                step[v] = tuple(s / 2 for s in step[v])
+            else:
+                value[v], before[v] = now, line[v]
+                g1, h11 = r["g1"] + b / C, r["h11"] + 1 / C
+                det = r["h00"] * h11 - r["h01"] ** 2
+                step[v] = (0.0, 0.0) if det <= 0 else (-(h11 * r["g0"] - r["h01"] * g1) / det, -(r["h00"] * g1 - r["h01"] * r["g0"]) / det)
+            line[v] = tuple(x + s for x, s in zip(before[v], step[v], strict=True))
+            if max(map(abs, step[v])) <= tol:
+                done.add(v)
+    return {v: PlattCalibrator(*line[v]) for v in values}
+
+
 def save_calibrator(cal, spark, path: str) -> None:
     """``path``/table has the method and the Platt line; an isotonic model lies beside it."""
     platt = isinstance(cal, PlattCalibrator)

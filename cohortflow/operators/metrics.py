@@ -68,10 +68,11 @@ def rank_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", score: s
 
     NULL when a key group has only one class.
     """
-    return _rank_from_counts(score_counts(df, keys, y, score), keys)
+    return rank_from_counts(score_counts(df, keys, y, score), keys)
 
 
-def _rank_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rank_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rank_metrics`` from (keys, score, pos, neg)."""
     cum = cumulative_below(counts, keys, ["pos", "neg"])
     kcols = [c(k) for k in keys]
     j = cum.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
@@ -140,7 +141,7 @@ def fold_metrics(preds: DataFrame, keys: Sequence[str] = ("outcome", "featureset
     path = scratch_path(preds.sparkSession, "score-counts")
     score_counts(preds, keys, y, score).write.parquet(path)
     counts = preds.sparkSession.read.parquet(path)
-    out = _from_counts(counts, keys).join(_rank_from_counts(counts, keys), keys, "left")
+    out = _from_counts(counts, keys).join(rank_from_counts(counts, keys), keys, "left")
     return out.select(*[c(k) for k in keys], *[c(m).alias(m + suffix) for m in METRIC_COLUMNS])
 
 

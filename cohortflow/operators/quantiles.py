@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.colref import c
 
 ACCURACY = 10_000
-EDGES = 1024  # of the buckets that running totals work in
+EDGES = 128  # of the buckets that running totals work in
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
@@ -90,6 +90,6 @@ def bucket_edges(counts: DataFrame, keys: Sequence[str], score: str, edges: int
 
 
 def bucket_of(score: Column, edges: Column) -> Column:
-    """Number of sorted ``edges`` below ``score``, by bisection (2048 edges at most)."""
-    steps = F.array(*[F.lit(1 << k) for k in range(10, -1, -1)])
+    """Number of sorted ``edges`` below ``score``, by bisection (fewer than 2 * ``EDGES`` of them)."""
+    steps = F.array(*[F.lit(1 << k) for k in range(EDGES.bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(edges)) & (F.get(edges, at + step - 1) < score), at + step).otherwise(at))

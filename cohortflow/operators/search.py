@@ -1,14 +1,14 @@
 """Stratified folds, hyper-parameter search and nested cross-validation.
 
-Folds are a column, never separate datasets.  The driver loops over folds and
-candidates (that loop *is* the algorithm: each candidate is one Spark ML fit);
-all data work stays in Spark jobs.  Candidate fits of one fold are submitted
-from a small thread pool so Spark can run them concurrently.
-
-Because the preprocessor has no searched parameter (except the additive
-model's bin count), it is fitted once per (outer, inner) fold and its vectors
-are cached and shared by every candidate: identical results at a fraction of
-the preprocessing cost.
+Folds are a column, never separate datasets.  Elastic-net searches solve all fits
+(outer folds x inner folds x candidates) together, see ``batchfit``: each
+iteration is one pass over the rows for all of them.
+
+For the other families the driver loops over folds and candidates (each is one
+Spark ML fit); all data work stays in Spark jobs.  Candidate fits of one fold are
+submitted from a small thread pool so Spark can run them concurrently, and the
+preprocessor, which has no searched parameter (except the additive model's bin
+count), is fitted once per (outer, inner) fold and shared by every candidate.
 """
 
 from __future__ import annotations
@@ -24,27 +24,25 @@ import numpy as np
 from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
-from ..session import scratch_path
-from .calibrate import calibrates, fit_calibrator
+from ..session import remove_scratch, scratch_path
+from .batchfit import Batch
+from .calibrate import calibrates, fit_calibrator, fit_calibrators
 from .metrics import METRIC_COLUMNS, fold_metrics_both, rank_metrics
 from .models import build_model, fit_features, is_balanced, prob_of_one
 
 # ---------------------------------------------------------------- G1 stratified folds
 
 
-def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "row_id",
-                     fold_col: str = "fold", prefix_hex: int = 4) -> DataFrame:
-    """Assign fold 1..k so that per-class counts differ by at most one across folds.
+def class_ranks(df: DataFrame, label: str, seed: int = 42, id_col: str = "row_id", out: str = "_rank", prefix_hex: int = 4) -> DataFrame:
+    """Number rows of each class from 1 in the order of md5(seed|id) (ties by id), equal in Spark and DuckDB.
 
-    Order within a class is md5(seed|id) (ties by id), equal in Spark and
-    DuckDB.  Fold = (rank within class - 1) % k + 1, where the rank is
-    computed in two levels so no single task sees a whole class: counts per
-    (class, hash prefix) get a running offset (a table of classes x 16^prefix
-    rows), and row_number runs inside each (class, prefix) partition.
+    The rank is computed in two levels so no single task sees a whole class: counts per (class, hash
+    prefix) get a running offset (a table of classes x 16^prefix rows), and row_number runs inside
+    each (class, prefix) partition.
     """
     h = F.md5(F.concat(F.lit(f"{seed}|"), c(id_col).cast("string")))
     with_h = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, prefix_hex))
@@ -54,8 +52,19 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_c
     w_in = Window.partitionBy(c(label), "_b").orderBy("_h", c(id_col))
     ranked = with_h.withColumn("_rn", F.row_number().over(w_in))
     j = ranked.join(offsets, (ranked[label].eqNullSafe(offsets["_cls"])) & (ranked["_b"] == offsets["_b"]), "inner")
-    return j.withColumn(fold_col, ((c("_off") + c("_rn") - 1) % k + 1).cast("int")) \
-        .drop("_h", "_b", "_rn", "_cls", "_off").drop(offsets["_b"])
+    return j.withColumn(out, c("_off") + c("_rn")).drop("_h", "_b", "_rn", "_cls", "_off").drop(offsets["_b"])
+
+
+def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "row_id",
+                     fold_col: str = "fold", prefix_hex: int = 4) -> DataFrame:
+    """Assign fold 1..k so that per-class counts differ by at most one across folds: (rank within class - 1) % k + 1."""
+    ranked = class_ranks(df, label, seed, id_col, "_rank", prefix_hex)
+    return ranked.withColumn(fold_col, ((c("_rank") - 1) % k + 1).cast("int")).drop("_rank")
+
+
+def rank_without_fold(rank: Column, fold: int, k: int) -> Column:
+    """The rank that a row of another fold has among the rows outside ``fold``: those of it up to this rank are left out."""
+    return rank - F.floor((rank - F.lit(fold) + k) / k).cast("long")
 
 
 # ---------------------------------------------------------------- candidates (G2 / G3)
@@ -131,6 +140,12 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
     """
     cands = candidates_for(space, n_iter, seed)
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
+    if kind == "elasticnet":
+        batch, fits = _fold_fits(folded, cands, cat_cols, num_cols, inner, min_freq)
+        means = [(p, m) for p, m in zip(cands, _mean_auc(batch.aucs(folded, fits, F.array((c("_fin") - 1).cast("int")), len(cands)), inner, len(cands))[0])]
+        batch.discard()
+        folded.unpersist()
+        return _best(means), means
     scores = {i: [] for i in range(len(cands))}
     by_pre: dict[str, list[int]] = {}
     for i, p in enumerate(cands):
@@ -160,9 +175,33 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
             vv.unpersist()
     means = [(cands[i], float(np.mean([s for s in scores[i] if s is not None])) if any(
         s is not None for s in scores[i]) else float("nan")) for i in range(len(cands))]
-    best_i = max(range(len(cands)), key=lambda i: (np.nan_to_num(means[i][1], nan=-1.0), -i))
     folded.unpersist()
-    return cands[best_i], means
+    return _best(means), means
+
+
+def _best(means: Sequence[tuple[dict, float]]) -> dict:
+    """The candidate with the highest mean AUROC, the earliest of equals."""
+    return max(means, key=lambda m: np.nan_to_num(m[1], nan=-1.0))[0]
+
+
+def _fold_fits(folded: DataFrame, cands: Sequence[Mapping], cat_cols, num_cols, inner: int, min_freq: float) -> tuple[Batch, list]:
+    """The fits of every candidate on the rows outside each fold ``_fin``, fold by fold."""
+    times = F.array(*[(c("_fin") != f).cast("tinyint") for f in range(1, inner + 1)])
+    batch = Batch.prepare(folded, cat_cols, num_cols, times, inner, min_freq)
+    return batch, batch.fit([(f, *_penalty(p)) for f in range(inner) for p in cands])
+
+
+def _penalty(params: Mapping) -> tuple[float, float]:
+    return float(params.get("C", 1.0)), float(params.get("l1_ratio", 0.5))
+
+
+def _mean_auc(aucs: Mapping[int, float | None], inner: int, n_cands: int) -> list[list[float]]:
+    """Mean AUROC over the inner folds by outer fold and candidate; fits run by outer fold, inner fold, candidate."""
+    out = []
+    for lo in range(0, len(aucs), inner * n_cands):
+        own = [[aucs[lo + i * n_cands + k] for i in range(inner)] for k in range(n_cands)]
+        out.append([float(np.mean([a for a in x if a is not None])) if any(a is not None for a in x) else float("nan") for x in own])
+    return out
 
 
 def choose(train: DataFrame, kind: str, space: Mapping[str, Sequence], *args) -> dict:
@@ -195,6 +234,13 @@ def oof_predict(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols
                 min_freq: float = 0.01) -> DataFrame:
     """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator, written to the shared folder."""
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
+    if kind == "elasticnet":
+        batch, fits = _fold_fits(folded, [params], cat_cols, num_cols, inner, min_freq)
+        path = scratch_path(train.sparkSession, "oof")
+        batch.score(folded, fits, ["_id", "label"], F.array((c("_fin") - 1).cast("int")), 1).select("_id", "label", "prob").write.parquet(path)
+        batch.discard()
+        folded.unpersist()
+        return train.sparkSession.read.parquet(path)
 
     def held_out(f: int) -> DataFrame:
         pm = fit_pipeline(folded.filter(c("_fin") != f), kind, params, cat_cols, num_cols, seed, min_freq)
@@ -229,6 +275,9 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     calibrates(recalibration)  # an unknown name fails before any fit
     base = df.filter(c(y).isNotNull()).select(
         c(id_col).alias("_id"), c(y).cast("double").alias("label"), *[c(n) for n in list(cat_cols) + list(num_cols)])
+    if kind == "elasticnet":
+        out, best = _nested_elasticnet(base, candidates_for(space, n_iter, seed), cat_cols, num_cols, outer, inner, seed, recalibration, min_freq)
+        return NestedResult(out, fold_metrics_both(out, ["fold"]), best)
     folded = stratified_folds(base, "label", outer, seed, "_id", "_fout").persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_fold(f: int) -> tuple[DataFrame, dict]:
@@ -254,6 +303,51 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     return NestedResult(out, fm, best)
 
 
+def _nested_elasticnet(base: DataFrame, cands: Sequence[dict], cat_cols, num_cols, outer: int, inner: int, seed: int, recalibration: str | None,
+                       min_freq: float) -> tuple[DataFrame, list[dict]]:
+    """Nested cross-validation in two rounds of fits: all inner fits of all outer folds, then the outer ones.
+
+    The inner folds of every outer fold follow from a row's rank in its class, so one ranking gives all sets: the
+    rows outside each outer fold, and those without each of its inner folds.  The inner fits of a chosen
+    candidate give its out-of-fold predictions.
+    """
+    spark = base.sparkSession
+    path = scratch_path(spark, "nested-rows")
+    class_ranks(base, "label", seed, "_id").write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_fout", ((c("_rank") - 1) % outer + 1).cast("int"))
+    own = range(1, outer + 1)
+    rows = rows.withColumns({f"_in{f}": F.when(c("_fout") != f, ((rank_without_fold(c("_rank"), f, outer) - 1) % inner + 1).cast("int")) for f in own})
+    outside = [(c("_fout") != f).cast("tinyint") for f in own]
+    without = [F.coalesce((c(f"_in{f}") != i).cast("tinyint"), F.lit(0).cast("tinyint")) for f in own for i in range(1, inner + 1)]
+    batch = Batch.prepare(rows, cat_cols, num_cols, F.array(*outside, *without), outer * (1 + inner), min_freq)
+    held = F.array_compact(F.array(*[(c(f"_in{f}") - 1 + (f - 1) * inner).cast("int") for f in own]))  # the inner sets that a row is held out of
+    n = len(cands)
+    fits, best = None, [0] * outer
+    if n > 1 or calibrates(recalibration):
+        fits = batch.fit([(outer + g, *_penalty(p)) for g in range(outer * inner) for p in cands])
+    if n > 1:
+        means = _mean_auc(batch.aucs(rows, fits, held, n), inner, n)
+        best = [max(range(n), key=lambda k, own=own: np.nan_to_num(own[k], nan=-1.0)) for own in means]
+    chosen = batch.fit([(f, *_penalty(cands[best[f]])) for f in range(outer)])
+    groups = F.array((c("_fout") - 1).cast("int"))
+    if fits is not None:
+        chosen += [fits[g * n + best[g // inner]] for g in range(outer * inner)]
+        groups = F.concat(groups, F.transform(held, lambda g: g + outer))
+    scored_path = scratch_path(spark, "nested-scores")
+    batch.score(rows, chosen, ["_id", "label", "_fout"], groups, 1).write.parquet(scored_path)
+    scored = spark.read.parquet(scored_path)
+    oof = scored.filter(c("_group") >= outer).select((F.floor((c("_group") - outer) / inner) + 1).cast("int").alias("fold"), "label", "prob")
+    cals = fit_calibrators(recalibration, oof, "fold", list(own), "label", "prob")
+    test = scored.filter(c("_group") < outer)
+    parts = [cals[f].transform(test.filter(c("_fout") == f), "prob", "prob_calibrated") for f in own]
+    out = reduce(DataFrame.unionByName, parts).select(c("_fout").alias("fold"), c("_id").alias("row_index"), c("label").alias("y_true"), "prob", "prob_calibrated")
+    out_path = scratch_path(spark, "nested-predictions")
+    out.write.parquet(out_path)
+    batch.discard()
+    remove_scratch(spark, path, scored_path)
+    return spark.read.parquet(out_path), [cands[k] for k in best]
+
+
 def run_experiment(df: DataFrame, outcomes: Sequence[str], feature_sets: Mapping[str, Sequence[str]],
                    models: Mapping[str, Mapping[str, Sequence]], leakage_block: Mapping[str, Sequence[str]] | None = None,
                    outer: int = 5, inner: int = 3, n_iter: int = 50, seed: int = 42, id_col: str = "row_id",

@@ -11,17 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
-from .models import elasticnet
-from .prep import fit_preprocessor, slot_table
-from .search import fit_partitions
+from .batchfit import Batch
 
 RESOLUTION = 2.0 ** -32  # of the uniform hash that draws are made from
 
@@ -82,53 +77,26 @@ def draw_weight(draw: int, frac: float, seed: int, id_col: str) -> Column:
 
 def stability_draws(df: DataFrame, y: str, features: Sequence[str], cat_cols: Sequence[str], num_cols: Sequence[str],
                     n_draws: int = 200, frac: float = 0.7, seed: int = 42, id_col: str = "row_id",
-                    min_freq: float = 0.01, l1_ratio: float = 0.5, C: float = 1.0, max_iter: int = 5000,
-                    preprocess: str = "per_draw", parallelism: int = 4) -> DataFrame:
+                    min_freq: float = 0.01, l1_ratio: float = 0.5, C: float = 1.0) -> DataFrame:
     """Per draw: weighted balanced elastic net; per source feature the slot with the largest |coef|;
     selected if > 1e-6 and its sign.  Returns a (draw, feature, selected, sign) table.
 
     Medians, levels and class weights are those of the drawn rows with repeats: a row drawn
-    three times counts three times.  ``preprocess="once"`` fits the preprocessor on all rows and
-    caches the vectors (faster; the default refits it per draw).  ``parallelism`` draws are
-    fitted at a time over one cached table.
+    three times counts three times.  The fits of all draws run together (``batchfit``): each iteration is one
+    pass over the rows.  A draw without both classes has no rows.
     """
-    spark = df.sparkSession
-    base = df.filter(c(y).isNotNull()).select(c(id_col).alias(id_col), c(y).cast("double").alias("label"),
-                                              *[c(n) for n in features]).persist(StorageLevel.MEMORY_AND_DISK)
-    shared = None
-    if preprocess == "once":
-        pre_once = fit_preprocessor(base, cat_cols, num_cols, min_freq)
-        shared = (pre_once, pre_once.transform(base).persist(StorageLevel.MEMORY_AND_DISK))
-
-    def one(b: int) -> list[tuple]:
-        source = base if shared is None else shared[1]
-        sub = with_poisson_weight(source.withColumn("_draw", F.lit(b)), seed, frac, id_col, "_draw", "_times").filter(drawn(frac))
-        classes = {r["label"]: float(r["n"]) for r in sub.groupBy("label").agg(F.sum("_times").alias("n")).collect()}
-        if len(classes) < 2:
-            return []
-        size = sum(classes.values())
-        balance = F.lit(0.0)
-        for label, n in classes.items():
-            balance = F.when(c("label") == label, F.lit(size / (len(classes) * n))).otherwise(balance)
-        pre = fit_preprocessor(sub, cat_cols, num_cols, min_freq, weight_col="_times") if shared is None else shared[0]
-        vec = pre.transform(sub) if shared is None else sub
-        vec = fit_partitions(vec.select("label", (balance * c("_times")).alias("weight"), "features"), size).persist(StorageLevel.MEMORY_AND_DISK)
-        # balanced weights of the drawn rows sum to their number
-        coef = elasticnet(C, l1_ratio, size, "weight", max_iter).fit(vec).coefficients.toArray()
-        vec.unpersist()
-        best: dict[str, float] = {}
-        for i, _name, src, _lv in slot_table(pre, cat_cols, num_cols):
-            v = coef[i] if i < len(coef) else 0.0
-            if src not in best or abs(v) > abs(best[src]):
-                best[src] = v
-        return [(b, f, float(abs(best.get(f, 0.0)) > 1e-6), float(np.sign(best.get(f, 0.0)))) for f in features]
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = [r for part in pool.map(one, range(n_draws)) for r in part]
-    base.unpersist()
-    if shared is not None:
-        shared[1].unpersist()
-    return spark.createDataFrame(rows, "draw int, feature string, selected double, sign double")
+    base = df.filter(c(y).isNotNull()).select(c(id_col).alias("_id"), c(y).cast("double").alias("label"), *[c(n) for n in features])
+    batch = Batch.prepare(base, cat_cols, num_cols, None, n_draws, min_freq, draws=(seed, frac))
+    fits = batch.fit([(b, C, l1_ratio) for b in range(n_draws)])
+    batch.discard()
+    sources = slots_to_source(batch.prepared.slots, df.sparkSession)
+    coefs = df.sparkSession.createDataFrame([(f.set, i, float(v)) for f in fits if f is not None for i, v in enumerate(f.coef)], "draw int, slot_index int, coef double")
+    # of each source's slots the one with the largest coefficient, ties to the first
+    best = coefs.join(sources, "slot_index").groupBy("draw", c("source_feature").alias("feature")).agg(
+        F.max_by("coef", F.struct(F.abs("coef").alias("size"), (-c("slot_index")).alias("at"))).alias("coef"))
+    every = df.sparkSession.createDataFrame([(f.set, n) for f in fits if f is not None for n in features], "draw int, feature string")
+    top = F.coalesce("coef", F.lit(0.0))
+    return every.join(best, ["draw", "feature"], "left").select("draw", "feature", (F.abs(top) > 1e-6).cast("double").alias("selected"), F.signum(top).alias("sign"))
 
 
 def stability_summary(draws: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def additive_base_rate_q(spark: SparkSession, sf_dir: str):
 register("additive_base_rate", "F3,F5", sq.with_(sq.F_OUTCOMES) + f"""
 SELECT count(*) AS n, sum({Y}) AS pos, round(avg({Y}), 3) AS mean_prob FROM F_outcomes WHERE {Y} IS NOT NULL""")(additive_base_rate_q)
 
-EN_SPACE = {"C": [0.1, 1.0], "l1_ratio": [0.5]}
+EN_SPACE = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [0.1, 0.3, 0.5, 0.7, 0.9]}  # fixed values: the task's candidates
 
 
 def grid_search_q(spark: SparkSession, sf_dir: str):
@@ -188,6 +188,16 @@ def random_search_q(spark: SparkSession, sf_dir: str):
 register("random_search", "G3")(random_search_q)
 
 
+def random_search_elasticnet_q(spark: SparkSession, sf_dir: str):
+    """G3 over the elastic net's candidates: 20 of 30 drawn without replacement, all fits together."""
+    best, scores = search.search(_labelled(spark, sf_dir), "elasticnet", EN_SPACE, CAT, NUM, inner=3, n_iter=20, seed=SEED)
+    return spark.createDataFrame([(str(p), float(s), str(p) == str(best)) for p, s in scores],
+                                 "params string, mean_auc double, best boolean")
+
+
+register("random_search_elasticnet", "G3")(random_search_elasticnet_q)
+
+
 def oof_q(spark: SparkSession, sf_dir: str):
     return round_doubles(search.oof_predict(_labelled(spark, sf_dir), "elasticnet", {"C": 1.0, "l1_ratio": 0.5}, CAT, NUM, inner=3,
                                             seed=SEED))
@@ -197,9 +207,8 @@ register("oof_predict", "G4")(oof_q)
 
 
 def nested_cv_q(spark: SparkSession, sf_dir: str):
-    df = _cohort(spark, sf_dir)
-    """Fold metrics with the parameters that each fold's search chose."""
-    res = search.nested_cv(df, Y, CAT, NUM, "elasticnet", EN_SPACE, outer=3, inner=2, seed=SEED)
+    """Fold metrics with the parameters that each fold's search chose, 5 outer and 3 inner folds over all candidates."""
+    res = search.nested_cv(_cohort(spark, sf_dir), Y, CAT, NUM, "elasticnet", EN_SPACE, outer=5, inner=3, n_iter=50, seed=SEED)
     chosen = spark.createDataFrame([(k + 1, str(p)) for k, p in enumerate(res.best_params)], "fold int, best_params string")
     return round_doubles(res.fold_metrics.join(chosen, "fold"))
 
@@ -208,10 +217,11 @@ register("nested_cv", "G5,I1")(nested_cv_q)
 
 
 def run_experiment_q(spark: SparkSession, sf_dir: str):
+    """Both outcomes and two families, 5 outer and 3 inner folds; all candidates of the elastic net, two of the additive model."""
     df = _cohort(spark, sf_dir)
-    m, _ = search.run_experiment(df, ["risk_cluster"], {"LABS": ["tc", "ldl", "smoke"]},
-                                 {"elasticnet": {"C": [1.0], "l1_ratio": [0.5]}, "glassbox_additive": {"max_bins": [16]}},
-                                 outer=3, inner=2, seed=SEED)
+    m, _ = search.run_experiment(df, ["risk_cluster", "central_obesity"], {"LABS": ["tc", "ldl", "smoke"]},
+                                 {"elasticnet": EN_SPACE, "glassbox_additive": {"max_bins": [8, 16]}},
+                                 outer=5, inner=3, seed=SEED)
     return round_doubles(m)
 
 
@@ -253,7 +263,7 @@ register("isotonic_calibration", "I3,I4")(isotonic_q)
 
 def stability_selection_q(spark: SparkSession, sf_dir: str):
     df = _cohort(spark, sf_dir)
-    draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=4, frac=0.7, seed=SEED)
+    draws = stability.stability_draws(df, Y, NUM + CAT, CAT, NUM, n_draws=200, frac=0.7, seed=SEED)
     return stability.stability_summary(draws)
 
 
