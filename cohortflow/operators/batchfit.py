@@ -284,8 +284,57 @@ class Prepared:
     maps: np.ndarray  # sets x (slots + 1) x raw columns
     slots: list[tuple[int, str, str, str | None]]
     size: np.ndarray  # rows of each set
-    balance: np.ndarray  # sets x 2 class weights
+    classes: np.ndarray  # 2 x sets
     medians: np.ndarray  # sets x numbers
+    rows: np.ndarray  # numbers x sets: rows with a value
+    goes: list[list[list[int | None]]]  # of each set and text column: the level slot of every code
+
+    def balance(self, balanced: bool) -> np.ndarray:
+        """Class weights (sets x 2): rows / (2 x rows of the class), or 1; 0 for a set with one class."""
+        both = (self.classes > 0).all(axis=0)
+        weight = np.where(both, self.size / np.maximum(2 * self.classes, 1e-300), 0.0).T
+        return weight if balanced else (weight > 0).astype(np.float64)
+
+
+@dataclass
+class Design:
+    """A set's features that are not linear in the raw values: bins or splines of imputed numbers, and its level slots."""
+
+    set: int
+    medians: np.ndarray
+    bins: list[np.ndarray] | None  # inner edges of each number's bins
+    knots: tuple[int, np.ndarray, np.ndarray] | None  # number of knots, least and greatest values
+    goes: list[np.ndarray]  # slot of each code, -1 for none
+    width: int  # slots without the intercept
+
+    def matrix(self, num: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Features and a constant."""
+        n = len(codes) if len(self.goes) else len(num)
+        z = np.zeros((n, self.width + 1))
+        z[:, -1] = 1.0
+        rows, at = np.arange(n), 0
+        x = np.where(np.isnan(num), self.medians, num)
+        for j in range(num.shape[1]):
+            if self.bins is not None:
+                z[rows, at + np.searchsorted(self.bins[j], x[:, j], side="right")] = 1.0
+                at += len(self.bins[j]) + 1
+            else:
+                k, low, high = self.knots[0], self.knots[1][j], self.knots[2][j]
+                h = (high - low) / (k - 1) if high > low else 1.0
+                u = (np.clip(x[:, j], low, high) - low) / h
+                for s in range(k + 1):
+                    z[:, at + s] = _cubic(u - (s - 3))
+                at += k + 1
+        for goes, code in zip(self.goes, codes.T, strict=True):
+            slot = goes[code]
+            z[rows[slot >= 0], at + slot[slot >= 0]] = 1.0
+        return z
+
+
+def _cubic(u: np.ndarray) -> np.ndarray:
+    """Uniform cubic B-spline with support [0, 4]."""
+    v = np.abs(u - 2.0)
+    return np.where(v < 1, (4 - 6 * v * v + 3 * v ** 3) / 6, np.where(v < 2, (2 - np.minimum(v, 2.0)) ** 3 / 6, 0.0))
 
 
 @dataclass
@@ -295,19 +344,20 @@ class LinearFit:
     set: int
     coef: np.ndarray
     intercept: float
-    raw: np.ndarray
+    raw: np.ndarray | None
     steps: int
+    design: Design | None = None
 
 
 class Batch:
     """Rows and training sets that fits are made on."""
 
-    def __init__(self, layout: Layout, sets: int, packed: DataFrame, path: str, prepared: Prepared, tasks: int):
-        self.layout, self.sets, self.packed, self.path, self.prepared, self.tasks = layout, sets, packed, path, prepared, tasks
+    def __init__(self, layout: Layout, sets: int, packed: DataFrame, path: str, prepared: Prepared, tasks: int, cuts: dict[int, np.ndarray]):
+        self.layout, self.sets, self.packed, self.path, self.prepared, self.tasks, self.cuts = layout, sets, packed, path, prepared, tasks, cuts
 
     @classmethod
     def prepare(cls, df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], times: Column | None, sets: int, min_freq: float = 0.01,
-                draws: tuple[int, float] | None = None, id_col: str = "_id", balanced: bool = True, least: float | None = None) -> Batch:
+                draws: tuple[int, float] | None = None, id_col: str = "_id", least: float | None = None) -> Batch:
         """``df`` has ``label`` (0 or 1) and the raw columns.  A row's counts in the sets are the array ``times``, or
         those of ``sets`` hashed bootstrap draws of (seed, frac) ``draws`` by ``id_col``."""
         cat_cols, num_cols = list(cat_cols), list(num_cols)
@@ -326,54 +376,83 @@ class Batch:
         rows = stats[0].sum(axis=0)
         if draws is not None and least is None and rows.size and rows.min() < rows.mean() / 2:  # a draw smaller than the levels were listed for
             remove_scratch(df.sparkSession, path)
-            return cls.prepare(df, cat_cols, num_cols, times, sets, min_freq, draws, id_col, balanced, float(rows.min()))
+            return cls.prepare(df, cat_cols, num_cols, times, sets, min_freq, draws, id_col, float(rows.min()))
         medians = weighted_medians(packed, layout, sets, stats[1][0], cuts)
-        return cls(layout, sets, packed, path, _prepared(layout, stats, medians, min_freq, balanced), tasks)
+        return cls(layout, sets, packed, path, _prepared(layout, stats, medians, min_freq), tasks, cuts)
 
     def discard(self) -> None:
         remove_scratch(self.packed.sparkSession, self.path)
 
-    def fit(self, fits: Sequence[tuple[int, float, float]], tol: float = 1e-8, max_steps: int = 60) -> list[LinearFit | None]:
-        """Solves all (set, C, l1_ratio); None for a set with one class only."""
+    def fit(self, fits: Sequence[tuple[int, float, float]], balanced: bool = True) -> list[LinearFit | None]:
+        """Solves all (set, C, l1_ratio) on standardized numbers and levels; None for a set with one class only."""
         prep = self.prepared
         which = np.array([t for t, _, _ in fits], dtype=np.int64)
-        l1 = np.array([ratio / cost for _, cost, ratio in fits])
-        l2 = np.array([(1.0 - ratio) / cost for _, cost, ratio in fits])
-        width = prep.maps.shape[1]
-        b = np.zeros((len(fits), width))
-        before, step, value = b.copy(), np.zeros_like(b), np.full(len(fits), np.inf)
-        steps = np.zeros(len(fits), dtype=np.int64)
-        live = np.flatnonzero((prep.balance[which] > 0).all(axis=1)) if len(fits) else np.zeros(0, dtype=np.int64)
-        usable = live.copy()
-        while len(live):
-            raw = np.einsum("bs,bsd->bd", b[live], prep.maps[which[live]])
-            found = _summed(self.packed.mapInArrow(_curves(self.layout, self.sets, raw, which[live], prep.balance[which[live]]), _PARTS))
-            d = self.layout.width
-            own = np.array([found[k] for k in range(len(live))])
+        weight = prep.balance(balanced)
+        a, e = self.layout.pairs()
+        d = self.layout.width
+
+        def curves(live: np.ndarray, b: np.ndarray):
             maps = prep.maps[which[live]]
-            grad = np.einsum("bsd,bd->bs", maps, own[:, 1: 1 + d])
+            raw = np.einsum("bs,bsd->bd", b, maps)
+            found = _summed(self.packed.mapInArrow(_curves(self.layout, self.sets, raw, which[live], weight[which[live]]), _PARTS))
+            own = np.array([found[k] for k in range(len(live))])
             full = np.zeros((len(live), d, d))
-            a, e = self.layout.pairs()
             full[:, a, e] = full[:, e, a] = own[:, 1 + d:]
-            curve = maps @ full @ maps.transpose(0, 2, 1)
-            slots = b[live][:, :-1]
-            now = own[:, 0] + l1[live] * np.abs(slots).sum(axis=1) + l2[live] / 2 * (slots ** 2).sum(axis=1)
-            worse = now > value[live] + 1e-10 * np.abs(now)
-            # a step that raised the objective is halved; the others go on from here
-            halve = live[worse]
-            step[halve] /= 2
-            b[halve] = before[halve] + step[halve]
-            good = ~worse
-            on = live[good]
-            value[on] = now[good]
-            step[on] = _newton_steps(grad[good], curve[good], b[on], l1[on], l2[on])
-            before[on] = b[on]
-            b[on] += step[on]
-            steps[live] += 1
-            live = live[(np.abs(step[live]).max(axis=1) > tol) & (steps[live] < max_steps)]
-        raw = np.einsum("bs,bsd->bd", b, prep.maps[which]) if len(fits) else np.zeros((0, self.layout.width))
-        ok = set(usable.tolist())
-        return [LinearFit(int(which[k]), b[k, :-1], float(b[k, -1]), raw[k], int(steps[k])) if k in ok else None for k in range(len(fits))]
+            return own[:, 0], np.einsum("bsd,bd->bs", maps, own[:, 1: 1 + d]), maps @ full @ maps.transpose(0, 2, 1)
+
+        usable = (weight[which] > 0).all(axis=1) if len(fits) else np.zeros(0, dtype=bool)
+        b, steps = _solve(curves, [f[1:] for f in fits], prep.maps.shape[1], usable)
+        raw = np.einsum("bs,bsd->bd", b, prep.maps[which]) if len(fits) else b
+        return [LinearFit(int(which[k]), b[k, :-1], float(b[k, -1]), raw[k], int(steps[k])) if usable[k] else None for k in range(len(fits))]
+
+    def fit_designs(self, fits: Sequence[tuple[Design, float]], balanced: bool) -> list[LinearFit | None]:
+        """Solves all (design, C) with a ridge penalty; None for a set with one class only."""
+        weight = self.prepared.balance(balanced)
+        width = max((f.width for f, _ in fits), default=0) + 1
+        slots = [np.append(np.arange(f.width), width - 1) for f, _ in fits]
+
+        def curves(live: np.ndarray, b: np.ndarray):
+            work = [(fits[k][0], b[i][slots[k]], weight[fits[k][0].set]) for i, k in enumerate(live)]
+            found = _summed(self.packed.mapInArrow(_design_curves(self.layout, self.sets, work), _PARTS))
+            loss, grad, curve = np.zeros(len(live)), np.zeros((len(live), width)), np.zeros((len(live), width, width))
+            for i, k in enumerate(live):
+                own, n = found[i], len(slots[k])
+                loss[i], grad[i, slots[k]] = own[0], own[1: 1 + n]
+                curve[i][np.ix_(slots[k], slots[k])] = own[1 + n:].reshape(n, n)
+            return loss, grad, curve
+
+        usable = np.array([bool((weight[f.set] > 0).all()) for f, _ in fits], dtype=bool)
+        b, steps = _solve(curves, [(cost, 0.0) for _, cost in fits], width, usable)
+        return [LinearFit(f.set, b[k, : f.width], float(b[k, -1]), None, int(steps[k]), f) if usable[k] else None for k, (f, _) in enumerate(fits)]
+
+    def binned(self, max_bins: int) -> list[Design]:
+        """Each set's quantile bins of its imputed numbers, and its levels."""
+        prep, wanted, spot = self.prepared, {}, {}
+        for j in self.cuts:
+            for t in range(self.sets):
+                n, size = int(prep.rows[j, t]), int(prep.size[t])
+                if n:
+                    # imputed values stand behind the lower middle one
+                    ranks = [max(0, -(-i * size // max_bins) - 1) for i in range(1, max_bins)]
+                    spot[j, t] = [r if r <= (n - 1) // 2 else None if r <= (n - 1) // 2 + size - n else r - (size - n) for r in ranks]
+                    wanted[j, t] = [r for r in spot[j, t] if r is not None]
+        found = order_statistics(self.packed, self.layout, self.sets, wanted, self.cuts)
+        edges = lambda j, t: np.unique([prep.medians[t, j] if r is None else found[j, t, r] for r in spot.get((j, t), [])])
+        return [self._design(t, [edges(j, t) for j in range(len(self.layout.num))], None) for t in range(self.sets)]
+
+    def splined(self, n_knots: int) -> list[Design]:
+        """Each set's spline basis between its least and greatest values, and its levels."""
+        prep = self.prepared
+        ends = {(j, t): [0, int(prep.rows[j, t]) - 1] for j in self.cuts for t in range(self.sets) if prep.rows[j, t]}
+        found = order_statistics(self.packed, self.layout, self.sets, ends, self.cuts)
+        at = lambda t, k: np.array([found.get((j, t, ends[j, t][k]), 0.0) if (j, t) in ends else 0.0 for j in range(len(self.layout.num))])
+        return [self._design(t, None, (n_knots, at(t, 0), at(t, 1))) for t in range(self.sets)]
+
+    def _design(self, t: int, bins, knots) -> Design:
+        slots = sum(len(x) + 1 for x in bins) if bins is not None else (knots[0] + 1) * len(self.layout.num)
+        goes = [np.array([-1 if x is None else x for x in own]) for own in self.prepared.goes[t]]
+        levels = 1 + max((x for own in self.prepared.goes[t] for x in own if x is not None), default=-1)
+        return Design(t, np.nan_to_num(self.prepared.medians[t]), bins, knots, goes, slots + levels)
 
     def score(self, df: DataFrame, fits: Sequence[LinearFit | None], keep: Sequence[str], groups: Column, per_group: int) -> DataFrame:
         """(keep..., _group, _fit, prob): every row of ``df`` under the fits of each group in its array ``groups``.
@@ -383,8 +462,7 @@ class Batch:
         fields = [f for f in df.select(*[c(k) for k in keep]).schema.fields]
         src = df.select(*[c(k) for k in keep], *raw_columns(self.layout.cat, self.layout.num), groups.alias("_groups"))
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        raw = np.array([f.raw if f is not None else np.full(self.layout.width, np.nan) for f in fits]).T
-        return src.repartition(self.tasks).mapInArrow(_scores(self.layout, raw, [f.name for f in fields], per_group), f"{ddl}, _group int, _fit int, prob double")
+        return src.repartition(self.tasks).mapInArrow(_scores(self.layout, Margins(fits), [f.name for f in fields], per_group), f"{ddl}, _group int, _fit int, prob double")
 
     def aucs(self, df: DataFrame, fits: Sequence[LinearFit | None], groups: Column, per_group: int, label: str = "label", bucket: int = BUCKET) -> dict[int, float | None]:
         """Tie-aware AUROC of every fit over the rows of ``df`` in its group; None with one class or without the fit.
@@ -393,7 +471,7 @@ class Batch:
         bucket of scores).  Buckets are cut by counts of ever finer parts of the score range until each holds at
         most ``bucket`` rows or one score, so no task holds more however a fit's scores crowd.
         """
-        raw = np.array([f.raw if f is not None else np.full(self.layout.width, np.nan) for f in fits]).T
+        raw = Margins(fits)
         src = df.select(c(label).cast("double").alias("_label"), *raw_columns(self.layout.cat, self.layout.num), groups.alias("_groups")).filter("_label is not null").repartition(self.tasks)
         edges = {k: _keys(np.array([0.0])) for k in range(len(fits))}  # the first key of each part
         split = dict(edges)
@@ -465,18 +543,28 @@ def _dictionary(df: DataFrame, cat_cols, num_cols, times, sets, min_freq, draws,
 
 
 def weighted_medians(packed: DataFrame, layout: Layout, sets: int, rows: np.ndarray, cuts: dict[int, np.ndarray]) -> np.ndarray:
-    """Exact medians (sets x numbers) of the sets' rows; NaN where a set has no value.
+    """Exact medians (sets x numbers) of the sets' rows; NaN where a set has no value."""
+    middle = {(j, t): [int(rows[j, t] - 1) // 2, int(rows[j, t]) // 2] for j in cuts for t in range(sets) if rows[j, t]}
+    found = order_statistics(packed, layout, sets, middle, cuts)
+    out = np.full((sets, len(layout.num)), np.nan)
+    for (j, t), (low, high) in middle.items():
+        a, b = found[j, t, low], found[j, t, high]
+        out[t, j] = a + (b - a) * 0.5
+    return out
+
+
+def order_statistics(packed: DataFrame, layout: Layout, sets: int, wanted: dict[tuple[int, int], list[int]], cuts: dict[int, np.ndarray]) -> dict[tuple[int, int, int], float]:
+    """Exact values at ranks (from 0) of a number's values in a set: {(number, set, rank): value}.
 
-    Each pass counts the rows of every set between cuts of the value range and keeps the ranges that hold a middle
-    row, until these are short enough to list their values.  The first cuts are a sketch's; wrong ones only cost another pass.
+    Each pass counts the rows of every set between cuts of the value range and keeps the ranges that hold a wanted
+    rank, until these are short enough to list their values.  The first cuts are a sketch's; wrong ones only cost another pass.
     """
-    out = np.full((sets, len(layout.num)), np.nan)
-    ranks = {(j, t, r): r for j in cuts for t in range(sets) if rows[j, t] for r in {int(rows[j, t] - 1) // 2, int(rows[j, t]) // 2}}
+    ranks = {(j, t, r) for (j, t), own in wanted.items() for r in own}
     found: dict[tuple[int, int, int], float] = {}
     top = (1 << 64) - 1  # above every key of a number
-    open_ranges: dict[int, list[tuple[int, int]]] = {j: [(0, top)] for j in cuts}
+    open_ranges: dict[int, list[tuple[int, int]]] = {j: [(0, top)] for j in {j for j, _, _ in ranks}}
     first = True
-    while any(k not in found for k in ranks):
+    while open_ranges:
         at = {}
         for j, own in open_ranges.items():
             if first:
@@ -487,43 +575,33 @@ def weighted_medians(packed: DataFrame, layout: Layout, sets: int, rows: np.ndar
         counts = {j: x.reshape(-1, sets) for j, x in _summed(packed.mapInArrow(_count_ranges(layout, sets, at), _PARTS)).items()}
         listed: dict[int, dict[tuple[int, int], np.ndarray]] = {}  # range: rows of each set below it
         split: dict[int, list[tuple[int, int]]] = {}
-        for j, x in counts.items():
-            below = np.concatenate([np.zeros((1, sets)), np.cumsum(x, axis=0)])
-            edges = [0, *(int(v) for v in at[j]), top]
-            for (jj, t, r) in ranks:
-                if jj != j or (jj, t, r) in found:
-                    continue
-                k = int(np.searchsorted(below[1:, t], r, side="right"))
-                part = (edges[k], edges[k + 1])
-                if x[k].max() <= EXACT or part[1] - part[0] <= 1:
-                    listed.setdefault(j, {})[part] = below[k]
-                elif part not in split.setdefault(j, []):
-                    split[j].append(part)
+        for j, t, r in sorted(ranks - found.keys()):
+            below = np.concatenate([[0.0], np.cumsum(counts[j][:, t])])
+            k = int(np.searchsorted(below[1:], r, side="right"))
+            part = (int(at[j][k - 1]) if k else 0, int(at[j][k]) if k < len(at[j]) else top)
+            if counts[j][k].max() <= EXACT or part[1] - part[0] <= 1:
+                listed.setdefault(j, {})[part] = counts[j][:k].sum(axis=0)
+            elif part not in split.setdefault(j, []):
+                split[j].append(part)
         if listed:
             parts = packed.mapInArrow(_list_values(layout, sets, {j: list(own) for j, own in listed.items()}), "j int, value bigint, part binary")
             values: dict[int, list] = {}
-            for r in parts.repartition("j", "value").mapInArrow(_add_values, "j int, value bigint, part binary").collect():
+            for r in parts.repartition("j", "value").mapInArrow(_add_values, "j int, value bigint, part binary").collect():  # ``EXACT`` rows of a set a range at most
                 values.setdefault(r["j"], []).append((np.int64(r["value"]).view(np.uint64), np.frombuffer(r["part"])))
             for j, own in listed.items():
                 here = sorted(values[j], key=lambda x: x[0])
-                keys = np.array([k for k, _ in here], dtype=np.uint64)
-                weight = np.array([w for _, w in here])
+                keys, weight = np.array([k for k, _ in here], dtype=np.uint64), np.array([w for _, w in here])
                 for (low, high), below in own.items():
-                    lo, hi = int(np.searchsorted(keys, np.uint64(low))), len(keys) if high == top else int(np.searchsorted(keys, np.uint64(high)))
+                    lo, hi = int(np.searchsorted(keys, np.uint64(low))), int(np.searchsorted(keys, np.uint64(high)))
                     upto = below + np.cumsum(weight[lo:hi], axis=0)
-                    for (jj, t, r) in ranks:
-                        if jj == j and (jj, t, r) not in found and below[t] <= r and hi > lo and upto[-1, t] > r:
-                            found[jj, t, r] = float(_values(keys[lo + int(np.searchsorted(upto[:, t], r, side="right"))][None])[0])
+                    for jj, t, r in ranks:
+                        if jj == j and below[t] <= r and hi > lo and upto[-1, t] > r:
+                            found[j, t, r] = float(_values(keys[lo + int(np.searchsorted(upto[:, t], r, side="right"))][None])[0])
         open_ranges, first = split, False
-    for j in cuts:
-        for t in range(sets):
-            if rows[j, t]:
-                a, b = (found[j, t, r] for r in (int(rows[j, t] - 1) // 2, int(rows[j, t]) // 2))
-                out[t, j] = a + (b - a) * 0.5
-    return out
+    return found
 
 
-def _prepared(layout: Layout, stats: list[np.ndarray], medians: np.ndarray, min_freq: float, balanced: bool) -> Prepared:
+def _prepared(layout: Layout, stats: list[np.ndarray], medians: np.ndarray, min_freq: float) -> Prepared:
     classes, moments, levels = stats[0], stats[1], stats[2:]
     sets, p = classes.shape[1], len(layout.num)
     size = classes.sum(axis=0)
@@ -534,6 +612,7 @@ def _prepared(layout: Layout, stats: list[np.ndarray], medians: np.ndarray, min_
     maps = np.zeros((sets, len(slots) + 1, layout.width))
     const = 2 * p
     maps[:, -1, const] = 1.0
+    where: list[list[list[int | None]]] = [[[None] * (len(v) + 2) for v in layout.levels] for _ in range(sets)]
     for t in range(sets):
         if not size[t]:
             continue
@@ -562,13 +641,12 @@ def _prepared(layout: Layout, stats: list[np.ndarray], medians: np.ndarray, min_
             other = place[OTHER] if has_other or any(kept[x] and own[x] == OTHER for x in range(len(own))) else None
             goes = [place[own[x]] if kept[x] else other for x in range(len(own))] + [other]
             goes.append(None if not seen else goes[mode] if mode is not None else other)
+            where[t][k] = [None if slot is None else slot - p for slot in goes]
             for x, slot in enumerate(goes):
                 if slot is not None:
                     maps[t, slot, at + x] = 1.0
             first += len(names[k])
-    both = (classes > 0).all(axis=0)
-    weight = np.where(both, size / np.maximum(2 * classes, 1e-300), 0.0).T if balanced else np.where(both, 1.0, 0.0)[:, None].repeat(2, axis=1)
-    return Prepared(maps, slots, size, weight, medians)
+    return Prepared(maps, slots, size, classes, medians, moments[0], where)
 
 
 # ---------------------------------------------------------------- iterations
@@ -601,6 +679,66 @@ def _curves(layout: Layout, sets: int, raw: np.ndarray, which: np.ndarray, balan
     return run
 
 
+def _design_curves(layout: Layout, sets: int, work: list[tuple[Design, np.ndarray, np.ndarray]]):
+    """Loss, gradient and curvature of fits on designs, summed over a task's rows; a design's features are made once for its fits."""
+    by_design: dict[int, list[int]] = {}
+    for k, (design, _, _) in enumerate(work):
+        by_design.setdefault(id(design), []).append(k)
+    groups = list(by_design.values())
+
+    def run(batches):
+        out = [np.zeros(1 + len(b) + len(b) ** 2) for _, b, _ in work]
+        seen = False
+        for rows in _blocks(batches, layout, sets):
+            y = (rows.label == 1).astype(np.float64)
+            for group in groups:
+                design = work[group[0]][0]
+                own = np.flatnonzero(rows.times[:, design.set])
+                for lo in range(0, len(own), ROWS):
+                    part = own[lo: lo + ROWS]
+                    z = design.matrix(rows.num[part], rows.codes[part])
+                    for k in group:
+                        _, b, weight = work[k]
+                        m = z @ b
+                        w = rows.times[part, design.set] * np.where(y[part] == 1, weight[1], weight[0])
+                        prob = 1.0 / (1.0 + np.exp(-np.clip(m, -500, 500)))
+                        n = len(b)
+                        out[k][0] += (w * (np.logaddexp(0.0, m) - y[part] * m)).sum()
+                        out[k][1: 1 + n] += z.T @ (w * (prob - y[part]))
+                        out[k][1 + n:] += (z.T @ (z * (w * prob * (1.0 - prob))[:, None])).ravel()
+            seen = True
+        if seen:
+            for k, own in enumerate(out):
+                yield _part(k, own)
+    return run
+
+
+def _solve(curves, penalties: Sequence[tuple[float, float]], width: int, usable: np.ndarray, tol: float = 1e-8, max_steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Proximal Newton steps of all usable fits; ``curves(live, coefficients)`` gives their losses, gradients and curvatures."""
+    n = len(penalties)
+    l1 = np.array([ratio / cost for cost, ratio in penalties])
+    l2 = np.array([(1.0 - ratio) / cost for cost, ratio in penalties])
+    b = np.zeros((n, width))
+    before, step, value, steps = b.copy(), np.zeros_like(b), np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    live = np.flatnonzero(usable)
+    while len(live):
+        loss, grad, curve = curves(live, b[live])
+        slots = b[live][:, :-1]
+        now = loss + l1[live] * np.abs(slots).sum(axis=1) + l2[live] / 2 * (slots ** 2).sum(axis=1)
+        worse = now > value[live] + 1e-10 * np.abs(now)
+        # a step that raised the objective is halved; the others go on from here
+        halve, on, good = live[worse], live[~worse], ~worse
+        step[halve] /= 2
+        b[halve] = before[halve] + step[halve]
+        value[on] = now[good]
+        step[on] = _newton_steps(grad[good], curve[good], b[on], l1[on], l2[on])
+        before[on] = b[on]
+        b[on] += step[on]
+        steps[live] += 1
+        live = live[(np.abs(step[live]).max(axis=1) > tol) & (steps[live] < max_steps)]
+    return b, steps
+
+
 def _newton_steps(grad, curve, b, l1, l2, sweeps: int = 20, tol: float = 1e-11) -> np.ndarray:
     """The minimum of each fit's quadratic model plus penalty, as a step from ``b``; the last slot has no penalty.
 
@@ -670,19 +808,43 @@ def _signed_minimum(system: np.ndarray, linear: np.ndarray, lasso: np.ndarray, v
     return v
 
 
-def _probabilities(layout: Layout, raw: np.ndarray, per_group: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Margins:
+    """The margins of fits for rows: one product for all fits on raw columns, one for each design."""
+
+    def __init__(self, fits: Sequence[LinearFit | None]):
+        self.n = len(fits)
+        self.plain = [k for k, f in enumerate(fits) if f is not None and f.design is None]
+        self.raw = np.array([fits[k].raw for k in self.plain]).T
+        self.designs: list[tuple[Design, list[int], np.ndarray]] = []
+        by_design: dict[int, list[int]] = {}
+        for k, f in enumerate(fits):
+            if f is not None and f.design is not None:
+                by_design.setdefault(id(f.design), []).append(k)
+        for own in by_design.values():
+            self.designs.append((fits[own[0]].design, own, np.array([np.append(fits[k].coef, fits[k].intercept) for k in own]).T))
+
+    def of(self, layout: Layout, num: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = np.full((len(num), self.n), np.nan)
+        if self.plain:
+            out[:, self.plain] = layout.matrix(num, codes) @ self.raw
+        for design, own, coef in self.designs:
+            out[:, own] = design.matrix(num, codes) @ coef
+        return out
+
+
+def _probabilities(layout: Layout, raw: Margins, per_group: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, fit, probability) of a batch's rows under the fits of their groups."""
     groups = batch.column(batch.schema.names.index("_groups"))
     row = pc.list_parent_indices(groups).to_numpy(zero_copy_only=False)
     group = pc.list_flatten(groups).to_numpy(zero_copy_only=False).astype(np.int64)
-    margin = layout.matrix(*layout.encode(batch)) @ raw
+    margin = raw.of(layout, *layout.encode(batch))
     row, fit = np.repeat(row, per_group), (group[:, None] * per_group + np.arange(per_group)).ravel()
     m = margin[row, fit]
     ok = ~np.isnan(m)
     return row[ok], fit[ok], 1.0 / (1.0 + np.exp(-np.clip(m[ok], -500, 500)))
 
 
-def _scores(layout: Layout, raw: np.ndarray, keep: list[str], per_group: int):
+def _scores(layout: Layout, raw: Margins, keep: list[str], per_group: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -695,7 +857,7 @@ def _scores(layout: Layout, raw: np.ndarray, keep: list[str], per_group: int):
     return run
 
 
-def _by_fit(layout: Layout, raw: np.ndarray, per_group: int, batch: pa.RecordBatch):
+def _by_fit(layout: Layout, raw: Margins, per_group: int, batch: pa.RecordBatch):
     """(fit, keys of its scores in order, whether each row is positive)."""
     row, fit, prob = _probabilities(layout, raw, per_group, batch)
     label = batch.column(batch.schema.names.index("_label")).to_numpy(zero_copy_only=False)[row] == 1
@@ -706,7 +868,7 @@ def _by_fit(layout: Layout, raw: np.ndarray, per_group: int, batch: pa.RecordBat
         yield int(fit[lo]), key[lo:hi], label[lo:hi]
 
 
-def _count_scores(layout: Layout, raw: np.ndarray, per_group: int, edges: dict[int, np.ndarray]):
+def _count_scores(layout: Layout, raw: Margins, per_group: int, edges: dict[int, np.ndarray]):
     """Negative and positive rows of each fit in each part of the score range."""
     def run(batches):
         out = {k: np.zeros((len(own), 2)) for k, own in edges.items()}
@@ -723,7 +885,7 @@ def _count_scores(layout: Layout, raw: np.ndarray, per_group: int, edges: dict[i
 _SCORES = "fit int, bucket int, keys binary, counts binary"
 
 
-def _send_scores(layout: Layout, raw: np.ndarray, per_group: int, starts: dict[int, np.ndarray]):
+def _send_scores(layout: Layout, raw: Margins, per_group: int, starts: dict[int, np.ndarray]):
     """Each fit's distinct scores of a batch, with negative and positive rows, by bucket."""
     def run(batches):
         for batch in batches:

@@ -1,10 +1,11 @@
 """Stratified folds, hyper-parameter search and nested cross-validation.
 
-Folds are a column, never separate datasets.  Elastic-net searches solve all fits
-(outer folds x inner folds x candidates) together, see ``batchfit``: each
-iteration is one pass over the rows for all of them.
+Folds are a column, never separate datasets.  Searches of the linear families
+(elastic net, splines, additive bins without pair terms) solve all fits (outer
+folds x inner folds x candidates) together, see ``batchfit``: each iteration is one
+pass over the rows for all of them.
 
-For the other families the driver loops over folds and candidates (each is one
+For the others the driver loops over folds and candidates (each is one
 Spark ML fit); all data work stays in Spark jobs.  Candidate fits of one fold are
 submitted from a small thread pool so Spark can run them concurrently, and the
 preprocessor, which has no searched parameter (except the additive model's bin
@@ -32,7 +33,7 @@ from ..session import remove_scratch, scratch_path
 from .batchfit import Batch
 from .calibrate import calibrates, fit_calibrator, fit_calibrators
 from .metrics import METRIC_COLUMNS, fold_metrics_both, rank_metrics
-from .models import build_model, fit_features, is_balanced, prob_of_one
+from .models import MAX_BINS, build_model, fit_features, is_balanced, prob_of_one
 
 # ---------------------------------------------------------------- G1 stratified folds
 
@@ -140,8 +141,8 @@ def search(train: DataFrame, kind: str, space: Mapping[str, Sequence], cat_cols,
     """
     cands = candidates_for(space, n_iter, seed)
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
-    if kind == "elasticnet":
-        batch, fits = _fold_fits(folded, cands, cat_cols, num_cols, inner, min_freq)
+    if in_batches(kind, cands):
+        batch, fits = _fold_fits(folded, kind, cands, cat_cols, num_cols, inner, min_freq)
         means = [(p, m) for p, m in zip(cands, _mean_auc(batch.aucs(folded, fits, F.array((c("_fin") - 1).cast("int")), len(cands)), inner, len(cands))[0])]
         batch.discard()
         folded.unpersist()
@@ -184,11 +185,27 @@ def _best(means: Sequence[tuple[dict, float]]) -> dict:
     return max(means, key=lambda m: np.nan_to_num(m[1], nan=-1.0))[0]
 
 
-def _fold_fits(folded: DataFrame, cands: Sequence[Mapping], cat_cols, num_cols, inner: int, min_freq: float) -> tuple[Batch, list]:
+def in_batches(kind: str, cands: Sequence[Mapping]) -> bool:
+    """Whether a family's fits are solved together: all linear ones, the additive model without pair terms."""
+    return kind in ("elasticnet", "gam_spline") or (kind == "glassbox_additive" and not any(int(p.get("interactions", 0)) for p in cands))
+
+
+def batch_fits(batch: Batch, kind: str, wanted: Sequence[tuple[int, Mapping]]) -> list:
+    """The fits of (set, candidate) of one family."""
+    if kind == "elasticnet":
+        return batch.fit([(t, *_penalty(p)) for t, p in wanted])
+    basis = (lambda p: int(p.get("n_knots", 10))) if kind == "gam_spline" else (lambda p: int(p.get("max_bins", MAX_BINS)))
+    make = batch.splined if kind == "gam_spline" else batch.binned
+    designs = {k: make(k) for k in {basis(p) for _, p in wanted}}
+    # the spline model's penalty is fixed, as in ``models.build_model``
+    return batch.fit_designs([(designs[basis(p)][t], 1.0 if kind == "gam_spline" else float(p.get("C", 1.0))) for t, p in wanted], is_balanced(kind))
+
+
+def _fold_fits(folded: DataFrame, kind: str, cands: Sequence[Mapping], cat_cols, num_cols, inner: int, min_freq: float) -> tuple[Batch, list]:
     """The fits of every candidate on the rows outside each fold ``_fin``, fold by fold."""
     times = F.array(*[(c("_fin") != f).cast("tinyint") for f in range(1, inner + 1)])
     batch = Batch.prepare(folded, cat_cols, num_cols, times, inner, min_freq)
-    return batch, batch.fit([(f, *_penalty(p)) for f in range(inner) for p in cands])
+    return batch, batch_fits(batch, kind, [(f, p) for f in range(inner) for p in cands])
 
 
 def _penalty(params: Mapping) -> tuple[float, float]:
@@ -234,8 +251,8 @@ def oof_predict(train: DataFrame, kind: str, params: Mapping, cat_cols, num_cols
                 min_freq: float = 0.01) -> DataFrame:
     """Inner-fold out-of-fold probabilities (_id, label, prob) of a fixed estimator, written to the shared folder."""
     folded = stratified_folds(train, "label", inner, seed, "_id", "_fin").persist(StorageLevel.MEMORY_AND_DISK)
-    if kind == "elasticnet":
-        batch, fits = _fold_fits(folded, [params], cat_cols, num_cols, inner, min_freq)
+    if in_batches(kind, [params]):
+        batch, fits = _fold_fits(folded, kind, [params], cat_cols, num_cols, inner, min_freq)
         path = scratch_path(train.sparkSession, "oof")
         batch.score(folded, fits, ["_id", "label"], F.array((c("_fin") - 1).cast("int")), 1).select("_id", "label", "prob").write.parquet(path)
         batch.discard()
@@ -275,8 +292,8 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     calibrates(recalibration)  # an unknown name fails before any fit
     base = df.filter(c(y).isNotNull()).select(
         c(id_col).alias("_id"), c(y).cast("double").alias("label"), *[c(n) for n in list(cat_cols) + list(num_cols)])
-    if kind == "elasticnet":
-        out, best = _nested_elasticnet(base, candidates_for(space, n_iter, seed), cat_cols, num_cols, outer, inner, seed, recalibration, min_freq)
+    if in_batches(kind, candidates_for(space, n_iter, seed)):
+        out, best = _nested_batches(base, kind, candidates_for(space, n_iter, seed), cat_cols, num_cols, outer, inner, seed, recalibration, min_freq)
         return NestedResult(out, fold_metrics_both(out, ["fold"]), best)
     folded = stratified_folds(base, "label", outer, seed, "_id", "_fout").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -303,7 +320,7 @@ def nested_cv(df: DataFrame, y: str, cat_cols: Sequence[str], num_cols: Sequence
     return NestedResult(out, fm, best)
 
 
-def _nested_elasticnet(base: DataFrame, cands: Sequence[dict], cat_cols, num_cols, outer: int, inner: int, seed: int, recalibration: str | None,
+def _nested_batches(base: DataFrame, kind: str, cands: Sequence[dict], cat_cols, num_cols, outer: int, inner: int, seed: int, recalibration: str | None,
                        min_freq: float) -> tuple[DataFrame, list[dict]]:
     """Nested cross-validation in two rounds of fits: all inner fits of all outer folds, then the outer ones.
 
@@ -324,11 +341,11 @@ def _nested_elasticnet(base: DataFrame, cands: Sequence[dict], cat_cols, num_col
     n = len(cands)
     fits, best = None, [0] * outer
     if n > 1 or calibrates(recalibration):
-        fits = batch.fit([(outer + g, *_penalty(p)) for g in range(outer * inner) for p in cands])
+        fits = batch_fits(batch, kind, [(outer + g, p) for g in range(outer * inner) for p in cands])
     if n > 1:
         means = _mean_auc(batch.aucs(rows, fits, held, n), inner, n)
         best = [max(range(n), key=lambda k, own=own: np.nan_to_num(own[k], nan=-1.0)) for own in means]
-    chosen = batch.fit([(f, *_penalty(cands[best[f]])) for f in range(outer)])
+    chosen = batch_fits(batch, kind, [(f, cands[best[f]]) for f in range(outer)])
     groups = F.array((c("_fout") - 1).cast("int"))
     if fits is not None:
         chosen += [fits[g * n + best[g // inner]] for g in range(outer * inner)]

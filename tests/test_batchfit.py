@@ -239,6 +239,19 @@ def test_platt_lines_together(spark):
         calibrate.fit_platts(df, "fold", [9], "y", "p")
 
 
+@pytest.mark.parametrize("kind, params", [("glassbox_additive", {"max_bins": 8, "C": 0.5}), ("gam_spline", {"n_knots": 5})])
+def test_binned_and_splined_fits_equal_single_fits(rows, kind, params):
+    base = rows.drop("_f")
+    oof = search.oof_predict(base, kind, params, CAT, NUM[:2], inner=3).persist()
+    folded = search.stratified_folds(base, "label", 3, 42, "_id", "_fin").persist()
+    pm = search.fit_pipeline(folded.filter("_fin != 2"), kind, {**params, "tol": 1e-12}, CAT, NUM[:2])
+    p = pm.transform(folded.filter("_fin = 2")).select("_id", models.prob_of_one(F.col("probability")).alias("p"))
+    assert oof.count() == 700
+    assert p.join(oof, "_id").select(F.max(F.abs(F.col("p") - F.col("prob")))).first()[0] < 2e-3  # the single fit's solver stops at 1e-4
+    nested = search.nested_cv(rows.withColumnRenamed("_id", "row_id").withColumnRenamed("label", "y"), "y", CAT, NUM[:2], kind, {k: [v] for k, v in params.items()}, outer=2, inner=2)
+    assert nested.predictions.count() == 700 and nested.predictions.filter("prob_calibrated is null").count() == 0
+
+
 def test_stability_of_many_draws(spark, rows):
     df = rows.withColumnRenamed("_id", "row_id").withColumnRenamed("label", "y")
     draws = stability.stability_draws(df, "y", NUM + CAT, CAT, NUM, n_draws=40, frac=0.7)
