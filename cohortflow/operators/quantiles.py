@@ -1,61 +1,102 @@
 """Exact grouped quantiles and running totals for groups of any size.
 
-A quantile is found in two passes.  The first brackets every wanted rank between
-two values of a bounded sketch (``percentile_approx``).  The second counts the
-rows below each bracket and orders only the distinct values inside it, a share
-of about ``4 / ACCURACY`` of the group.  The results equal linear interpolation
-over all sorted values; no task holds a group's values.
+A sketch (``percentile_approx``) proposes values around every wanted rank.  One
+grouped count then tells how many rows lie below, at, between and above them;
+values are kept apart only inside the brackets of wanted ranks, a share of about
+``4 / ACCURACY`` of a group.  Running totals of these cells place every rank.  A
+rank whose cell is a single value is certain.  Any other (the sketch missed, or its
+bracket holds more than ``LISTED`` rows) is looked for again among the rows of its
+cell alone, with a new sketch, until all are certain.  The results equal linear
+interpolation over all sorted values; no task holds more than the listed values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colref import c
+from ..session import scratch_path
 
 ACCURACY = 10_000
 EDGES = 128  # of the buckets that running totals work in
 
 
+LISTED = 1 << 20  # rows of a bracket up to which its values are told apart
+SPLIT = 128  # parts in which a later round cuts a cell
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
     """(keys..., quantiles array<double> in the order of ``qs``); null values are left out, null keys are a group."""
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, accuracy).drop("_all")
+    ids = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[c(k).alias(i) for k, i in zip(keys, ids, strict=True)], c(value).cast("double").alias("_v")).filter(c("_v").isNotNull())
     margin = 2.0 / accuracy
-    kcols = [c(k) for k in keys]
-    rows = df.select(*kcols, c(value).cast("double").alias("_v")).filter(c("_v").isNotNull())
-    brackets = rows.groupBy(*kcols).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [max(0.0, q - margin) for q in qs], accuracy).alias("_lo"),
-        F.percentile_approx("_v", [min(1.0, q + margin) for q in qs], accuracy).alias("_hi"))
-    brackets = brackets.select(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_lo", "_hi")
-    same = None
-    for i, k in enumerate(keys):
-        eq = c(k).eqNullSafe(c(f"_k{i}"))
-        same = eq if same is None else same & eq
-    # one row of brackets per group, joined by key
-    met = rows.join(brackets, same)
-    # each row's place at each wanted quantile: below the bracket, inside it, or above it (only the least counts)
-    places = F.array(*[F.struct(F.lit(i).alias("q"), F.when(c("_v") < c("_lo")[i], 0).when(c("_v") <= c("_hi")[i], 1).otherwise(2).alias("place"))
-                       for i in range(len(qs))])
-    placed = met.select(*kcols, "_n", "_v", F.inline(places))
-    inside = c("place") == 1
-    cells = placed.groupBy(*kcols, "_n", "q", "place", F.when(inside, c("_v")).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
-    w = Window.partitionBy(*kcols, "q").orderBy("place", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("n").over(w))
-    at = (c("_n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in qs]), c("q") + 1)
-    low = F.floor(at)
-    # the value of rank r is the least value whose running count exceeds r; a sketch's answer may lie one
-    # rank above the one that interpolation starts from, which is then the greatest value below the bracket
-    point = F.when(c("place") == 0, c("most")).otherwise(F.coalesce(c("x"), c("least")))
-    found = cells.groupBy(*kcols, "_n", "q").agg(
-        F.min(F.when(c("upto") > low, point)).alias("a"), F.min(F.when(c("upto") > low + 1, point)).alias("b"))
-    value_at = c("a") + (F.coalesce(c("b"), c("a")) - c("a")) * (at - low)
-    by_rank = found.select(*kcols, F.struct("q", value_at.alias("v")).alias("s")).groupBy(*kcols).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return by_rank.select(*kcols, F.transform("s", lambda s: s["v"]).alias("quantiles"))
+    brackets = [(max(0.0, q - margin), min(1.0, q + margin)) for q in qs]
+    probs = sorted({p for b in brackets for p in b})
+    inside = [any(probs.index(lo) < k <= probs.index(hi) for lo, hi in brackets) for k in range(len(probs) + 1)]  # interval k ends at probs[k]
+    sketch = rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", probs, accuracy).alias("_edges"))
+    told = F.element_at(F.array(*[F.lit(x) for x in inside]), c("_at") + 1) & (c("_n") * (2 * margin) <= LISTED)
+    low = [F.floor((c("_n") - 1) * F.lit(float(q))) for q in qs]
+    ranks = [r for x in low for r in (x, F.least(x + 1, c("_n") - 1))]
+    spark = df.sparkSession
+    paths = [scratch_path(spark, "quantile-ranks")]
+    _placed(_cells(rows, sketch, ids, told, len(probs)), ids, ranks).write.parquet(paths[0])
+    found = spark.read.parquet(paths[0])
+    settled = [found.filter("sure")]
+    while (open_ranks := spark.read.parquet(paths[-1]).filter("not sure")).limit(1).count():
+        # one row per row and open rank: only rows of the open cells
+        unit = [*ids, "which"]
+        cells = open_ranks.select(*[c(i).alias(f"{i}_") for i in ids], "which", "lo", "hi", c("rank").alias("_rank"))
+        mine = rows.join(cells, _same(ids, [f"{i}_" for i in ids]) & (c("_v") >= c("lo")) & (c("_v") <= c("hi"))).select(*unit, "_v", "_rank")
+        again = mine.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"), F.percentile_approx("_v", [i / SPLIT for i in range(SPLIT + 1)], accuracy).alias("_edges"))
+        paths.append(scratch_path(spark, "quantile-ranks"))
+        _placed(_cells(mine.drop("_rank"), again, unit, c("_n") <= LISTED, SPLIT + 1, ["_rank"]), unit, [c("_rank")]).write.parquet(paths[-1])
+        settled.append(spark.read.parquet(paths[-1]).filter("sure"))
+    # the two ranks around each quantile, and the share of the way between them
+    by_key = settled[0].select(*ids, "which", "size", "lo")
+    for more in settled[1:]:
+        sizes = found.select(*[c(i).alias(f"{i}_") for i in ids], c("which").alias("which_"), c("size").alias("whole"))
+        by_key = by_key.unionByName(more.join(sizes, _same([*ids, "which"], [*[f"{i}_" for i in ids], "which_"])).select(*ids, "which", c("whole").alias("size"), "lo"))
+    values = by_key.groupBy(*ids).agg(F.max("size").alias("_n"), F.map_from_entries(F.collect_list(F.struct("which", "lo"))).alias("_at"))  # two ranks a quantile
+    out = []
+    for i, q in enumerate(qs):
+        x = (c("_n") - 1) * F.lit(float(q))
+        a, b = F.element_at("_at", F.lit(2 * i)), F.element_at("_at", F.lit(2 * i + 1))
+        out.append(a + (b - a) * (x - F.floor(x)))
+    return values.select(*[c(i).alias(k) for i, k in zip(ids, keys, strict=True)], F.array(*out).alias("quantiles"))
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [c(x).eqNullSafe(c(y)) for x, y in zip(left, right, strict=True)])
+
+
+def _cells(rows: DataFrame, sketch: DataFrame, ids: Sequence[str], told: Column, n_edges: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(ids, _n, _at, x, rows, lo, hi): rows by the interval between edges they lie in (``_at`` edges are below); a row
+    at an edge, and where ``told`` every row, has its own value as ``x``."""
+    other = sketch.select(*[c(i).alias(f"{i}_") for i in ids], "_n", "_edges", *carry)
+    met = rows.join(other, _same(ids, [f"{i}_" for i in ids])).withColumn("_at", bucket_of(c("_v"), c("_edges"), n_edges))
+    x = F.when((F.get("_edges", c("_at")) == c("_v")) | told, c("_v"))
+    return met.groupBy(*ids, "_n", *carry, "_at", x.alias("x")).agg(F.count(F.lit(1)).alias("rows"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+
+
+def _placed(cells: DataFrame, ids: Sequence[str], ranks: Sequence[Column]) -> DataFrame:
+    """(ids, which, size, rank, lo, hi, sure): the cell of each rank, the rank inside it, and whether it is one value."""
+    upto = F.sum("rows").over(Window.partitionBy(*ids).orderBy("_at", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cell = lambda rank: F.min(F.when(c("upto") > rank, F.struct("upto", "rows", "lo", "hi", rank.alias("rank"))))
+    own = [i for i in ids if i != "which"]
+    found = cells.withColumn("upto", upto).groupBy(*ids).agg(F.max("_n").alias("size"), *[cell(r).alias(f"r{k}") for k, r in enumerate(ranks)])
+    if "which" in ids:
+        long = found.select(*own, "which", "size", "r0.*")
+    else:
+        long = found.select(*own, "size", F.posexplode(F.array(*[c(f"r{k}") for k in range(len(ranks))])).alias("which", "cell")).select(*own, "which", "size", "cell.*")
+    return long.select(*own, "which", "size", (c("rank") - (c("upto") - c("rows"))).alias("rank"), "lo", "hi", (c("lo") == c("hi")).alias("sure"))
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], approx: bool = False, accuracy: int = 100_000) -> dict[str, list[float] | None]:
@@ -89,7 +130,7 @@ def bucket_edges(counts: DataFrame, keys: Sequence[str], score: str, edges: int
     return counts.groupBy(*[c(k) for k in keys]).agg(F.array_distinct(F.percentile_approx(c(score).cast("double"), steps, ACCURACY)).alias("_edges"))
 
 
-def bucket_of(score: Column, edges: Column) -> Column:
-    """Number of sorted ``edges`` below ``score``, by bisection (fewer than 2 * ``EDGES`` of them)."""
-    steps = F.array(*[F.lit(1 << k) for k in range(EDGES.bit_length() - 1, -1, -1)])
+def bucket_of(score: Column, edges: Column, most: int = 2 * EDGES - 1) -> Column:
+    """Number of sorted ``edges`` (``most`` at most) below ``score``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(edges)) & (F.get(edges, at + step - 1) < score), at + step).otherwise(at))
