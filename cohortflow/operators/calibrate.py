@@ -180,8 +180,8 @@ def _quantile_edges(valid: DataFrame, keys: Sequence[str], bins: int, approx: bo
 
 
 def binned_calibration(preds: DataFrame, keys: Sequence[str] = (), y: str = "y_true", prob: str = "prob",
-                       bins: int = 10, approx: bool = False, accuracy: int = 100000) -> DataFrame:
-    """Quantile-bin calibration table per key group.
+                       bins: int = 10, approx: bool = False, accuracy: int = 100000, medians: bool = True) -> DataFrame:
+    """Quantile-bin calibration table per key group; ``medians=False`` leaves ``prob_median`` out.
 
     Edges are the linear-interpolated quantiles at i/bins with duplicates
     dropped; bins are right-closed and the first includes the minimum.
@@ -208,9 +208,9 @@ def binned_calibration(preds: DataFrame, keys: Sequence[str] = (), y: str = "y_t
     out = binned.groupBy(*[c(k) for k in cell]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.avg("_y").alias("pos_rate"), F.avg("_p").alias("prob_mean"),
         *([F.percentile_approx("_p", 0.5, accuracy).cast("double").alias("prob_median")] if approx else []))
-    if not approx:
-        medians = exact_quantiles(binned, [*gkeys, "bin"], "_p", [0.5])
-        out = out.join(medians.select(*[c(k) for k in gkeys], "bin", F.get("quantiles", F.lit(0)).alias("prob_median")), [*gkeys, "bin"])
+    if medians and not approx:
+        middle = exact_quantiles(binned, [*gkeys, "bin"], "_p", [0.5])
+        out = out.join(middle.select(*[c(k) for k in gkeys], "bin", F.get("quantiles", F.lit(0)).alias("prob_median")), [*gkeys, "bin"])
     return out if keys else out.drop("_g")
 
 
@@ -230,7 +230,7 @@ def calibration_report(preds: DataFrame, keys: Sequence[str] = ("outcome", "feat
         F.struct(F.lit("calibrated").alias("variant"), c("prob_calibrated").cast("double").alias("_p")),
     )).alias("v")).select(*[c(k) for k in keys], "_y", "v.variant", "v._p")
     vkeys = keys + ["variant"]
-    binned = binned_calibration(long, vkeys, "_y", "_p", bins=bins, approx=approx)
+    binned = binned_calibration(long, vkeys, "_y", "_p", bins=bins, approx=approx, medians=False)
     e = ece(binned, vkeys)
     brier = long.filter(c("_y").isNotNull() & c("_p").isNotNull()).groupBy(*[c(k) for k in vkeys]).agg(
         F.avg((c("_p") - c("_y")) * (c("_p") - c("_y"))).alias("brier"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,24 +41,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     brackets = [(max(0.0, q - margin), min(1.0, q + margin)) for q in qs]
     probs = sorted({p for b in brackets for p in b})
     inside = [any(probs.index(lo) < k <= probs.index(hi) for lo, hi in brackets) for k in range(len(probs) + 1)]  # interval k ends at probs[k]
-    sketch = rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", probs, accuracy).alias("_edges"))
+    # a written table's size is known: its join with the rows needs no shuffle of them where it is small
+    sketch = _written(rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", probs, accuracy).alias("_edges")), "quantile-sketch")
     told = F.element_at(F.array(*[F.lit(x) for x in inside]), c("_at") + 1) & (c("_n") * (2 * margin) <= LISTED)
     low = [F.floor((c("_n") - 1) * F.lit(float(q))) for q in qs]
     ranks = [r for x in low for r in (x, F.least(x + 1, c("_n") - 1))]
-    spark = df.sparkSession
-    paths = [scratch_path(spark, "quantile-ranks")]
-    _placed(_cells(rows, sketch, ids, told, len(probs)), ids, ranks).write.parquet(paths[0])
-    found = spark.read.parquet(paths[0])
-    settled = [found.filter("sure")]
-    while (open_ranks := spark.read.parquet(paths[-1]).filter("not sure")).limit(1).count():
+    found = _written(_placed(_cells(rows, sketch, ids, told, len(probs)), ids, ranks), "quantile-ranks")
+    settled, last = [found.filter("sure")], found
+    while (open_ranks := last.filter("not sure")).limit(1).count():
         # one row per row and open rank: only rows of the open cells
         unit = [*ids, "which"]
         cells = open_ranks.select(*[c(i).alias(f"{i}_") for i in ids], "which", "lo", "hi", c("rank").alias("_rank"))
         mine = rows.join(cells, _same(ids, [f"{i}_" for i in ids]) & (c("_v") >= c("lo")) & (c("_v") <= c("hi"))).select(*unit, "_v", "_rank")
         again = mine.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"), F.percentile_approx("_v", [i / SPLIT for i in range(SPLIT + 1)], accuracy).alias("_edges"))
-        paths.append(scratch_path(spark, "quantile-ranks"))
-        _placed(_cells(mine.drop("_rank"), again, unit, c("_n") <= LISTED, SPLIT + 1, ["_rank"]), unit, [c("_rank")]).write.parquet(paths[-1])
-        settled.append(spark.read.parquet(paths[-1]).filter("sure"))
+        again = _written(again, "quantile-sketch")
+        last = _written(_placed(_cells(mine.drop("_rank"), again, unit, c("_n") <= LISTED, SPLIT + 1, ["_rank"]), unit, [c("_rank")]), "quantile-ranks")
+        settled.append(last.filter("sure"))
     # the two ranks around each quantile, and the share of the way between them
     by_key = settled[0].select(*ids, "which", "size", "lo")
     for more in settled[1:]:
@@ -73,6 +71,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     return values.select(*[c(i).alias(k) for i, k in zip(ids, keys, strict=True)], F.array(*out).alias("quantiles"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(and_, [c(x).eqNullSafe(c(y)) for x, y in zip(left, right, strict=True)])
 
@@ -89,14 +93,13 @@ def _cells(rows: DataFrame, sketch: DataFrame, ids: Sequence[str], told: Column,
 def _placed(cells: DataFrame, ids: Sequence[str], ranks: Sequence[Column]) -> DataFrame:
     """(ids, which, size, rank, lo, hi, sure): the cell of each rank, the rank inside it, and whether it is one value."""
     upto = F.sum("rows").over(Window.partitionBy(*ids).orderBy("_at", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cell = lambda rank: F.min(F.when(c("upto") > rank, F.struct("upto", "rows", "lo", "hi", rank.alias("rank"))))
     own = [i for i in ids if i != "which"]
-    found = cells.withColumn("upto", upto).groupBy(*ids).agg(F.max("_n").alias("size"), *[cell(r).alias(f"r{k}") for k, r in enumerate(ranks)])
-    if "which" in ids:
-        long = found.select(*own, "which", "size", "r0.*")
-    else:
-        long = found.select(*own, "size", F.posexplode(F.array(*[c(f"r{k}") for k in range(len(ranks))])).alias("which", "cell")).select(*own, "which", "size", "cell.*")
-    return long.select(*own, "which", "size", (c("rank") - (c("upto") - c("rows"))).alias("rank"), "lo", "hi", (c("lo") == c("hi")).alias("sure"))
+    which = (lambda k: c("which")) if "which" in ids else F.lit
+    wanted = F.array(*[F.struct(which(k).alias("which"), r.cast("long").alias("rank")) for k, r in enumerate(ranks)])
+    below = c("upto") - c("rows")
+    hit = F.filter(wanted, lambda w: (w["rank"] >= below) & (w["rank"] < c("upto")))
+    long = cells.withColumn("upto", upto).select(*own, c("_n").alias("size"), "lo", "hi", below.alias("below"), F.explode(hit).alias("hit"))
+    return long.select(*own, "hit.which", "size", (F.col("hit.rank") - c("below")).alias("rank"), "lo", "hi", (c("lo") == c("hi")).alias("sure"))
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], approx: bool = False, accuracy: int = 100_000) -> dict[str, list[float] | None]:
@@ -131,6 +134,8 @@ def bucket_edges(counts: DataFrame, keys: Sequence[str], score: str, edges: int
 
 
 def bucket_of(score: Column, edges: Column, most: int = 2 * EDGES - 1) -> Column:
-    """Number of sorted ``edges`` (``most`` at most) below ``score``, by bisection."""
+    """Number of sorted ``edges`` (``most`` at most) below ``score``: compared one by one if they are few, else by bisection."""
+    if most <= 32:
+        return reduce(add, [F.when(F.get(edges, F.lit(k)) < score, 1).otherwise(0) for k in range(most)])
     steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(edges)) & (F.get(edges, at + step - 1) < score), at + step).otherwise(at))
