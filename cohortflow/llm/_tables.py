@@ -36,6 +36,14 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name`` with underscores behind it as needed."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: Column | str, text: Column | str) -> Column:
     """A key of a row by its id and text; rows alike in both share it.  Nulls are told from empty values."""
     i = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _text as t
-from ._tables import row_key
+from ._tables import row_key, unused
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -179,10 +180,10 @@ def retrieve(ix: Index, h: np.ndarray, bounds: np.ndarray):
     return out
 
 
-_HITS = "doc_id bigint, row_key bigint, item_id bigint, score double, question_overlap double, answer_overlap double, start bigint, `end` bigint"
+_HITS = "doc_id {doc_type}, row_key bigint, item_id {item_type}, score double, question_overlap double, answer_overlap double, start bigint, `end` bigint"
 
 
-def _search(shared, least: float):
+def _search(shared, least: float, item_type):
     def share_of(gram: np.ndarray, found: np.ndarray) -> float:
         return float(np.isin(gram, found).mean()) if len(gram) else 1.0
 
@@ -205,7 +206,7 @@ def _search(shared, least: float):
                 got = [best[x] for x in keys]
                 row = pa.array([r for r, _ in keys])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(row), rows.column(1).take(row), pa.array([ix.ids[k] for _, k in keys], type=pa.int64()),
+                    [rows.column(0).take(row), rows.column(1).take(row), pa.array([ix.ids[k] for _, k in keys], type=item_type),
                      pa.array([g[0] * ix.threshold[k] for g, (_, k) in zip(got, keys, strict=True)]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got]),
                      pa.array([int(cps[starts[g[3]]] - cps[offs[r]]) for g, (r, _) in zip(got, keys, strict=True)]),
                      pa.array([int(cps[ends[g[4] - 1]] - cps[offs[r]]) for g, (r, _) in zip(got, keys, strict=True)])],
@@ -218,15 +219,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row per text and test item found in it: doc_id, row_key, item_id, BM25 score of the best window,
     shares of the question's and the answer's trigrams in it, and its code point offsets."""
     spark = docs.sparkSession
-    items = benchmark.select(row_key(item_id, item_text).alias("item"), F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
+    items = benchmark.select(row_key(item_id, item_text).alias("item"), F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     items = items.filter(F.col("text").isNotNull()).dropDuplicates(["item"])
     posts = items.select("item", "text").mapInArrow(_item_terms, _TERMS)
     posts = posts.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term")
     stats = posts.groupBy("item").agg(F.max("length").alias("length")).agg(
         F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum("length").alias("words"), F.max("length").alias("longest")).first()
-    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
+    src = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
+    schema = _HITS.format(doc_type=dict(src.dtypes)["doc_id"], item_type=dict(items.dtypes)["item_id"])
     if not stats["n"]:
-        return spark.createDataFrame([], _HITS)
+        return spark.createDataFrame([], schema)
     shards = -(-stats["words"] // shard_words)
     step = max(64, stats["longest"])
     out = None
@@ -238,13 +240,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             continue
         have = {p[0] for p in found}
         ix = build_index([r for r in rows if r[0] in have], found, stats["n"], stats["mean"], step, share)
-        hits = src.mapInArrow(_search(spark.sparkContext.broadcast(ix), least), _HITS)
+        hits = src.mapInArrow(_search(spark.sparkContext.broadcast(ix), least, to_arrow_type(items.schema["item_id"].dataType)), schema)
         out = hits if out is None else out.unionAll(hits)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows in which a test item was found; all other rows and columns as they are."""
-    hits = contaminated(docs, benchmark, **options).select(F.col("row_key").alias("_hit")).distinct()
+    hit = unused(docs, "_hit")
+    hits = contaminated(docs, benchmark, **options).select(F.col("row_key").alias(hit)).distinct()
     key = row_key(docs[options.get("doc_id", "doc_id")], docs[options.get("text", "text")])
-    return docs.join(hits, key == F.col("_hit"), "left_anti").select(*docs.columns)
+    return docs.join(hits, key == F.col(hit), "left_anti").select(*docs.columns)

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _text as t
-from ._tables import materialize, row_key
+from ._tables import materialize, row_key, unused
 
 _FINAL = np.zeros(256, dtype=bool)
 _FINAL[[ord("."), ord("!"), ord("?")]] = True
-_UNIT_SCHEMA = "doc_rank bigint, row_key bigint, digest bigint, unit int"
+_UNIT_SCHEMA = "doc_rank {id_type}, row_key bigint, digest bigint, unit int"
 
 
 def _upper(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -73,12 +74,12 @@ def _units(batches):
             names=["doc_rank", "row_key", "digest", "unit"])
 
 
-_SPAN = "start bigint, `end` bigint, n_words bigint, n_units int, kept_doc_id bigint"
+_SPAN = "start bigint, `end` bigint, n_words bigint, n_units int, kept_doc_id {id_type}"
 
 
-def _spans(min_words: int):
+def _spans(min_words: int, id_type: pa.DataType):
     """Runs of repeated units of each text: needs the units' numbers in ``repeats`` (sorted array) with ``first_doc``."""
-    schema = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("n_units", pa.int32()), ("kept_doc_id", pa.int64())])
+    schema = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("n_units", pa.int32()), ("kept_doc_id", id_type)])
 
     def run(batches):
         for rows, data, offs in t.text_slices(batches):
@@ -114,8 +115,9 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     join Spark can split by skew), and only texts that have such units meet
     their unit numbers.
     """
-    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_rank"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    units = materialize(src.mapInArrow(_units, _UNIT_SCHEMA), "dedup-units")
+    src = docs.select(F.col(doc_id).alias("doc_rank"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
+    id_type = dict(src.dtypes)["doc_rank"]
+    units = materialize(src.mapInArrow(_units, _UNIT_SCHEMA.format(id_type=id_type)), "dedup-units")
     common = materialize(units.groupBy("digest").count().filter("count > 1").select("digest"), "dedup-common")
     repeated = materialize(units.join(common, "digest"), "dedup-repeats")
     place = F.struct(F.col("doc_rank").isNull().alias("no_id"), "doc_rank", "row_key", "unit")
@@ -128,7 +130,8 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_text = again.groupBy("row_key").agg(F.collect_set(F.struct("unit", "first_doc")).alias("repeats"))
     hit = src.select(F.col("row_key"), "doc_rank", "text").join(per_text, "row_key")
     spans = hit.select("row_key", "text", "repeats").mapInArrow(
-        _spans(min_words), T.StructType([T.StructField("row_key", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromDDL(_SPAN)))]))
+        _spans(min_words, to_arrow_type(src.schema["doc_rank"].dataType)),
+        T.StructType([T.StructField("row_key", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType.fromDDL(_SPAN.format(id_type=id_type))))]))
     return spans.filter(F.size("spans") > 0).dropDuplicates(["row_key"])
 
 
@@ -142,7 +145,8 @@ def remove_spans(text, spans):
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20) -> DataFrame:
     """``docs`` with repeated runs removed from ``text``; all other columns as they are, all rows kept."""
-    cut = duplicate_spans(docs, doc_id, text, min_words).withColumnsRenamed({"row_key": "_cut_key", "spans": "_cut_spans"})
-    joined = docs.join(cut, row_key(docs[doc_id], docs[text]) == F.col("_cut_key"), "left")
-    new = F.when(F.col("_cut_spans").isNotNull(), remove_spans(F.col(text), F.col("_cut_spans"))).otherwise(F.col(text))
+    key, spans = unused(docs, "_cut_key"), unused(docs, "_cut_spans")
+    cut = duplicate_spans(docs, doc_id, text, min_words).withColumnsRenamed({"row_key": key, "spans": spans})
+    joined = docs.join(cut, row_key(docs[doc_id], docs[text]) == F.col(key), "left")
+    new = F.when(F.col(spans).isNotNull(), remove_spans(F.col(text), F.col(spans))).otherwise(F.col(text))
     return joined.withColumn(text, new).select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from ._components import connected_components
-from ._tables import discard, materialize, row_key
+from ._tables import discard, materialize, row_key, unused
 
 SHINGLE, PERCENT, MAX_MATCH = 4, 85, 4
 SKETCH_BITS = 18
@@ -281,9 +281,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: the first by id; texts without a word stay."""
+    mine, kept, copies, size_of = (unused(docs, n) for n in ("_key", "_keep", "_copies", "_n"))
     found = near_duplicates(docs, doc_id, text, size, percent).filter("first")
-    keep = materialize(found.groupBy("row_key").agg(F.count("*").alias("_copies"), F.max("n_shingles").alias("_n")).withColumnRenamed("row_key", "_keep"), "join-keep")
-    rows = docs.withColumn("_key", row_key(doc_id, text))
-    once = rows.join(keep.filter("_copies = 1 or _n = 0"), F.col("_key") == F.col("_keep"), "left_semi")
-    more = rows.join(keep.filter("_copies > 1 and _n > 0"), F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"])
+    keep = materialize(found.groupBy("row_key").agg(F.count("*").alias(copies), F.max("n_shingles").alias(size_of)).withColumnRenamed("row_key", kept), "join-keep")
+    rows = docs.withColumn(mine, row_key(doc_id, text))
+    alone = (F.col(copies) == 1) | (F.col(size_of) == 0)
+    once = rows.join(keep.filter(alone), F.col(mine) == F.col(kept), "left_semi")
+    more = rows.join(keep.filter(~alone), F.col(mine) == F.col(kept), "left_semi").dropDuplicates([mine])
     return once.unionAll(more).select(*docs.columns)

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
 from cohortflow.llm._tables import materialize
 
 
@@ -45,6 +47,21 @@ def test_stages(spark, sf_dir):
     assert all(r["taken"] == r["copies"] * r["size"] > 0 for r in mix)
 
 
+def test_clashing_columns_stay_as_they_are(spark, sf_dir):
+    """Extra columns with names that the stages use inside, text ids too."""
+    extra = ["size", "_plan", "_keep", "_key", "_cut_key", "_cut_spans", "_hit", "_copies", "_n", "row_key", "spans", "taken"]
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    docs = base.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), *[c for c in base.columns if c != "doc_id"],
+                       *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in extra])
+    for name, stage in pipeline.STAGES:
+        before = docs.count()
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        mine = [n for n in extra if name != "mix" or n not in ("size", "taken")]
+        assert 0 < docs.count() <= before
+        assert docs.filter(" or ".join(f"`{n}` <> concat('{n}-', substring(doc_id, 2))" for n in mine)).count() == 0
+        assert all(n in docs.columns for n in extra)
+
+
 def test_empty_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
@@ -57,7 +74,7 @@ def test_registered_queries():
 
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "op1_url_filter" in entry.oracle_sql()
 
 
