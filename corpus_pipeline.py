@@ -4,7 +4,8 @@ Language identification rejects texts in no learned language, the n-gram join
 keeps one document of each group of near copies, repeated passages are cut from
 the later documents, documents that hold a benchmark item go, and the rest is
 mixed to target weights.  Each stage is a function of (spark, docs, sf_dir); its
-result is written and read again as the next one's documents.
+result is written and read again as the next one's documents.  Extra columns of
+any name stay as they are; only the mix puts its own in place of equal names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm._tables import materialize, row_key, table
+from cohortflow.llm._tables import materialize, row_key, table, unused
 from cohortflow.llm.decontam import drop_contaminated
 from cohortflow.llm.langid import identify
 from cohortflow.llm.linededup import drop_repeats
@@ -22,9 +23,9 @@ from cohortflow.llm.ngramjoin import drop_near_duplicates
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the language models accept."""
-    out = identify(docs)
-    keep = out.filter("accepted").select(F.col("row_key").alias("_keep")).distinct()
-    return docs.join(keep, row_key(docs["doc_id"], docs["text"]) == F.col("_keep"), "left_semi").select(*docs.columns)
+    key = unused(docs, "_keep")
+    keep = identify(docs).filter("accepted").select(F.col("row_key").alias(key)).distinct()
+    return docs.join(keep, row_key(docs["doc_id"], docs["text"]) == F.col(key), "left_semi").select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their sizes, targets and copies."""
+    """The documents that the mix takes, with their sizes, targets and copies; these stand in for a document's columns of the same names."""
+    added = ["size", "source_size", "target", "taken", "copies"]
+    own = docs.drop(*[n for n in docs.columns if n.lower() in added and n not in ("doc_id", "text", "source")])
+    key = unused(own, "_plan")
     # rows alike in id and text are taken alike, so one plan row a key serves all of them
-    plan = mix_sources(docs).filter("taken > 0").drop("doc_id").dropDuplicates(["row_key"]).withColumnRenamed("row_key", "_plan")
-    return docs.join(plan, row_key(docs["doc_id"], docs["text"]) == F.col("_plan")).select(
-        *docs.columns, "size", "source_size", "target", "taken", "copies")
+    plan = mix_sources(own).filter("taken > 0").drop("doc_id").dropDuplicates(["row_key"]).withColumnRenamed("row_key", key)
+    return own.join(plan, row_key(own["doc_id"], own["text"]) == F.col(key)).select(*own.columns, *added)
 
 
 STAGES = [
