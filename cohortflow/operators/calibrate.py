@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colref import c
 from ..functions.exprs import apply_platt_expr, logit
-from ..session import scratch_path
+from ..session import remove_scratch, scratch_path
 from .quantiles import exact_quantiles
 
 PLATT_C = 1e6
@@ -74,14 +76,66 @@ class IsotonicCalibrator:
         return m.transform(df)
 
 
+RUN = 1 << 18  # points that one task pools
+
+
+def _pool(batches):
+    """Pools adjacent violators of sorted points or blocks; of equal means too, so that means rise strictly."""
+    lo: list[float] = []
+    hi: list[float] = []
+    total: list[float] = []
+    weight: list[float] = []
+    for batch in batches:
+        for a, b, s, w in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            while total and total[-1] * w >= s * weight[-1]:
+                a, s, w = lo.pop(), s + total.pop(), w + weight.pop()
+                hi.pop()
+            lo.append(a)
+            hi.append(b)
+            total.append(s)
+            weight.append(w)
+    if lo:
+        columns = [pa.array(x, pa.float64()) for x in (lo, hi, total, weight)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([TaskContext.get().partitionId()] * len(lo), pa.int32())], names=["lo", "hi", "total", "weight", "part"])
+
+
+def isotonic_knots(df: DataFrame, y: str = "y_true", prob: str = "prob", run: int = RUN) -> DataFrame:
+    """(lo, hi, value, weight) of the blocks of the isotonic fit of ``y`` on ``prob``: value is constant from score lo to hi.
+
+    Violators may be pooled in any order.  Each round pools inside ranges of scores, one task a range of about
+    ``run`` points, and the next has half as many, wider ranges of the blocks that are left.  It ends when no
+    range's last block lies above the next one's first, mostly after a round or two; the table stays in Spark.
+    """
+    spark = df.sparkSession
+    points = df.filter(c(y).isNotNull() & c(prob).isNotNull()).groupBy(c(prob).cast("double").alias("lo")).agg(
+        F.sum(c(y).cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    path = scratch_path(spark, "isotonic-points")
+    points.select("lo", c("lo").alias("hi"), "total", "weight").write.parquet(path)
+    blocks = spark.read.parquet(path)
+    ranges = max(1, -(-blocks.count() // run))
+    while True:
+        at = scratch_path(spark, "isotonic-blocks")
+        ranged = blocks.select("lo", "hi", "total", "weight").repartitionByRange(ranges, "lo").sortWithinPartitions("lo")
+        ranged.mapInArrow(_pool, "lo double, hi double, total double, weight double, part int").write.parquet(at)
+        remove_scratch(spark, path)
+        path, blocks = at, spark.read.parquet(at)
+        mean = c("total") / c("weight")
+        ends = blocks.groupBy("part").agg(F.min(mean).alias("first"), F.max(mean).alias("last")).orderBy("part").collect()  # one row a range
+        if all(a["last"] < b["first"] for a, b in zip(ends, ends[1:])):
+            return blocks.select("lo", "hi", (c("total") / c("weight")).alias("value"), "weight")
+        ranges = max(1, ranges // 2)
+
+
 def fit_isotonic(df: DataFrame, y: str = "y_true", prob: str = "prob") -> IsotonicCalibrator:
-    """Monotone (increasing) step fit; ties pooled; constant outside the fitted range.
+    """Monotone (increasing) step fit; ties pooled; linear between blocks, constant outside the fitted range.
 
-    Rows of equal score are one weighted point before the fit (pooling them is the fit's own
-    first step), so what is merged at the end has one row per distinct score.
+    The blocks are pooled in Spark (``isotonic_knots``); the model object that they become holds two
+    points a block, not one a distinct score.
     """
-    data = df.filter(c(y).isNotNull() & c(prob).isNotNull()).groupBy(c(prob).cast("double").alias("p")).agg(
-        F.avg(c(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+    blocks = isotonic_knots(df, y, prob)
+    half = F.when(c("lo") < c("hi"), c("weight") / 2).otherwise(c("weight"))
+    ends = F.array_distinct(F.array("lo", "hi"))
+    data = blocks.select(F.explode(ends).alias("p"), c("value").alias("label"), half.alias("w"))
     model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w", isotonic=True).fit(data)
     return IsotonicCalibrator(model)
 

@@ -155,6 +155,24 @@ SELECT round((floor(prob * 4) + 1) / 5, 6) AS prob, count(*) AS n, round(avg(y_t
 FROM F_preds WHERE outcome = 'hypertension' GROUP BY 1""")(isotonic_levels_q)
 
 
+def isotonic_knots_q(spark: SparkSession, sf_dir: str):
+    """I3 as a table, on scores whose outcome rates fall twice: the blocks that pooling leaves.
+
+    Scores are the thirds of the twelve parts of the probability, swapped inside each third, so that the rates of
+    every three scores fall and are pooled to one block.
+    """
+    p = fx.f_preds(spark, sf_dir, ["hypertension"])
+    part = F.floor(c("prob") * 12)
+    score = (F.floor(part / 3) * 3 + (2 - part % 3)) / 12
+    knots = calibrate.isotonic_knots(p.select("y_true", score.alias("prob")))
+    return round_doubles(knots.select("lo", "hi", "value", c("weight").cast("bigint").alias("n")))
+
+
+register("isotonic_knots", "I3", sq.with_(sq.F_PREDS) + """, pts AS (SELECT floor(prob * 12) AS part, y_true FROM F_preds WHERE outcome = 'hypertension')
+SELECT round(floor(part / 3) * 3 / 12, 6) AS lo, round((floor(part / 3) * 3 + 2) / 12, 6) AS hi, round(avg(y_true), 6) AS value, count(*) AS n
+FROM pts GROUP BY floor(part / 3)""")(isotonic_knots_q)
+
+
 def additive_base_rate_q(spark: SparkSession, sf_dir: str):
     """F3 is unweighted: over the rows it was fitted on, its mean probability is the outcome's rate."""
     df = _labelled(spark, sf_dir)
