@@ -160,12 +160,15 @@ def classification_summary(preds: DataFrame, keys: Sequence[str] = ("outcome", "
     keys = list(keys)
     clipped = preds.filter(c(y).isNotNull() & c(score).isNotNull()).select(
         *[c(k) for k in keys], c(y).cast("double").alias("_y"), clip_prob(c(score).cast("double")).alias("_p"))
-    r = rank_metrics(clipped, keys, "_y", "_p")
-    base = clipped.groupBy(*[c(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.avg("_y").alias("pos_rate"),
-        F.avg((c("_p") - c("_y")) * (c("_p") - c("_y"))).alias("brier"))
-    return base.join(r, keys, "left").select(*[c(k) for k in keys], "n", "pos", "pos_rate", "roc_auc", "pr_auc",
-                                             "brier")
+    # the predictions are read once: both parts come from the written counts of distinct scores
+    path = scratch_path(preds.sparkSession, "score-counts")
+    score_counts(clipped, keys, "_y", "_p").write.parquet(path)
+    counts = preds.sparkSession.read.parquet(path)
+    p, n = c("score"), F.sum(c("pos") + c("neg"))
+    base = counts.groupBy(*[c(k) for k in keys]).agg(
+        n.alias("n"), F.sum("pos").cast("double").alias("pos"), (F.sum("pos") / n).alias("pos_rate"),
+        (F.sum(c("pos") * (p - 1) * (p - 1) + c("neg") * p * p) / n).alias("brier"))
+    return base.join(rank_from_counts(counts, keys), keys, "left").select(*[c(k) for k in keys], "n", "pos", "pos_rate", "roc_auc", "pr_auc", "brier")
 
 
 def mean_fold_metrics(fold_table: DataFrame, keys: Sequence[str] = ("outcome", "featureset", "model"),

@@ -398,8 +398,6 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
 
     Returns the same fitted stages as ``make_preprocessor(...).fit(df)``.
     """
-    from pyspark.sql import Window
-
     cat_cols, num_cols = list(cat_cols), list(num_cols)
     stages = []
     num_out = list(num_cols)
@@ -443,15 +441,13 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
         long = df.select(times.alias("times"), F.inline(F.array(*[F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))
                                                                   for n in cat_cols])))
         counts = long.groupBy("column", "value").agg(F.sum("times").alias("cnt"))
-        w_col = Window.partitionBy("column")
-        ranked = counts.select(
-            "*", F.sum("cnt").over(w_col).alias("total"),
-            F.count(F.when(c("value").isNotNull(), 1)).over(w_col).alias("n_levels"),
-            F.row_number().over(Window.partitionBy("column", c("value").isNull()).orderBy(F.desc("cnt"), "value"))
-            .alias("rn"))
+        # one small row a column: no task ranks a column's levels
+        known = F.when(c("value").isNotNull(), F.struct((-c("cnt")).alias("less"), c("value").alias("value")))
+        columns = counts.groupBy("column").agg(F.sum("cnt").alias("total"), F.count("value").alias("n_levels"), F.min(known).alias("most"))
+        columns = columns.select("column", "total", "n_levels", F.col("most.value").alias("mode"))
         # bounded collect: the modal level, the NULL row and levels that can pass the frequency test
-        rows = ranked.filter(c("value").isNull() | (c("rn") == 1) | (c("cnt") >= c("total") * min_freq)) \
-            .select("column", "value", "cnt", "total", "n_levels", "rn").collect()
+        rows = counts.join(columns, "column").filter(c("value").isNull() | (c("value") == c("mode")) | (c("cnt") >= c("total") * min_freq)) \
+            .select("column", "value", "cnt", "total", "n_levels", "mode").collect()
         by_col: dict[str, list] = {n: [] for n in cat_cols}
         for r in rows:
             by_col[r["column"]].append(r)
@@ -460,7 +456,7 @@ def fit_preprocessor(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
             rs = by_col[n]
             total = rs[0]["total"] if rs else 0
             n_null = sum(r["cnt"] for r in rs if r["value"] is None)
-            mode = next((r["value"] for r in rs if r["value"] is not None and r["rn"] == 1), None)
+            mode = rs[0]["mode"] if rs else None
             modes[n] = mode
             levels = []
             for r in rs:
