@@ -2,8 +2,8 @@
 
 Artifacts live under ``models_root/tag/outcome/featureset/model/``:
 ``pipeline`` (Spark ML ``PipelineModel``), ``calibrator`` and ``meta``
-(single-row Parquet tables).  Scoring is lazy: per model a ``transform`` plus a
-calibration expression, unioned into one long table; nothing is collected.
+(single-row Parquet tables).  Scoring is lazy: one scan, per model a ``transform`` plus a
+calibration expression, then one row a model; nothing is collected.
 """
 
 from __future__ import annotations
@@ -82,27 +82,35 @@ def list_models(spark: SparkSession, models_root: str) -> list[tuple[str, str, s
 
 def score_models(df: DataFrame, models_root: str, id_col: str = "row_id",
                  types: Mapping[str, str] | None = None) -> DataFrame:
-    """Long scores (row_index, tag, outcome, featureset, model, prob, prob_calibrated) for every saved model."""
+    """Long scores (row_index, tag, outcome, featureset, model, prob, prob_calibrated) for every saved model.
+
+    One scan of ``df`` serves all models: the raw columns travel beside the scores made so far, each model works on
+    its own copies of those it needs, and the scores become rows at the end.
+    """
     spark = df.sparkSession
-    parts = []
-    for tag, outcome, fs, kind in list_models(spark, models_root):
-        path = _model_dir(models_root, tag, outcome, fs, kind)
-        pm = PipelineModel.load(f"{path}/pipeline")
-        meta = spark.read.parquet(f"{path}/meta").first()
-        cal = load_calibrator(spark, f"{path}/calibrator")
-        needed = list(meta["columns_used"])
-        x = ensure_columns(df, [id_col] + needed, types).withColumnRenamed(id_col, "_id")
-        scored = pm.transform(x).select(c("_id").alias("row_index"), prob_of_one(c("probability")).alias("prob"))
-        scored = cal.transform(scored, "prob", "prob_calibrated")
-        parts.append(scored.select("row_index", F.lit(tag).alias("tag"), F.lit(outcome).alias("outcome"),
-                                   F.lit(fs).alias("featureset"), F.lit(kind).alias("model"), "prob",
-                                   "prob_calibrated"))
-    if not parts:
+    found = list_models(spark, models_root)
+    if not found:
         raise ValueError(f"no saved models under {models_root}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    saved = []
+    for key in found:
+        path = _model_dir(models_root, *key)
+        saved.append((key, PipelineModel.load(f"{path}/pipeline"), list(spark.read.parquet(f"{path}/meta").first()["columns_used"]), load_calibrator(spark, f"{path}/calibrator")))
+    needed = list(dict.fromkeys(n for _, _, columns, _ in saved for n in columns))
+    wide = ensure_columns(df, [id_col, *needed], types)
+    raw = {n: f"_raw{k}" for k, n in enumerate(needed)}
+    carried = [c(id_col).alias("_id"), *[c(n).alias(r) for n, r in raw.items()]]
+    wide = wide.select(*carried)
+    done: list[str] = []
+    for k, (_, pipeline, columns, cal) in enumerate(saved):
+        kept = ["_id", *raw.values(), *done]
+        own = wide.select(*kept, *[c(raw[n]).alias(n) for n in columns])
+        scored = cal.transform(pipeline.transform(own).withColumn("prob", prob_of_one(c("probability"))), "prob", "prob_calibrated")
+        done.append(f"_score{k}")
+        wide = scored.select(*kept, F.struct("prob", c("prob_calibrated").cast("double").alias("prob_calibrated")).alias(done[-1]))
+    names = ("tag", "outcome", "featureset", "model")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, key, strict=True)], c(s)["prob"].alias("prob"), c(s)["prob_calibrated"].alias("prob_calibrated"))
+            for (key, *_), s in zip(saved, done, strict=True)]
+    return wide.select(c("_id").alias("row_index"), F.inline(F.array(*rows)))
 
 
 __all__ = ["fit_picks", "score_models", "list_models", "split_columns"]
