@@ -11,10 +11,16 @@ picks its own ``l`` of 1..``MAX_MATCH`` with the least estimated cost: posting
 entries read, plus verifications, of which there can be ``1 / l`` as many.  A pair
 needs as many shared prefix shingles as the smaller ``l`` of the two.
 
-Two exact bounds drop candidates before their texts are read.  A parity bitmap of
-each set bounds the symmetric difference from below.  And of two prefixes, the one that ends
-earlier in the order must be found in the other: each of its shingles that is
-not there is missing from the other's whole set.
+Exact bounds drop candidates, most of them inside the join of the postings.  A pair of
+sizes n and m needs an intersection of ``need = ceil(percent * (n + m) / (100 + percent))``,
+so its ``l``-th shared shingle stands among the first ``n - need + l`` of one set and
+``m - need + l`` of the other: postings further back form no pair.  A parity bitmap of
+each set bounds the symmetric difference from below.  And after the last shared
+shingle found, no more can follow than the shorter of the two rests has.
+
+The frequency sketch has 2^``SKETCH_BITS`` buckets whatever the input.  The finer it is, the
+surer are shingles of one text told from those of a few, and the first places of
+a text that is no near copy filled with its own.
 
 Groups of near copies are linked without forming all their pairs: first each
 posting meets its list's centre, the node with the fewest shingles of its own (an
@@ -43,7 +49,8 @@ from ._components import connected_components
 from ._tables import discard, materialize, row_key, unused
 
 SHINGLE, PERCENT, MAX_MATCH = 4, 85, 4
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+SKETCH_BLOCK = 1 << 12  # buckets in one row of the sketch
 VERIFY_COST = 20.0  # of one candidate, in posting entries
 MAPS = 4  # longs of the parity bitmap
 LIST_ROWS = 8192  # postings of one shingle sorted in one task; longer lists are salted
@@ -76,11 +83,37 @@ def _sketch(size: int):
         for _, data, offs in t.text_slices(batches):
             for s in shingle_sets(data, offs, size):
                 np.add.at(total, _bucket(s), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield from _sketch_rows(total)
     return run
 
 
+def _sketch_rows(total: np.ndarray):
+    blocks = total.reshape(-1, SKETCH_BLOCK)
+    for at in np.array_split(np.flatnonzero(blocks.any(axis=1)), 8):
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([blocks[k].tobytes() for k in at], type=pa.binary())], names=["block", "counts"])
+
+
+def _add_sketches(batches):
+    """Sums of the blocks that reach a task, one after the other."""
+    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    blocks = total.reshape(-1, SKETCH_BLOCK)
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            blocks[k] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    yield from _sketch_rows(total)
+
+
+def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
+    """Texts that hold a shingle of each bucket, up to 2^31 - 1: 16 MB whatever the input."""
+    kind = "block int, counts binary"
+    parts = texts.mapInArrow(_sketch(size), kind).repartition("block").mapInArrow(_add_sketches, kind).toArrow()
+    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    blocks = total.reshape(-1, SKETCH_BLOCK)
+    for k, counts in zip(parts.column("block").to_pylist(), parts.column("counts"), strict=True):
+        blocks[k] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    return np.minimum(total, (1 << 31) - 1).astype(np.int32)
+
+
 def choose_matches(cost: np.ndarray, n: int, percent: int, most: int = MAX_MATCH) -> tuple[int, int]:
     """(l, prefix length) of a set of ``n`` shingles whose ordered posting costs are ``cost``."""
     need = -(-percent * n // 100)
@@ -90,13 +123,12 @@ def choose_matches(cost: np.ndarray, n: int, percent: int, most: int = MAX_MATCH
     return best + 1, lengths[best]
 
 
-_ROW = ("row_key bigint, n bigint, node bigint, matches int, used int, last_freq bigint, last_hash bigint, "
-        "prefix array<bigint>, parts array<int>, map array<bigint>")
+_ROW = "row_key bigint, n bigint, node bigint, matches int, used int, prefix array<bigint>, parts array<int>, map array<bigint>"
 
 
 def _features(shared, size: int, percent: int):
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    none = (0, 0, 0, 0, 0, 0, [], None, [])
+    none = (0, 0, 0, 0, [], None, [])
 
     def features(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple:
         if len(s) == 0:
@@ -109,15 +141,13 @@ def _features(shared, size: int, percent: int):
         kept = order[:used]
         parts = (1 + others[:used] // LIST_ROWS).astype(np.int32)
         bits = np.bincount((s & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
-        # the last prefix shingle's place in the order; the flipped sign bit makes signed order that of the hashes
-        last = t.signed(s[kept[-1:]] ^ np.uint64(1 << 63))[0]
-        return (len(s), int(t.signed(node)[0]), matches, used, int(freq[kept[-1]]), int(last), t.signed(s[kept]),
+        return (len(s), int(t.signed(node)[0]), matches, used, t.signed(s[kept]),
                 parts if parts.max() > 1 else None, np.packbits(bits.astype(np.uint8)).view(np.int64))
 
     def run(batches):
         sketch = shared.value
-        noise = sketch.sum() / len(sketch)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), longs, ints, longs]
+        noise = sketch.sum(dtype=np.int64) / len(sketch)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), longs, ints, longs]
         for rows, data, offs in t.text_slices(batches):
             cols = list(zip(*(features(s, sketch, noise) for s in shingle_sets(data, offs, size)), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -158,28 +188,26 @@ class _Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, size: int, percent: int):
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.src = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-        counts = self.src.select("text").mapInArrow(_sketch(size), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)  # 2 MB whatever the input
-        sketch[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+        sketch = frequency_sketch(self.src.select("text"), size)
         shared = self.spark.sparkContext.broadcast(sketch)
         kind = dict(self.src.dtypes)["doc_id"]
         self.rows = materialize(self.src.mapInArrow(_features(shared, size, percent), f"doc_id {kind}, {_ROW}"), "join-rows")
         self.some = self.rows.filter("n > 0")
-        self.nodes = materialize(self.some.select("node", "n", "matches", "used", "last_freq", "last_hash", "map", "row_key").dropDuplicates(["node"]), "join-nodes")
+        self.nodes = materialize(self.some.select("node", "n", "matches", "used", "map", "row_key").dropDuplicates(["node"]), "join-nodes")
 
     def postings(self) -> DataFrame:
-        """(token, salt, node) of prefix shingles that more than one node may hold; salt -1 in lists of one part."""
+        """(token, salt, node, place in the node's prefix) of prefix shingles that more than one node may hold; salt -1 in lists of one part."""
         one = self.some.select("node", "prefix", "parts").dropDuplicates(["node"])
         flat = one.select("node", F.posexplode("prefix").alias("k", "token"), "parts")
         part = F.get("parts", F.col("k"))
-        flat = flat.select("token", F.when(part > 1, F.pmod(F.xxhash64("node"), part)).otherwise(-1).cast("int").alias("salt"), "node")
+        flat = flat.select("token", F.when(part > 1, F.pmod(F.xxhash64("node"), part)).otherwise(-1).cast("int").alias("salt"), "node", F.col("k").alias("place"))
         w = W.partitionBy("token", "salt").orderBy("node")
         flat = flat.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w)})
-        return flat.filter("salt >= 0 or before is not null or after is not null").select("token", "salt", "node")
+        return flat.filter("salt >= 0 or before is not null or after is not null").select("token", "salt", "node", "place")
 
     def with_nodes(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) with both nodes' features as structs x and y."""
-        x = self.nodes.select(F.col("node").alias("a"), F.struct("n", "matches", "used", "last_freq", "last_hash", "map").alias("x"))
+        x = self.nodes.select(F.col("node").alias("a"), F.struct("n", "used", "map").alias("x"))
         return pairs.join(x, "a").join(x.withColumnsRenamed({"a": "b", "x": "y"}), "b")
 
     def likely(self, posts: DataFrame) -> DataFrame:
@@ -206,18 +234,20 @@ class _Join:
     def remaining(self, posts: DataFrame) -> DataFrame:
         """All pairs across components that share enough prefix shingles."""
         mixed = posts.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("token")
-        features = self.nodes.select("node", "n", "map")
-        posts = posts.join(mixed, "token").select("token", "node", "component").join(features, "node")
+        features = self.nodes.select("node", "n", "map", "matches")
+        posts = posts.join(mixed, "token").select("token", "node", "component", "place").join(features, "node")
         x, y = posts.alias("x"), posts.alias("y")
         on = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        pairs = x.join(y, on & _close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), self.percent))
-        pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"))
-        pairs = self.with_nodes(pairs).filter(F.col("shared") >= F.least("x.matches", "y.matches"))
-        # of the prefix that ends first, what the other lacks is missing from its whole set
-        need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(self.percent) / F.lit(100 + self.percent))
-        x_first = F.struct("x.last_freq", "x.last_hash") <= F.struct("y.last_freq", "y.last_hash")
-        lacks = F.when(x_first, F.col("x.used") - F.col("x.n")).otherwise(F.col("y.used") - F.col("y.n")) - F.col("shared")
-        return pairs.filter(lacks + need <= 0).select("a", "b")
+        # places of a pair's first ``least`` shared shingles, and what can be shared up to here and after
+        need = F.expr(f"({self.percent} * (x.n + y.n) + {99 + self.percent}) div {100 + self.percent}")
+        least = F.least("x.matches", "y.matches")
+        early = (F.col("x.place") < F.col("x.n") - need + least) & (F.col("y.place") < F.col("y.n") - need + least)
+        rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+        pairs = x.join(y, on & early & (F.least("x.place", "y.place") + rest >= need) & _close(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), self.percent))
+        # both prefixes have one order: the last shared shingle is the last in both
+        pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+            F.count("*").alias("shared"), F.first(least).alias("least"), F.first(need).alias("need"), F.min(rest).alias("rest"))
+        return pairs.filter((F.col("shared") >= F.col("least")) & (F.col("shared") - 1 + F.col("rest") >= F.col("need"))).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole texts meet the threshold."""
