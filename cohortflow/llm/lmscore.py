@@ -15,9 +15,13 @@ tenth of the training texts, by hash; first those of q, then m.  The final estim
 use all training texts.
 
 Counts of rare tokens, and of pairs with one, grow with the corpus, so no task holds them
-all: texts are dealt into blocks of about ``BLOCK_BYTES``; each block asks once for the
-counts of its distinct rare tokens and pairs, by a join on their hash, and gets them back.
-The held-out texts find the estimates that m is learned from in the same way.
+all.  Texts are dealt into blocks of about ``BLOCK_BYTES``; one pass gives each rare token
+and pair of a block with its count there, one shuffle by key adds the counts up,
+and each block gets those back that it cannot know itself: a token or pair of a
+training text that does not come back has count 1, its own.  (One of a text that is
+not learned from comes back whenever it has a count.)  A rare token holds less than 1 / ``VOCAB``
+of all tokens, so no key is hot.  The held-out texts find the estimates that m is learned from
+among the same counts.
 
 Defined results: null and empty texts have one token, the end; without training
 texts all counts are 0 and every token has probability 1 / (V + 1) = 1; rows alike
@@ -31,17 +35,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._tables import materialize, row_key
+from ._tables import discard, materialize, row_key
 
 VOCAB = 2046  # classes of single tokens, besides the end and the class of rare tokens
 END, RARE, BEGIN = VOCAB, VOCAB + 1, VOCAB + 2  # class numbers; BEGIN is a context only
 CLASSES = VOCAB + 2
 BLOCK_BYTES = 8 << 20
 BINS = 64  # of counts, powers of two
-FLUSH = 1 << 20
+FLUSH = 1 << 21
+LEARN, WEIGH, SCORE = 0, 1, 2  # folds: of the estimates, of the weights, not learned from
 NEVER = -1 << 20  # the ratio of a bigram without a count
 _BEGIN_HASH, _END_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
@@ -89,15 +95,34 @@ def _unigrams(batches):
     yield from _counted(_folds_and_words(batches), lambda h, bounds: (h, _rows_of(bounds)))
 
 
-def _rare_pairs(shared):
-    """Counts of the pairs in which a word has no class of its own."""
+def _asks(shared):
+    """(key, block, keep, held) of the rare words, and pairs with one, of each block; both counts are 0 in rows of texts not learned from."""
     def run(batches):
         vocab, number = shared.value
+        parts, size = [], 0
 
-        def keys_of(h, bounds):
-            r = rare_transitions(h, bounds, classes(h, vocab, number))
-            return r.key, r.row
-        yield from _counted(_folds_and_words(batches), keys_of)
+        def out():
+            key, block, fold = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((fold == SCORE, block, key))
+            key, block, fold = key[order], block[order], fold[order]
+            apart = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | ((fold[1:] == SCORE) != (fold[:-1] == SCORE))
+            first = np.flatnonzero(np.concatenate([[True], apart]))
+            keep, held = (np.add.reduceat((fold == k).astype(np.int32), first, dtype=np.int32) for k in (LEARN, WEIGH))
+            return pa.RecordBatch.from_arrays([pa.array(t.signed(key[first])), pa.array(block[first]), pa.array(keep), pa.array(held)], names=["key", "block", "keep", "held"])
+
+        for rows, data, offs in t.text_slices(batches):
+            h, _, _, bounds = t.words(t.lower(data), offs)
+            block, fold = (rows.column(rows.schema.get_field_index(x)).to_numpy() for x in ("block", "fold"))
+            c = classes(h, vocab, number)
+            r = rare_transitions(h, bounds, c)
+            row = np.concatenate([_rows_of(bounds)[c == RARE], r.row])
+            parts.append((np.concatenate([h[c == RARE], r.key]), block[row], fold[row]))
+            size += len(row)
+            if size >= FLUSH:
+                yield out()
+                parts, size = [], 0
+        if size:
+            yield out()
     return run
 
 
@@ -285,31 +310,35 @@ def with_pairs(m: Model, pairs: np.ndarray, weight: np.ndarray) -> None:
     m.logp[own] = np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
 
-def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray, missing: np.ndarray) -> np.ndarray:
     if len(keys) == 0 or len(h) == 0:
-        return np.zeros(len(h), dtype=np.int64)
+        return missing
     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[i] == h, counts[i], 0)
+    return np.where(keys[i] == h, counts[i], missing)
+
 
+def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None):
+    """Counts of all words; and of the transitions with a rare word: place, bucket of the context, f(w | h) and q(w | h).
 
-def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """Counts of all words; and of the transitions with a rare word: place, bucket of the context, f(w | h) and q(w | h)."""
+    ``own`` is, of each row, the count of a word or pair that is not among ``keys`` (0 by default).
+    """
+    own = np.zeros(len(bounds) - 1, dtype=np.int64) if own is None else own
     n = m.counts[c].copy()
     rare = np.flatnonzero(c == RARE)
-    n[rare] = _look_up(h[rare], keys, counts)
+    n[rare] = _look_up(h[rare], keys, counts, own[_rows_of(bounds)[rare]])
     r = rare_transitions(h, bounds, c)
     is_end = r.at >= len(h)
     # END stands for the words that are not there, where the transition is an end
     word, n_word = (np.append(x, y)[np.where(is_end, len(h), r.at)] for x, y in ((c, END), (n, 0)))
     n_context = np.where(r.context == RARE, np.append(n, 0)[r.before], m.context[r.context])
     q = np.where(word == RARE, m.rare_a[r.context] * n_word + m.rare_b[r.context], 10.0 ** m.logp[r.context, word].astype(np.float64))
-    return n, r.at, buckets(n_context), _look_up(r.key, keys, counts) / np.maximum(n_context, 1), q
+    return n, r.at, buckets(n_context), _look_up(r.key, keys, counts, own[r.row]) / np.maximum(n_context, 1), q
 
 
-def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs."""
+def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None):
+    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs, ``own`` as above."""
     c = classes(h, m.vocab, m.number)
-    n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts)
+    n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts, own)
     lp = m.logp.ravel()[np.concatenate(pair_codes(c, bounds))].astype(np.float64)
     w = m.weight[bucket]
     lp[at] = np.log10(np.maximum(w * f2 + (1 - w) * q, 1e-300))
@@ -325,21 +354,6 @@ def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, co
     return np.diff(bounds) + 1, known, base, per_row(lp[: len(h)]) + lp[len(h):]
 
 
-def _wanted(shared):
-    """The distinct rare words, and pairs with one, of a block."""
-    def run(table: pa.Table) -> pa.Table:
-        m: Model = shared.value
-        block = table.column("block")[0].as_py()
-        found = [np.zeros(0, dtype=np.uint64)]
-        for _, data, offs in t.text_slices(table.select(["text"]).combine_chunks().to_batches()):
-            h, _, _, bounds = t.words(t.lower(data), offs)
-            c = classes(h, m.vocab, m.number)
-            found += [np.unique(h[c == RARE]), np.unique(rare_transitions(h, bounds, c).key)]
-        u = np.unique(np.concatenate(found))
-        return pa.table({"block": pa.array(np.full(len(u), block, dtype=np.int32)), "key": pa.array(t.signed(u))})
-    return run
-
-
 def _sorted_counts(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = known.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -368,15 +382,17 @@ def _scores(shared):
         got = []
         for rows, data, offs in t.text_slices(docs.combine_chunks().to_batches()):
             h, _, _, bounds = t.words(t.lower(data), offs)
-            n, k, base, score = score_rows(m, h, bounds, keys, counts)
+            learned = (rows.column(rows.schema.get_field_index("fold")).to_numpy() != SCORE).astype(np.int64)
+            n, k, base, score = score_rows(m, h, bounds, keys, counts, learned)
             got.append(pa.table({"doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": rows.column(rows.schema.get_field_index("held_out")),
                                  "n_tokens": n, "n_known": k, "train_tokens": np.full(len(n), m.tokens, dtype=np.int64), "base_score": base, "score": score}))
         return pa.concat_tables(got)
     return run
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``train`` (row_key, text, held: in the tenth that the weights are learned from) and all counts (key, n)."""
+def fit(src: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of ``src`` (text, block, fold), and the counts (block, key, n) that its blocks need beyond their own."""
+    train = src.filter(F.col("fold") != SCORE).select("text", (F.col("fold") == WEIGH).alias("held"))
     spark = train.sparkSession
     counts = materialize(train.mapInArrow(_unigrams, "key bigint, keep bigint, held bigint").groupBy("key").agg(F.sum("keep").alias("keep"), F.sum("held").alias("held")), "lm-counts")
     n = F.col("keep") + F.col("held")
@@ -398,28 +414,30 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     shape = (BEGIN + 1, CLASSES)
     keep, held = keep.reshape(shape), held.reshape(shape)
     m = build_model(vocab, number, keep, held, bins, types)
-    counts = counts.unionAll(materialize(train.mapInArrow(_rare_pairs(shared), "key bigint, keep bigint, held bigint").groupBy("key").agg(
-        F.sum("keep").alias("keep"), F.sum("held").alias("held")), "lm-pairs"))
+    discard(counts)
+    every = W.partitionBy("key")
+    asked = src.select("text", "block", "fold").mapInArrow(_asks(shared), "key bigint, block int, keep int, held int")
+    asked = asked.withColumns({"all_keep": F.sum("keep").over(every), "n": F.sum(F.col("keep") + F.col("held")).over(every)})
+    unsure = F.col("n") >= F.when(F.col("keep") + F.col("held") > 0, 2).otherwise(1)
+    known = materialize(asked.filter(unsure).select("block", "key", "all_keep", "n", (F.col("held") > 0).alias("weigh")), "lm-known")
     early = lower_model(vocab, number, keep, m.lam, types)
     own = held.copy()
     own[RARE], own[:, RARE] = 0, 0
     h, w = np.nonzero(own)
     cells = [(buckets(early.context[h]), ratios(keep[h, w] / np.maximum(early.context[h], 1), 10.0 ** early.logp[h, w].astype(np.float64)), own[h, w])]
     early = spark.sparkContext.broadcast(early)
-    blocks, known = in_blocks(train.filter("held"), counts.filter("keep > 0").select("key", F.col("keep").alias("n")), early)
-    rest = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cells(early), "bucket bigint, ratio bigint, n bigint")
+    rows, mine = src.filter(F.col("fold") == WEIGH).select("block", "text"), known.filter("weigh").select("block", "key", F.col("all_keep").alias("n"))
+    rest = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_cells(early), "bucket bigint, ratio bigint, n bigint")
     rest = rest.groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).toArrow()
     cells.append(tuple(rest.column(x).to_numpy() for x in ("bucket", "ratio", "n")))
     with_pairs(m, keep + held, pair_weights(*(np.concatenate(x) for x in zip(*cells, strict=True))))
-    return m, counts.select("key", n.alias("n"))
+    return m, known.select("block", "key", "n")
 
 
-def in_blocks(rows: DataFrame, counts: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (row_key, text, ...) dealt into blocks, and the counts (block, key, n) that each block needs."""
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (row_key, text, ...) with a block instead of the row_key."""
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = rows.withColumn("block", F.pmod("row_key", F.lit(1 + size // BLOCK_BYTES)).cast("int")).drop("row_key")
-    wanted = blocks.select("block", "text").groupBy("block").applyInArrow(_wanted(shared), "block int, key bigint")
-    return blocks, wanted.join(counts, "key").select("block", "key", "n")
+    return rows.withColumn("block", F.pmod("row_key", F.lit(1 + size // BLOCK_BYTES)).cast("int")).drop("row_key")
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -429,10 +447,10 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, doc_id: str = "
     """
     held = (F.lit(False) if held_out is None else held_out).alias("held_out")
     src = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held)
-    train = src.filter(~F.col("held_out")).select("row_key", "text", (F.pmod(F.xxhash64("row_key", F.lit("lm")), F.lit(10)) == 0).alias("held"))
-    model, counts = fit(train)
+    tenth = F.pmod(F.xxhash64("row_key", F.lit("lm")), F.lit(10)) == 0
+    src = in_blocks(src.withColumn("fold", F.when(F.coalesce("held_out", F.lit(True)), SCORE).when(tenth, WEIGH).otherwise(LEARN)))
+    model, known = fit(src)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    blocks, known = in_blocks(src, counts, shared)
     kind = dict(src.dtypes)["doc_id"]
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    return src.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _scores(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
