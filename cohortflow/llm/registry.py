@@ -27,11 +27,11 @@ from .tokencounts import token_counts
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every page url; a page's outcome is its document's label (good: of quality 1 and not toxic).
 
-    The document's number is the first run of digits in the url's path.
+    The document's number is the first run of digits in the url's path, whole; one beyond a long names no document.
     """
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
-    number = F.regexp_extract(host_and_path(F.col("url"))[1], "([0-9]{1,18})", 1)
-    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    number = F.regexp_extract(host_and_path(F.col("url"))[1], "([0-9]+)", 1)
+    numbered = pages.select("url", number.try_cast("long").alias("doc_id"))
     outcomes = numbered.join(labels, "doc_id").select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     out = judge_urls(pages, outcomes)
     return out.withColumns({c: F.round(c, 6) for c in ("good_rate", "upper")})
@@ -40,7 +40,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_OUTCOMES = """
   select url, (quality = 1 and toxic = 0) as good from (
     select url, try_cast(nullif(regexp_extract(regexp_extract(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end,
-      '^[^/?#]*([^?#]*)', 1), '([0-9]{1,18})', 1), '') as bigint) as doc_id from pages) p join labels l on p.doc_id = l.doc_id"""
+      '^[^/?#]*([^?#]*)', 1), '([0-9]+)', 1), '') as bigint) as doc_id from pages) p join labels l on p.doc_id = l.doc_id"""
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,15 @@ def test_op1_matches_sql(spark, sf_dir):
             assert got[c].where(got[c].notna(), None).tolist() == want[c].where(want[c].notna(), None).tolist()
 
 
+def test_op1_takes_whole_numbers(spark, tmp_path):
+    """A path of 19 digits and more names no document whose number begins alike."""
+    urls = ["http://a.org/12", "http://a.org/1234567890123456781", "http://a.org/99999999999999999999", "http://a.org/x", None]
+    spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(12, 1, 0), (123456789012345678, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["n_labelled"] for r in registry.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def test_op1_parts_and_rules(spark):
     cases = {"http://WWW.Example.com/en/x?y": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
              "https://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),
