@@ -223,17 +223,48 @@ def _grid_join(levels: DataFrame, table: DataFrame, variables: Sequence[str]) ->
     return joined.drop(*[f"_k{i}" for i in range(len(variables))])
 
 
+def _level_grid(cells: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Every combination of the levels that occur in ``cells``: the rows of a complete grid, unfolded from one row of level lists."""
+    grid = cells.agg(*[F.collect_set(F.struct(c(v).alias("level"))).alias(f"_l{i}") for i, v in enumerate(variables)])
+    for i in range(len(variables)):
+        grid = grid.select(*[f"_e{k}" for k in range(i)], F.explode(f"_l{i}").alias(f"_e{i}"), *[f"_l{k}" for k in range(i + 1, len(variables))])
+    return grid.select(*[c(f"_e{i}")["level"].alias(v) for i, v in enumerate(variables)])
+
+
+def cross_rates(df: DataFrame, outcome_col: str, combos: Sequence[Mapping], binning: Mapping[str, Mapping] | None = None,
+                min_cell_n: int = 50) -> DataFrame:
+    """All combos in one table: combo, the variables of all of them (NULL where a combo lacks one), n, rate, sparse.
+
+    One pass over ``df`` makes the finest cells; ``GROUPING SETS`` over the cells sums every combo.
+    The column ``combo`` tells a level that is NULL (a value above the last bin) from a variable that the combo lacks.
+    Combos of the same variables give the same rows under each name.
+    """
+    binning = binning or {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = list(dict.fromkeys(v for combo in combos for v in combo["variables"]))
+    keys = [(bin_variable(c(v), binning[v]) if v in binning else _unbinned(c(v), types[v])).alias(v) for v in names]
+    y = F.nanvl(c(outcome_col).cast("double"), F.lit(None).cast("double"))
+    cells = df.select(*keys, y.alias("_y")).groupBy(*[c(v) for v in names]).agg(F.count("_y").alias("_n"), F.sum("_y").alias("_pos"))
+    # grouping_id has one bit a variable, the first the highest, set where a combo lacks it
+    sets = {sum((v not in combo["variables"]) << (len(names) - 1 - i) for i, v in enumerate(names)): combo["variables"] for combo in combos}
+    summed = cells.groupingSets([[c(v) for v in variables] for variables in sets.values()], *[c(v) for v in names]).agg(
+        F.grouping_id().alias("_set"), F.sum("_n").alias("n"), F.try_divide(F.sum("_pos"), F.sum("_n")).alias("rate"))
+    label = F.lit(None).cast("array<string>")
+    for key in sets:
+        named = [F.lit(combo["name"]) for combo in combos if set(combo["variables"]) == set(sets[key])]
+        label = F.when(c("_set") == key, F.array(*named)).otherwise(label)
+    return summed.select(F.explode(label).alias("combo"), *[c(v) for v in names], c("n").cast("long").alias("n"), "rate", (c("n") < min_cell_n).alias("sparse"))
+
+
 def orthogonal_tables(df: DataFrame, outcome_col: str, combos: Sequence[Mapping],
                       binning: Mapping[str, Mapping] | None = None, min_cell_n: int = 50,
                       pred_col: str | None = None, complete_grid: bool = False) -> dict[str, DataFrame]:
     """One table per combo ({"name": ..., "variables": [...]}).
 
     The finest cells (all variables of all combos) are aggregated once; each
-    table sums its cells from there, so the input is read once however many
-    combos there are.
+    table sums its cells from there, and complete grids take their levels from there,
+    so the input is read once however many combos there are.
     """
-    if complete_grid:
-        return {combo["name"]: orthogonal_table(df, outcome_col, combo["variables"], binning, min_cell_n, pred_col, True) for combo in combos}
     binning = binning or {}
     types = {f.name: f.dataType for f in df.schema.fields}
     names = list(dict.fromkeys(v for combo in combos for v in combo["variables"]))
@@ -250,5 +281,8 @@ def orthogonal_tables(df: DataFrame, outcome_col: str, combos: Sequence[Mapping]
         aggs = [F.sum("_n").alias("n"), F.try_divide(F.sum("_pos"), F.sum("_n")).alias("rate")]
         aggs += [F.try_divide(F.sum("_sp"), F.sum("_np")).alias("pred")] if pred_col else []
         table = cells.groupBy(*[c(v) for v in combo["variables"]]).agg(*aggs)
+        if complete_grid:
+            grid = _level_grid(cells, combo["variables"])
+            table = _grid_join(grid, table, combo["variables"]).withColumn("n", F.coalesce(c("n"), F.lit(0)).cast("long"))
         out[combo["name"]] = table.select(*[c(v) for v in combo["variables"]], "n", "rate", (c("n") < min_cell_n).alias("sparse"), *(["pred"] if pred_col else []))
     return out

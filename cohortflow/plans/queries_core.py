@@ -130,6 +130,43 @@ SELECT g.smoke, g.sex, COALESCE(a.n, 0) AS n, round(a.rate, 6) AS rate, COALESCE
 FROM grid g LEFT JOIN agg a ON g.smoke = a.smoke AND g.sex = a.sex""")(orthogonal_complete)
 
 
+CROSS_TABS = [{"name": "smoke_by_butter", "variables": ["smoke", "butter"]}, {"name": "urban", "variables": ["urban"]},
+              {"name": "sex_smoke_urban", "variables": ["sex", "smoke", "urban"]}]
+
+
+def cross_rates(spark: SparkSession, sf_dir: str):
+    """Three cross-tabs from one cell table."""
+    return round_doubles(profile.cross_rates(cohort_with_outcomes(spark, sf_dir), "y_risk_cluster", CROSS_TABS, fx.BUTTER_BINNING))
+
+
+def _cross_sql(combo: dict) -> str:
+    level = {"smoke": "COALESCE(smoke, 'nan')", "urban": "COALESCE(urban, 'nan')", "sex": "COALESCE(sex, 'nan')", "butter": _BUTTER_SQL}
+    cols = ", ".join(f"{level[v] if v in combo['variables'] else 'CAST(NULL AS VARCHAR)'} AS {v}" for v in ("smoke", "butter", "urban", "sex"))
+    return f"""
+SELECT '{combo["name"]}' AS combo, {cols}, count(y_risk_cluster) AS n, round(avg(y_risk_cluster), 6) AS rate,
+       count(y_risk_cluster) < 50 AS sparse FROM F_outcomes GROUP BY 2, 3, 4, 5"""
+
+
+register("cross_rates", "D7", sq.with_(sq.F_OUTCOMES) + "\nUNION ALL".join(_cross_sql(x) for x in CROSS_TABS))(cross_rates)
+
+
+def complete_grids(spark: SparkSession, sf_dir: str):
+    """Two complete grids of one outcome, their cells read once."""
+    combos = [{"name": "smoke_butter", "variables": ["smoke", "butter"]}, {"name": "sex_urban", "variables": ["sex", "urban"]}]
+    tables = profile.orthogonal_tables(cohort_with_outcomes(spark, sf_dir), "y_risk_cluster", combos, fx.BUTTER_BINNING, complete_grid=True)
+    first, second = (tables[x["name"]].toDF("a", "b", "n", "rate", "sparse").withColumn("combo", F.lit(x["name"])) for x in combos)
+    return round_doubles(first.unionByName(second))
+
+
+register("complete_grids", "D7", sq.with_(sq.F_OUTCOMES) + f""",
+cells AS (SELECT COALESCE(smoke, 'nan') AS smoke, {_BUTTER_SQL} AS butter, COALESCE(sex, 'nan') AS sex, COALESCE(urban, 'nan') AS urban, y_risk_cluster AS y FROM F_outcomes),
+pairs AS (SELECT 'smoke_butter' AS combo, smoke AS a, butter AS b, y FROM cells UNION ALL SELECT 'sex_urban', sex, urban, y FROM cells),
+grid AS (SELECT x.combo, x.a, z.b FROM (SELECT DISTINCT combo, a FROM pairs) x JOIN (SELECT DISTINCT combo, b FROM pairs) z ON x.combo = z.combo),
+agg AS (SELECT combo, a, b, count(y) AS n, avg(y) AS rate FROM pairs GROUP BY 1, 2, 3)
+SELECT g.combo, g.a, g.b, COALESCE(t.n, 0) AS n, round(t.rate, 6) AS rate, COALESCE(t.n, 0) < 50 AS sparse
+FROM grid g LEFT JOIN agg t ON g.combo = t.combo AND g.a IS NOT DISTINCT FROM t.a AND g.b IS NOT DISTINCT FROM t.b""")(complete_grids)
+
+
 def bin_variable_q(spark: SparkSession, sf_dir: str):
     df = fx.f_cohort(spark, sf_dir)
     rule = {"type": "numeric", "bins": [100000.0, 200000.0, 300000.0], "labels": ["low", "mid"]}

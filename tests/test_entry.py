@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = ["orders", "customer", "lineitem", "labels", "part", "events"]
-SAMPLE = ["orthogonal_tables", "rule_count_positive", "roc_auc", "binned_calibration", "greedy_prune_curve",
+SAMPLE = ["orthogonal_tables", "cross_rates", "complete_grids", "rule_count_positive", "roc_auc", "binned_calibration", "greedy_prune_curve",
           "stratified_folds", "tier_summary", "qc_numeric_ranges"]
 
 
