@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortflow.llm import _text as t
 from cohortflow.llm import decontam, hostrep, langid, linededup, lmscore, mixing, ngramjoin, quality, registry, sitetree, tokencounts
 from cohortflow.llm._components import connected_components
 
@@ -418,6 +419,57 @@ def test_op6_bigrams_of_rare_words_are_exact(spark):
     assert out[900]["score"] > out[901]["score"] + 1
 
 
+def brute_deleted_interpolation(m, train, text):
+    """log10 probability by plain counts of words, pairs and classes, with the weights of ``m``."""
+    own = set(m.vocab.tolist())
+    names = {}
+
+    def cls(w):
+        if w not in ("<b>", "<e>") and w not in names:
+            data = np.frombuffer(w.encode(), dtype=np.uint8)
+            names[w] = int(t.words(data, np.array([0, len(data)]))[0][0]) in own
+        return w if w in ("<b>", "<e>") or names[w] else "<rare>"
+
+    def steps(x):
+        words = ["<b>", *WORD.findall(lower(x)), "<e>"]
+        return list(zip(words, words[1:], strict=False))
+    pair = collections.Counter(s for x in train for s in steps(x))
+    word, context, cc, context_class, word_class = (collections.Counter() for _ in range(5))
+    for (h, w), n in pair.items():
+        word[w] += n
+        context[h] += n
+        cc[cls(h), cls(w)] += n
+        context_class[cls(h)] += n
+        word_class[cls(w)] += n
+    total, types, out = sum(word.values()), len(word), 0.0
+    for h, w in steps(text):
+        l2, l1, l0 = m.lam[int(lmscore.buckets(np.array([context_class[cls(h)]]))[0])]
+        q = l1 * word[w] / total + l0 / (types + 1)
+        if word_class[cls(w)] and context_class[cls(h)]:
+            q += l2 * cc[cls(h), cls(w)] / context_class[cls(h)] * word[w] / word_class[cls(w)]
+        mix = m.weight[int(lmscore.buckets(np.array([context[h]]))[0])]
+        out += np.log10(mix * pair[h, w] / max(1, context[h]) + (1 - mix) * q)
+    return out
+
+
+def test_op6_score_matches_plain_counts(spark, monkeypatch):
+    """Blocks, counts that stay with their texts and counts that come back give the plain model's scores."""
+    rng = random.Random(10)
+    common = [f"c{k}" for k in range(lmscore.VOCAB + 30)]
+    rows = [(k, " ".join(rng.sample(common, 700) + [f"once{k}", f"some{k % 5}"] * (1 + k % 2)), "en", "s") for k in range(50)]
+    rows += [(900, "once7 some7 some2 once7 never c1", "en", "s"), (901, "", "en", "s"), (902, rows[3][1], "en", "s"), (903, "Some2 never never", "en", "s")]
+    rows += [rows[4], rows[4]]
+    seen, fit = [], lmscore.fit
+    monkeypatch.setattr(lmscore, "fit", lambda src: seen.append(fit(src)) or seen[-1])
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 1 << 14)
+    out = lmscore.score_texts(docs_frame(spark, rows), held_out=F.col("doc_id") >= 900).collect()
+    train = [r[1] for r in rows if r[0] < 900]
+    want = {r[0]: brute_deleted_interpolation(seen[0][0], train, r[1]) for r in rows}
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5), r["doc_id"]
+
+
 def test_op6_pairs_keep_a_distribution():
     """With exact pairs, p adds up to 1 after a rare word and after a common one."""
     size, rare = 10, [50, 51, 52]
