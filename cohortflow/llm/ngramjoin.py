@@ -49,7 +49,7 @@ from ._components import connected_components
 from ._tables import discard, materialize, row_key, unused
 
 SHINGLE, PERCENT, MAX_MATCH = 4, 85, 4
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SKETCH_BLOCK = 1 << 12  # buckets in one row of the sketch
 VERIFY_COST = 20.0  # of one candidate, in posting entries
 MAPS = 4  # longs of the parity bitmap
@@ -87,31 +87,42 @@ def _sketch(size: int):
     return run
 
 
+_SKETCH_ROW = "block int, at binary, n binary"
+
+
 def _sketch_rows(total: np.ndarray):
+    """(block, places in it, counts up to 2^31 - 1) of the blocks with a count."""
+    blocks = total.reshape(-1, SKETCH_BLOCK)
+    for some in np.array_split(np.flatnonzero(blocks.any(axis=1)), 8):
+        at = [np.flatnonzero(blocks[k]) for k in some]
+        n = [np.minimum(blocks[k][x], (1 << 31) - 1).astype(np.int32).tobytes() for k, x in zip(some, at, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.astype(np.uint16).tobytes() for x in at], type=pa.binary()),
+                                          pa.array(n, type=pa.binary())], names=["block", "at", "n"])
+
+
+def _add_rows(batches, total: np.ndarray) -> None:
     blocks = total.reshape(-1, SKETCH_BLOCK)
-    for at in np.array_split(np.flatnonzero(blocks.any(axis=1)), 8):
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([blocks[k].tobytes() for k in at], type=pa.binary())], names=["block", "counts"])
+    for batch in batches:
+        for k, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            blocks[k, np.frombuffer(at.as_buffer(), dtype=np.uint16)] += np.frombuffer(n.as_buffer(), dtype=np.int32)
 
 
 def _add_sketches(batches):
     """Sums of the blocks that reach a task, one after the other."""
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    blocks = total.reshape(-1, SKETCH_BLOCK)
-    for batch in batches:
-        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            blocks[k] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    _add_rows(batches, total)
     yield from _sketch_rows(total)
 
 
 def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """Texts that hold a shingle of each bucket, up to 2^31 - 1: 16 MB whatever the input."""
-    kind = "block int, counts binary"
-    parts = texts.mapInArrow(_sketch(size), kind).repartition("block").mapInArrow(_add_sketches, kind).toArrow()
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    blocks = total.reshape(-1, SKETCH_BLOCK)
-    for k, counts in zip(parts.column("block").to_pylist(), parts.column("counts"), strict=True):
-        blocks[k] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
-    return np.minimum(total, (1 << 31) - 1).astype(np.int32)
+    """Texts that hold a shingle of each bucket, up to 2^31 - 1: 8 MB whatever the input.
+
+    Tasks send the buckets that they met; the sums of a block are made in one task, so the driver gets each bucket once.
+    """
+    parts = texts.mapInArrow(_sketch(size), _SKETCH_ROW).repartition("block").mapInArrow(_add_sketches, _SKETCH_ROW).toArrow()
+    total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+    _add_rows(parts.to_batches(), total)
+    return total
 
 
 def choose_matches(cost: np.ndarray, n: int, percent: int, most: int = MAX_MATCH) -> tuple[int, int]:
