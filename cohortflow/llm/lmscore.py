@@ -46,7 +46,7 @@ END, RARE, BEGIN = VOCAB, VOCAB + 1, VOCAB + 2  # class numbers; BEGIN is a cont
 CLASSES = VOCAB + 2
 BLOCK_BYTES = 8 << 20
 BINS = 64  # of counts, powers of two
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 LEARN, WEIGH, SCORE = 0, 1, 2  # folds: of the estimates, of the weights, not learned from
 NEVER = -1 << 20  # the ratio of a bigram without a count
 _BEGIN_HASH, _END_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
@@ -103,6 +103,7 @@ def _asks(shared):
 
         def out():
             key, block, fold = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             order = np.lexsort((fold == SCORE, block, key))
             key, block, fold = key[order], block[order], fold[order]
             apart = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | ((fold[1:] == SCORE) != (fold[:-1] == SCORE))
@@ -116,11 +117,11 @@ def _asks(shared):
             c = classes(h, vocab, number)
             r = rare_transitions(h, bounds, c)
             row = np.concatenate([_rows_of(bounds)[c == RARE], r.row])
-            parts.append((np.concatenate([h[c == RARE], r.key]), block[row], fold[row]))
+            parts.append((np.concatenate([h[c == RARE], r.key]), block[row], fold[row].astype(np.int8)))
             size += len(row)
             if size >= FLUSH:
                 yield out()
-                parts, size = [], 0
+                size = 0
         if size:
             yield out()
     return run
