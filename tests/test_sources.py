@@ -100,3 +100,22 @@ def test_normalize_col_expr_agrees(spark):
     df = spark.createDataFrame([(n,) for n in names], "h string")
     from cohortflow.sources.schema import normalize_col_expr
     assert [r[0] for r in df.select(normalize_col_expr(df.h)).collect()] == [normalize_col(n) for n in names]
+
+
+def test_inference_casts_no_text(spark):
+    """One small aggregate a column decides on its type; edges of BIGINT and of what a double holds."""
+    from cohortflow.sources import readers
+
+    big = 2 ** 53
+    rows = [("1", str(big), str(big + 1), str(2 ** 63), "1.5", "3d", None, "-9223372036854775808", " 4 "), (None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} string" for k in range(9)))
+    got = readers._infer_numeric_strings(df)
+    assert [f.dataType.simpleString() for f in got.schema] == ["double", "double", "bigint", "string", "double", "string", "string", "bigint", "double"]
+    seen = []
+    original = type(df).agg
+    try:
+        type(df).agg = lambda self, *e: seen.append(len(e)) or original(self, *e)
+        readers._infer_numeric_strings(df)
+    finally:
+        type(df).agg = original
+    assert seen == [9]
