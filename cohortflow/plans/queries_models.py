@@ -656,17 +656,11 @@ def stability_summary_q(spark: SparkSession, sf_dir: str):
     """Per Poisson draw, a weighted standardized mean difference per feature stands in for the per-draw
     fit (selected if |smd| > 0.1, sign of smd); the summary is the J3 aggregation over the draws table."""
     df = labelled_cohort(spark, sf_dir).filter(c("y_risk_cluster").isNotNull())
-    # draws are exploded onto the rows themselves (weights are a pure function of draw and id: no join)
-    j = df.select("row_id", "y_risk_cluster", *SMD_FEATS,
-                  F.explode(F.sequence(F.lit(0), F.lit(N_DRAWS - 1))).alias("draw"))
-    j = stability.with_poisson_weight(j, 42, 0.7, "row_id").filter(stability.drawn(0.7))
-    long = j.select("draw", "w", c("y_risk_cluster").alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("feature"), c(n).alias("x")) for n in SMD_FEATS])).alias("kv")) \
-        .select("draw", "w", "y", "kv.*").filter(c("x").isNotNull())
-    s = long.groupBy("draw", "feature").agg(
-        (F.sum(F.when(c("y") == 1, c("w") * c("x"))) / F.sum(F.when(c("y") == 1, c("w")))).alias("m1"),
-        (F.sum(F.when(c("y") == 0, c("w") * c("x"))) / F.sum(F.when(c("y") == 0, c("w")))).alias("m0"),
-        (F.sum(c("w") * c("x")) / F.sum("w")).alias("m"), (F.sum(c("w") * c("x") * c("x")) / F.sum("w")).alias("m2"))
+    sums = stability.draw_sums(df, "y_risk_cluster", SMD_FEATS, N_DRAWS, 0.7, 42, "row_id")
+    of = lambda n, y: F.sum(F.when(c("y") == y, c(n)))
+    s = sums.groupBy("draw", "feature").agg(
+        (of("wx", 1) / of("w", 1)).alias("m1"), (of("wx", 0) / of("w", 0)).alias("m0"),
+        (F.sum("wx") / F.sum("w")).alias("m"), (F.sum("wxx") / F.sum("w")).alias("m2"))
     smd = (c("m1") - c("m0")) / F.sqrt(c("m2") - c("m") * c("m"))
     draws = s.select("draw", "feature", (F.abs(smd) > 0.1).cast("double").alias("selected"),
                      F.signum(smd).alias("sign"))

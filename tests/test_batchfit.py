@@ -257,3 +257,68 @@ def test_stability_of_many_draws(spark, rows):
     out = {r["feature"]: r for r in stability.stability_summary(draws).collect()}
     assert set(out) == set(NUM + CAT) and draws.count() == 40 * 5
     assert out["x1"]["inclusion_freq"] == 1.0 and out["x1"]["sign_consistency"] == 1.0 and out["flat"]["inclusion_freq"] == 0.0
+
+
+def test_scores_travel_short(rows, solved):
+    """A score is 8 bytes between tasks, and equal scores travel once with their rows."""
+    import pyarrow as pa
+
+    batch, fits = solved
+    n, levels = 4000, batch.layout.levels
+    record = {f"_n{k}": pa.array(np.arange(n) * 0.001 if k == 0 else np.full(n, 5.0)) for k in range(3)}
+    record |= {f"_c{k}": pa.array([levels[k][0]] * n) for k in range(2)}
+    record |= {"_groups": pa.array([[0]] * n, pa.list_(pa.int32())), "_label": pa.array(np.arange(n) % 2.0)}
+    sent = lambda b: sum(len(r["keys"]) + len(r["counts"] or b"") for out in batchfit._send_scores(batch.layout, batchfit.Margins(fits[4:5]), 1, {0: batchfit._keys(np.array([0.0]))})(iter([b])) for r in out.to_pylist())
+    assert sent(pa.RecordBatch.from_pydict(record)) <= 8 * n
+    record["_n0"] = pa.array(np.full(n, 3.0))
+    assert sent(pa.RecordBatch.from_pydict(record)) <= 24
+
+
+def test_rows_of_like_sets_are_one_run(rows):
+    batch = fold_batch(rows)
+    for r in batch.packed.toArrow().to_pylist():
+        b = batchfit._Rows(batch.layout, 3, r)
+        runs = [part for part, _ in batchfit._runs(b, np.arange(3))]
+        assert len(runs) == 6 if batchfit.RUN * 6 <= r["n"] else len(runs) == 1
+    batch.discard()
+
+
+def test_draw_hashes_are_md5(monkeypatch):
+    import hashlib
+
+    from cohortflow.operators import draws
+
+    monkeypatch.setattr(draws, "CHUNK", 7)
+    heads = [f"42|{d}".encode() for d in (0, 9, 10, 123)]
+    tails = [b"", b"|x", "|é".encode(), b"|" + b"y" * 51, b"|" + b"z" * 80, *(f"|{k}".encode() for k in range(30))]
+    want = [[int.from_bytes(hashlib.md5(h + x).digest()[:4], "big") for x in tails] for h in heads]
+    assert draws.first_digits(heads, tails).tolist() == want
+    assert draws.counts(heads, tails, [0.5, 1.0]).tolist() == [[int(u >= 2 ** 31) for u in own] for own in want]
+
+
+def test_bootstrap_weights_equal_their_columns(spark):
+    """As the column form has them, for a missing id too; no plan makes a row a draw before its hash."""
+    df = spark.createDataFrame([(None,), (7,), (999,), (123456789,), (7,)], "row_id long")
+    got = stability.bootstrap_weights(df, 40, 0.7, 42)
+    draws = df.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("draw"))
+    want = stability.with_poisson_weight(draws, 42, 0.7, "row_id").filter(stability.drawn(0.7)).drop("_u")
+    key = lambda d: sorted((str(r["row_id"]), r["draw"], r["w"]) for r in d.collect())
+    assert key(got) == key(want) and got.columns == want.columns
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_draw_sums(spark, rows):
+    df = rows.select(F.col("_id").alias("row_id"), "label", "x1")
+    got = {(r["draw"], r["y"]): (r["w"], r["wx"], r["wxx"]) for r in stability.draw_sums(df, "label", ["x1"], 3, 0.7, 42).collect()}
+    long = stability.bootstrap_weights(df, 3, 0.7, 42).join(df, "row_id").filter("x1 is not null").groupBy("draw", "label").agg(
+        F.sum("w").alias("w"), F.sum(F.expr("w * x1")).alias("wx"), F.sum(F.expr("w * x1 * x1")).alias("wxx")).collect()
+    assert len(got) == len(long)
+    for r in long:
+        assert got[r["draw"], r["label"]] == pytest.approx((r["w"], r["wx"], r["wxx"]))
+
+
+def test_balanced_weight_needs_no_join(spark):
+    df = spark.createDataFrame([(0.0,), (0.0,), (0.0,), (1.0,), (None,)], "label double")
+    out = search.with_balanced_weight(df)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    assert sorted((r["label"], r["weight"]) for r in out.collect()) == [(0.0, 5 / 9)] * 3 + [(1.0, 5 / 3)]
