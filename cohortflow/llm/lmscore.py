@@ -16,12 +16,12 @@ use all training texts.
 
 Counts of rare tokens, and of pairs with one, grow with the corpus, so no task holds them
 all.  Texts are dealt into blocks of about ``BLOCK_BYTES``; one pass gives each rare token
-and pair of a block with its count there, one shuffle by key adds the counts up,
-and each block gets those back that it cannot know itself: a token or pair of a
-training text that does not come back has count 1, its own.  (One of a text that is
-not learned from comes back whenever it has a count.)  A rare token holds less than 1 / ``VOCAB``
-of all tokens, so no key is hot.  The held-out texts find the estimates that m is learned from
-among the same counts.
+and pair of a block with its count there, one shuffle by ranges of the keys (parts) adds the
+counts up, and each block gets the counts of its own keys back.  Rows carry many keys each,
+sorted, as compressed differences.  What comes back are counts alone, in the order of the block's
+sorted keys, which the block finds again in its texts; so the texts must be the same whenever
+they are read.  A rare token holds less than 1 / ``VOCAB`` of all tokens, so no key is hot.
+The held-out texts find the estimates that m is learned from among the same counts.
 
 Defined results: null and empty texts have one token, the end; without training
 texts all counts are 0 and every token has probability 1 / (V + 1) = 1; rows alike
@@ -35,7 +35,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -49,6 +48,7 @@ BINS = 64  # of counts, powers of two
 FLUSH = 1 << 20
 LEARN, WEIGH, SCORE = 0, 1, 2  # folds: of the estimates, of the weights, not learned from
 NEVER = -1 << 20  # the ratio of a bigram without a count
+ASK = np.dtype([("key", "<u8"), ("block", "<i4"), ("keep", "<i4"), ("held", "<i4")])
 _BEGIN_HASH, _END_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -95,29 +95,68 @@ def _unigrams(batches):
     yield from _counted(_folds_and_words(batches), lambda h, bounds: (h, _rows_of(bounds)))
 
 
-def _asks(shared):
-    """(key, block, keep, held) of the rare words, and pairs with one, of each block; both counts are 0 in rows of texts not learned from."""
+def pack(x: np.ndarray) -> bytes:
+    """``x`` compressed, bytes of like place together; nothing for no entries."""
+    if len(x) == 0:
+        return b""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    dtype, n = np.dtype(dtype), int.from_bytes(data[:8], "little")
+    if n == 0:
+        return np.zeros(0, dtype=dtype)
+    planes = np.frombuffer(pa.decompress(data[8:], n * dtype.itemsize, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(-1, n).T).view(dtype).ravel()
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places at which the entry of a (sorted) column changes, the first included."""
+    apart = np.zeros(len(columns[0]), dtype=bool)
+    apart[:1] = True
+    for x in columns:
+        apart[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(apart)
+
+
+def _ranges(starts: np.ndarray, n: int):
+    return zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)
+
+
+def rare_keys(h: np.ndarray, bounds: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of the rare words and the pairs with one."""
+    r = rare_transitions(h, bounds, c)
+    return np.concatenate([h[c == RARE], r.key]), np.concatenate([_rows_of(bounds)[c == RARE], r.row])
+
+
+def _asks(shared, parts: int):
+    """(part, asks): the keys of each block, with counts in its texts (0 where no text that has the key is learned from).  Parts are ranges of the keys."""
     def run(batches):
         vocab, number = shared.value
-        parts, size = [], 0
+        found, size = [], 0
 
         def out():
-            key, block, fold = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            order = np.lexsort((fold == SCORE, block, key))
+            key, block, fold = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.lexsort((block, key))
             key, block, fold = key[order], block[order], fold[order]
-            apart = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | ((fold[1:] == SCORE) != (fold[:-1] == SCORE))
-            first = np.flatnonzero(np.concatenate([[True], apart]))
-            keep, held = (np.add.reduceat((fold == k).astype(np.int32), first, dtype=np.int32) for k in (LEARN, WEIGH))
-            return pa.RecordBatch.from_arrays([pa.array(t.signed(key[first])), pa.array(block[first]), pa.array(keep), pa.array(held)], names=["key", "block", "keep", "held"])
+            first = _starts(key, block)
+            asks = np.empty(len(first), dtype=ASK)
+            asks["key"], asks["block"] = key[first], block[first]
+            for name, k in (("keep", LEARN), ("held", WEIGH)):
+                asks[name] = np.add.reduceat((fold == k).astype(np.int32), first, dtype=np.int32)
+            part = ((asks["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            start, rows = _starts(part), []
+            for lo, hi in _ranges(start, len(asks)):
+                asks["key"][lo:hi] = np.diff(asks["key"][lo:hi], prepend=np.uint64(0))
+                rows.append(pack(asks[lo:hi]))
+            return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(rows, pa.binary())], names=["part", "asks"])
 
         for rows, data, offs in t.text_slices(batches):
             h, _, _, bounds = t.words(t.lower(data), offs)
             block, fold = (rows.column(rows.schema.get_field_index(x)).to_numpy() for x in ("block", "fold"))
-            c = classes(h, vocab, number)
-            r = rare_transitions(h, bounds, c)
-            row = np.concatenate([_rows_of(bounds)[c == RARE], r.row])
-            parts.append((np.concatenate([h[c == RARE], r.key]), block[row], fold[row].astype(np.int8)))
+            key, row = rare_keys(h, bounds, classes(h, vocab, number))
+            found.append((key, block[row], fold[row].astype(np.int8)))
             size += len(row)
             if size >= FLUSH:
                 yield out()
@@ -127,6 +166,26 @@ def _asks(shared):
     return run
 
 
+def _answers(rows: pa.Table) -> pa.Table:
+    """(block, part, n, keep) of one part: the corpus counts n of the block's keys, and the counts without the held-out texts of the keys that its held-out texts have."""
+    asks = [unpack(x.as_py(), ASK) for x in rows.column("asks")]
+    key = np.concatenate([np.cumsum(x["key"], dtype=np.uint64) for x in asks])
+    block, keep, held = (np.concatenate([x[name] for x in asks]) for name in ("block", "keep", "held"))
+    del asks
+    order = np.lexsort((block, key))
+    key, block, keep, held = key[order], block[order], keep[order], held[order]
+    first, own = _starts(key), _starts(key, block)
+    of = np.searchsorted(first, own, side="right") - 1
+    every, n = (np.add.reduceat(x, first, dtype=np.int64)[of] for x in (keep, keep + held))
+    weigh = np.add.reduceat(held, own) > 0
+    order = np.argsort(block[own], kind="stable")
+    block, every, n, weigh = block[own][order], every[order], n[order], weigh[order]
+    start = _starts(block)
+    back = [(pack(n[lo:hi]), pack(every[lo:hi][weigh[lo:hi]])) for lo, hi in _ranges(start, len(block))]
+    part = np.full(len(start), rows.column("part")[0].as_py(), dtype=np.int32)
+    return pa.table({"block": block[start], "part": part, "n": pa.array([x for x, _ in back], pa.binary()), "keep": pa.array([x for _, x in back], pa.binary())})
+
+
 def classes(h: np.ndarray, vocab: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Class of each word hash (``vocab`` sorted, ``number`` its classes)."""
     if len(vocab) == 0:
@@ -311,35 +370,31 @@ def with_pairs(m: Model, pairs: np.ndarray, weight: np.ndarray) -> None:
     m.logp[own] = np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
 
-def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray, missing: np.ndarray) -> np.ndarray:
+def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if len(keys) == 0 or len(h) == 0:
-        return missing
+        return np.zeros(len(h), dtype=np.int64)
     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[i] == h, counts[i], missing)
+    return np.where(keys[i] == h, counts[i], 0)
 
 
-def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None):
-    """Counts of all words; and of the transitions with a rare word: place, bucket of the context, f(w | h) and q(w | h).
-
-    ``own`` is, of each row, the count of a word or pair that is not among ``keys`` (0 by default).
-    """
-    own = np.zeros(len(bounds) - 1, dtype=np.int64) if own is None else own
+def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    """Counts of all words; and of the transitions with a rare word: place, bucket of the context, f(w | h) and q(w | h)."""
     n = m.counts[c].copy()
     rare = np.flatnonzero(c == RARE)
-    n[rare] = _look_up(h[rare], keys, counts, own[_rows_of(bounds)[rare]])
+    n[rare] = _look_up(h[rare], keys, counts)
     r = rare_transitions(h, bounds, c)
     is_end = r.at >= len(h)
     # END stands for the words that are not there, where the transition is an end
     word, n_word = (np.append(x, y)[np.where(is_end, len(h), r.at)] for x, y in ((c, END), (n, 0)))
     n_context = np.where(r.context == RARE, np.append(n, 0)[r.before], m.context[r.context])
     q = np.where(word == RARE, m.rare_a[r.context] * n_word + m.rare_b[r.context], 10.0 ** m.logp[r.context, word].astype(np.float64))
-    return n, r.at, buckets(n_context), _look_up(r.key, keys, counts, own[r.row]) / np.maximum(n_context, 1), q
+    return n, r.at, buckets(n_context), _look_up(r.key, keys, counts) / np.maximum(n_context, 1), q
 
 
-def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None):
-    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs, ``own`` as above."""
+def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs."""
     c = classes(h, m.vocab, m.number)
-    n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts, own)
+    n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts)
     lp = m.logp.ravel()[np.concatenate(pair_codes(c, bounds))].astype(np.float64)
     w = m.weight[bucket]
     lp[at] = np.log10(np.maximum(w * f2 + (1 - w) * q, 1e-300))
@@ -355,20 +410,27 @@ def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, co
     return np.diff(bounds) + 1, known, base, per_row(lp[: len(h)]) + lp[len(h):]
 
 
-def _sorted_counts(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = known.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], known.column("n").to_numpy()[order]
+def _block(m: Model, docs: pa.Table, known: pa.Table, count: str):
+    """Of a block's texts: slices (rows, word hashes, bounds), the sorted keys and their counts."""
+    slices, keys = [], [np.zeros(0, dtype=np.uint64)]
+    for rows, data, offs in t.text_slices(docs.combine_chunks().to_batches()):
+        h, _, _, bounds = t.words(t.lower(data), offs)
+        slices.append((rows, h, bounds))
+        keys.append(np.unique(rare_keys(h, bounds, classes(h, m.vocab, m.number))[0]))
+    keys = np.unique(np.concatenate(keys))
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(unpack(x.as_py(), np.int64) for x in known.sort_by("part").column(count))])
+    if len(keys) != len(counts):
+        raise ValueError(f"the texts are not the same when read again: {len(counts)} keys of a block before, {len(keys)} now")
+    return slices, keys, counts
 
 
 def _cells(shared):
     """Held-out transitions with a rare word: tokens by bucket of the context and ratio of the estimates."""
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = shared.value
-        keys, counts = _sorted_counts(known)
+        slices, keys, counts = _block(m, docs, known, "keep")
         found = [np.zeros((0, 2), dtype=np.int64)]
-        for _, data, offs in t.text_slices(docs.select(["text"]).combine_chunks().to_batches()):
-            h, _, _, bounds = t.words(t.lower(data), offs)
+        for _, h, bounds in slices:
             _, _, bucket, f2, q = rare_estimates(m, h, bounds, classes(h, m.vocab, m.number), keys, counts)
             found.append(np.stack([bucket, ratios(f2, q)], axis=1))
         cell, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
@@ -379,12 +441,10 @@ def _cells(shared):
 def _scores(shared):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = shared.value
-        keys, counts = _sorted_counts(known)
+        slices, keys, counts = _block(m, docs, known, "n")
         got = []
-        for rows, data, offs in t.text_slices(docs.combine_chunks().to_batches()):
-            h, _, _, bounds = t.words(t.lower(data), offs)
-            learned = (rows.column(rows.schema.get_field_index("fold")).to_numpy() != SCORE).astype(np.int64)
-            n, k, base, score = score_rows(m, h, bounds, keys, counts, learned)
+        for rows, h, bounds in slices:
+            n, k, base, score = score_rows(m, h, bounds, keys, counts)
             got.append(pa.table({"doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": rows.column(rows.schema.get_field_index("held_out")),
                                  "n_tokens": n, "n_known": k, "train_tokens": np.full(len(n), m.tokens, dtype=np.int64), "base_score": base, "score": score}))
         return pa.concat_tables(got)
@@ -392,7 +452,7 @@ def _scores(shared):
 
 
 def fit(src: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``src`` (text, block, fold), and the counts (block, key, n) that its blocks need beyond their own."""
+    """The model of ``src`` (text, block, fold; from ``in_blocks``), and the counts (block, part, n) of the blocks' keys."""
     train = src.filter(F.col("fold") != SCORE).select("text", (F.col("fold") == WEIGH).alias("held"))
     spark = train.sparkSession
     counts = materialize(train.mapInArrow(_unigrams, "key bigint, keep bigint, held bigint").groupBy("key").agg(F.sum("keep").alias("keep"), F.sum("held").alias("held")), "lm-counts")
@@ -416,29 +476,30 @@ def fit(src: DataFrame) -> tuple[Model, DataFrame]:
     keep, held = keep.reshape(shape), held.reshape(shape)
     m = build_model(vocab, number, keep, held, bins, types)
     discard(counts)
-    every = W.partitionBy("key")
-    asked = src.select("text", "block", "fold").mapInArrow(_asks(shared), "key bigint, block int, keep int, held int")
-    asked = asked.withColumns({"all_keep": F.sum("keep").over(every), "n": F.sum(F.col("keep") + F.col("held")).over(every)})
-    unsure = F.col("n") >= F.when(F.col("keep") + F.col("held") > 0, 2).otherwise(1)
-    known = materialize(asked.filter(unsure).select("block", "key", "all_keep", "n", (F.col("held") > 0).alias("weigh")), "lm-known")
+    # a part holds about as many keys as two blocks
+    asked = src.select("text", "block", "fold").mapInArrow(_asks(shared, 1 + src._blocks // 2), "part int, asks binary")
+    known = materialize(asked.groupBy("part").applyInArrow(_answers, "block int, part int, n binary, keep binary"), "lm-known")
     early = lower_model(vocab, number, keep, m.lam, types)
     own = held.copy()
     own[RARE], own[:, RARE] = 0, 0
     h, w = np.nonzero(own)
     cells = [(buckets(early.context[h]), ratios(keep[h, w] / np.maximum(early.context[h], 1), 10.0 ** early.logp[h, w].astype(np.float64)), own[h, w])]
     early = spark.sparkContext.broadcast(early)
-    rows, mine = src.filter(F.col("fold") == WEIGH).select("block", "text"), known.filter("weigh").select("block", "key", F.col("all_keep").alias("n"))
+    rows, mine = src.filter(F.col("fold") == WEIGH).select("block", "text"), known.filter(F.length("keep") > 0).select("block", "part", "keep")
     rest = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_cells(early), "bucket bigint, ratio bigint, n bigint")
     rest = rest.groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).toArrow()
     cells.append(tuple(rest.column(x).to_numpy() for x in ("bucket", "ratio", "n")))
     with_pairs(m, keep + held, pair_weights(*(np.concatenate(x) for x in zip(*cells, strict=True))))
-    return m, known.select("block", "key", "n")
+    return m, known.select("block", "part", "n")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` (row_key, text, ...) with a block instead of the row_key."""
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return rows.withColumn("block", F.pmod("row_key", F.lit(1 + size // BLOCK_BYTES)).cast("int")).drop("row_key")
+    n = 1 + size // BLOCK_BYTES
+    out = rows.withColumn("block", F.pmod("row_key", F.lit(n)).cast("int")).drop("row_key")
+    out._blocks = n
+    return out
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

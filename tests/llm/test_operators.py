@@ -7,6 +7,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -507,6 +509,45 @@ def test_op6_pairs_keep_a_distribution():
     assert p(50, 1) > 0.36 > p(50, 2)
 
 
+def asks_of(batches, parts):
+    """Rows that the counting pass of op6 gives, with 50 words of their own classes."""
+    vocab = np.sort(t.words(*t.column_buffers(pa.array([" ".join(f"c{k}" for k in range(50))])))[0])
+    shared = type("Shared", (), {"value": (vocab, np.arange(50))})
+    return vocab, pa.Table.from_batches(list(lmscore._asks(shared, parts)(iter(batches))))
+
+
+def test_op6_counts_go_and_come_back_in_small_rows(monkeypatch):
+    """The counting pass writes under 9 bytes a key and block, a row for many keys; the counts come back without the keys."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice([f"c{rng.randrange(50)}", f"r{rng.randrange(3000)}"]) for _ in range(300)) for _ in range(400)]
+    rows = pa.table({"text": texts, "block": pa.array([k % 7 for k in range(400)], pa.int32()), "fold": pa.array([rng.randrange(3) for _ in range(400)], pa.int32())})
+    monkeypatch.setattr(lmscore, "FLUSH", 40_000)
+    batches = [b for lo in range(0, 400, 50) for b in rows.slice(lo, 50).combine_chunks().to_batches()]
+    vocab, asks = asks_of(batches, 3)
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for b in batches:
+        h, _, _, bounds = t.words(*t.column_buffers(b.column(0)))
+        for key, row in zip(*(x.tolist() for x in lmscore.rare_keys(h, bounds, lmscore.classes(h, vocab, np.arange(50)))), strict=True):
+            want[key, b.column(1)[row].as_py()][b.column(2)[row].as_py()] += 1
+    assert sum(len(x) for x in asks.column("asks").to_pylist()) < 9 * len(want) and asks.num_rows < len(want) / 500
+    total = collections.defaultdict(lambda: [0, 0, 0])
+    for (key, _), n in want.items():
+        total[key] = [x + y for x, y in zip(total[key], n, strict=True)]
+    assert set(asks.column("part").to_pylist()) == {0, 1, 2}
+    back = pa.concat_tables([lmscore._answers(asks.filter(pc.equal(asks.column("part"), k))) for k in range(3)]).to_pylist()
+    for block in range(7):
+        mine = sorted((x for x in back if x["block"] == block), key=lambda x: x["part"])
+        n, keep = ([int(v) for x in mine for v in lmscore.unpack(x[c], np.int64)] for c in ("n", "keep"))
+        keys = sorted(k for k, b in want if b == block)
+        assert n == [total[k][lmscore.LEARN] + total[k][lmscore.WEIGH] for k in keys]
+        assert keep == [total[k][lmscore.LEARN] for k in keys if want[k, block][lmscore.WEIGH]]
+
+
+@pytest.mark.parametrize("x", [np.zeros(0, dtype=np.int64), np.array([7], dtype=np.int64), np.array([0, 2**63, 2**64 - 1, 5], dtype=np.uint64), np.arange(1000) << 40])
+def test_op6_packed_columns(x):
+    assert lmscore.unpack(lmscore.pack(x), x.dtype).tolist() == x.tolist()
+
+
 def test_op6_corners(spark, corners, nothing):
     out = lmscore.score_texts(corners).toPandas()
     assert len(out) == 9 and (out.n_tokens == 1).sum() == 4 and out.score.notna().all()
