@@ -119,6 +119,25 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(apart)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As np.unique, which hashes before it sorts and takes ten times as long for many entries that are mostly apart."""
+    x = np.sort(x)
+    return x[_starts(x)]
+
+
+def order_by(key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order by ``key``, then ``second`` (0 to 2**32 - 1); entries alike in both in any order.  Two sorts of plain numbers, faster than np.lexsort."""
+    order = np.argsort(key)
+    code = np.zeros(len(key), dtype=np.uint64)
+    code[_starts(key[order])] = 1
+    np.cumsum(code, out=code)
+    code <<= np.uint64(32)
+    code |= second[order].astype(np.uint64)
+    again = np.argsort(code)
+    del code
+    return order[again]
+
+
 def _ranges(starts: np.ndarray, n: int):
     return zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)
 
@@ -138,7 +157,7 @@ def _asks(shared, parts: int):
         def out():
             key, block, fold = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
-            order = np.lexsort((block, key))
+            order = order_by(key, block)
             key, block, fold = key[order], block[order], fold[order]
             first = _starts(key, block)
             asks = np.empty(len(first), dtype=ASK)
@@ -172,14 +191,28 @@ def _answers(rows: pa.Table) -> pa.Table:
     key = np.concatenate([np.cumsum(x["key"], dtype=np.uint64) for x in asks])
     block, keep, held = (np.concatenate([x[name] for x in asks]) for name in ("block", "keep", "held"))
     del asks
-    order = np.lexsort((block, key))
-    key, block, keep, held = key[order], block[order], keep[order], held[order]
+    # arrays go as soon as they are not needed: a part has millions of entries
+    order = order_by(key, block)
+    key = key[order]
+    block = block[order]
+    keep = keep[order]
+    held = held[order]
     first, own = _starts(key), _starts(key, block)
+    del key, order
+    block, weigh = block[own], np.add.reduceat(held, own) > 0
     of = np.searchsorted(first, own, side="right") - 1
-    every, n = (np.add.reduceat(x, first, dtype=np.int64)[of] for x in (keep, keep + held))
-    weigh = np.add.reduceat(held, own) > 0
-    order = np.argsort(block[own], kind="stable")
-    block, every, n, weigh = block[own][order], every[order], n[order], weigh[order]
+    del own
+    by_block = block.astype(np.uint64) << np.uint64(32)
+    by_block |= np.arange(len(block), dtype=np.uint64)
+    by_block.sort()
+    by_block &= np.uint64(0xFFFFFFFF)
+    block, weigh, of = block[by_block], weigh[by_block], of[by_block]
+    del by_block
+    every = np.add.reduceat(keep, first, dtype=np.int64)[of]
+    keep += held
+    del held
+    n = np.add.reduceat(keep, first, dtype=np.int64)[of]
+    del keep, of
     start = _starts(block)
     back = [(pack(n[lo:hi]), pack(every[lo:hi][weigh[lo:hi]])) for lo, hi in _ranges(start, len(block))]
     part = np.full(len(start), rows.column("part")[0].as_py(), dtype=np.int32)
@@ -190,7 +223,13 @@ def classes(h: np.ndarray, vocab: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Class of each word hash (``vocab`` sorted, ``number`` its classes)."""
     if len(vocab) == 0:
         return np.full(len(h), RARE)
-    i = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    # hashes are spread evenly: the first 14 bits lead to one of the few entries that share them
+    shift = np.uint64(50)
+    slot = vocab >> shift
+    first = np.minimum(np.searchsorted(slot, np.arange(1 << 14, dtype=np.uint64)), len(vocab) - 1)
+    i = first[h >> shift]
+    for _ in range(int(np.bincount(slot.astype(np.int64)).max()) - 1):
+        i = np.minimum(i + (vocab[i] < h), len(vocab) - 1)
     return np.where(vocab[i] == h, number[i], RARE)
 
 
@@ -243,7 +282,7 @@ def _bigrams(shared):
                 codes = np.concatenate([inner[held == k], ends[fold == k]])
                 u, n = np.unique(codes, return_counts=True)
                 total[k][u] += n
-        at = np.flatnonzero(total[0] + total[1])
+        at = np.flatnonzero((total[0] > 0) | (total[1] > 0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0][at]), pa.array(total[1][at])], names=["pair", "keep", "held"])
     return run
 
@@ -373,7 +412,10 @@ def with_pairs(m: Model, pairs: np.ndarray, weight: np.ndarray) -> None:
 def _look_up(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if len(keys) == 0 or len(h) == 0:
         return np.zeros(len(h), dtype=np.int64)
-    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    # sorted first, so that the search goes through ``keys`` once and not all over memory
+    order = np.argsort(h)
+    i = np.empty(len(h), dtype=np.int64)
+    i[order] = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
     return np.where(keys[i] == h, counts[i], 0)
 
 
@@ -391,9 +433,8 @@ def rare_estimates(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, k
     return n, r.at, buckets(n_context), _look_up(r.key, keys, counts) / np.maximum(n_context, 1), q
 
 
-def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, c: np.ndarray, keys: np.ndarray, counts: np.ndarray):
     """(n_tokens, n_known, base_score, score) of each row; ``keys`` (sorted) and ``counts`` of its rare words and pairs."""
-    c = classes(h, m.vocab, m.number)
     n, at, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts)
     lp = m.logp.ravel()[np.concatenate(pair_codes(c, bounds))].astype(np.float64)
     w = m.weight[bucket]
@@ -411,13 +452,14 @@ def score_rows(m: Model, h: np.ndarray, bounds: np.ndarray, keys: np.ndarray, co
 
 
 def _block(m: Model, docs: pa.Table, known: pa.Table, count: str):
-    """Of a block's texts: slices (rows, word hashes, bounds), the sorted keys and their counts."""
+    """Of a block's texts: slices (rows, word hashes, bounds, classes), the sorted keys and their counts."""
     slices, keys = [], [np.zeros(0, dtype=np.uint64)]
     for rows, data, offs in t.text_slices(docs.combine_chunks().to_batches()):
         h, _, _, bounds = t.words(t.lower(data), offs)
-        slices.append((rows, h, bounds))
-        keys.append(np.unique(rare_keys(h, bounds, classes(h, m.vocab, m.number))[0]))
-    keys = np.unique(np.concatenate(keys))
+        c = classes(h, m.vocab, m.number)
+        slices.append((rows, h, bounds, c))
+        keys.append(distinct(rare_keys(h, bounds, c)[0]))
+    keys = distinct(np.concatenate(keys))
     counts = np.concatenate([np.zeros(0, dtype=np.int64), *(unpack(x.as_py(), np.int64) for x in known.sort_by("part").column(count))])
     if len(keys) != len(counts):
         raise ValueError(f"the texts are not the same when read again: {len(counts)} keys of a block before, {len(keys)} now")
@@ -429,12 +471,12 @@ def _cells(shared):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = shared.value
         slices, keys, counts = _block(m, docs, known, "keep")
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for _, h, bounds in slices:
-            _, _, bucket, f2, q = rare_estimates(m, h, bounds, classes(h, m.vocab, m.number), keys, counts)
-            found.append(np.stack([bucket, ratios(f2, q)], axis=1))
-        cell, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.table({"bucket": cell[:, 0], "ratio": cell[:, 1], "n": n.astype(np.int64)})
+        found = [np.zeros(0, dtype=np.int64)]
+        for _, h, bounds, c in slices:
+            _, _, bucket, f2, q = rare_estimates(m, h, bounds, c, keys, counts)
+            found.append(bucket << 32 | ratios(f2, q) - NEVER)
+        cell, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.table({"bucket": cell >> 32, "ratio": (cell & 0xFFFFFFFF) + NEVER, "n": n.astype(np.int64)})
     return run
 
 
@@ -443,8 +485,8 @@ def _scores(shared):
         m: Model = shared.value
         slices, keys, counts = _block(m, docs, known, "n")
         got = []
-        for rows, h, bounds in slices:
-            n, k, base, score = score_rows(m, h, bounds, keys, counts)
+        for rows, h, bounds, c in slices:
+            n, k, base, score = score_rows(m, h, bounds, c, keys, counts)
             got.append(pa.table({"doc_id": rows.column(rows.schema.get_field_index("doc_id")), "held_out": rows.column(rows.schema.get_field_index("held_out")),
                                  "n_tokens": n, "n_known": k, "train_tokens": np.full(len(n), m.tokens, dtype=np.int64), "base_score": base, "score": score}))
         return pa.concat_tables(got)
