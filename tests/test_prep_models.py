@@ -241,3 +241,40 @@ def test_all_saved_models_in_one_scan(spark, cohort):
     out.unpersist()
     with pytest.raises(ValueError):
         scoring.score_models(df, scratch_path(spark, "nothing"))
+
+
+def test_tree_attribution_is_the_walk_of_each_row():
+    """Thresholds, categories that the split lists or does not know, and paths of unequal length, row by row."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    X = np.column_stack([rng.normal(size=200), rng.integers(-1, 4, 200).astype(float)])
+    left, right, feat = (np.array(v) for v in ([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, -1, 1, -1, -1]))
+    pred, thr, is_cat = np.array([0.1, -0.5, 0.4, 0.9, 0.2]), np.array([0.3, np.nan, np.nan, np.nan, np.nan]), np.array([False, False, True, False, False])
+    goes_left = np.zeros((5, 3), dtype=bool)
+    goes_left[2, [0, 2]] = True
+    stump = (0.5, np.array([-1]), np.array([-1]), np.array([-1]), np.array([2.0]), np.array([np.nan]), np.array([False]), np.zeros((1, 1), dtype=bool))
+    contrib, bias = explain._attribute(X, [(2.0, left, right, feat, pred, thr, is_cat, goes_left), stump])
+    for x, own, b in zip(X, contrib, bias, strict=True):
+        want = np.zeros(2)
+        want[0] = 2.0 * ((pred[1] if x[0] <= 0.3 else pred[2]) - pred[0])
+        if x[0] > 0.3:
+            want[1] = 2.0 * ((pred[3] if x[1] in (0, 2) else pred[4]) - pred[2])
+        assert own == pytest.approx(want) and b == pytest.approx(2.0 * 0.1 + 0.5 * 2.0)
+
+
+def test_tree_contributions_query_fits_all_trees(spark, sf_dir, monkeypatch):
+    """300 trees of depth 4, the model family's own, on all labelled rows."""
+    from cohortflow.plans import queries_fit
+
+    seen = {}
+
+    def fake(df, kind, params, *args):
+        seen.update(params, rows=df.count(), kind=kind)
+        raise InterruptedError
+
+    monkeypatch.setattr(queries_fit.search, "fit_pipeline", fake)
+    with pytest.raises(InterruptedError):
+        queries_fit.tree_contributions_q(spark, sf_dir)
+    whole = {"n_estimators": 300, "max_depth": 4, "rows": queries_fit._labelled(spark, sf_dir).count(), "kind": "boosted_trees"}
+    assert seen == whole
