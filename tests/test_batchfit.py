@@ -322,3 +322,50 @@ def test_balanced_weight_needs_no_join(spark):
     out = search.with_balanced_weight(df)
     assert "Join" not in out._jdf.queryExecution().toString()
     assert sorted((r["label"], r["weight"]) for r in out.collect()) == [(0.0, 5 / 9)] * 3 + [(1.0, 5 / 3)]
+
+
+def test_auroc_of_packed_rows_is_that_of_the_table(rows, solved):
+    """Whole and small buckets; rows of a set that another leaves out."""
+    batch, fits = solved
+    fold = F.array((F.col("_f") - 1).cast("int"))
+    whole = batch.aucs(rows, fits, fold, len(GRID))
+    assert batch.held_aucs(fits, [(-1, t) for t in range(3)], len(GRID)) == pytest.approx(whole, abs=1e-12)
+    assert batch.held_aucs(fits, [(-1, t) for t in range(3)], len(GRID), bucket=20) == pytest.approx(whole, abs=1e-12)
+    # rows in the first set and not in the second are those of the second fold
+    second = batch.held_aucs(fits[: len(GRID)], [(0, 1)], len(GRID))
+    assert second == pytest.approx(batch.aucs(rows.filter("_f = 2"), fits[: len(GRID)], F.array(F.lit(0)), len(GRID)), abs=1e-12)
+
+
+def test_candidates_of_a_set_share_curvatures(rows, solved, monkeypatch):
+    """One curvature a set and pass while the steps shrink, and the coefficients of fits that each take their own."""
+    batch, fits = solved
+    near = [(t, C, 0.5) for t in range(3) for C in (10.0, 20.0, 50.0, 100.0)]
+    asked = []
+
+    def counted(layout, sets, raw, which, balance, bent):
+        asked.append((len(raw), len(bent)))
+        return curves(layout, sets, raw, which, balance, bent)
+
+    curves = batchfit._curves
+    monkeypatch.setattr(batchfit, "_curves", counted)
+    shared = batch.fit(near)
+    assert max(bent for _, bent in asked) == 3 and max(n for n, _ in asked) == 9
+    solve = batchfit._solve
+    monkeypatch.setattr(batchfit, "_solve", lambda *a: solve(*a[:4]))
+    for x, y in zip(shared, batch.fit(near), strict=True):
+        assert x.coef == pytest.approx(y.coef, abs=1e-8) and x.intercept == pytest.approx(y.intercept, abs=1e-8)
+
+
+def test_frequent_values_are_found_by_the_first_count(spark, monkeypatch):
+    """Ten values of 1,000 rows each: no range is halved down to a value, no value is listed."""
+    df = spark.range(10000).select((F.col("id") % 2).cast("double").alias("label"), ((F.col("id") % 10) / 7).alias("x"))
+    passes = []
+    summed = batchfit._summed
+    monkeypatch.setattr(batchfit, "EXACT", 8)
+    batch = Batch.prepare(df, [], ["x"], F.array(F.lit(1).cast("tinyint")), 1)
+    monkeypatch.setattr(batchfit, "_summed", lambda parts: passes.append(1) or summed(parts))
+    monkeypatch.setattr(batchfit, "_list_values", None)
+    wanted = {(0, 0): [0, 999, 1000, 5500, 9999]}
+    found = batchfit.order_statistics(batch.packed, batch.layout, 1, wanted, batch.cuts)
+    assert [found[0, 0, r] for r in wanted[0, 0]] == [0 / 7, 0 / 7, 1 / 7, 5 / 7, 9 / 7] and len(passes) == 1
+    assert batch.prepared.medians[0, 0] == (4 / 7 + 5 / 7) / 2
