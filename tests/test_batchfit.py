@@ -369,3 +369,18 @@ def test_frequent_values_are_found_by_the_first_count(spark, monkeypatch):
     found = batchfit.order_statistics(batch.packed, batch.layout, 1, wanted, batch.cuts)
     assert [found[0, 0, r] for r in wanted[0, 0]] == [0 / 7, 0 / 7, 1 / 7, 5 / 7, 9 / 7] and len(passes) == 1
     assert batch.prepared.medians[0, 0] == (4 / 7 + 5 / 7) / 2
+
+
+def test_families_of_an_experiment_share_their_rows(rows, monkeypatch):
+    """Rows are ranked and packed once an outcome and feature set; every family's metrics are those of its own nested search."""
+    df = rows.withColumnRenamed("_id", "row_id").withColumn("y_a", F.col("label")).withColumn("y_b", 1 - F.col("label")).drop("label")
+    made = []
+    prepare = search.NestedRows.prepare
+    monkeypatch.setattr(search.NestedRows, "prepare", lambda self, *a: made.append(1) or prepare(self, *a))
+    families = {"elasticnet": {"C": [0.1, 1.0]}, "glassbox_additive": {"max_bins": [4]}}
+    got, _ = search.run_experiment(df, ["a", "b"], {"F": ["x1", "cat"]}, families, outer=2, inner=2)
+    assert len(made) == 2
+    alone = search.nested_cv(df, "y_b", ["cat"], ["x1"], "glassbox_additive", families["glassbox_additive"], outer=2, inner=2).fold_metrics
+    keep = lambda t: sorted((r["fold"], r["roc_auc"], r["brier"], r["brier_calibrated"]) for r in t.collect())
+    for x, y in zip(keep(got.filter("outcome = 'b' and model = 'glassbox_additive'")), keep(alone), strict=True):
+        assert x == pytest.approx(y, abs=1e-9)
