@@ -148,3 +148,14 @@ def test_exact_quantiles_match_sorting(spark):
     got = {r["g"]: r["quantiles"] for r in exact_quantiles(spark.createDataFrame(parts, "g string, v double"), ["g"], "v", qs).collect()}
     for g, values in got.items():
         assert np.allclose(values, np.quantile([x for k, x in parts if k == g], qs), rtol=1e-12)
+
+
+def test_constant_scores_have_no_slope(spark):
+    """Whatever the constant: its sums' rounding errors are no slope."""
+    from pyspark.sql import functions as F
+
+    from cohortflow.operators import metrics
+
+    df = spark.range(21000).select((F.col("id") % 300).cast("int").alias("fold"), (F.col("id") % 7 < 3).cast("double").alias("y_true"))
+    out = metrics.fold_metrics(df.withColumn("prob", 0.5 + F.col("fold") / 977), ["fold"])
+    assert out.filter("calibration_slope is not null or calibration_intercept is not null").count() == 0 and out.count() == 300
